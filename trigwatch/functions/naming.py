@@ -73,12 +73,8 @@ def confidence_pct(confidence: Column) -> Column:
     """Probabilities (up to 1.5) are scaled to percent, percentages are kept."""
     value = confidence.cast("double")
     scaled = F.when(value <= 1.5, value * 100).otherwise(value)
-    return F.coalesce(F.format_string("%.1f%%", scaled_or_null(scaled)), F.lit("N/A"))
-
-
-def scaled_or_null(value: Column) -> Column:
-    # format_string prints a null argument as text; keep nulls null instead
-    return F.when(value.isNotNull(), value)
+    # a null argument would be printed, so the missing case is decided first
+    return F.when(value.isNull(), F.lit("N/A")).otherwise(F.format_string("%.1f%%", scaled))
 
 
 def sanitize_text(text: Column, max_len: int = MESSAGE_SIZE) -> Column:

@@ -130,9 +130,8 @@ def feature_tokens(features: Column) -> Column:
 
 
 def _labelled(item: Column) -> Column:
-    amount = F.coalesce(F.format_string("%.4f", naming.scaled_or_null(item["importance"])), F.lit("N/A"))
-    # a null argument prints as text, so the missing case is decided before
-    shown = F.when(item["importance"].isNull(), F.lit("N/A")).otherwise(amount)
+    # a null argument would be printed, so the missing case is decided first
+    shown = F.when(item["importance"].isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", item["importance"]))
     return F.concat(item["display"], F.lit(":"), shown)
 
 

@@ -261,9 +261,9 @@ def feature_meta(spark, sf):
 @query(
     "feature_entry",
     """
-WITH words AS (SELECT doc_id, n_chars, 'feature_' || CAST(doc_id AS VARCHAR) || ' | ' || array_to_string(list_transform(range(0, 4 + doc_id % 20), i -> lang || CAST(i * 37 AS VARCHAR)), ' ') AS t FROM documents),
+WITH words AS (SELECT doc_id, n_chars, 'feature_' || CAST(doc_id AS VARCHAR) || ' | ' || array_to_string(list_transform(range(0, 4 + doc_id % 20), lambda i: lang || CAST(i * 37 AS VARCHAR)), ' ') AS t FROM documents),
 lens AS (SELECT doc_id, n_chars, t, string_split(t, ' ') AS w FROM words),
-fit AS (SELECT doc_id, n_chars, t, list_max(list_filter(range(1, len(w) + 1), i -> length(array_to_string(w[1:i], ' ')) <= 77)) AS k, w FROM lens)
+fit AS (SELECT doc_id, n_chars, t, list_max(list_filter(range(1, len(w) + 1), lambda i: length(array_to_string(w[1:i], ' ')) <= 77)) AS k, w FROM lens)
 SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE array_to_string(w[1:k], ' ') || '...' END AS display,
   CAST(CASE doc_id % 3 WHEN 0 THEN n_chars WHEN 1 THEN n_chars + 1 ELSE n_chars + 2 END AS DOUBLE) AS importance FROM fit""",
 )
@@ -380,14 +380,13 @@ def flag(spark, sf):
 @query(
     "family_share_value",
     with_ctes("tele", """
-SELECT event_id, round(CASE WHEN s > 0 THEN value * cnt / s ELSE value END, 6) AS share
+SELECT event_id, CASE WHEN s > 0 THEN value * cnt / s ELSE value END AS share
 FROM (SELECT event_id, value, cnt, sum(cnt) OVER (PARTITION BY user_id, rule_id) AS s FROM tele)"""),
 )
 def family_share(spark, sf):
     t = telemetry(spark, sf)
     # totals per group are aggregated and joined back, so a hot group is never sorted in one task
     totals = t.groupBy("user_id", "rule_id").agg(F.sum("count").alias("total"))
-    out = t.join(totals, ["user_id", "rule_id"]).select(
+    return t.join(totals, ["user_id", "rule_id"]).select(
         "event_id", naming.family_share_value(F.col("value"), F.col("count"), F.col("total")).alias("share")
     )
-    return rounded(out, "share")
