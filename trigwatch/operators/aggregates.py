@@ -108,8 +108,8 @@ def window_stats(windows: DataFrame) -> DataFrame:
 def common_rules(windows: DataFrame, top: int | None = 10, rules: str = "aggregated_rules") -> DataFrame:
     """Number of windows each rule occurs in; the top ones, ties by id."""
     counted = (
-        windows.select(F.explode(F.map_keys(rules)).cast("bigint").alias("rule_id"))
-        .groupBy("rule_id")
+        windows.select(F.explode(F.map_keys(rules)).alias("rule_text"))
+        .groupBy(F.col("rule_text").cast("bigint").alias("rule_id"))
         .agg(F.count(F.lit(1)).alias("n_windows"))
     )
     return counted if top is None else counted.orderBy(F.desc("n_windows"), "rule_id").limit(top)
