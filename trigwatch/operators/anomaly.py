@@ -93,7 +93,11 @@ def cluster_quality(df: DataFrame, key: str, cluster: str = "cluster", features:
         F.avg("distance").alias("s"), F.sum(F.col("distance") * F.col("distance")).alias("w")
     )
     overall = centers(df.withColumn("_all", F.lit(0)), "_all", features).select("center").scalar()
-    per_cluster = middle.join(spread, cluster).withColumn("b", F.col("n") * squared_distance(F.col("center"), overall))
+    per_cluster = (
+        middle.join(spread, cluster)
+        .withColumn("overall", overall)
+        .withColumn("b", F.col("n") * squared_distance(F.col("center"), F.col("overall")))
+    )
     # the clusters (not the points) fit one row: their number is a model parameter
     gathered = per_cluster.agg(
         F.collect_list(F.struct("s", "center", F.col(cluster).alias("id"))).alias("g"),

@@ -1 +1,223 @@
-"""To come."""
+"""Fitting, scoring, searching, comparing and explaining models.
+
+Fits have no SQL counterpart (their results are checked as invariants in the tests); the
+parts that are plain aggregates have one.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from trigwatch.functions import timing
+from trigwatch.operators import explain, metrics, models, sampling, vectors
+from trigwatch.plans.registry import query
+from trigwatch.plans.tables import embeddings, embeddings_long, rounded, scratch, telemetry, wid, with_ctes
+from trigwatch.plans.vectors import used_families, window_vectors
+
+DIMENSION = 64
+
+
+def labelled_vectors(spark, sf):
+    """Vectors with class 1 = cluster 3."""
+    e = embeddings(spark, sf)
+    return e.select("vec_id", (F.col("cluster") == 3).cast("double").alias("label"), array_to_vector(F.col("features")).alias("features"))
+
+
+def split(spark, sf):
+    parts = sampling.stratified_split(labelled_vectors(spark, sf), "label", "vec_id")
+    return parts.where("split = 'train'").drop("split"), parts
+
+
+def scored(model, rows):
+    out = models.score(model, rows, DIMENSION)
+    return out.select("vec_id", "split", F.col("label").cast("int").alias("label"), "predicted_label", "probability")
+
+
+def _pipeline_query(name, build):
+    @query(name)
+    def run(spark, sf):
+        train, everything = split(spark, sf)
+        return scored(models.fit_classifier(build(train), train), everything)
+
+    return run
+
+
+_pipeline_query("fit_random_forest", lambda train: models.random_forest(trees=40))
+_pipeline_query("fit_decision_tree", lambda train: models.decision_tree(depth=6))
+_pipeline_query("fit_gbt", lambda train: models.gradient_boosting(rounds=10))
+_pipeline_query("fit_logistic", lambda train: models.logistic(train.count(), rounds=100))
+_pipeline_query("fit_naive_bayes", lambda train: models.naive_bayes())
+
+
+def _object_query(name, build):
+    @query(name)
+    def run(spark, sf):
+        train, everything = split(spark, sf)
+        return scored(build().fit(train), everything)
+
+    return run
+
+
+_object_query("fit_svm", partial(models.FourierSvm, size=128, rounds=30))
+_object_query("fit_adaboost", partial(models.AdaBoost, rounds=5, depth=2))
+_object_query("fit_extra_trees", partial(models.ExtraTrees, trees=20, members=2, depth=6))
+
+
+@query(
+    "naive_bayes_sql",
+    with_ctes("emb", """
+WITH l AS (SELECT vec_id, CASE WHEN cluster = 3 THEN 1 ELSE 0 END AS y, pos, x FROM emb),
+wide AS (SELECT max(v) AS v FROM (SELECT var_pop(x) AS v FROM l GROUP BY pos)),
+s AS (SELECT y AS c, pos, avg(x) AS m, var_pop(x) + 1e-9 * (SELECT v FROM wide) AS v, count(*) AS n FROM l GROUP BY 1, 2),
+pr AS (SELECT c, max(n) / (SELECT count(DISTINCT vec_id) FROM l) AS prior FROM s GROUP BY 1),
+j AS (SELECT vec_id, s.c, sum(-0.5 * ln(2 * pi() * s.v) - power(x - s.m, 2) / (2 * s.v)) + max(ln(prior)) AS lj
+  FROM l JOIN s ON l.pos = s.pos JOIN pr ON pr.c = s.c GROUP BY 1, 2)
+SELECT vec_id, CAST(arg_max(c, lj) AS BIGINT) AS predicted, round(max(lj), 5) AS log_joint FROM j GROUP BY 1"""),
+)
+def naive_bayes_sql(spark, sf):
+    long = embeddings_long(spark, sf).withColumn("label", (F.col("cluster") == 3).cast("bigint"))
+    found = models.naive_bayes_predict(long, models.naive_bayes_stats(long), "vec_id")
+    return rounded(found, "log_joint", places=5)
+
+
+@query("train_and_evaluate")
+def train_and_evaluate(spark, sf):
+    """Telemetry to report: windows, vectors, split, forest, held-out figures."""
+    key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
+    rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
+    parts = sampling.stratified_split(rows, "label", "key")
+    model = models.fit_classifier(models.random_forest(trees=20, depth=6), parts.where("split = 'train'").select("label", "features"))
+    held_out = models.score(model, parts.where("split = 'test'"))
+    return metrics.evaluate(held_out.select(F.col("label").cast("int").alias("label"), F.col("probability").alias("score")))
+
+
+@query("save_load_model")
+def save_load_model(spark, sf):
+    train, everything = split(spark, sf)
+    path = scratch(spark, "model")
+    models.save_model(models.fit_classifier(models.logistic(train.count(), rounds=50), train), path)
+    return scored(models.load_model(path), everything)
+
+
+@query("score_model")
+def score_model(spark, sf):
+    train, everything = split(spark, sf)
+    model: PipelineModel = models.fit_classifier(models.decision_tree(depth=4), train)
+    return scored(model, everything).where("split = 'test'")
+
+
+@query("fit_kmeans")
+def fit_kmeans(spark, sf):
+    rows = labelled_vectors(spark, sf)
+    model = models.fit_kmeans(rows, k=10, restarts=2, rounds=20)
+    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query("fit_gmm")
+def fit_gmm(spark, sf):
+    rows = explain.project_windows(labelled_vectors(spark, sf), 3)
+    low = rows.select("vec_id", array_to_vector(F.array("c1", "c2", "c3")).alias("features"))
+    model = models.fit_gmm(low, k=4, rounds=20)
+    membership = F.array_max(vector_to_array("probability"))
+    return model.transform(low).select("vec_id", F.col("prediction").alias("cluster"), membership.alias("membership"))
+
+
+@query("gmm_criteria")
+def gmm_criteria(spark, sf):
+    rows = explain.project_windows(labelled_vectors(spark, sf), 3)
+    low = rows.select("vec_id", array_to_vector(F.array("c1", "c2", "c3")).alias("features"))
+    return models.gmm_criteria(models.fit_gmm(low, k=4, rounds=20), low, 3)
+
+
+@query("search_grid")
+def search_grid(spark, sf):
+    rows = sampling.stratified_folds(labelled_vectors(spark, sf), "label", "vec_id", folds=3)
+    pipeline = models.random_forest(trees=10)
+    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [3, 6]})
+    found = models.search(pipeline, grid, vectors.class_weights(rows), 3, {"roc_auc": 0.5, "average_precision": 0.5})
+    return models.cv_results(spark, found)
+
+
+@query("search_random")
+def search_random(spark, sf):
+    rows = sampling.stratified_folds(labelled_vectors(spark, sf), "label", "vec_id", folds=3)
+    pipeline = models.decision_tree()
+    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 5]})
+    drawn = models.sample_candidates(grid, 3)
+    found = models.search(pipeline, drawn, vectors.class_weights(rows), 3, {"roc_auc": 0.5, "average_precision": 0.5})
+    return models.cv_results(spark, found)
+
+
+@query("search_clusters")
+def search_clusters(spark, sf):
+    _, tried = models.search_clusters(labelled_vectors(spark, sf), [{"k": 5}, {"k": 10}], rounds=10)
+    return spark.createDataFrame([(t["k"], t["silhouette"]) for t in tried], "k INT, silhouette DOUBLE")
+
+
+@query("feature_importances")
+def feature_importances(spark, sf):
+    rows = window_vectors(spark, sf).select(F.col("is_attack").cast("double").alias("label"), "features")
+    model = models.fit_classifier(models.random_forest(trees=10, depth=5), rows)
+    layout = vectors.feature_layout(used_families(spark, sf), "family_first").select("feature_idx", "feature")
+    return models.feature_importances(spark, model.stages[-1], layout)
+
+
+@query("compare_models")
+def compare_models(spark, sf):
+    train, everything = split(spark, sf)
+    fitted = {
+        "decision_tree": models.fit_classifier(models.decision_tree(depth=5), train),
+        "logistic": models.fit_classifier(models.logistic(train.count(), rounds=50), train),
+        "naive_bayes": models.fit_classifier(models.naive_bayes(), train),
+    }
+    return models.compare_models(fitted, everything.where("split = 'test'"), "vec_id")
+
+
+@query("shapley_values")
+def shapley_values(spark, sf):
+    """Attributions of every alerted window (probability above the threshold)."""
+    key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
+    rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
+    model = models.fit_classifier(models.random_forest(trees=5, depth=4), rows.select("label", "features"))
+    alerts = models.score(model, rows).where("probability > 0.75").select("key", "features")
+    background = sampling.background_rows(rows, 5, "key").select("features")
+    dimension = vectors.feature_layout(used_families(spark, sf), "family_first").count()
+    return explain.shapley_values(model, alerts, background, "key", dimension, permutations=1)
+
+
+def forest(spark, sf):
+    rows = window_vectors(spark, sf).select(F.col("is_attack").cast("double").alias("label"), "features")
+    return models.fit_classifier(models.random_forest(trees=10, depth=5), rows).stages[-1]
+
+
+@query("tree_path_itemsets")
+def tree_path_itemsets(spark, sf):
+    paths = explain.tree_paths(explain.node_table(spark, forest(spark, sf)))
+    found = explain.path_itemsets(paths, sizes=(2, 3), min_support=0.01, top_k=20)
+    return found.select(F.array_join(F.col("itemset").cast("array<string>"), ",").alias("itemset"), "n_paths", "support")
+
+
+MIN_SUPPORT = 0.002
+
+
+@query(
+    "cooccurring_rules",
+    with_ctes("tele", f"""
+WITH b AS (SELECT DISTINCT {wid('ts', 1440)} AS w, user_id, rule_id FROM tele), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT w, user_id FROM b))
+SELECT a.rule_id AS rule_a, z.rule_id AS rule_b, count(*) AS n_windows FROM b a JOIN b z ON a.w = z.w AND a.user_id = z.user_id AND a.rule_id < z.rule_id
+GROUP BY 1, 2 HAVING count(*) >= ceil({MIN_SUPPORT} * (SELECT n FROM n))"""),
+)
+def cooccurring_rules(spark, sf):
+    t = telemetry(spark, sf).withColumn("window_id", timing.window_id(F.col("timestamp"), 1440))
+    found = explain.cooccurring_rules(t, ["window_id", "user_id"], MIN_SUPPORT)
+    return found.select(F.get("rules", F.lit(0)).alias("rule_a"), F.get("rules", F.lit(1)).alias("rule_b"), "n_windows")
+
+
+@query("project_windows")
+def project_windows(spark, sf):
+    rows = window_vectors(spark, sf)
+    return explain.project_windows(rows, 2).select("window_id", "hostname", "source_label", "source_ip", "c1", "c2")

@@ -1 +1,135 @@
-"""To come."""
+"""Streaming jobs, drained once over the whole event table; the end state equals the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trigwatch.functions import timing
+from trigwatch.operators import lookups
+from trigwatch.plans.registry import query
+from trigwatch.plans.tables import plain, rounded, scratch, table, texts, wid, with_ctes, wstart
+from trigwatch.streaming import windows as live
+
+
+def event_stream(spark, sf):
+    """The event table as a file stream, projected like the telemetry."""
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.select(
+        "event_id", "event_type", "value",
+        F.concat(F.lit("host-"), (F.col("user_id") % 5).cast("string")).alias("hostname"),
+        (100000 + F.get_json_object("props", "$.k").cast("bigint") % 20).alias("rule_id"),
+        F.col("ts").alias("timestamp"),
+        F.floor("value").cast("bigint").alias("count"),
+    )
+
+
+def drained(query_handle):
+    query_handle.awaitTermination()
+    return query_handle
+
+
+@query(
+    "stream_trigger_windows",
+    with_ctes("tele", f"""
+SELECT {plain(wstart('ts', 60))} AS window_start, hostname, rule_id, CAST(sum(cnt) AS BIGINT) AS count, round(sum(ln(1 + cnt)), 6) AS log_count, count(*) AS n_rows
+FROM tele GROUP BY 1, 2, 3"""),
+)
+def stream_trigger_windows(spark, sf):
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    counted = live.tumbling_counts(event_stream(spark, sf), 60, ["hostname", "rule_id"])
+    drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname", "rule_id"]))
+    return rounded(texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "rule_id", "count", "log_count", "n_rows"), "log_count")
+
+
+@query(
+    "stream_sliding_windows",
+    with_ctes("tele", f"""
+SELECT strftime(b - back, '%Y-%m-%d %H:%M:%S') AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count FROM (
+  SELECT {wstart('ts', 15)} AS b, hostname, cnt, unnest([INTERVAL 0 MINUTE, INTERVAL 15 MINUTE]) AS back FROM tele) GROUP BY 1, 2"""),
+)
+def stream_sliding_windows(spark, sf):
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    counted = live.sliding_counts(event_stream(spark, sf), "30 minutes", "15 minutes", ["hostname"])
+    drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
+    return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
+
+
+@query(
+    "stream_upsert",
+    with_ctes("tele", f"""
+SELECT {plain(wstart('ts', 1440))} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count FROM tele GROUP BY 1, 2"""),
+)
+def stream_upsert(spark, sf):
+    # the drained stream is started again on the same marks and on fresh ones: neither changes the table
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    for place in (marks, marks, scratch(spark, "stream-marks")):
+        counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
+        drained(live.stream_upsert(counted, path, place, ["window_start", "hostname"]))
+    return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
+
+
+@query(
+    "late_slack",
+    with_ctes("tele", f"""
+WITH s AS (SELECT {wstart("(ts + INTERVAL 5 SECOND)", 15)} AS late, ts, hostname, cnt, {wstart('ts', 15)} AS early FROM tele),
+m AS (SELECT hostname, cnt, CASE WHEN ts - early <= INTERVAL 5 SECOND THEN early WHEN late > early THEN late
+  WHEN (extract('minute' FROM ts) * 60 + extract('second' FROM ts)) % 900 < 450 THEN early ELSE early + INTERVAL 15 MINUTE END AS t FROM s)
+SELECT {plain('t')} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count FROM m GROUP BY 1, 2"""),
+)
+def late_slack(spark, sf):
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    counted = live.tumbling_counts(live.snapped(event_stream(spark, sf), 15), 15, ["hostname"])
+    drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
+    return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
+
+
+def window_score(windows):
+    """A fixed score on window totals; jobs pass a fitted pipeline's transform instead."""
+    chance = F.least(F.col("count") / 500, F.lit(1.0))
+    return windows.withColumns(
+        {
+            "window_id": timing.window_id(F.col("window_start"), 360),
+            "probability": chance,
+            "predicted_label": (chance > 0.5).cast("int"),
+        }
+    )
+
+
+@query(
+    "incremental_detect",
+    with_ctes("tele", f"""
+WITH w AS (SELECT {wstart('ts', 360)} AS s, hostname, sum(cnt) AS c FROM tele GROUP BY 1, 2), closed AS (SELECT max(ts) - INTERVAL 45 SECOND AS mark FROM tele)
+SELECT {wid('s', 360)} AS window_id, hostname, CASE WHEN least(c / 500, 1.0) > 0.5 THEN 1 ELSE 0 END AS predicted_label, least(c / 500, 1.0) AS confidence
+FROM w, closed WHERE least(c / 500, 1.0) > 0.4 AND s + INTERVAL 6 HOUR <= mark"""),
+)
+def incremental_detect(spark, sf):
+    path, marks = scratch(spark, "alerts-table"), scratch(spark, "stream-marks")
+    counted = live.tumbling_counts(event_stream(spark, sf), 360, ["hostname"])
+    drained(live.incremental_detect(counted, window_score, 0.4, path, marks))
+    return spark.read.parquet(path).select("window_id", "hostname", "predicted_label", "confidence")
+
+
+@query(
+    "stream_retention",
+    with_ctes("tele", f"""
+SELECT {plain(wstart('ts', 1440))} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count FROM tele
+WHERE ts >= TIMESTAMP '2024-01-15' OR hostname = 'host-1' GROUP BY 1, 2"""),
+)
+def stream_retention(spark, sf):
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
+    drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
+    live.drop_expired_days(spark, path, "2024-01-15", lookups.host_list(spark, ["host-1"]))
+    return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
+
+
+@query("run_progress", "SELECT count(*) AS input_rows, 1 AS batches FROM events")
+def run_progress(spark, sf):
+    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
+    counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
+    done = drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
+    progress = live.run_progress(done).where("input_rows > 0")
+    return progress.agg(F.sum("input_rows").alias("input_rows"), F.count(F.lit(1)).cast("int").alias("batches"))
+
+
