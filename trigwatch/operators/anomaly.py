@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -155,26 +157,39 @@ def _box_span(a: Column, b: Column) -> Column:
     return F.aggregate(span, F.lit(0).cast("bigint"), lambda s, v: s + v * v)
 
 
-def _near_cells(cells: DataFrame, eps: float, side: float, dimension: int, axes: int = 3) -> DataFrame:
-    """Ordered pairs (a, b) of cells whose boxes come within eps, each with itself included."""
-    directions = _directions(dimension, axes)
-    width = 2 * eps
+def _slot(position: Column, directions: np.ndarray, width: float) -> Column:
+    """Grid slot of a position on each direction."""
 
-    def slot(direction: np.ndarray) -> Column:
+    def along(direction: np.ndarray) -> Column:
         weights = F.array(*[F.lit(float(w)) for w in direction])
-        along = F.aggregate(
-            F.zip_with("coords", weights, lambda c, w: (c + 0.5) * F.lit(side) * w), F.lit(0.0), lambda s, v: s + v
-        )
-        return F.floor(along / width).cast("bigint")
+        return F.aggregate(F.zip_with(position, weights, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+
+    return F.array(*[F.floor(along(d) / width).cast("bigint") for d in directions])
+
+
+def _around(slot: Column, axes: int) -> Column:
+    """The slots next to one, itself included: a fixed number (27 on three axes)."""
+    steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=axes)])
+    return F.transform(steps, lambda step: F.zip_with(slot, step, lambda s, d: s + d))
 
-    gridded = cells.select("cell", "coords", F.array(*[slot(d) for d in directions]).alias("slot"))
-    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(directions))])
+
+def _near_cells(cells: DataFrame, eps: float, side: float, dimension: int, axes: int = 3) -> DataFrame:
+    """Pairs (a, b) of cells whose points can be within eps (some pairs too many, none missing)."""
+    directions = _directions(dimension, axes)
+    centre = F.transform("coords", lambda c: (c + 0.5) * F.lit(side))
+    # centres of touching cells are at most eps + two half diameters apart
+    gridded = cells.select("cell", "coords", _slot(centre, directions, 2 * eps).alias("slot"))
     reach = gridded.select(
-        F.col("cell").alias("a"), F.col("coords").alias("a_coords"), F.col("slot").alias("_s"), F.explode(shifts).alias("_d")
-    ).withColumn("slot", F.zip_with("_s", "_d", lambda s, d: s + d)).drop("_s", "_d")
-    other = gridded.select(F.col("cell").alias("b"), F.col("coords").alias("b_coords"), "slot")
-    limit = (eps / side) ** 2 * (1 + 1e-9)
-    return reach.join(other, "slot").where(_box_gap(F.col("a_coords"), F.col("b_coords")) <= limit).select("a", "b", "a_coords", "b_coords")
+        F.col("cell").alias("a"), F.col("coords").alias("a_coords"), F.explode(_around(F.col("slot"), len(directions))).alias("slot")
+    )
+    pairs = reach.join(gridded.select(F.col("cell").alias("b"), F.col("coords").alias("b_coords"), "slot"), "slot").drop("slot")
+    if dimension <= BOX_TEST:
+        pairs = pairs.where(_box_gap(F.col("a_coords"), F.col("b_coords")) <= (eps / side) ** 2 * (1 + 1e-9))
+    return pairs
+
+
+#: widest vectors for which the gap between two boxes says more than the projections do
+BOX_TEST = 8
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
@@ -204,51 +219,90 @@ def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -
     raise RuntimeError("components did not settle")
 
 
-def _grid(df: DataFrame, key: str, features: str, eps: float):
-    """Distinct weighted points with their cell, the cells, and the near-cell pairs."""
+def _grid(df: DataFrame, key: str, features: str, eps: float, min_samples: int):
+    """Distinct weighted points with their cell; ``dense`` cells have enough points by themselves."""
     dimension = df.select(F.size(features)).first()[0]
     side = eps / math.sqrt(dimension) * (1 - 1e-9)
     distinct = df.groupBy(F.col(features).alias("x")).agg(
         F.min(key).alias("pid"), F.count(F.lit(1)).alias("weight")
     ).withColumn("coords", _coords(F.col("x"), side))
-    cells = distinct.groupBy("coords").agg(F.min("pid").alias("cell"), F.sum("weight").alias("n"))
-    points = cut_lineage(distinct.join(cells, "coords").select("pid", "x", "weight", "coords", "cell", "n"))
-    cells = points.groupBy("cell", "coords").agg(F.max("n").alias("n"))
-    return dimension, side, points, cut_lineage(_near_cells(cells, eps, side, dimension))
+    cells = distinct.groupBy("coords").agg(F.min("pid").alias("cell"), (F.sum("weight") >= min_samples).alias("dense"))
+    points = cut_lineage(distinct.join(cells, "coords").select("pid", "x", "weight", "coords", "cell", "dense"))
+    return dimension, side, points
 
 
-def _core_points(points: DataFrame, near: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Distinct points with their core flag.
+#: points per block; two blocks are compared as one small matrix
+BLOCK = 256
 
-    A cell with enough points needs no comparison. The others have fewer than
-    ``min_samples`` points each, so the comparisons stay linear in the points.
+
+def _neighbours(points: DataFrame, eps: float, dimension: int, axes: int = 3) -> DataFrame:
+    """(p, q) within eps for every point p of a cell that is not dense.
+
+    Such a cell has fewer than ``min_samples`` points, and two crowded cells are never
+    compared here. Points meet by an equi join on projection slots, block by block: a slot
+    of any size is cut into blocks of about ``BLOCK`` points, a row of the join holds two
+    blocks, and only the pairs found within eps leave the task.
     """
-    dense = points.where(F.col("n") >= min_samples).select("pid").withColumn("core", F.lit(True))
-    sparse = points.where(F.col("n") < min_samples).select("pid", F.col("x").alias("px"), F.col("cell").alias("a"))
-    counted = (
-        sparse.join(near.select("a", "b"), "a")
-        .join(points.select(F.col("cell").alias("b"), "x", "weight"), "b")
-        .where(squared_distance(F.col("px"), F.col("x")) <= eps * eps)
-        .groupBy("pid")
-        .agg((F.sum("weight") >= min_samples).alias("core"))
+    directions = _directions(dimension, axes)
+    slotted = points.withColumn("slot", _slot(F.col("x"), directions, eps))
+    sizes = slotted.groupBy("slot").agg(
+        F.ceil(F.count_if(~F.col("dense")) / BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights")
+    )
+    cut = slotted.join(sizes, "slot").withColumn("_h", F.xxhash64("pid"))
+    left = (
+        cut.where("NOT dense")
+        .groupBy("slot", F.pmod("_h", F.col("lefts")).alias("block"))
+        .agg(F.collect_list(F.struct("pid", "cell", "x")).alias("l"))
+        .select("l", F.explode(_around(F.col("slot"), len(directions))).alias("slot"))
+    )
+    right = cut.groupBy("slot", F.pmod("_h", F.col("rights")).alias("block")).agg(
+        F.collect_list(F.struct("pid", "cell", "weight", "x")).alias("r")
+    )
+    blocks = left.join(right.drop("block"), "slot").select(
+        F.col("l.pid").alias("p"), F.col("l.cell").alias("p_cell"), F.flatten("l.x").alias("px"),
+        F.col("r.pid").alias("q"), F.col("r.cell").alias("q_cell"), F.col("r.weight").alias("weight"), F.flatten("r.x").alias("qx"),
+    )
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b = np.reshape(row.px, (-1, dimension)), np.reshape(row.qx, (-1, dimension))
+                rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+                i, j = np.nonzero(rough <= eps * eps + 1e-9 * (1 + np.abs(rough).max()))
+                exact = ((a[i] - b[j]) ** 2).sum(1) <= eps * eps
+                i, j = i[exact], j[exact]
+                yield pd.DataFrame(
+                    {"p": row.p[i], "p_cell": row.p_cell[i], "q": row.q[j], "q_cell": row.q_cell[j], "weight": row.weight[j]}
+                )
+
+    return cut_lineage(
+        blocks.mapInPandas(within, "p BIGINT, p_cell BIGINT, q BIGINT, q_cell BIGINT, weight BIGINT")
+    )
+
+
+def _core_points(points: DataFrame, neighbours: DataFrame, min_samples: int) -> DataFrame:
+    """Distinct points with their core flag: all of a dense cell, and the others by their count."""
+    counted = neighbours.groupBy(F.col("p").alias("pid")).agg((F.sum("weight") >= min_samples).alias("core"))
+    return points.where("dense").withColumn("core", F.lit(True)).unionByName(
+        points.where("NOT dense").join(counted, "pid").select(*points.columns, "core")
     )
-    return points.join(dense.unionByName(counted), "pid")
 
 
 # Below this many comparisons two cells are compared point by point.
 DIRECT_PAIRS = 10_000
 
 
-def _core_links(core: DataFrame, near: DataFrame, eps: float, side: float, levels: int = 3) -> DataFrame:
-    """Pairs of core cells that hold two core points within eps.
+def _dense_links(core: DataFrame, eps: float, side: float, dimension: int, levels: int = 3) -> DataFrame:
+    """Pairs of dense cells that hold two points within eps.
 
     Large pairs are refined by halving the boxes: boxes too far apart are dropped, boxes
     entirely within eps settle their pair, and only what stays undecided reaches the
     point-by-point test. So two crowded neighbours do not produce all their pairs.
     """
-    sizes = core.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    sizes = core.groupBy("cell", "coords").agg(F.count(F.lit(1)).alias("m"))
+    cells = sizes.select("cell", "coords")
     pairs = (
-        near.where("a < b")
+        _near_cells(cells, eps, side, dimension).where("a < b")
         .join(sizes.select(F.col("cell").alias("a"), F.col("m").alias("ma")), "a")
         .join(sizes.select(F.col("cell").alias("b"), F.col("m").alias("mb")), "b")
     )
@@ -292,9 +346,9 @@ def _core_links(core: DataFrame, near: DataFrame, eps: float, side: float, level
 
 def core_points(df: DataFrame, key: str, eps: float, min_samples: int, features: str = "features") -> DataFrame:
     """Every row with its core flag (at least ``min_samples`` rows within eps, itself included)."""
-    _, _, points, near = _grid(df, key, features, eps)
-    flags = _core_points(points, near, eps, min_samples).select(F.col("x").alias(features), "core")
-    return df.join(flags, features).select(*df.columns, "core")
+    dimension, side, points = _grid(df, key, features, eps, min_samples)
+    flags = _core_points(points, _neighbours(points, eps, dimension), min_samples)
+    return df.join(flags.select(F.col("x").alias(features), "core"), features).select(*df.columns, "core")
 
 
 def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, features: str = "features") -> DataFrame:
@@ -302,25 +356,30 @@ def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
 
     A border point that several clusters reach joins the one with the smallest number.
     """
-    _, side, points, near = _grid(df, key, features, eps)
-    flagged = cut_lineage(_core_points(points, near, eps, min_samples))
+    dimension, side, points = _grid(df, key, features, eps, min_samples)
+    neighbours = _neighbours(points, eps, dimension)
+    flagged = cut_lineage(_core_points(points, neighbours, min_samples))
     core = flagged.where("core")
-    nodes = core.select(F.col("cell").alias("node")).distinct()
-    parts = connected_components(_core_links(core, near, eps, side), nodes)
-    members = core.join(parts.withColumnRenamed("node", "cell"), "cell")
+    is_core = core.select("pid", "cell")
+    # links of cells: through a core point of a sparse cell, or between two dense cells
+    mixed = (
+        neighbours.join(is_core.select(F.col("pid").alias("p")), "p", "left_semi")
+        .join(is_core.select(F.col("pid").alias("q")), "q", "left_semi")
+        .select(F.col("p_cell").alias("a"), F.col("q_cell").alias("b"))
+    )
+    links = mixed.unionByName(_dense_links(core.where("dense"), eps, side, dimension))
+    parts = connected_components(links, is_core.select(F.col("cell").alias("node")).distinct())
+    members = core.join(parts.withColumnRenamed("node", "cell"), "cell").select("pid", "component")
     firsts = members.groupBy("component").agg(F.min("pid").alias("first"))
     numbered = running_totals(firsts, [F.col("first")], {"_n": F.lit(1)}).select("component", (F.col("_n") - 1).alias("cluster"))
-    members = members.join(numbered, "component").select("pid", "cell", "x", "cluster")
+    members = members.join(numbered, "component").select("pid", "cluster")
     border = (
-        flagged.where(~F.col("core")).select(F.col("pid").alias("bid"), F.col("x").alias("bx"), F.col("cell").alias("a"))
-        .join(near.select("a", "b"), "a")
-        .join(members.select(F.col("cell").alias("b"), "x", "cluster"), "b")
-        .where(squared_distance(F.col("bx"), F.col("x")) <= eps * eps)
-        .groupBy(F.col("bid").alias("pid"))
+        neighbours.join(is_core.select(F.col("pid").alias("p")), "p", "left_anti")
+        .join(members.select(F.col("pid").alias("q"), "cluster"), "q")
+        .groupBy(F.col("p").alias("pid"))
         .agg(F.min("cluster").alias("cluster"))
     )
-    labels = members.select("pid", "cluster").unionByName(border)
-    by_point = flagged.join(labels, "pid", "left").select(
+    by_point = flagged.join(members.unionByName(border), "pid", "left").select(
         F.col("x").alias(features), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"), "core"
     )
     return df.join(by_point, features).select(*df.columns, "cluster", "core")

@@ -100,7 +100,7 @@ def cluster_quality(spark, sf):
     return rounded(found, "calinski_harabasz", "davies_bouldin", "silhouette_squared")
 
 
-EPS, MIN_SAMPLES = 0.85, 4
+EPS, MIN_SAMPLES = 1.12, 3
 
 PAIRS = f"""p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 nb AS (SELECT a.vec_id AS i, z.vec_id AS j FROM p a JOIN p z ON list_distance(a.e, z.e) <= {EPS}),

@@ -179,11 +179,11 @@ def compare_models(spark, sf):
 
 @query("shapley_values")
 def shapley_values(spark, sf):
-    """Attributions of every alerted window (probability above the threshold)."""
+    """Attributions of every window predicted as attack."""
     key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
     rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
     model = models.fit_classifier(models.random_forest(trees=5, depth=4), rows.select("label", "features"))
-    alerts = models.score(model, rows).where("probability > 0.75").select("key", "features")
+    alerts = models.score(model, rows).where("predicted_label = 1").select("key", "features")
     background = sampling.background_rows(rows, 5, "key").select("features")
     dimension = vectors.feature_layout(used_families(spark, sf), "family_first").count()
     return explain.shapley_values(model, alerts, background, "key", dimension, permutations=1)
