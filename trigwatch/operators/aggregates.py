@@ -16,18 +16,24 @@ from pyspark.sql import functions as F
 from trigwatch.functions import cleaning, timing
 
 KEYS = ("window_id", "hostname", "source_label", "source_ip")
+#: the same windows while they are shuffled: a timestamp instead of its formatted id
+TIME_KEYS = ("window_start", "hostname", "source_label", "source_ip")
 
 
-def assign_windows(events: DataFrame, size: int, window_by: str = "time") -> DataFrame:
-    """Cleaned counts and a window id from the clock, or the one read from the file name."""
-    cleaned = events.withColumn("count", cleaning.clean_count(F.col("count")))
-    if "source_ip" in events.columns:
-        cleaned = cleaned.withColumn("source_ip", F.coalesce("source_ip", F.lit(cleaning.NO_ADDRESS)))
-    else:
-        cleaned = cleaned.withColumn("source_ip", F.lit(cleaning.NO_ADDRESS))
-    if window_by == "file":
-        return cleaned
-    return cleaned.withColumn("window_id", timing.window_id(F.col("timestamp"), size))
+def clean_events(events: DataFrame) -> DataFrame:
+    """Cleaned counts, and an address for every event."""
+    address = F.coalesce("source_ip", F.lit(cleaning.NO_ADDRESS)) if "source_ip" in events.columns else F.lit(cleaning.NO_ADDRESS)
+    return events.withColumns({"count": cleaning.clean_count(F.col("count")), "source_ip": address})
+
+
+def window_rule_counts(events: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``rule_counts`` of clock windows. The window travels as its start time and gets its id
+    after the aggregate, so the id is formatted per group and not per event."""
+    timed = clean_events(events).withColumn("window_start", timing.window_start(F.col("timestamp"), size))
+    counted = rule_counts(timed, ["window_start", *[k for k in keys if k != "window_id"]])
+    return counted.withColumn("window_id", timing.window_id(F.col("window_start"), size)).select(
+        *keys, "rule_id", "total_count", "total_log", "n_rows", "first_time", "last_time"
+    )
 
 
 def rule_counts(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,15 +73,22 @@ def rules_to_map(value: str) -> Column:
 def aggregate_windows(events: DataFrame, size: int = 30, mode: str = "train", window_by: str = "time") -> DataFrame:
     """One row per window, host, label and address, with sparse rule maps and totals.
 
-    ``train`` bounds a window by its first and last event and adds the label; ``detect``
-    uses the grid.
+    ``window_by='file'`` takes the window id read from the file name. ``train`` bounds a
+    window by its first and last event and adds the label; ``detect`` uses the grid.
     """
-    rules = rule_counts(assign_windows(events, size, window_by))
-    grouped = rules.groupBy(*KEYS).agg(
+    cleaned = clean_events(events)
+    if window_by == "file":
+        keys = KEYS
+    else:
+        keys = TIME_KEYS
+        cleaned = cleaned.withColumn("window_start", timing.window_start(F.col("timestamp"), size))
+    grouped = rule_counts(cleaned, keys).groupBy(*keys).agg(
         rules_to_map("total_count").alias("aggregated_rules"),
         rules_to_map("total_log").alias("aggregated_rules_log1p_sum"),
         *_totals(),
     )
+    if window_by != "file":
+        grouped = grouped.withColumn("window_id", timing.window_id(F.col("window_start"), size))
     if mode == "train":
         bounds = {"window_start": F.col("first_time"), "window_end": F.col("last_time")}
         bounds["is_attack"] = cleaning.label_binary(F.col("source_label"))
@@ -119,22 +132,24 @@ def common_rules(windows: DataFrame, top: int | None = 10, rules: str = "aggrega
 
 
 def ingest_windows(events: DataFrame, size: int) -> DataFrame:
-    """Hour-anchored windows of ingested events."""
-    ts = F.col("timestamp")
-    return events.withColumns(
-        {"window_id": timing.window_id_hour(ts, size), "window_start": timing.window_start_hour(ts, size)}
-    )
+    """Hour-anchored windows of ingested events, known by their start until they are stored."""
+    return events.withColumn("window_start", timing.window_start_hour(F.col("timestamp"), size))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Window id of rows that carry a window start."""
+    return df.withColumn("window_id", F.date_format("window_start", timing.WINDOW_ID_FORMAT))
 
 
 def host_rule_counts(events: DataFrame) -> DataFrame:
     """Stored long form: one row per window, host and rule over all addresses."""
-    return events.groupBy("window_id", "window_start", "hostname", "rule_id").agg(F.sum("count").alias("count"))
+    return events.groupBy("window_start", "hostname", "rule_id").agg(F.sum("count").alias("count"))
 
 
 def majority_ip(events: DataFrame) -> DataFrame:
     """Per window and host the address with most triggers (smallest on ties); totals over all."""
-    per_ip = events.groupBy("window_id", "window_start", "hostname", "source_ip").agg(F.sum("count").alias("ip_total"))
-    return per_ip.groupBy("window_id", "window_start", "hostname").agg(
+    per_ip = events.groupBy("window_start", "hostname", "source_ip").agg(F.sum("count").alias("ip_total"))
+    return per_ip.groupBy("window_start", "hostname").agg(
         F.min(F.struct((-F.col("ip_total")).alias("minus"), F.col("source_ip").alias("ip")))["ip"].alias("source_ip"),
         F.sum("ip_total").alias("total_triggers"),
     )
@@ -142,7 +157,7 @@ def majority_ip(events: DataFrame) -> DataFrame:
 
 def window_feature_vector(events: DataFrame) -> DataFrame:
     """Rule totals per window over all hosts, long form."""
-    return events.groupBy("window_id", "window_start", "rule_id").agg(F.sum("count").alias("count"))
+    return events.groupBy("window_start", "rule_id").agg(F.sum("count").alias("count"))
 
 
 def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFrame:
@@ -160,12 +175,12 @@ def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFram
     )
     hosts = (
         host_rule_counts(events)
-        .groupBy("window_id", "window_start", "hostname")
+        .groupBy("window_start", "hostname")
         .agg(rules_of_host.alias("rules"))
-        .join(majority_ip(events), ["window_id", "window_start", "hostname"])
+        .join(majority_ip(events), ["window_start", "hostname"])
         .withColumn("shard", F.pmod(F.xxhash64("hostname"), F.lit(shards)))
     )
-    nested = hosts.groupBy("window_id", "window_start", "shard").agg(
+    nested = hosts.groupBy("window_start", "shard").agg(
         F.map_from_entries(
             F.sort_array(
                 F.collect_list(F.struct("hostname", F.struct("total_triggers", "source_ip", F.map_entries("rules").alias("r"))))
@@ -174,7 +189,7 @@ def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFram
     )
     vector = (
         window_feature_vector(events)
-        .groupBy("window_id")
+        .groupBy("window_start")
         .agg(
             rules_of_host.alias("feature_vector"),
             F.sum("count").alias("total_triggers"),
@@ -189,7 +204,7 @@ def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFram
             h["source_ip"].alias("source_ip"),
         ),
     )
-    return nested.join(vector, "window_id").select(
+    return named(nested.join(vector, "window_start")).select(
         F.col("window_id").alias("_id"),
         "window_start",
         (F.col("window_start") + F.make_dt_interval(mins=F.lit(size))).alias("window_end"),

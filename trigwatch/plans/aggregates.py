@@ -65,7 +65,7 @@ def aggregate_windows_by_file(spark, sf):
     with_ctes("tele", f"SELECT {KEYS_SQL}, rule_id, CAST(sum(cnt) AS BIGINT) AS total_count, count(*) AS n_rows FROM tele GROUP BY ALL"),
 )
 def rule_counts(spark, sf):
-    return agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440)).drop("total_log", "first_time", "last_time")
+    return agg.window_rule_counts(telemetry(spark, sf), 1440).drop("total_log", "first_time", "last_time")
 
 
 @query(
@@ -73,7 +73,7 @@ def rule_counts(spark, sf):
     with_ctes("tele", f"SELECT {KEYS_SQL}, rule_id, round(sum(ln(1 + cnt)), 6) AS total_log FROM tele GROUP BY ALL"),
 )
 def rule_log_counts(spark, sf):
-    rules = agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440))
+    rules = agg.window_rule_counts(telemetry(spark, sf), 1440)
     return rounded(rules.select(*agg.KEYS, "rule_id", "total_log"), "total_log")
 
 
@@ -84,7 +84,7 @@ SELECT {KEYS_SQL}, CAST(sum(cnt) AS BIGINT) AS total_events, round(sum(ln(1 + cn
   {plain('min(ts)')} AS first_time, {plain('max(ts)')} AS last_time FROM tele GROUP BY 1, 2, 3, 4"""),
 )
 def window_totals(spark, sf):
-    totals = agg.window_totals(agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440)))
+    totals = agg.window_totals(agg.window_rule_counts(telemetry(spark, sf), 1440))
     return rounded(texts(totals, "first_time", "last_time"), "total_events_log1p")
 
 
@@ -102,7 +102,7 @@ WITH {WINDOWED} SELECT count(*) AS total_windows, count(DISTINCT hostname) AS un
   round(avg(CASE WHEN source_label = 'attack' THEN 1.0 ELSE 0.0 END), 6) AS attack_ratio FROM w"""),
 )
 def window_stats(spark, sf):
-    totals = agg.window_totals(agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440)))
+    totals = agg.window_totals(agg.window_rule_counts(telemetry(spark, sf), 1440))
     return rounded(agg.window_stats(totals), "avg_events_per_window", "avg_rules_per_window", "attack_ratio")
 
 
@@ -142,7 +142,7 @@ SELECT strftime(w, '%Y-%m-%d_%H-%M-%S') AS window_id, hostname, source_ip, CAST(
   FROM (SELECT {hstart('ts', 60)} AS w, hostname, source_ip, sum(cnt) AS s FROM tele GROUP BY 1, 2, 3)) WHERE rn = 1"""),
 )
 def majority_ip(spark, sf):
-    return agg.majority_ip(agg.ingest_windows(telemetry(spark, sf), 60)).select("window_id", "hostname", "source_ip", "total_triggers")
+    return agg.named(agg.majority_ip(agg.ingest_windows(telemetry(spark, sf), 60))).select("window_id", "hostname", "source_ip", "total_triggers")
 
 
 def small_windows(spark, sf):

@@ -184,7 +184,7 @@ def search_events_to_windows(spark, sf):
     )
     answers = t.select(F.to_json(F.struct(F.array(entry).alias("events"))).alias("answer"))
     events = docs.search_events(docs.parse_search_json(answers, "answer"), offset_seconds=45)
-    return agg.host_rule_counts(agg.ingest_windows(events, 15)).select("window_id", "hostname", "rule_id", "count")
+    return agg.named(agg.host_rule_counts(agg.ingest_windows(events, 15))).select("window_id", "hostname", "rule_id", "count")
 
 
 @query(

@@ -48,7 +48,7 @@ r AS (SELECT {wid('ts', 1440)} AS window_id, hostname, rule_id, sum(ln(1 + cnt))
 SELECT window_id, hostname, feature_idx, round(sum(v), 6) AS value FROM r JOIN slots USING (rule_id) GROUP BY 1, 2, 3"""),
         )
         def vectorize(spark, sf, mode=mode):
-            rules = agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440), ["window_id", "hostname"])
+            rules = agg.window_rule_counts(telemetry(spark, sf), 1440, ["window_id", "hostname"])
             long = vectors.allocate_features(rules, families(spark, sf), mode, ["window_id", "hostname"])
             return rounded(long.withColumn("feature_idx", F.col("feature_idx").cast("bigint")), "value")
 
@@ -125,7 +125,7 @@ SELECT min(value) AS min_value, round(max(value), 6) AS max_value, round(avg(val
 )
 def feature_stats(spark, sf):
     fam = families(spark, sf)
-    rules = agg.rule_counts(agg.assign_windows(telemetry(spark, sf), 1440), ["window_id", "hostname"])
+    rules = agg.window_rule_counts(telemetry(spark, sf), 1440, ["window_id", "hostname"])
     long = vectors.allocate_features(rules, fam, "family_first", ["window_id", "hostname"])
     n_rows = rules.select("window_id", "hostname").distinct().agg(F.count(F.lit(1))).scalar()
     dimension = vectors.feature_layout(fam, "family_first").agg(F.count(F.lit(1))).scalar()
