@@ -160,7 +160,7 @@ def test_search_answer_to_windows(spark):
 def test_documents_keep_hosts_with_dots(spark):
     rows = [("a.b.c", 1, at("09:00:00"), 2, "normal"), ("d", 1, at("09:00:00"), 3, "normal")]
     ingested = agg.ingest_windows(events(spark, rows).withColumn("source_ip", F.lit("1.1.1.1")), 30)
-    stored = agg.window_documents(ingested, 30, shards=1)
+    stored = agg.window_documents(ingested, 30)
     assert [r["count"] for r in docs.window_rows_for_host(stored, "a.b.c").collect()] == [2]
     assert docs.has_host(stored, "a.b.c").count() == 1 and docs.has_host(stored, "a").count() == 0
 

@@ -109,7 +109,7 @@ def test_replace_drops_rows_of_the_older_fetch(spark):
 
 def test_expired_windows_with_a_dotted_host(spark):
     host = "named_struct('total_triggers', 1L, 'rules', map('1', 1L), 'source_ip', 'x')"
-    docs = spark.sql(f"SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS window_start, explode(array(map('a.b', {host}), map('c', {host}))) AS host_triggers")
+    docs = spark.sql(f"SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS window_start, posexplode(array(map('a.b', {host}), map('c', {host}))) AS (_id, host_triggers)")
     kept = store.expired_windows(docs, F.lit("2024-02-01").cast("timestamp_ntz"), ["a.b"])
     assert [list(r.host_triggers) for r in kept.collect()] == [["c"]]
 

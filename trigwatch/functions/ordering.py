@@ -12,16 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigwatch.session import cut_lineage
+from trigwatch.session import cut_lineage, settled
 
 
 def running_totals(
     df: DataFrame,
     order_by: Sequence[Column],
     totals: Mapping[str, Column],
+    grand: Mapping[str, str] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add an inclusive running sum per entry of ``totals`` along one global ordering.
+    """Add an inclusive running sum per entry of ``totals`` along one global ordering, and
+    for each entry of ``grand`` (output name -> entry) its sum over all rows.
 
     ``order_by`` must be unique per row (end it with a key, or aggregate equal values
     first); then no slice can be larger than its share, whatever the skew. The
@@ -30,19 +32,22 @@ def running_totals(
     """
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grand = grand or {}
     sliced = cut_lineage(
         df.withColumns({f"_add_{name}": value for name, value in totals.items()})
         .repartitionByRange(slices, *order_by)
         .withColumn("_slice", F.spark_partition_id())
     )
+    # one row per slice: these windows are bounded by the number of slices
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
         sliced.groupBy("_slice")
         .agg(*[F.sum(f"_add_{name}").alias(f"_sum_{name}") for name in totals])
-        # one row per slice: this window is bounded by the number of slices
         .select(
             "_slice",
             *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in totals],
+            *[F.sum(f"_sum_{name}").over(everything).alias(out) for out, name in grand.items()],
         )
     )
     inside = Window.partitionBy("_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
@@ -62,10 +67,9 @@ def ranked_within(
     The order must be unique per row. Groups are few (labels, clusters) next to the rows.
     """
     ranked = running_totals(df, [F.col(group), *order_by], {"_global": F.lit(1)})
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias(size))
-    firsts = ranked.groupBy(group).agg(F.min("_global").alias("_first"))
+    firsts = ranked.groupBy(group).agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias(size))
     return (
-        ranked.join(sizes.join(firsts, group), group)
+        ranked.join(settled(firsts), group)
         .withColumn(rank, F.col("_global") - F.col("_first") + 1)
         .drop("_global", "_first")
     )

@@ -160,12 +160,12 @@ def window_feature_vector(events: DataFrame) -> DataFrame:
     return events.groupBy("window_start", "rule_id").agg(F.sum("count").alias("count"))
 
 
-def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFrame:
+def window_documents(events: DataFrame, size: int, hosts_per_document: int = 1000) -> DataFrame:
     """Nested documents ``_id, feature_vector, host_triggers, totals`` for exchange.
 
-    The long forms above are the store. A document holds the hosts of one window; so that
-    a window seen by millions of hosts still makes documents of bounded size, the hosts
-    are spread over ``shards`` documents per window. Window-wide totals repeat in each.
+    The long forms above are the store. A document holds about ``hosts_per_document`` hosts
+    of a window; a window seen by more hosts is spread over several documents with the same
+    id, so no document grows without bound. Window-wide totals repeat in each.
     """
     rules_of_host = F.map_from_entries(
         F.transform(
@@ -173,12 +173,17 @@ def window_documents(events: DataFrame, size: int, shards: int = 16) -> DataFram
             lambda e: F.struct(e["rule_id"].cast("string"), e["count"]),
         )
     )
+    busy = (
+        events.groupBy("window_start").agg(F.approx_count_distinct("hostname").alias("_hosts"))
+        .select("window_start", F.ceil(F.col("_hosts") / hosts_per_document).alias("_parts"))
+    )
     hosts = (
         host_rule_counts(events)
         .groupBy("window_start", "hostname")
         .agg(rules_of_host.alias("rules"))
         .join(majority_ip(events), ["window_start", "hostname"])
-        .withColumn("shard", F.pmod(F.xxhash64("hostname"), F.lit(shards)))
+        .join(busy, "window_start")
+        .withColumn("shard", F.pmod(F.xxhash64("hostname"), F.col("_parts")))
     )
     nested = hosts.groupBy("window_start", "shard").agg(
         F.map_from_entries(

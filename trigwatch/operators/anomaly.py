@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigwatch.functions.ordering import exact_percentile_by, running_totals
-from trigwatch.session import cut_lineage
+from trigwatch.session import cut_lineage, settled
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -51,9 +51,9 @@ def centers(df: DataFrame, cluster: str = "cluster", features: str = "features")
 
 
 def point_center_distance(df: DataFrame, centers_df: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
-    """Distance of every point to its own centre; the join is by cluster, AQE broadcasts few centres."""
+    """Distance of every point to its own centre."""
     return (
-        df.join(centers_df.select(cluster, "center"), cluster)
+        df.join(settled(centers_df.select(cluster, "center")), cluster)
         .withColumn("distance", distance(F.col(features), F.col("center")))
         .drop("center")
     )
@@ -61,7 +61,7 @@ def point_center_distance(df: DataFrame, centers_df: DataFrame, cluster: str = "
 
 def distance_outliers(distances: DataFrame, key: str, cluster: str = "cluster", q: float = 0.95) -> DataFrame:
     """Points farther from their centre than the cluster's exact percentile."""
-    limits = exact_percentile_by(distances, cluster, "distance", key, q)
+    limits = settled(exact_percentile_by(distances, cluster, "distance", key, q))
     return distances.join(limits, cluster).where(F.col("distance") > F.col("threshold"))
 
 

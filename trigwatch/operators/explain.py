@@ -42,12 +42,13 @@ def shapley_values(
     chains = pairs.select(key, "x", "b", F.explode(orders).alias("order")).withColumn(
         "chain", F.filter("order", lambda i: F.get("x", i) != F.get("b", i))
     )
-    steps = chains.select(key, "x", "b", "chain", F.explode(F.sequence(F.lit(0), F.size("chain"))).alias("step"))
+    # the step at which each feature is switched, found once per chain (0: never)
+    positions = F.sequence(F.lit(0), F.lit(dimension - 1))
+    chains = chains.withColumn("turn", F.transform(positions, lambda i: F.array_position("chain", i)))
+    steps = chains.select(key, "x", "b", "chain", "turn", F.explode(F.sequence(F.lit(0), F.size("chain"))).alias("step"))
     mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.when(
-            (F.array_position("chain", i) >= 1) & (F.array_position("chain", i) <= F.col("step")), F.get("x", i)
-        ).otherwise(F.get("b", i)),
+        positions,
+        lambda i: F.when((F.get("turn", i) >= 1) & (F.get("turn", i) <= F.col("step")), F.get("x", i)).otherwise(F.get("b", i)),
     )
     scored = score(model, steps.withColumn("features", array_to_vector(mixed)))
     # each score counts for the feature just switched and against the one switched next

@@ -102,11 +102,9 @@ def score_points(scores: DataFrame) -> DataFrame:
     per_score = scores.groupBy("score").agg(
         F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
     )
-    points = running_totals(
-        per_score, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1)}
+    return running_totals(
+        per_score, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1)}, grand={"p": "tp", "n": "fp"}
     )
-    totals = scores.agg(F.sum("label").cast("bigint").alias("p"), F.sum(1 - F.col("label")).cast("bigint").alias("n"))
-    return points.withColumns({"p": totals.select("p").scalar(), "n": totals.select("n").scalar()})
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
@@ -178,7 +176,7 @@ def roc_curve(scores: DataFrame) -> DataFrame:
             (F.col("tp") / F.col("p")).alias("tpr"),
         )
     )
-    origin = scores.agg((F.max("score") + 1).alias("threshold")).select("threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = points.where("place = 1").select((F.col("score") + 1).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return kept.unionByName(origin)
 
 
@@ -188,10 +186,10 @@ def gains_lift(scores: DataFrame, key: str) -> DataFrame:
         scores.select(key, "label", "score"),
         [F.desc("score"), F.col(key)],
         {"position": F.lit(1), "hits": F.col("label")},
+        grand={"rows": "position", "positives": "hits"},
     )
-    totals = scores.agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.sum("label"), F.lit(1)).alias("positives"))
-    share = F.col("position") / totals.select("rows").scalar()
-    gained = F.col("hits") / totals.select("positives").scalar()
+    share = F.col("position") / F.col("rows")
+    gained = F.col("hits") / F.greatest(F.col("positives"), F.lit(1))
     return ordered.select(
         key, "position", share.alias("share_rows"), gained.alias("share_positives"), (gained / share).alias("lift")
     )

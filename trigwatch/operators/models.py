@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trigwatch.operators import metrics
 from trigwatch.operators.vectors import class_weights
-from trigwatch.session import cut_lineage
+from trigwatch.session import cut_lineage, settled
 
 SEED = 42
 #: deepest tree MLlib accepts, for "unlimited depth"
@@ -61,8 +61,11 @@ def naive_bayes() -> Pipeline:
 
 
 def fit_classifier(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """Fit with balanced class weights. Expects ``features`` and ``label``."""
-    return pipeline.fit(class_weights(df))
+    """Fit with balanced class weights. Expects ``features`` and ``label``.
+
+    The weighted rows are written once, as a fit reads them many times.
+    """
+    return pipeline.fit(cut_lineage(class_weights(df)))
 
 
 def score(model, df: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -113,7 +116,7 @@ def naive_bayes_predict(long: DataFrame, stats: DataFrame, key: str) -> DataFram
     cell = -0.5 * F.log(2 * math.pi * F.col("var")) - (F.col("value") - F.col("mean")) ** 2 / (2 * F.col("var"))
     joint = (
         long.select(key, "feature_idx", "value")
-        .join(stats.withColumnRenamed("label", "class"), "feature_idx")
+        .join(settled(stats.withColumnRenamed("label", "class")), "feature_idx")
         .groupBy(key, "class")
         .agg((F.sum(cell) + F.log(F.max("prior"))).alias("log_joint"))
     )
@@ -151,7 +154,7 @@ class FourierSvm:
                 yield pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ weights + phase)))
 
         self._lift = lift
-        lifted = class_weights(self._lifted(df))
+        lifted = cut_lineage(class_weights(self._lifted(df)))
         self.svm = LinearSVC(featuresCol="lifted", regParam=1.0 / (self.c * n), maxIter=self.rounds, weightCol="weight").fit(lifted)
         margins = self._margins(lifted)
         self.platt = LogisticRegression(featuresCol="margin").fit(margins)
@@ -222,7 +225,7 @@ class ExtraTrees:
             .orderBy("i").collect()  # one row per feature
         )
         rng = np.random.default_rng(SEED)
-        weighted = class_weights(df)
+        weighted = cut_lineage(class_weights(df))
         self.forests = []
         for member in range(self.members):
             steps = [max((r["hi"] - r["lo"]) / self.cuts, 1e-12) for r in ranges]

@@ -113,13 +113,16 @@ def expired(df: DataFrame, cutoff: Column, time: str, keep_hosts: DataFrame | No
 
 
 def expired_windows(docs: DataFrame, cutoff: Column, keep_hosts: Sequence[str], time: str = "window_start") -> DataFrame:
-    """Old window documents that contain none of the protected hosts."""
+    """Old window documents of windows in which no protected host was seen.
+
+    A window may be spread over several documents, so it is judged by its id.
+    """
     old = docs.where(F.col(time) < cutoff)
     listed = [h.strip() for h in keep_hosts if h.strip()]
     if not listed:
         return old
     protected = F.arrays_overlap(F.map_keys("host_triggers"), F.array(*[F.lit(h) for h in listed]))
-    return old.where(~protected)
+    return old.join(old.where(protected).select("_id").distinct(), "_id", "left_anti")
 
 
 def survivors(df: DataFrame, cutoff: Column, time: str, keep_hosts: DataFrame | None = None) -> DataFrame:
@@ -205,7 +208,8 @@ def detection_summary(windows: DataFrame, results: DataFrame, start: Column, end
     summed = w.unionByName(r).agg(
         F.coalesce(F.sum("w"), F.lit(0)).alias("total_windows"),
         F.coalesce(F.sum("a"), F.lit(0)).alias("total_anomalies"),
-        F.coalesce(F.round(F.avg("c"), 3), F.lit(0.0)).alias("average_confidence"),
+        # decimals: the mean must not depend on the order of the sum when it is rounded
+        F.coalesce(F.round(F.avg(F.col("c").cast("decimal(18,9)")), 3).cast("double"), F.lit(0.0)).alias("average_confidence"),
     )
     rate = F.when(F.col("total_windows") > 0, F.round(F.col("total_anomalies") / F.col("total_windows"), 3)).otherwise(0.0)
     return summed.withColumn("detection_rate", rate)

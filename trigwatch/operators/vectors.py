@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions.naming import FAMILY_PREFIX, NO_FAMILY, RULE_PREFIX
-from trigwatch.session import checked_broadcast
+from trigwatch.session import checked_broadcast, settled
 
 #: mode -> which features exist, and which wins for a rule that has both
 MODES = {
@@ -108,28 +108,37 @@ def entries_to_array(entries: Column, dimension: int) -> Column:
 
 
 def to_vectors(long: DataFrame, keys: Sequence[str], dimension: int, output: str = "features") -> DataFrame:
-    """One ML vector per keys. A group holds at most ``dimension`` entries."""
-    entries = F.sort_array(F.collect_list(F.struct("feature_idx", "value")))
+    """One ML vector per keys. A group holds at most ``dimension`` entries; rows without a
+    position only keep their group, which may become all zeros."""
+    entry = F.when(F.col("feature_idx").isNotNull(), F.struct("feature_idx", "value"))
     return (
         long.groupBy(*keys)
-        .agg(entries.alias("_entries"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # collect_list skips nulls
         .withColumn(output, array_to_vector(entries_to_array(F.col("_entries"), dimension)))
         .drop("_entries")
     )
 
 
 def vectorize(
-    windows: DataFrame, families: DataFrame, mode: str, keys: Sequence[str],
+    windows: DataFrame, families: DataFrame, mode: str, keys: Sequence[str], carry: Sequence[str] = (),
     rules: str = "aggregated_rules_log1p_sum",
 ) -> DataFrame:
-    """Vectors of aggregated windows, also of those without a known rule (all zeros)."""
+    """Vectors of aggregated windows, also of those without a known rule (all zeros).
+
+    ``carry`` columns depend on the keys (a label) and are kept by grouping on them too, so
+    the windows are read once and not joined to themselves.
+    """
     dimension = feature_layout(families, mode).count()
-    exploded = windows.select(*keys, F.explode(rules).alias("rule_text", "total_log")).withColumn(
-        "rule_id", F.col("rule_text").try_cast("bigint")
+    slots = checked_broadcast(feature_slots(families, mode))
+    kept = [*keys, *carry]
+    long = (
+        windows.select(*kept, F.explode_outer(rules).alias("rule_text", "part"))
+        .withColumn("rule_id", F.col("rule_text").try_cast("bigint"))
+        .join(slots, "rule_id", "left")
+        .groupBy(*kept, "feature_idx")
+        .agg(F.sum("part").alias("value"))
     )
-    vectors = to_vectors(allocate_features(exploded, families, mode, keys), keys, dimension)
-    zeros = array_to_vector(F.array_repeat(F.lit(0.0), dimension))
-    return windows.join(vectors, list(keys), "left").withColumn("features", F.coalesce("features", zeros))
+    return to_vectors(long, kept, dimension)
 
 
 def feature_stats(long: DataFrame, n_rows: Column, dimension: Column) -> DataFrame:
@@ -154,7 +163,7 @@ def scaling_stats(long: DataFrame, position: str, value: str) -> DataFrame:
 
 def scale_features(long: DataFrame, position: str = "feature_idx", value: str = "value") -> DataFrame:
     """Zero mean, unit population variance; constant features are only centred."""
-    stats = checked_broadcast(scaling_stats(long, position, value))
+    stats = settled(scaling_stats(long, position, value))
     deviation = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     return (
         long.join(stats, position)
@@ -166,6 +175,6 @@ def scale_features(long: DataFrame, position: str = "feature_idx", value: str =
 def class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
     """Balanced weights ``n / (classes * n_class)``; the table of classes is tiny."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    classes = counts.agg(F.count(F.lit(1))).scalar()
-    return df.join(checked_broadcast(counts), label).withColumn(weight, total / (classes * F.col("_n"))).drop("_n")
+    every = Window.partitionBy()  # over the few classes
+    weights = counts.select(label, (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(weight))
+    return df.join(settled(weights), label)

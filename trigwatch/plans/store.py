@@ -127,10 +127,9 @@ SELECT strftime(w, '%Y-%m-%d_%H-%M-%S') AS window_id FROM (SELECT {hstart('ts',
 WHERE w < {CUT} AND NOT kept"""),
 )
 def expired_windows(spark, sf):
-    # one document per window here, so that "any host of the window" is decided inside it
-    ingested = agg.ingest_windows(telemetry(spark, sf), 60)
-    docs = agg.window_documents(ingested, 60, shards=1)
-    return store.expired_windows(docs, cutoff(spark, sf), [" host-2 ", ""]).select(F.col("_id").alias("window_id"))
+    # two hosts per document, so windows are spread over several
+    docs = agg.window_documents(agg.ingest_windows(telemetry(spark, sf), 60), 60, hosts_per_document=2)
+    return store.expired_windows(docs, cutoff(spark, sf), [" host-2 ", ""]).select(F.col("_id").alias("window_id")).distinct()
 
 
 @query(
@@ -185,7 +184,7 @@ def ingest_summary(spark, sf):
     "detection_summary",
     with_ctes("results", """
 WITH w AS (SELECT count(*) AS n FROM windows WHERE window_start >= TIMESTAMP '2024-01-10' AND window_start < TIMESTAMP '2024-01-20'),
-r AS (SELECT CAST(sum(predicted_label) AS BIGINT) AS a, round(avg(confidence), 3) AS c FROM results WHERE prediction_time >= TIMESTAMP '2024-01-10' AND prediction_time < TIMESTAMP '2024-01-20')
+r AS (SELECT CAST(sum(predicted_label) AS BIGINT) AS a, CAST(round(CAST(sum(CAST(confidence AS DECIMAL(18, 9))) / count(*) AS DECIMAL(18, 12)), 3) AS DOUBLE) AS c FROM results WHERE prediction_time >= TIMESTAMP '2024-01-10' AND prediction_time < TIMESTAMP '2024-01-20')
 SELECT n AS total_windows, a AS total_anomalies, c AS average_confidence, round(a / n, 3) AS detection_rate FROM w, r"""),
 )
 def detection_summary(spark, sf):

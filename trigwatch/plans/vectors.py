@@ -96,7 +96,7 @@ def used_families(spark, sf):
 def window_vectors(spark, sf, size=1440, mode="family_first"):
     """Labelled ML vectors of the aggregated windows."""
     windows = agg.aggregate_windows(telemetry(spark, sf), size)
-    return vectors.vectorize(windows, used_families(spark, sf), mode, list(agg.KEYS))
+    return vectors.vectorize(windows, used_families(spark, sf), mode, list(agg.KEYS), carry=["is_attack"])
 
 
 @query(

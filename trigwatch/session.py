@@ -69,3 +69,8 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small derived table computed once, then joined by broadcast if its count allows it."""
+    return checked_broadcast(cut_lineage(df), max_rows)
