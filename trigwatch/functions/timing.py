@@ -67,8 +67,12 @@ def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 
 
+def _floor(minutes: Column, size: int) -> Column:
+    return minutes - minutes % size
+
+
 def window_number(ts: Column, size: int) -> Column:
-    return F.floor(minute_of_day(ts) / F.lit(size)).cast("int")
+    return (_floor(minute_of_day(ts), size) / size).cast("int")
 
 
 def _midnight(ts: Column) -> Column:
@@ -77,11 +81,11 @@ def _midnight(ts: Column) -> Column:
 
 def window_start(ts: Column, size: int) -> Column:
     """Day-anchored floor: windows restart at midnight even if size does not divide a day."""
-    return _midnight(ts) + F.make_dt_interval(mins=window_number(ts, size) * size)
+    return _midnight(ts) + F.make_dt_interval(mins=_floor(minute_of_day(ts), size))
 
 
 def window_end(ts: Column, size: int) -> Column:
-    return _midnight(ts) + F.make_dt_interval(mins=(window_number(ts, size) + 1) * size)
+    return _midnight(ts) + F.make_dt_interval(mins=_floor(minute_of_day(ts), size) + size)
 
 
 def window_id(ts: Column, size: int) -> Column:
@@ -92,10 +96,14 @@ def window_id(ts: Column, size: int) -> Column:
     )
 
 
+def start_of_id(window_id: Column) -> Column:
+    """Start time that a window id spells out."""
+    return F.try_to_timestamp(F.substring(window_id, 1, 19), F.lit(WINDOW_ID_FORMAT)).cast("timestamp_ntz")
+
+
 def window_start_hour(ts: Column, size: int) -> Column:
     """Hour-anchored floor used at ingest; equals ``window_start`` only if size divides 60."""
-    minute = F.floor(F.minute(ts) / F.lit(size)).cast("int") * size
-    return _midnight(ts) + F.make_dt_interval(hours=F.hour(ts), mins=minute)
+    return _midnight(ts) + F.make_dt_interval(hours=F.hour(ts), mins=_floor(F.minute(ts), size))
 
 
 def window_end_hour(ts: Column, size: int) -> Column:
@@ -111,8 +119,8 @@ def snap_window(ts: Column, size: int, tolerance_seconds: int = 5) -> Column:
 
     The last boundary of a day is midnight, also when size does not divide a day.
     """
-    start = window_number(ts, size) * size
-    following = F.least((window_number(ts, size) + 1) * size, F.lit(1440))
+    start = _floor(minute_of_day(ts), size)
+    following = F.least(start + size, F.lit(1440))
     exact = (F.hour(ts) * 3600 + F.minute(ts) * 60) + F.extract(F.lit("SECOND"), ts).cast("double")
     whole = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     late_half = (whole % (size * 60)) * 2 >= size * 60

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions import naming, timing
-from trigwatch.session import checked_broadcast
+from trigwatch.session import checked_broadcast, settled
 
 
 def translate_ids(df: DataFrame, id_map: DataFrame, column: str = "rule_id") -> DataFrame:
@@ -118,16 +118,15 @@ def expand_families(alerts: DataFrame, window_rules: DataFrame, families: DataFr
     keyed = alerts.withColumns(
         {"family": naming.feature_family(F.col("feature")), "own_rule": naming.feature_rule_id(F.col("feature"))}
     )
-    # one row per window, host and rule: the family total is a sum over at most the
-    # catalogue's rules, and the join key includes the host, so no key is hot
-    members = join_family(
-        window_rules.groupBy("window_id", "hostname", "rule_id").agg(F.sum("count").alias("count")), families
+    # one row per window, host and rule: a partition of this window holds at most the
+    # catalogue's rules, and its key is the key of the join that follows
+    summed = window_rules.groupBy("window_id", "hostname", "rule_id").agg(F.sum("count").alias("count"))
+    inside = Window.partitionBy("window_id", "hostname", "family")
+    members = join_family(summed, families).select(
+        "window_id", "hostname", "family", F.col("rule_id").alias("child_rule"), F.col("count").alias("child_count"),
+        F.sum("count").over(inside).alias("family_count"),
     )
-    totals = members.groupBy("window_id", "hostname", "family").agg(F.sum("count").alias("family_count"))
-    members = members.join(totals, ["window_id", "hostname", "family"]).select(
-        "window_id", "hostname", "family", F.col("rule_id").alias("child_rule"), F.col("count").alias("child_count"), "family_count"
-    )
-    lowest = checked_broadcast(families.groupBy("family").agg(F.min("rule_id").alias("fallback_rule")))
+    lowest = settled(families.groupBy("family").agg(F.min("rule_id").alias("fallback_rule")))
     expanded = (
         keyed.join(members, ["window_id", "hostname", "family"], "left")
         .join(lowest, "family", "left")
@@ -192,6 +191,8 @@ def calendar_fill(calendar: DataFrame, windows: DataFrame, values: Sequence[str]
 
 
 def alert_context(alerts: DataFrame, events: DataFrame, size: int) -> DataFrame:
-    """Raw events of each alerted window and host."""
-    keyed = events.withColumn("window_id", timing.window_id(F.col("timestamp"), size))
-    return keyed.join(alerts, ["window_id", "hostname"])
+    """Raw events of each alerted window and host. The few alerts give up their id for its
+    start time, so no id is formatted per event."""
+    keyed = events.withColumn("_start", timing.window_start(F.col("timestamp"), size))
+    started = alerts.withColumn("_start", timing.start_of_id(F.col("window_id")))
+    return keyed.join(started, ["_start", "hostname"]).drop("_start")

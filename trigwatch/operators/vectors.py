@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions.naming import FAMILY_PREFIX, NO_FAMILY, RULE_PREFIX
-from trigwatch.session import checked_broadcast, settled
+from trigwatch.session import settled
 
 #: mode -> which features exist, and which wins for a rule that has both
 MODES = {
@@ -89,7 +89,7 @@ def feature_slots(families: DataFrame, mode: str) -> DataFrame:
 
 def allocate_features(rules: DataFrame, families: DataFrame, mode: str, keys: Sequence[str], value: str = "total_log") -> DataFrame:
     """Long-form vectors: one row per keys and position. One small join, one aggregate."""
-    slots = checked_broadcast(feature_slots(families, mode))
+    slots = settled(feature_slots(families, mode))
     return rules.join(slots, "rule_id").groupBy(*keys, "feature_idx").agg(F.sum(value).alias("value"))
 
 
@@ -129,7 +129,7 @@ def vectorize(
     the windows are read once and not joined to themselves.
     """
     dimension = feature_layout(families, mode).count()
-    slots = checked_broadcast(feature_slots(families, mode))
+    slots = settled(feature_slots(families, mode))
     kept = [*keys, *carry]
     long = (
         windows.select(*kept, F.explode_outer(rules).alias("rule_text", "part"))

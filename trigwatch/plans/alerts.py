@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trigwatch.functions import naming
-from trigwatch.functions import timing
 from trigwatch.operators import ranking, store
 from trigwatch.plans.lookups import EXPANDED, expanded
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import (
-    KEYWORD, MARKER, PREFIX, catalog, embeddings_long, plain, rounded, scratch, telemetry, texts, wid, with_ctes,
+    KEYWORD, MARKER, PREFIX, catalog, embeddings_long, plain, rounded, scratch, telemetry, texts, wid, windowed, with_ctes,
 )
 
 # Attributions: the embedding values, one alert per vector.
@@ -131,11 +130,12 @@ def top_n_importance(spark, sf):
 
 def alerts(spark, sf):
     """Alerted windows with their three largest rules as payload entries."""
-    t = telemetry(spark, sf).withColumn("window_id", timing.window_id(F.col("timestamp"), 360))
-    base = t.groupBy("window_id", "hostname").agg(
-        (F.floor(F.max("value") / 5).cast("double") / 100).alias("confidence"), F.min("source_ip").alias("source_ip"),
-        F.min("timestamp").alias("first_time"),
+    t = telemetry(spark, sf)
+    base = windowed(
+        t, 360, ["hostname"], (F.floor(F.max("value") / 5).cast("double") / 100).alias("confidence"),
+        F.min("source_ip").alias("source_ip"), F.min("timestamp").alias("first_time"),
     ).where("confidence > 0.4")
+    t = windowed(t, 360, ["hostname", "rule_id"], F.sum("count").alias("count"))
     top = ranking.top_rules_per_window(t, 3, ["window_id", "hostname"]).groupBy("window_id", "hostname").agg(
         F.sort_array(F.collect_list(F.struct("rank", "rule_id", "count"))).alias("top")  # at most three per alert
     )
@@ -189,9 +189,8 @@ def alert_payload_json(spark, sf):
 
 
 def scored_windows(spark, sf):
-    t = telemetry(spark, sf)
-    return t.groupBy(timing.window_id(F.col("timestamp"), 360).alias("window_id"), "hostname").agg(
-        (F.floor(F.max("value") / 5).cast("double") / 100).alias("probability"),
+    return windowed(
+        telemetry(spark, sf), 360, ["hostname"], (F.floor(F.max("value") / 5).cast("double") / 100).alias("probability"),
         F.max((F.col("event_type") == "error").cast("int")).alias("predicted_label"),
     )
 

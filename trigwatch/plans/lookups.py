@@ -9,7 +9,7 @@ from trigwatch.operators import aggregates as agg
 from trigwatch.operators import lookups
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import (
-    FAMILY_PATTERNS, catalog, id_map, plain, rounded, stored_windows, table, telemetry, texts, wid, with_ctes, wstart,
+    FAMILY_PATTERNS, catalog, id_map, plain, rounded, stored_windows, table, telemetry, texts, wid, windowed, with_ctes, wstart,
 )
 from trigwatch.sources.jobs import window_calendar
 
@@ -127,8 +127,9 @@ def except_rules(spark, sf):
 
 def alert_features(spark, sf):
     """Alerted day windows, each with three family features and one rule feature."""
-    t = telemetry(spark, sf).withColumn("window_id", timing.window_id(F.col("timestamp"), 1440))
-    alerts = t.groupBy("window_id", "hostname").agg(F.max("value").alias("top"), F.min("rule_id").alias("low_rule")).where("top > 100")
+    alerts = windowed(
+        telemetry(spark, sf), 1440, ["hostname"], F.max("value").alias("top"), F.min("rule_id").alias("low_rule")
+    ).where("top > 100")
     feature = F.explode(
         F.array(
             F.struct(F.lit("family_BOC_3xx").alias("feature"), (F.col("top") / 100).alias("importance")),
@@ -141,8 +142,7 @@ def alert_features(spark, sf):
 
 
 def window_rules(spark, sf):
-    t = telemetry(spark, sf).withColumn("window_id", timing.window_id(F.col("timestamp"), 1440))
-    return t.groupBy("window_id", "hostname", "rule_id").agg(F.sum("count").alias("count"))
+    return windowed(telemetry(spark, sf), 1440, ["hostname", "rule_id"], F.sum("count").alias("count"))
 
 
 ALERT_FEATURES = f"""wr AS (SELECT {wid('ts', 1440)} AS window_id, hostname, rule_id, sum(cnt) AS cnt, max(value) AS top FROM tele GROUP BY ALL),
@@ -231,12 +231,8 @@ def calendar_fill(spark, sf):
 
 
 def alerted(spark, sf):
-    return (
-        telemetry(spark, sf)
-        .groupBy(timing.window_id(F.col("timestamp"), 360).alias("window_id"), "hostname")
-        .agg((F.floor(F.max("value") / 5).cast("double") / 100).alias("probability"))
-        .where("probability > 0.4")
-    )
+    chance = (F.floor(F.max("value") / 5).cast("double") / 100).alias("probability")
+    return windowed(telemetry(spark, sf), 360, ["hostname"], chance).where("probability > 0.4")
 
 
 ALERTED = f"al AS (SELECT {wid('ts', 360)} AS window_id, hostname, floor(max(value) / 5) / 100 AS probability FROM tele GROUP BY ALL HAVING floor(max(value) / 5) / 100 > 0.4)"

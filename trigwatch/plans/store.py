@@ -4,25 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trigwatch.functions import timing
 from trigwatch.operators import aggregates as agg
 from trigwatch.operators import lookups, store
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import (
-    hstart, plain, scratch, siem, stored_results, stored_windows, telemetry, texts, wid, with_ctes, wstart,
+    hstart, plain, scratch, siem, stored_results, stored_windows, telemetry, texts, wid, windowed, with_ctes, wstart,
 )
 
 
 def versions(spark, sf):
     """Rule rows written twice: all of them first, those of two thirds of the events again with other counts."""
-    t = telemetry(spark, sf).withColumn("window_id", timing.window_id(F.col("timestamp"), 360))
-    keys = ["window_id", "hostname", "rule_id"]
-    first = t.groupBy(*keys).agg(F.sum("count").alias("count"), F.min("timestamp").alias("first_time")).withColumn("version", F.lit(1).cast("bigint"))
-    again = (
-        t.where("event_id % 3 <> 0").groupBy(*keys).agg((F.sum("count") + 7).alias("count"), F.min("timestamp").alias("first_time"))
-        .withColumn("version", F.lit(2).cast("bigint"))
-    )
-    return first, again
+    t, keys, seen = telemetry(spark, sf), ["hostname", "rule_id"], F.min("timestamp").alias("first_time")
+    first = windowed(t, 360, keys, F.sum("count").alias("count"), seen).withColumn("version", F.lit(1).cast("bigint"))
+    again = windowed(t.where("event_id % 3 <> 0"), 360, keys, (F.sum("count") + 7).alias("count"), seen)
+    return first, again.withColumn("version", F.lit(2).cast("bigint"))
 
 
 VERSIONS = f"""t AS (SELECT *, {wid('ts', 360)} AS window_id FROM tele),

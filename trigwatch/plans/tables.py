@@ -47,6 +47,12 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def windowed(events: DataFrame, size: int, keys: list[str], *sums) -> DataFrame:
+    """Aggregates per clock window; the id is formatted per group."""
+    grouped = events.groupBy(timing.window_start(F.col("timestamp"), size).alias("_start"), *keys).agg(*sums)
+    return grouped.withColumn("window_id", timing.window_id(F.col("_start"), size)).drop("_start")
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """The ``part`` table as rule catalogue; ids ending in 19 (mod 20) stay unknown."""
     k = F.col("p_partkey") % 20

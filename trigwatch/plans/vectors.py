@@ -82,9 +82,9 @@ def family_layout(spark, sf):
     with_ctes("tele fam", f"WITH {slots_sql('hybrid_exclusive')} SELECT event_id, rule_id, feature_idx FROM tele JOIN slots USING (rule_id)"),
 )
 def join_feature_index(spark, sf):
-    from trigwatch.session import checked_broadcast
+    from trigwatch.session import settled
 
-    slots = checked_broadcast(vectors.feature_slots(families(spark, sf), "hybrid_exclusive"))
+    slots = settled(vectors.feature_slots(families(spark, sf), "hybrid_exclusive"))
     return telemetry(spark, sf).join(slots, "rule_id").select("event_id", "rule_id", F.col("feature_idx").cast("bigint").alias("feature_idx"))
 
 
