@@ -359,6 +359,15 @@ def cv_results(spark, search_model) -> DataFrame:
     return spark.createDataFrame(rows, "candidate INT, params STRING, composite_score DOUBLE")
 
 
+def search_report(spark, search_model, held_out: DataFrame, weights: Mapping[str, float], top: int = 10) -> DataFrame:
+    """Best candidates of a search next to the refitted winner's figures on held-out rows."""
+    judge = CompositeEvaluator(weights)
+    composite = judge.evaluate(search_model.transform(held_out))
+    best = {"best_test_composite": composite, **{f"best_test_{m}": v for m, v in judge.seen[-1].items()}}
+    ranked = metrics.search_rank(cv_results(spark, search_model), top)
+    return ranked.select(*[F.lit(float(v)).alias(n) for n, v in best.items()], "*")
+
+
 def feature_importances(spark, tree_model, layout: DataFrame) -> DataFrame:
     """Importances joined to their feature; one row per position of the layout."""
     rows = [(i, float(v)) for i, v in enumerate(tree_model.featureImportances.toArray())]
