@@ -10,6 +10,7 @@ from trigwatch.operators import sampling, vectors
 from trigwatch.plans.lookups import families
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import embeddings_long, rounded, scores, table, telemetry, wid, with_ctes
+from trigwatch.session import cut_lineage
 
 
 def layout_sql(mode: str) -> str:
@@ -90,7 +91,7 @@ def join_feature_index(spark, sf):
 
 def used_families(spark, sf):
     """Catalogue entries of the rules that fired, for vectors of a fixed small width."""
-    return families(spark, sf).join(telemetry(spark, sf).select("rule_id").distinct(), "rule_id", "left_semi")
+    return cut_lineage(families(spark, sf).join(telemetry(spark, sf).select("rule_id").distinct(), "rule_id", "left_semi"))
 
 
 def window_vectors(spark, sf, size=1440, mode="family_first"):

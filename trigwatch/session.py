@@ -55,18 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: largest lookup table that is shipped to every executor, in rows
+#: largest lookup table that is shipped to every executor
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` is small; else leave the join to AQE.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` is small; else leave the join to AQE.
 
-    Use it for tables read from small files (catalogue, id map, jobs), where the count is
-    cheap. Derived tables go without a hint: ``spark.sql.autoBroadcastJoinThreshold`` and
-    AQE decide from the measured shuffle size.
+    Rows and their size as text are measured in one pass that stops after ``max_rows``.
+    Use it for tables read from small files (catalogue, id map, jobs), where that is cheap,
+    and ``settled`` for derived ones.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, text = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    if rows <= max_rows and (text or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

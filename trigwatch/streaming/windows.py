@@ -65,7 +65,10 @@ def upsert_sink(path: str, keys: Sequence[str], partition_time: str, merge: str
     that is replayed after a failure changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumns({"version": F.lit(batch_id).cast("bigint"), "window_date": F.to_date(partition_time)})
+        # written once: the merge reads the batch twice, and its state should be updated once
+        dated = store.cut_lineage(
+            batch.withColumns({"version": F.lit(batch_id).cast("bigint"), "window_date": F.to_date(partition_time)})
+        )
         if not dated.isEmpty():
             store.upsert_table(dated, path, keys, "version", merge=merge, add=add)
 
@@ -87,9 +90,11 @@ def detect_sink(score: Callable[[DataFrame], DataFrame], threshold: float, path:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         flagged = detect(score(batch), threshold).where("is_alert")
-        results = flagged.select(
-            "window_id", "hostname", "predicted_label", F.col("probability").alias("confidence"),
-            F.col("window_end").alias("prediction_time"), F.to_date("window_start").alias("window_date"),
+        results = store.cut_lineage(
+            flagged.select(
+                "window_id", "hostname", "predicted_label", F.col("probability").alias("confidence"),
+                F.col("window_end").alias("prediction_time"), F.to_date("window_start").alias("window_date"),
+            )
         )
         if not results.isEmpty():
             store.upsert_table(results, path, ["window_id", "hostname"], "prediction_time")
