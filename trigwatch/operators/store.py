@@ -95,8 +95,10 @@ def upsert_table(
         incoming = cut_lineage(merge_rows(touched, incoming, keys, version, merge, add))
     elif merge == "replace":
         incoming = dedupe_latest(incoming, keys, version)
+    # rebalanced by date: few files per date, and a date too large for one writer is split
     (
-        incoming.write.mode("overwrite")
+        incoming.hint("rebalance", partition)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
