@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact", "mixing", "warc", "tokens")
+MODULES = ("exact", "mixing", "warc", "tokens", "jaccard")
 
 
 def load_llm() -> tuple[dict, dict]:
