@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact", "mixing", "warc", "tokens", "jaccard")
+MODULES = ("quality", "warc", "jaccard", "exact", "mixing", "toxicity", "tokens", "decontaminate")
 
 
 def load_llm() -> tuple[dict, dict]:
