@@ -78,6 +78,20 @@ def located_words(text: str, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def word_heads(text: str, apart: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hash of each word, then of its first bytes for each of the (increasing) sizes."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    hashes, starts, ends = located_words(text, apart)
+    raw, out = np.frombuffer(data, np.uint8), [hashes]
+    heads = np.full(len(starts), 7, np.uint64)
+    for j in range(sizes[-1]):
+        at = np.minimum(starts + j, ends - 1)
+        heads = np.where(starts + j < ends, heads * _STEP[0] + _BYTE[raw[at]], heads)
+        if j + 1 in sizes:
+            out.append(mixed(heads))
+    return out
+
+
 def words(text: str, apart: np.ndarray = SPACES) -> np.ndarray:
     return located_words(text, apart)[0]
 
