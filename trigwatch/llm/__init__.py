@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "warc", "jaccard", "exact", "mixing", "toxicity", "tokens", "decontaminate")
+MODULES = ("quality", "warc", "secrets", "jaccard", "exact", "mixing", "toxicity", "tokens", "decontaminate")
 
 
 def load_llm() -> tuple[dict, dict]:
