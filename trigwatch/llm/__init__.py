@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "warc", "secrets", "jaccard", "exact", "mixing", "toxicity", "tokens", "decontaminate")
+MODULES = ("quality", "warc", "secrets", "jaccard", "pii", "exact", "mixing", "toxicity", "tokens", "decontaminate")
 
 
 def load_llm() -> tuple[dict, dict]:
-    """Queries and oracle SQL of every operator."""
+    """Queries and oracle SQL of every operator, and of the corpus pipeline."""
     from trigwatch.llm.registry import ORACLES, QUERIES
 
     for name in MODULES:
         importlib.import_module(f"trigwatch.llm.{name}")
+    pipeline = importlib.import_module("corpus_pipeline")
+    QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL is not None:
+        ORACLES["pipeline"] = pipeline.ORACLE_SQL
     return QUERIES, ORACLES

@@ -56,16 +56,17 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, sprea
     which rows of hot groups are dealt by ``spread`` columns. ``groups`` is read twice.
     """
     others = [c for c in groups.columns if c != key]
+    hot_col, cold_col, deal_col = fresh(rows, "hot_group", "cold_group", "deal")
     total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.where(F.col(size) * HOT_SHARE > total).select(F.col(key), F.struct(*others).alias("_hot"))
+    hot = groups.where(F.col(size) * HOT_SHARE > total).select(F.col(key), F.struct(*others).alias(hot_col))
     cold = groups.where(F.col(size) * HOT_SHARE <= total).select(
-        F.col(key), F.lit(0).cast("long").alias("_deal"), F.struct(*others).alias("_cold")
+        F.col(key), F.lit(0).cast("long").alias(deal_col), F.struct(*others).alias(cold_col)
     )
-    deal = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(
+    deal = F.when(F.col(hot_col).isNull(), F.lit(0).cast("long")).otherwise(
         1 + F.pmod(F.xxhash64(*spread), F.lit(9973))
     )
-    joined = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", deal).join(cold, [key, "_deal"], "left")
+    joined = rows.join(F.broadcast(hot), key, "left").withColumn(deal_col, deal).join(cold, [key, deal_col], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in others],
+        *[F.coalesce(F.col(hot_col)[c], F.col(cold_col)[c]).alias(c) for c in others],
     )

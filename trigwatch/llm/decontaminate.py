@@ -250,19 +250,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return out
 
 
+def _leaky(finder: Finder):
+    @F.pandas_udf("boolean")
+    def leaky(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            hit = {number for number, *_ in finder.matches(batch.tolist())}
+            yield pd.Series([i in hit for i in range(len(batch))], dtype="bool")
+
+    return leaky
+
+
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item is found (as in ``leaks``); columns stay."""
     (flag,) = fresh(docs, "leaks")
     for block in item_blocks(items, item_id, item_text):
-        finder = Finder(block)
-
-        @F.pandas_udf("boolean")
-        def leaky(texts: Iterator[pd.Series], finder=finder) -> Iterator[pd.Series]:
-            for batch in texts:
-                hit = {number for number, *_ in finder.matches(batch.tolist())}
-                yield pd.Series([i in hit for i in range(len(batch))], dtype="bool")
-
-        docs = docs.withColumn(flag, leaky(filled(text_col))).where(~F.col(flag)).drop(flag)
+        docs = docs.withColumn(flag, _leaky(Finder(block))(filled(text_col))).where(~F.col(flag)).drop(flag)
     return docs
 
 

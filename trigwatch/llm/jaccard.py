@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import attach_groups, filled, stored, table
+from trigwatch.llm.common import attach_groups, filled, fresh, stored, table
 from trigwatch.llm.graph import components
 from trigwatch.llm.registry import query
 from trigwatch.llm.wordhash import shingles, words
@@ -204,7 +204,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Component of every document under "the word-shingle sets are similar".
 
-    Returns ``doc_id, n_shingles, component_id``, one row per input row. Words are runs of
+    Returns ``doc_id, n_shingles, component_id``, and ``text_key`` (a hash of the text) and
+    ``group`` (the component as a number, null without words), one row per input row. Words are runs of
     bytes other than ASCII white space after lower-casing A-Z; a set has the distinct shingles
     of ``k`` words, of a shorter text all its words as one, of an empty or null text nothing.
     Two sets link when 100 * intersection >= percent * union; empty sets link with nothing.
@@ -283,9 +284,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = nodes.join(labels, "node", "left") if labels is not None else nodes.withColumn("comp", F.col("node"))
     comps = comps.withColumn("comp", F.coalesce("comp", "node"))
     firsts = comps.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    groups = stored(comps.join(firsts, "comp").select("node", "component_id", "rows"), "groups")
+    groups = stored(comps.join(firsts, "comp").select("node", "comp", "component_id", "rows"), "groups")
     out = attach_groups(sets, groups, "node", "rows", ["text_key", "doc_id"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = F.col("n") == 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_key", F.when(~alone, F.col("comp")).alias("group"),
+    )
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the smallest id (null last, ties by
+    a hash of the text, equal rows once). Texts without words are in no group and all stay."""
+    grouped = similar_groups(docs, id_col, text_col, k, percent).where("group IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    id_name, key = fresh(docs, "owner_id", "owner_key")
+    owners = grouped.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("o")).select(F.col("o.doc_id").alias(id_name), F.col("o.text_key").alias(key))
+    id_text = F.coalesce(F.col(id_name).cast("string"), F.lit(""))
+    worded = filled(text_col).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(worded).withColumn(id_name, F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))).withColumn(key, F.xxhash64(filled(text_col)))
+    kept = rows.join(owners.withColumn(id_name, id_text), [id_name, key], "left_semi").dropDuplicates([id_name, key])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where(~worded).select(*columns))
 
 
 LINKED_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -302,4 +322,4 @@ LINKED_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract
 
 @query("op4_jaccard_join", LINKED_SQL)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import filled, table
+from trigwatch.llm.common import filled, fresh, table
 from trigwatch.llm.labelled import Calibration, labelled_sample, remainder
 from trigwatch.llm.registry import query
 
@@ -90,6 +90,12 @@ def quality_score(model: CompressionClassifier, text_col: str = "text") -> Colum
     return score(filled(text_col))
 
 
+def good_only(docs: DataFrame, model: CompressionClassifier, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score below ``least``; columns stay."""
+    (score,) = fresh(docs, "score")
+    return docs.withColumn(score, quality_score(model, text_col)).where(F.col(score) >= least).drop(score)
+
+
 @query("op1_quality")
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,23 +23,30 @@ from trigwatch.llm.registry import query
 MAGIC = b"IDPLANE1"
 TRAILER = struct.Struct("<QQQI8s")
 BLOCK_IDS = 1 << 16
+#: texts that are encoded together
+GROUP = 64
 
 #: white space that the chunk pattern does not split at; texts with it are encoded in one go
 RARE_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r") + "]")
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Latin letters, and what may follow a word of them that is cut off there: ASCII marks but the
+#: apostrophe, which can begin a token that goes on with letters
+LETTERS, AFTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r" \t\n\r!-&(-/:-@\[-`{-~"
+CHUNK = re.compile(rf"[ \t\n\r]*[{LETTERS}]+(?=[{AFTER}]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: chunks whose ids a worker remembers, and the longest of them
-CACHE_CHUNKS, CACHE_LENGTH = 300_000, 40
+CACHE_CHUNKS, CACHE_LENGTH = 700_000, 32
 
 
 class Encoder:
     """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit integers.
 
-    A byte-level pre-tokenizer always starts a new token where a run of white space begins, so
-    a text may be encoded run by run, and the ids of frequent words are remembered. Texts with
-    rare white space or with the text of an added token are encoded whole.
+    A byte-level pre-tokenizer always starts a new token where a run of white space begins and
+    where a mark follows a letter, so a text may be encoded chunk by chunk, and the ids of
+    frequent chunks are remembered. Texts with rare white space or with the text of an added
+    token are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,21 +54,29 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if RARE_SPACE.search(text) or any(t in text for t in self.added):
-            return self._ids([text])[0]
-        chunks, cache = CHUNK.findall(text), self.cache
-        found = [cache.get(c) for c in chunks]
-        if None in found:
-            new = list({c for c, ids in zip(chunks, found) if ids is None})
-            got = dict(zip(new, self._ids(new)))
-            found = [got[c] if ids is None else ids for c, ids in zip(chunks, found)]
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-            cache.update((c, ids) for c, ids in got.items() if len(c) <= CACHE_LENGTH)
-        return b"".join(found)
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cache = self.cache
+        if len(cache) > CACHE_CHUNKS:
+            cache.clear()
+        found, missing = [], {}
+        for text in texts:
+            if RARE_SPACE.search(text) or any(a in text for a in self.added):
+                found.append(self._ids([text]))
+                continue
+            chunks = CHUNK.findall(text)
+            ids = list(map(cache.get, chunks))
+            if None in ids:
+                for i in [i for i, known in enumerate(ids) if known is None]:
+                    missing.setdefault(chunks[i], []).append((len(found), i))
+            found.append(ids)
+        for (chunk, places), ids in zip(missing.items(), self._ids(list(missing))):
+            if len(chunk) <= CACHE_LENGTH:
+                cache[chunk] = ids
+            for text, i in places:
+                found[text][i] = ids
+        return [b"".join(ids) for ids in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -221,11 +238,13 @@ def write_ids(
     def write(batches):
         writer, part = None, TaskContext.get().partitionId()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    path, out = new_file(folder, part, "planes")
-                    writer, code = PlaneWriter(out, bits), encoder(tokenizer)
-                writer.add(doc_id, code.encode(text.as_py()) + end)
+            if writer is None:
+                path, out = new_file(folder, part, "planes")
+                writer, code = PlaneWriter(out, bits), encoder(tokenizer)
+            for at in range(0, batch.num_rows, GROUP):
+                some = batch.slice(at, GROUP)
+                for doc_id, ids in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist())):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             n = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [part], "path": [path], "n_docs": [len(writer.ids)], "n_ids": [n]}, schema=schema)
