@@ -27,8 +27,8 @@ CODE = {c: i for i, c in enumerate(ALPHABET)}
 
 #: bound of the training sample: secrets, documents with ordinary words, bytes of a document
 SECRETS, DOCUMENTS, DOCUMENT_BYTES = 5000, 400, 1 << 15
-#: share of ordinary strings that may look random
-FALSE_SHARE, MARGIN = 0.001, 0.1
+#: share of the unlabelled long strings that may be secrets, and distance from the others
+UNKNOWN_SHARE, MARGIN = 0.05, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -65,15 +65,15 @@ class MarkovRatio:
 
     One is trained on secrets, one on ordinary identifiers; every transition starts with a
     pseudo-count. Half of the random model is uniform, for secrets over alphabets that the
-    labelled ones lack. A string counts as random when its ratio is above that of all but
-    ``FALSE_SHARE`` of the ordinary long strings, by ``MARGIN``.
+    labelled ones lack. A string counts as random when its ratio is above zero, and above that
+    of all but ``UNKNOWN_SHARE`` of the long strings outside of known secrets, by ``MARGIN``.
     """
 
     def __init__(self, secrets: list[str], ordinary: list[str], long_strings: list[str]) -> None:
         random = (np.exp(self._model(secrets)) + 1 / len(ALPHABET)) / 2
         self.table = np.log(random) - self._model(ordinary)
         usual = sorted(self.value(s) for s in long_strings)
-        high = usual[min(len(usual) - 1, int(len(usual) * (1 - FALSE_SHARE)))] if usual else 0.0
+        high = usual[min(len(usual) - 1, int(len(usual) * (1 - UNKNOWN_SHARE)))] if usual else 0.0
         self.threshold = max(high, 0.0) + MARGIN
 
     @staticmethod
@@ -107,7 +107,8 @@ def _train(found: DataFrame, docs: DataFrame) -> MarkovRatio:
             rest.append(text[at:start])
             at = max(at, end)
         rest.append(text[at:])
-        ordinary += [w for part in rest for w in re.findall(r"[A-Za-z][A-Za-z0-9_-]{3,}", part)]
+        # longer ones may be secrets that no pattern knows
+        ordinary += [w for part in rest for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,14}(?![A-Za-z0-9+/_=-])", part)]
         long_strings += [s for _, s in other_strings(text, spans)]
     return MarkovRatio(secrets, ordinary, long_strings)
 
