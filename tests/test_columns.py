@@ -108,9 +108,9 @@ def test_confidence(spark, value, want):
 
 def test_shorten_drops_whole_words(spark):
     long = " ".join(["word"] * 30)
-    got = one(spark, naming.shorten(F.lit(long)))
+    got = one(spark, naming.shorten(F.lit(long), 80))
     assert got == " ".join(["word"] * 15) + "..." and len(got) <= 80
-    assert one(spark, naming.shorten(F.lit("x" * 200))) == "..."
+    assert one(spark, naming.shorten(F.lit("x" * 200), 80)) == "..."
     assert one(spark, naming.shorten(F.lit("a  b\n c"))) == "a b c"
 
 

@@ -11,6 +11,7 @@ from conftest import SF
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from trigwatch.operators import aggregates as agg
 from trigwatch.operators import explain, filters, lookups, models, ranking, sampling, store, vectors
 from trigwatch.plans import load_all
 from trigwatch.plans.tables import scratch
@@ -100,6 +101,53 @@ def test_upsert_touches_only_its_dates(spark):
     assert {(r.window_id, r["count"]) for r in spark.read.parquet(path).collect()} == {("w", 5), ("w2", 7)}
 
 
+def test_upsert_reads_only_its_dates(spark):
+    path, keys = scratch(spark, "table"), ["window_id", "hostname", "rule_id"]
+    first = rows_of(spark, ("w", "h", 1, 5, 1))
+    other = rows_of(spark, ("w2", "h", 1, 7, 1)).withColumn("window_date", F.lit("2024-01-02").cast("date"))
+    for batch in (first, other):
+        store.upsert_table(batch, path, keys, "version")
+    plan = store.touched_dates(store.read_table(spark, path), other, "window_date")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(window_date" in plan and "2024-01-02" in plan and "2024-01-01" not in plan
+
+
+def test_writing_the_same_rows_twice_changes_nothing(spark):
+    rows = rows_of(spark, ("w", "h", 1, 5, 1), ("w", "h", 2, 6, 1))
+    assert store.upsert_windows(rows, rows, "version").count() == 2
+    assert store.upsert_windows(rows, rows, "version", merge="sum").agg(F.sum("count")).first()[0] == 11
+
+
+def test_wide_pivot_keeps_null_keys(spark):
+    events = spark.createDataFrame([(None, 1, 5), (4, 2, 6), (4, 2, 1)], "k INT, rule_id BIGINT, count BIGINT")
+    for n in (2, 65, 300):
+        rows = {r.k: (r.rule_1, r.rule_2) for r in agg.pivot_rules(events, ["k"], range(n + 1)).collect()}
+        assert rows == {None: (5, 0), 4: (0, 7)}
+    assert agg.pivot_rules(events, ["k"], []).count() == 2
+
+
+def test_documents_of_a_window_add_up(spark):
+    events = spark.createDataFrame(
+        [(datetime(2024, 1, 1, 9), f"h{i}", f"ip{i % 2}", i % 5, 1 + i) for i in range(40)], "window_start TIMESTAMP_NTZ, hostname STRING, source_ip STRING, rule_id BIGINT, count BIGINT"
+    )
+    for shards in (1, 4):
+        docs = agg.window_documents(events, 30, shards).collect()
+        assert len({(d._id, d.shard) for d in docs}) == len(docs) <= shards
+        assert sum(d.total_triggers for d in docs) == sum(range(1, 41))
+        assert sorted(h for d in docs for h in d.host_triggers) == sorted(f"h{i}" for i in range(40))
+
+
+def test_late_rows_are_stored(spark):
+    source, path, marks = scratch(spark, "source"), scratch(spark, "table"), scratch(spark, "marks")
+    schema = "timestamp TIMESTAMP_NTZ, count BIGINT, hostname STRING"
+    for day in (20, 1, 19, 2):  # each file is later than any slack
+        spark.createDataFrame([(datetime(2024, 1, day, 9), day, "h")], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.store_counts(stream, path, marks, 60, ["hostname"]).awaitTermination()
+    assert sorted(r["count"] for r in live.stored_counts(spark, path, ["hostname"]).collect()) == [1, 2, 19, 20]
+    with pytest.raises(ValueError):
+        live.tumbling_counts(stream, 60, ["hostname"])
+
+
 def test_replace_drops_rows_of_the_older_fetch(spark):
     old, new = rows_of(spark, ("w", "h", 1, 5, 1), ("w", "h", 2, 6, 1)), rows_of(spark, ("w", "h", 1, 3, 2))
     assert [(r.rule_id, r["count"]) for r in store.upsert_windows(old, new, "version").collect()] == [(1, 3)]
@@ -190,7 +238,7 @@ def test_entries_to_array(spark):
 
 def test_background_falls_back_to_all_rows(spark):
     df = spark.createDataFrame([(i, 1 if i > 2 else 0) for i in range(20)], "key INT, label INT")
-    assert sampling.background_rows(df, 50, "key").count() == 20
+    assert sampling.background_rows(df, 50, "key", fewest=10).count() == 20
     assert sampling.background_rows(df, 50, "key", fewest=3).count() == 3
 
 

@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Default family, feature-name prefixes, display width, payload size.
+# Default family, feature-name prefixes.
 NO_FAMILY = "Uncategorized"
 FAMILY_PREFIX = "family_"
 RULE_PREFIX = "rule_"
-DISPLAY_WIDTH = 80
-MESSAGE_SIZE = 8192
 
 
 def rule_family(name: Column, patterns: Sequence[tuple[str, str]], explicit: Column | None = None) -> Column:
@@ -44,9 +42,11 @@ def feature_family(feature: Column) -> Column:
     return F.nullif(F.regexp_extract(feature, r"^family_(.+)$", 1), F.lit(""))
 
 
-def shorten(text: Column, width: int = DISPLAY_WIDTH, mark: str = "...") -> Column:
-    """Collapse white space and, if too long, keep the whole words that fit before the mark."""
+def shorten(text: Column, width: int | None = None, mark: str = "...") -> Column:
+    """Collapse white space; if wider than a given width, keep the whole words that fit before the mark."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    if width is None:
+        return flat
     room = width - len(mark)
     # the first `room` characters end on a word boundary if the next one is a blank
     head = F.when(F.substring(flat, room + 1, 1) == " ", F.substring(flat, 1, room)).otherwise(
@@ -60,8 +60,8 @@ def first_text(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in candidates])
 
 
-def feature_display(feature_id: Column, label: Column) -> Column:
-    return shorten(F.concat_ws(" | ", feature_id, F.nullif(label, F.lit(""))))
+def feature_display(feature_id: Column, label: Column, width: int | None = None) -> Column:
+    return shorten(F.concat_ws(" | ", feature_id, F.nullif(label, F.lit(""))), width)
 
 
 def feature_importance(importance: Column, score: Column, value: Column) -> Column:
@@ -77,9 +77,10 @@ def confidence_pct(confidence: Column) -> Column:
     return F.when(value.isNull(), F.lit("N/A")).otherwise(F.format_string("%.1f%%", scaled))
 
 
-def sanitize_text(text: Column, max_len: int = MESSAGE_SIZE) -> Column:
-    """One-line message of bounded length."""
-    return F.substring(F.translate(text, "\r\n", "  "), 1, max_len)
+def sanitize_text(text: Column, max_len: int | None = None) -> Column:
+    """One-line message, of bounded length if the receiver asks for one."""
+    line = F.translate(text, "\r\n", "  ")
+    return line if max_len is None else F.substring(line, 1, max_len)
 
 
 def clean_value(text: Column) -> Column:

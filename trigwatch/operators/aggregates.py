@@ -160,57 +160,42 @@ def window_feature_vector(events: DataFrame) -> DataFrame:
     return events.groupBy("window_start", "rule_id").agg(F.sum("count").alias("count"))
 
 
-def window_documents(events: DataFrame, size: int, hosts_per_document: int = 1000) -> DataFrame:
-    """Nested documents ``_id, feature_vector, host_triggers, totals`` for exchange.
-
-    The long forms above are the store. A document holds about ``hosts_per_document`` hosts
-    of a window; a window seen by more hosts is spread over several documents with the same
-    id, so no document grows without bound. Window-wide totals repeat in each.
+def window_documents(events: DataFrame, size: int, shards: int = 1) -> DataFrame:
+    """Nested documents ``_id, shard, feature_vector, host_triggers, totals`` for exchange.
+
+    The long forms above are the store. Every window has ``shards`` documents at most (hosts
+    are dealt by hash, a shard without hosts has none); ``_id`` and ``shard`` are the key, and
+    totals and vector are those of the document's own hosts, so they add up over a window.
+    All parts are derived from one aggregate over (window, shard, host, address, rule), whose
+    shuffle they share.
     """
-    rules_of_host = F.map_from_entries(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rule_id", "count"))),
-            lambda e: F.struct(e["rule_id"].cast("string"), e["count"]),
-        )
-    )
-    busy = (
-        events.groupBy("window_start").agg(F.approx_count_distinct("hostname").alias("_hosts"))
-        .select("window_start", F.ceil(F.col("_hosts") / hosts_per_document).alias("_parts"))
+    base = (
+        events.withColumn("shard", F.pmod(F.xxhash64("hostname"), F.lit(shards)).cast("int"))
+        .groupBy("window_start", "shard", "hostname", "source_ip", "rule_id").agg(F.sum("count").alias("count"))
     )
-    hosts = (
-        host_rule_counts(events)
-        .groupBy("window_start", "hostname")
-        .agg(rules_of_host.alias("rules"))
-        .join(majority_ip(events), ["window_start", "hostname"])
-        .join(busy, "window_start")
-        .withColumn("shard", F.pmod(F.xxhash64("hostname"), F.col("_parts")))
-    )
-    nested = hosts.groupBy("window_start", "shard").agg(
-        F.map_from_entries(
-            F.sort_array(
-                F.collect_list(F.struct("hostname", F.struct("total_triggers", "source_ip", F.map_entries("rules").alias("r"))))
-            )
-        ).alias("hosts")
-    )
-    vector = (
-        window_feature_vector(events)
-        .groupBy("window_start")
-        .agg(
-            rules_of_host.alias("feature_vector"),
-            F.sum("count").alias("total_triggers"),
-            F.count(F.lit(1)).alias("total_rules_triggered"),
+    host, document = ["window_start", "shard", "hostname"], ["window_start", "shard"]
+
+    def rules(rows, keys, name):
+        summed = rows.groupBy(*keys, "rule_id").agg(F.sum("count").alias("count"))
+        entries = F.sort_array(F.collect_list(F.struct(F.col("rule_id").cast("string"), "count")))
+        return summed.groupBy(*keys).agg(
+            F.map_from_entries(entries).alias(name), F.sum("count").alias("total_triggers"), F.count(F.lit(1)).alias("total_rules_triggered")
         )
-    )
+
+    per_ip = base.groupBy(*host, "source_ip").agg(F.sum("count").alias("ip_total"))
+    address = per_ip.groupBy(*host).agg(F.min(F.struct((-F.col("ip_total")).alias("minus"), F.col("source_ip").alias("ip")))["ip"].alias("source_ip"))
+    hosts = rules(base, host, "rules").join(address, host)
+    entry = F.struct("hostname", F.struct("total_triggers", F.map_entries("rules").alias("r"), "source_ip"))
+    nested = hosts.groupBy(*document).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("hosts"))
     host_triggers = F.transform_values(
         "hosts",
         lambda k, h: F.struct(
-            h["total_triggers"].alias("total_triggers"),
-            F.map_from_entries(h["r"]).alias("rules"),
-            h["source_ip"].alias("source_ip"),
+            h["total_triggers"].alias("total_triggers"), F.map_from_entries(h["r"]).alias("rules"), h["source_ip"].alias("source_ip")
         ),
     )
-    return named(nested.join(vector, "window_start")).select(
+    return named(nested.join(rules(base, document, "feature_vector"), document)).select(
         F.col("window_id").alias("_id"),
+        "shard",
         "window_start",
         (F.col("window_start") + F.make_dt_interval(mins=F.lit(size))).alias("window_end"),
         "feature_vector",
@@ -247,15 +232,16 @@ def source_trigger_query(events: DataFrame, rules: str = "rules") -> DataFrame:
 
 
 def pivot_rules(events: DataFrame, keys: Sequence[str], rule_ids: Sequence[int]) -> DataFrame:
-    """Rules become columns ``rule_<id>``; listing them saves the extra job that finds them."""
-    summed = [
-        F.coalesce(F.sum(F.when(F.col("rule_id") == rid, F.col("count"))), F.lit(0)).alias(f"rule_{rid}")
-        for rid in rule_ids
-    ]
-    if len(rule_ids) <= 64:
-        return events.groupBy(*keys).agg(*summed)
-    pivoted = events.groupBy(*keys).pivot("rule_id", list(rule_ids)).agg(F.sum("count")).na.fill(0)
-    return pivoted.withColumnsRenamed({str(r): f"rule_{r}" for r in rule_ids})
+    """Rules become columns ``rule_<id>``, 0 where a rule did not fire; key columns stay as they are.
+
+    Rules are summed first, so the rows that are spread into columns are one per key and
+    rule; listing the rules saves the extra job that finds them.
+    """
+    summed = events.groupBy(*keys, "rule_id").agg(F.sum("count").alias("count"))
+    if not rule_ids:
+        return summed.select(*keys).distinct()
+    names = {str(r): f"rule_{r}" for r in rule_ids}
+    return summed.groupBy(*keys).pivot("rule_id", list(rule_ids)).agg(F.sum("count")).withColumnsRenamed(names).na.fill(0, list(names.values()))
 
 
 def alert_event_stats(context: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:

@@ -110,7 +110,7 @@ def tree_paths(nodes: DataFrame, max_trees: int | None = None, max_depth: int |
 
 
 def path_itemsets(
-    paths: DataFrame, sizes: Sequence[int] = (2, 3), min_support: float = 0.01, top_k: int | None = 20
+    paths: DataFrame, sizes: Sequence[int] = (2, 3), min_support: float = 0.01, top_k: int | None = None
 ) -> DataFrame:
     """Feature combinations on paths: count and share of paths. A path has at most its depth's features."""
     total = paths.agg(F.count(F.lit(1))).scalar()

@@ -98,28 +98,30 @@ def query_results(
 
 def query_events(
     events: DataFrame, start: str | None = None, end: str | None = None, rule_id: int | None = None,
-    hostname: str | None = None, limit: int = 1000, key: str = "event_id",
+    hostname: str | None = None, limit: int | None = None, key: str = "event_id",
 ) -> DataFrame:
-    """Newest matching events (a top-k report)."""
+    """Matching events, newest first; with a limit a top-k report."""
     if start is not None and end is not None:
         events = time_range(events, start, end)
     if rule_id is not None:
         events = events.where(F.col("rule_id") == rule_id)
     if hostname is not None:
         events = events.where(F.col("hostname") == hostname)
-    return events.orderBy(F.desc("timestamp"), key).limit(limit)
+    found = events.orderBy(F.desc("timestamp"), key)
+    return found if limit is None else found.limit(limit)
 
 
 def query_windows(
     windows: DataFrame, start: str | None = None, end: str | None = None,
-    hostname: str | None = None, limit: int = 100,
+    hostname: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Newest windows of a time range that saw a host (a top-k report)."""
+    """Windows of a time range that saw a host, newest first; with a limit a top-k report."""
     if start is not None and end is not None:
         windows = time_range(windows, start, end, "window_start")
     if hostname is not None:
         windows = windows.where(F.map_contains_key("host_triggers", hostname))
-    return windows.orderBy(F.desc("window_start"), F.desc("window_id")).limit(limit)
+    found = windows.orderBy(F.desc("window_start"), F.desc("window_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def labelled_windows(windows: DataFrame, start: str, end: str, label: str = "label") -> DataFrame:

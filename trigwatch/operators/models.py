@@ -297,7 +297,7 @@ def search_clusters(df: DataFrame, grid: Sequence[Mapping], rounds: int = 50) ->
             model = KMeans(maxIter=rounds, seed=SEED, **params).fit(df)
             value = evaluator.evaluate(model.transform(df))
         except Exception as failed:
-            tried.append({**params, "silhouette": None, "error": str(failed)[:200]})
+            tried.append({**params, "silhouette": None, "error": str(failed)})
             continue
         tried.append({**params, "silhouette": value, "error": None})
         if value > best_score:

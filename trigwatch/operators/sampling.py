@@ -42,7 +42,7 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int | None = 42) -> DataF
     return df.orderBy(*shuffle_order(key, seed)).limit(n)
 
 
-def background_rows(df: DataFrame, n: int, key: str, label: str = "label", fewest: int = 10, seed: int | None = 42) -> DataFrame:
-    """Sample of benign rows for explanations; of all rows if there are hardly any benign ones."""
+def background_rows(df: DataFrame, n: int, key: str, label: str = "label", fewest: int = 0, seed: int | None = 42) -> DataFrame:
+    """Sample of benign rows for explanations; of all rows if fewer than ``fewest`` are benign."""
     enough = df.agg(F.count_if(F.col(label) == 0) >= fewest).scalar()
     return sample_rows(df.where(~enough | (F.col(label) == 0)), n, key, seed)

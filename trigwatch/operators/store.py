@@ -1,7 +1,7 @@
 """Stored tables: keyed upserts, retention, summaries and exports.
 
-Tables are Parquet partitioned by date. A merge touches the dates of the incoming rows
-only. Latest-per-key is an aggregate (``max_by``), not a window: it combines map-side, so
+Tables are Parquet partitioned by date. A merge reads and writes the dates of the incoming
+rows only. Latest-per-key is an aggregate (``max_by``), not a window: it combines map-side, so
 a key that was written a billion times is not gathered in one task.
 """
 
@@ -21,6 +21,8 @@ from trigwatch.session import cut_lineage
 def dedupe_latest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Last write per key; equal versions are decided by the other columns, so reruns agree."""
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     comparable = [c for c in rest if not dict(df.dtypes)[c].startswith(("map", "array", "struct")) and c != version]
     latest = F.max_by(F.struct(*rest), F.struct(version, *comparable))
     return df.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*").select(*df.columns)
@@ -31,10 +33,19 @@ def merge_rows(
     merge: str = "replace", add: Sequence[str] = (),
 ) -> DataFrame:
     """Result of an upsert. ``replace``: newest row per key wins. ``sum``: the ``add`` columns
-    are summed and the newest version is kept, for partial answers that complement each other."""
+    are summed and the newest version is kept, for partial answers that complement each other.
+
+    A version names one answer: rows of equal key and version are the same contribution and
+    count once, so a batch may be repeated. ``existing`` holds contributions, not sums.
+    """
     both = existing.unionByName(incoming)
     if merge == "replace":
         return dedupe_latest(both, keys, version)
+    return summed(dedupe_latest(both, [*keys, version], version), keys, version, add)
+
+
+def summed(both: DataFrame, keys: Sequence[str], version: str, add: Sequence[str]) -> DataFrame:
+    """Contributions of each key added up; other columns come from the newest version."""
     other = [c for c in both.columns if c not in keys and c not in add and c != version]
     return both.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in add],
@@ -47,13 +58,15 @@ def upsert_windows(existing: DataFrame, incoming: DataFrame, version: str = "que
     """Replace whole windows: a later fetch of a window overwrites all its rows.
 
     The rows of a window belong together, so the newest version per window is found first
-    (one small row per window) and older rows of that window are dropped.
+    (one small row per window, combined map-side) and older rows of that window are dropped. A
+    null version is older than any other. Rows repeated by a second write count once.
     """
+    keys = ["window_id", "hostname", "rule_id"]
     if merge == "sum":
-        return merge_rows(existing, incoming, ["window_id", "hostname", "rule_id"], version, "sum", ["count"])
-    both = existing.unionByName(incoming)
+        return merge_rows(existing, incoming, keys, version, "sum", ["count"])
+    both = dedupe_latest(existing.unionByName(incoming), [*keys, version], version)
     newest = both.groupBy("window_id").agg(F.max(version).alias("_newest"))
-    return both.join(newest, "window_id").where(F.col(version) == F.col("_newest")).drop("_newest")
+    return both.join(newest, "window_id").where(F.col(version).eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
 def upsert_events(existing: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
@@ -78,23 +91,34 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def touched_dates(existing: DataFrame, incoming: DataFrame, partition: str) -> DataFrame:
+    """Stored rows of the incoming dates. The dates of a batch are few, so they become a
+    literal filter that prunes folders before anything is read."""
+    dates = [r[0] for r in incoming.select(partition).distinct().collect()]
+    wanted = F.col(partition).isin([d for d in dates if d is not None])
+    return existing.where(wanted | F.col(partition).isNull() if None in dates else wanted)
+
+
 def upsert_table(
     incoming: DataFrame, path: str, keys: Sequence[str], version: str, partition: str = "window_date",
-    merge: str = "replace", add: Sequence[str] = (),
+    merge: str = "replace",
 ) -> None:
-    """Merge rows into a date-partitioned table; only the dates present in them are rewritten.
+    """Merge rows into a date-partitioned table; only the dates present in them are read and rewritten.
 
-    The merged rows are checkpointed first, since a partition cannot be read and replaced
-    in one job. Repeating a batch gives the same table.
+    ``replace`` keeps the newest row per key, ``windows`` replaces whole windows (rules that a
+    later fetch lacks go), ``sum`` stores each contribution under its version; readers add
+    them up with ``summed``. Repeating a batch gives the same table in every mode. The merged
+    rows are checkpointed first, since a partition cannot be read and replaced in one job.
+    The switch of a date's files is not atomic for concurrent readers.
     """
     spark = incoming.sparkSession
     existing = read_table(spark, path)
-    if existing is not None:
-        dates = incoming.select(partition).distinct()
-        touched = existing.join(dates, partition, "left_semi").select(incoming.columns)
-        incoming = cut_lineage(merge_rows(touched, incoming, keys, version, merge, add))
-    elif merge == "replace":
-        incoming = dedupe_latest(incoming, keys, version)
+    before = incoming.limit(0) if existing is None else touched_dates(existing, incoming, partition).select(incoming.columns)
+    if merge == "windows":
+        merged = upsert_windows(before, incoming, version).select(incoming.columns)
+    else:
+        merged = dedupe_latest(before.unionByName(incoming), [*keys, version] if merge == "sum" else keys, version)
+    incoming = cut_lineage(merged)
     # rebalanced by date: few files per date, and a date too large for one writer is split
     (
         incoming.hint("rebalance", partition)
@@ -117,7 +141,7 @@ def expired(df: DataFrame, cutoff: Column, time: str, keep_hosts: DataFrame | No
 def expired_windows(docs: DataFrame, cutoff: Column, keep_hosts: Sequence[str], time: str = "window_start") -> DataFrame:
     """Old window documents of windows in which no protected host was seen.
 
-    A window may be spread over several documents, so it is judged by its id.
+    A window may be spread over several documents (shards), so it is judged by its id.
     """
     old = docs.where(F.col(time) < cutoff)
     listed = [h.strip() for h in keep_hosts if h.strip()]

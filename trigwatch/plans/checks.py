@@ -117,7 +117,7 @@ def query_events(spark, sf):
     "query_windows",
     with_ctes("tele", f"""
 SELECT DISTINCT strftime({hstart('ts', 60)}, '%Y-%m-%d_%H-%M-%S') AS window_id FROM tele
-WHERE hostname = 'host-4' AND {hstart('ts', 60)} < TIMESTAMP '2024-01-20' AND {hstart('ts', 60)} >= TIMESTAMP '2024-01-02' ORDER BY 1 DESC LIMIT 100"""),
+WHERE hostname = 'host-4' AND {hstart('ts', 60)} < TIMESTAMP '2024-01-20' AND {hstart('ts', 60)} >= TIMESTAMP '2024-01-02'"""),
 )
 def query_windows(spark, sf):
     stored = window_docs(spark, sf).withColumnRenamed("_id", "window_id")

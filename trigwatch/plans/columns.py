@@ -264,7 +264,7 @@ def feature_meta(spark, sf):
 WITH words AS (SELECT doc_id, n_chars, 'feature_' || CAST(doc_id AS VARCHAR) || ' | ' || array_to_string(list_transform(range(0, 4 + doc_id % 20), lambda i: lang || CAST(i * 37 AS VARCHAR)), ' ') AS t FROM documents),
 lens AS (SELECT doc_id, n_chars, t, string_split(t, ' ') AS w FROM words),
 fit AS (SELECT doc_id, n_chars, t, list_max(list_filter(range(1, len(w) + 1), lambda i: length(array_to_string(w[1:i], ' ')) <= 77)) AS k, w FROM lens)
-SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE array_to_string(w[1:k], ' ') || '...' END AS display,
+SELECT doc_id, t AS display, CASE WHEN length(t) <= 80 THEN t ELSE array_to_string(w[1:k], ' ') || '...' END AS short,
   CAST(CASE doc_id % 3 WHEN 0 THEN n_chars WHEN 1 THEN n_chars + 1 ELSE n_chars + 2 END AS DOUBLE) AS importance FROM fit""",
 )
 def feature_entry(spark, sf):
@@ -272,9 +272,9 @@ def feature_entry(spark, sf):
     label = F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("bigint"), 3 + F.col("doc_id") % 20), lambda i: F.concat(F.col("lang"), (i * 37).cast("string"))))
     size = F.col("n_chars").cast("double")
     third = F.col("doc_id") % 3
+    feature = naming.first_text(F.lit(""), F.concat(F.lit("feature_"), F.col("doc_id").cast("string")))
     return d.select(
-        "doc_id",
-        naming.feature_display(naming.first_text(F.lit(""), F.concat(F.lit("feature_"), F.col("doc_id").cast("string"))), label).alias("display"),
+        "doc_id", naming.feature_display(feature, label).alias("display"), naming.feature_display(feature, label, 80).alias("short"),
         naming.feature_importance(
             F.when(third == 0, size), F.when(third == 1, size + 1).otherwise(F.lit(0.0)), size + 2
         ).alias("importance"),
@@ -293,7 +293,7 @@ def confidence_pct(spark, sf):
 
 @query(
     "sanitize_text",
-    """SELECT doc_id, md5(substr(replace(replace(text, chr(13), ' '), chr(10), ' '), 1, 8192)) AS message,
+    """SELECT doc_id, md5(replace(replace(text, chr(13), ' '), chr(10), ' ')) AS message,
   md5(replace(replace(replace(text, chr(9), ' '), chr(10), ' '), '=', ':')) AS value FROM documents""",
 )
 def sanitize_text(spark, sf):

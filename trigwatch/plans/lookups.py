@@ -91,11 +91,11 @@ def catalog_families(spark, sf):
 @query(
     "rules_by_family",
     with_ctes("fam", """
-SELECT family, array_to_string(list_sort(list(rule_id))[1:5], ',') AS first_rules, count(*) AS n_rules FROM fam GROUP BY family"""),
+SELECT family, array_to_string(list_sort(list(rule_id)), ',') AS rules, count(*) AS n_rules FROM fam GROUP BY family"""),
 )
 def rules_by_family(spark, sf):
-    return lookups.rules_by_family(families(spark, sf), limit=5).select(
-        "family", F.array_join(F.col("rule_ids").cast("array<string>"), ",").alias("first_rules"), "n_rules"
+    return lookups.rules_by_family(families(spark, sf)).select(
+        "family", F.array_join(F.col("rule_ids").cast("array<string>"), ",").alias("rules"), "n_rules"
     )
 
 

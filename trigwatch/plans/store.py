@@ -80,12 +80,54 @@ def upsert_results(spark, sf):
 WITH {VERSIONS} SELECT window_id, hostname, rule_id, CAST(arg_max(c, version) AS BIGINT) AS count, substr(window_id, 1, 10) AS window_date FROM both_v GROUP BY 1, 2, 3"""),
 )
 def upsert_table(spark, sf):
+    back = written(spark, sf, "replace")
+    return back.select("window_id", "hostname", "rule_id", "count", F.col("window_date").cast("string").alias("window_date"))
+
+
+def written(spark, sf, mode, versions_=None):
+    """Both versions written to a new table, each of them twice."""
     path = scratch(spark, "events-table")
-    for part in versions(spark, sf):
+    for part in versions_ or versions(spark, sf):
         dated = part.drop("first_time").withColumn("window_date", F.substring("window_id", 1, 10).cast("date"))
-        store.upsert_table(dated, path, ["window_id", "hostname", "rule_id"], "version")
-    back = spark.read.parquet(path)
-    return back.select("window_id", "hostname", "rule_id", "count", F.col("window_date").cast("string").alias("window_date"))
+        for _ in range(2):
+            store.upsert_table(dated, path, KEYS, "version", merge=mode)
+    return spark.read.parquet(path)
+
+
+KEYS = ["window_id", "hostname", "rule_id"]
+
+
+@query(
+    "upsert_table_windows",
+    with_ctes("tele", f"""
+WITH {VERSIONS} SELECT b.window_id, hostname, rule_id, CAST(c AS BIGINT) AS count FROM both_v b
+JOIN (SELECT window_id, max(version) AS newest FROM both_v GROUP BY 1) n ON b.window_id = n.window_id AND b.version = n.newest"""),
+)
+def upsert_table_windows(spark, sf):
+    return written(spark, sf, "windows").select(*KEYS, "count")
+
+
+@query(
+    "upsert_table_sum",
+    with_ctes("tele", f"""
+WITH {VERSIONS} SELECT window_id, hostname, rule_id, CAST(sum(c) AS BIGINT) AS count, CAST(max(version) AS BIGINT) AS version FROM both_v GROUP BY 1, 2, 3"""),
+)
+def upsert_table_sum(spark, sf):
+    return store.summed(written(spark, sf, "sum"), KEYS, "version", ["count"]).select(*KEYS, "count", "version")
+
+
+@query(
+    "upsert_null_version",
+    with_ctes("tele", f"""
+WITH {VERSIONS}, b AS (SELECT window_id, hostname, rule_id, c, CASE WHEN version = 2 THEN 2 END AS version FROM both_v)
+SELECT b.window_id, hostname, rule_id, CAST(c AS BIGINT) AS count, CAST(version AS BIGINT) AS version FROM b
+JOIN (SELECT window_id, max(version) AS newest FROM b GROUP BY 1) n ON b.window_id = n.window_id AND b.version IS NOT DISTINCT FROM n.newest"""),
+)
+def upsert_null_version(spark, sf):
+    # the first version carries no number: it is the oldest, and stays where there is no other
+    first, again = versions(spark, sf)
+    unnumbered = first.withColumn("version", F.lit(None).cast("bigint"))
+    return written(spark, sf, "windows", (unnumbered, again, unnumbered)).select(*KEYS, "count", "version")
 
 
 @query(
@@ -122,8 +164,7 @@ SELECT strftime(w, '%Y-%m-%d_%H-%M-%S') AS window_id FROM (SELECT {hstart('ts',
 WHERE w < {CUT} AND NOT kept"""),
 )
 def expired_windows(spark, sf):
-    # two hosts per document, so windows are spread over several
-    docs = agg.window_documents(agg.ingest_windows(telemetry(spark, sf), 60), 60, hosts_per_document=2)
+    docs = agg.window_documents(agg.ingest_windows(telemetry(spark, sf), 60), 60, shards=3)
     return store.expired_windows(docs, cutoff(spark, sf), [" host-2 ", ""]).select(F.col("_id").alias("window_id")).distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from trigwatch.functions import timing
@@ -11,10 +13,16 @@ from trigwatch.plans.tables import plain, rounded, scratch, table, texts, wid, w
 from trigwatch.streaming import windows as live
 
 
+SLACK = "45 seconds"
+
+
 def event_stream(spark, sf):
     """The event table as a file stream, projected like the telemetry."""
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return projected(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def projected(raw):
     return raw.select(
         "event_id", "event_type", "value",
         F.concat(F.lit("host-"), (F.col("user_id") % 5).cast("string")).alias("hostname"),
@@ -37,7 +45,7 @@ FROM tele GROUP BY 1, 2, 3"""),
 )
 def stream_trigger_windows(spark, sf):
     path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
-    counted = live.tumbling_counts(event_stream(spark, sf), 60, ["hostname", "rule_id"])
+    counted = live.tumbling_counts(event_stream(spark, sf), 60, ["hostname", "rule_id"], SLACK)
     drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname", "rule_id"]))
     return rounded(texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "rule_id", "count", "log_count", "n_rows"), "log_count")
 
@@ -50,7 +58,7 @@ SELECT strftime(b - back, '%Y-%m-%d %H:%M:%S') AS window_start, hostname, CAST(s
 )
 def stream_sliding_windows(spark, sf):
     path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
-    counted = live.sliding_counts(event_stream(spark, sf), "30 minutes", "15 minutes", ["hostname"])
+    counted = live.sliding_counts(event_stream(spark, sf), "30 minutes", "15 minutes", ["hostname"], SLACK)
     drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
     return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
 
@@ -64,7 +72,7 @@ def stream_upsert(spark, sf):
     # the drained stream is started again on the same marks and on fresh ones: neither changes the table
     path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
     for place in (marks, marks, scratch(spark, "stream-marks")):
-        counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
+        counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"], SLACK)
         drained(live.stream_upsert(counted, path, place, ["window_start", "hostname"]))
     return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
 
@@ -79,7 +87,7 @@ SELECT {plain('t')} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count
 )
 def late_slack(spark, sf):
     path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
-    counted = live.tumbling_counts(live.snapped(event_stream(spark, sf), 15), 15, ["hostname"])
+    counted = live.tumbling_counts(live.snapped(event_stream(spark, sf), 15), 15, ["hostname"], SLACK)
     drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
     return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
 
@@ -105,7 +113,7 @@ FROM w, closed WHERE least(c / 500, 1.0) > 0.4 AND s + INTERVAL 6 HOUR <= mark""
 )
 def incremental_detect(spark, sf):
     path, marks = scratch(spark, "alerts-table"), scratch(spark, "stream-marks")
-    counted = live.tumbling_counts(event_stream(spark, sf), 360, ["hostname"])
+    counted = live.tumbling_counts(event_stream(spark, sf), 360, ["hostname"], SLACK)
     drained(live.incremental_detect(counted, window_score, 0.4, path, marks))
     return spark.read.parquet(path).select("window_id", "hostname", "predicted_label", "confidence")
 
@@ -118,18 +126,54 @@ WHERE ts >= TIMESTAMP '2024-01-15' OR hostname = 'host-1' GROUP BY 1, 2"""),
 )
 def stream_retention(spark, sf):
     path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
-    counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
+    counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"], SLACK)
     drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
     live.drop_expired_days(spark, path, "2024-01-15", lookups.host_list(spark, ["host-1"]))
     return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
 
 
-@query("run_progress", "SELECT count(*) AS input_rows, 1 AS batches FROM events")
-def run_progress(spark, sf):
-    path, marks = scratch(spark, "stream-table"), scratch(spark, "stream-marks")
-    counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"])
-    done = drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
-    progress = live.run_progress(done).where("input_rows > 0")
-    return progress.agg(F.sum("input_rows").alias("input_rows"), F.count(F.lit(1)).cast("int").alias("batches"))
+@query(
+    "stream_new_checkpoint",
+    with_ctes("tele", f"""
+SELECT {plain(wstart('ts', 1440))} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count FROM tele GROUP BY 1, 2"""),
+)
+def stream_new_checkpoint(spark, sf):
+    # a first run stores half of the counts, over several batches; a second one, whose batches count from 0 again, corrects them
+    arrivals, path = scratch(spark, "arrivals"), scratch(spark, "stream-table")
+    raw = table(spark, sf, "events")
+    raw.repartitionByRange(3, "ts").write.parquet(arrivals)
+    halves = projected(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)).withColumn("count", F.col("count") - F.floor(F.col("count") / 2))
+    for stream in (halves, event_stream(spark, sf)):
+        counted = live.tumbling_counts(stream, 1440, ["hostname"], "60 days")
+        drained(live.stream_upsert(counted, path, scratch(spark, "stream-marks"), ["window_start", "hostname"]))
+    return texts(spark.read.parquet(path), "window_start").select("window_start", "hostname", "count")
 
 
+@query(
+    "stream_late_rows",
+    with_ctes("tele", f"""
+SELECT {plain(wstart('ts', 1440))} AS window_start, hostname, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS n_rows FROM tele GROUP BY 1, 2"""),
+)
+def stream_late_rows(spark, sf):
+    # the table arrives newest rows first, one file per batch, and the drained stream is started again
+    arrivals, path, marks = (scratch(spark, name) for name in ("arrivals", "stream-table", "stream-marks"))
+    raw = table(spark, sf, "events")
+    raw.repartitionByRange(4, F.desc("ts")).sortWithinPartitions(F.desc("ts")).write.parquet(arrivals)
+    for _ in range(2):
+        source = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+        drained(live.store_counts(projected(source), path, marks, 1440, ["hostname"]))
+    return texts(live.stored_counts(spark, path, ["hostname"]), "window_start").select("window_start", "hostname", "count", "n_rows")
+
+
+@query("run_progress", "SELECT count(*) AS input_rows FROM events")
+def run_progress(spark, sf):
+    path, marks, log = scratch(spark, "stream-table"), scratch(spark, "stream-marks"), live.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        counted = live.tumbling_counts(event_stream(spark, sf), 1440, ["hostname"], SLACK)
+        done = drained(live.stream_upsert(counted, path, marks, ["window_start", "hostname"]))
+        while not any(r[0] == str(done.id) and r[1] in ("finished", "failed") for r in log.rows):
+            time.sleep(0.05)  # the listener is told after the stream has ended
+    finally:
+        spark.streams.removeListener(log)
+    return live.run_progress(spark, log, done).agg(F.sum("input_rows").alias("input_rows"))

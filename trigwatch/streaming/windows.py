@@ -6,8 +6,10 @@ while it is in a stream and written back as TIMESTAMP_NTZ.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -16,26 +18,30 @@ from trigwatch.functions import cleaning, timing
 from trigwatch.operators import store
 from trigwatch.operators.ranking import detect
 
-# Fixed value: slack the ingest allows for clock skew.
-LATE_SLACK = "45 seconds"
+def stream_time(df: DataFrame, slack: str) -> DataFrame:
+    """Event time with a watermark. Rows later than ``slack`` never reach a stateful window;
+    ``store_counts`` keeps no state and takes rows of any age."""
+    return df.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", slack)
 
 
-def stream_time(df: DataFrame, slack: str = LATE_SLACK) -> DataFrame:
-    return df.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", slack)
+def _watermarked(events: DataFrame, slack: str | None) -> DataFrame:
+    if not events.isStreaming:
+        return events
+    if slack is None:
+        raise ValueError("a stream needs a slack: say how late its rows may be")
+    return stream_time(events, slack)
 
 
-def tumbling_counts(events: DataFrame, size_minutes: int, keys: Sequence[str], slack: str = LATE_SLACK) -> DataFrame:
+def tumbling_counts(events: DataFrame, size_minutes: int, keys: Sequence[str], slack: str | None = None) -> DataFrame:
     """Rule counts per window and keys; works on a stream and on a table alike."""
-    if events.isStreaming:
-        events = stream_time(events, slack)
+    events = _watermarked(events, slack)
     slot = F.window("timestamp", f"{size_minutes} minutes")
     return _flat(events.groupBy(slot, *keys).agg(*_sums()), keys)
 
 
-def sliding_counts(events: DataFrame, length: str, step: str, keys: Sequence[str], slack: str = LATE_SLACK) -> DataFrame:
+def sliding_counts(events: DataFrame, length: str, step: str, keys: Sequence[str], slack: str | None = None) -> DataFrame:
     """Overlapping windows: every event counts in each window that covers it."""
-    if events.isStreaming:
-        events = stream_time(events, slack)
+    events = _watermarked(events, slack)
     return _flat(events.groupBy(F.window("timestamp", length, step), *keys).agg(*_sums()), keys)
 
 
@@ -60,21 +66,50 @@ def snapped(events: DataFrame, size: int, tolerance_seconds: int = 5) -> DataFra
     return events.withColumn("timestamp", timing.snap_window(F.col("timestamp").cast("timestamp_ntz"), size, tolerance_seconds))
 
 
-def upsert_sink(path: str, keys: Sequence[str], partition_time: str, merge: str = "replace", add: Sequence[str] = ()) -> Callable:
-    """Batch writer that replaces rows by key; the batch number is the version, so a batch
-    that is replayed after a failure changes nothing."""
+def upsert_sink(path: str, keys: Sequence[str], partition_time: str) -> Callable:
+    """Batch writer that replaces rows by key. The version is the start of the run, then the
+    batch number: a replayed batch changes nothing, and a later run wins over an earlier one
+    also if its checkpoint, and with it the batch number, begins anew."""
+    started = int(time.time() * 1000) * 1_000_000
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # written once: the merge reads the batch twice, and its state should be updated once
         dated = store.cut_lineage(
-            batch.withColumns({"version": F.lit(batch_id).cast("bigint"), "window_date": F.to_date(partition_time)})
+            batch.withColumns({"version": F.lit(started + batch_id).cast("bigint"), "window_date": F.to_date(partition_time)})
         )
         if not dated.isEmpty():
-            store.upsert_table(dated, path, keys, "version", merge=merge, add=add)
+            store.upsert_table(dated, path, keys, "version")
 
     return write
 
 
+def store_counts(
+    events: DataFrame, path: str, checkpoint: str, size_minutes: int, keys: Sequence[str], once: bool = True, interval: str = "15 minutes"
+) -> StreamingQuery:
+    """Window counts of a stream in which rows may be late by any time: none is dropped.
+
+    Each batch is summed by itself and stored as a contribution under its checkpoint and batch
+    number, so a replay counts once; ``stored_counts`` adds the contributions up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = tumbling_counts(batch, size_minutes, keys)
+        dated = store.cut_lineage(
+            counted.withColumns({"source": F.lit(checkpoint), "version": F.lit(batch_id).cast("bigint"), "window_date": F.to_date("window_start")})
+        )
+        if not dated.isEmpty():
+            store.upsert_table(dated, path, ["window_start", "window_end", *keys, "source"], "version", merge="sum")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def stored_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The window counts that ``store_counts`` has stored so far."""
+    return spark.read.parquet(path).groupBy("window_start", "window_end", *keys).agg(*[F.sum(c).alias(c) for c in ("count", "log_count", "n_rows")])
+
+
 def stream_upsert(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition_time: str = "window_start",
     once: bool = True, interval: str = "15 minutes",
@@ -112,18 +147,20 @@ def incremental_detect(
     return writer.start()
 
 
+def _folder(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and "://" not in path else path)
+
+
 def drop_expired_days(spark: SparkSession, path: str, cutoff: str, keep_hosts: DataFrame | None = None, partition: str = "window_date") -> int:
     """Delete day folders older than the cutoff date; days with protected hosts keep those rows.
 
     Works on the folder listing (one entry per day), never on the rows of expired days
     unless hosts are protected.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    system, root = _folder(path)
+    if system.get_file_info(root).type != fs.FileType.Directory:
         return 0
-    days = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    days = [f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory]
     old = [d for d in days if d.startswith(f"{partition}=") and d.split("=", 1)[1] < cutoff]
     kept: set[str] = set()
     if old and keep_hosts is not None:
@@ -134,7 +171,7 @@ def drop_expired_days(spark: SparkSession, path: str, cutoff: str, keep_hosts: D
     dropped = 0
     for day in old:
         if day not in kept:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{day}"), True)
+            system.delete_dir(f"{root}/{day}")
             dropped += 1
     return dropped
 
@@ -164,11 +201,6 @@ class ProgressLog(StreamingQueryListener):
         )
 
 
-def run_progress(query: StreamingQuery) -> DataFrame:
-    """Progress of one query as rows (a bounded recent history)."""
-    rows = [
-        (str(p.id), p.batchId, p.timestamp, p.numInputRows, p.eventTime.get("min"), p.eventTime.get("max"), p.eventTime.get("watermark"))
-        for p in query.recentProgress
-    ]
-    schema = "query STRING, batch_id BIGINT, at STRING, input_rows BIGINT, first_event STRING, last_event STRING, watermark STRING"
-    return SparkSession.getActiveSession().createDataFrame(rows, schema)
+def run_progress(spark: SparkSession, log: ProgressLog, query: StreamingQuery) -> DataFrame:
+    """Every progress event of one query, from a listener that was added before it started."""
+    return log.table(spark).where((F.col("query") == str(query.id)) & (F.col("state") == "progress"))
