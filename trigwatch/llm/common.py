@@ -8,10 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigwatch.llm.files import delete_folder
 from trigwatch.session import ensure_checkpoint_dir
 
 #: a group is hot when it holds more than one row in so many; there are fewer hot groups than this
 HOT_SHARE = 200
+#: rows that a Python worker gets at a time
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +26,37 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: it is computed once, and a
     lost executor costs no more than its own tasks."""
-    path = shared_folder(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator stores on its way, in one shared folder that goes when it is done."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.folder = shared_folder(spark, name)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.folder)
+
+    def clear(self) -> None:
+        delete_folder(self.folder)
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands at most ``BATCH_ROWS`` rows to a Python worker at
+    a time (Spark itself bounds the bytes): rows with texts are long, and workers keep the
+    memory that their largest batch took."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front until none is a column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -47,6 +73,14 @@ def filled(text: str = "text") -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
+def hash_sample(df: DataFrame, text: str, n: int, most_chars: int = 1 << 15) -> list[str]:
+    """``n`` distinct texts in hash order, at most ``most_chars`` of each; only hashes are sorted."""
+    keyed = df.select(F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    chosen = keyed.select("at").distinct().orderBy("at").limit(n)
+    found = keyed.join(F.broadcast(chosen), "at").dropDuplicates(["at"]).select("at", F.substring("text", 1, most_chars))
+    return [r[1] for r in sorted(found.collect())]
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Sequence[str]) -> DataFrame:
     """Left join of ``rows`` with ``groups`` (one row per ``key``, which has ``size`` rows) that
     no large group can slow down.

@@ -25,6 +25,12 @@ def new_file(folder: str, part: int, suffix: str):
     return path, system.open_output_stream(inner, compression=None)
 
 
+def delete_folder(path: str) -> None:
+    system, inner = _at(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        system.delete_dir(inner)
+
+
 def open_file(path: str):
     """A seekable stream over the file."""
     system, inner = _at(path)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import filled, shared_folder, stored, table
+from trigwatch.llm.common import batched, filled, shared_folder, stored, table
 from trigwatch.llm.files import new_file, open_file
 from trigwatch.llm.registry import query
 
@@ -33,7 +33,7 @@ RARE_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.is
 LETTERS, AFTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r" \t\n\r!-&(-/:-@\[-`{-~"
 CHUNK = re.compile(rf"[ \t\n\r]*[{LETTERS}]+(?=[{AFTER}]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: chunks whose ids a worker remembers, and the longest of them
-CACHE_CHUNKS, CACHE_LENGTH = 700_000, 32
+CACHE_CHUNKS, CACHE_LENGTH = 500_000, 32
 
 
 class Encoder:
@@ -250,7 +250,7 @@ def write_ids(
             yield pa.RecordBatch.from_pydict({"shard": [part], "path": [path], "n_docs": [len(writer.ids)], "n_ids": [n]}, schema=schema)
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    return stored(rows.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "id-files")
+    return stored(batched(rows).mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "id-files")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
