@@ -83,19 +83,19 @@ def test_strict_count_rejects_separators(spark):
 
 @pytest.mark.parametrize(
     "name, want",
-    [("BOC_30012 x", "BOC_300xx"), ("BOC_303 y", "BOC_3xx"), ("BOC_30", "Uncategorized"), ("boc_303", "Uncategorized"), ("a BOC_303", "Uncategorized")],
+    [("ORB_70012 x", "ORB_700xx"), ("ORB_703 y", "ORB_7xx"), ("ORB_70", "Uncategorized"), ("orb_703", "Uncategorized"), ("a ORB_703", "Uncategorized")],
 )
 def test_family(spark, name, want):
-    patterns = [(r"^BOC_300\d{2}", "BOC_300xx"), (r"^BOC_3\d{2}", "BOC_3xx")]
+    patterns = [(r"^ORB_700\d{2}", "ORB_700xx"), (r"^ORB_7\d{2}", "ORB_7xx")]
     assert one(spark, naming.rule_family(F.lit(name), patterns)) == want
 
 
 @pytest.mark.parametrize(
     "name, feature, want",
-    [("BOC_1 Telemetry", "", 0), ("boc_1", "", 1), (None, "family_BOC_3xx", 1), ("x telemetry", "", 2), ("x", "rule_1", 3), (None, None, 3)],
+    [("ORB_1 Beacon", "", 0), ("orb_1", "", 1), (None, "family_ORB_7xx", 1), ("x beacon", "", 2), ("x", "rule_1", 3), (None, None, 3)],
 )
 def test_bucket(spark, name, feature, want):
-    got = one(spark, naming.priority_bucket(F.lit(name).cast("string"), F.lit(feature).cast("string"), "BOC_", "Telemetry"))
+    got = one(spark, naming.priority_bucket(F.lit(name).cast("string"), F.lit(feature).cast("string"), "ORB_", "Beacon"))
     assert got == want
 
 

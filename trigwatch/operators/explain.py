@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import PCA
-from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,11 +128,20 @@ def path_itemsets(
     return kept if top_k is None else kept.orderBy(F.desc("n_paths"), "itemset").limit(top_k)
 
 
-def cooccurring_rules(events: DataFrame, keys: Sequence[str], min_support: float, size: int = 2) -> DataFrame:
-    """Rule sets firing in the same window, by parallel FP-growth: no pair list is formed per window."""
-    baskets = events.select(*keys, "rule_id").distinct().groupBy(*keys).agg(F.collect_list("rule_id").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
-    return model.freqItemsets.where(F.size("items") == size).select(F.sort_array("items").alias("rules"), F.col("freq").alias("n_windows"))
+def cooccurring_rules(events: DataFrame, keys: Sequence[str], min_support: float) -> DataFrame:
+    """Pairs of rules that fire in at least ``min_support`` of the windows together.
+
+    A window has each rule of the catalogue once at most, so its pairs are bounded by the
+    catalogue, and equal pairs are counted map-side before they are shuffled. Only rules that
+    reach the support by themselves can be in such a pair.
+    """
+    fired = events.select(*keys, "rule_id").distinct()
+    least = F.ceil(fired.select(*keys).distinct().agg(F.count(F.lit(1))).scalar() * min_support)
+    frequent = fired.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("rule_id")
+    items = fired.join(frequent, "rule_id").groupBy(*keys).agg(F.sort_array(F.collect_list("rule_id")).alias("items"))
+    pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y))))
+    counted = items.select(F.explode(pairs).alias("rules")).groupBy("rules").agg(F.count(F.lit(1)).alias("n_windows"))
+    return counted.where(F.col("n_windows") >= least)
 
 
 def project_windows(df: DataFrame, k: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from itertools import product
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.errors import IllegalArgumentException
+from pyspark import StorageLevel
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -181,9 +184,10 @@ class AdaBoost:
         self.trees: list[tuple[Model, float]] = []
 
     def fit(self, df: DataFrame) -> "AdaBoost":
-        total = df.count()
-        current = cut_lineage(df.withColumn("weight", F.lit(1.0 / total)))
+        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        weights = cut_lineage(rows.select("_row", F.lit(1.0 / rows.count()).alias("weight")))
         for _ in range(self.rounds):
+            current = rows.join(weights, "_row")  # only row numbers and weights are written per round
             tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="weight", seed=SEED).fit(current)
             marked = tree.transform(current).withColumn("_wrong", (F.col("prediction") != F.col("label")).cast("double"))
             error = marked.agg(F.sum(F.col("weight") * F.col("_wrong")) / F.sum("weight")).first()[0]
@@ -196,7 +200,7 @@ class AdaBoost:
             self.trees.append((tree, alpha))
             raised = F.col("weight") * F.exp(F.lit(alpha) * F.col("_wrong"))
             norm = 1 + error * (math.exp(alpha) - 1)
-            current = cut_lineage(marked.withColumn("weight", raised / F.lit(norm)).select(*df.columns, "weight"))
+            weights = cut_lineage(marked.select("_row", (raised / F.lit(norm)).alias("weight")))
         if not self.trees:
             raise ValueError("the first tree is no better than chance")
         return self
@@ -259,15 +263,27 @@ class ExtraTrees:
 
 
 def fit_kmeans(df: DataFrame, k: int = 8, restarts: int = 10, rounds: int = 300, tolerance: float = 1e-4):
-    """Best of several starts by training cost."""
-    models = [
-        KMeans(k=k, maxIter=rounds, tol=tolerance, seed=SEED + i, initMode="k-means||").fit(df) for i in range(restarts)
-    ]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    """Best of several starts by training cost; the input is computed once for all of them."""
+    with kept(df.select("features")) as rows:
+        models = [
+            KMeans(k=k, maxIter=rounds, tol=tolerance, seed=SEED + i, initMode="k-means||").fit(rows) for i in range(restarts)
+        ]
+        return min(models, key=lambda m: m.summary.trainingCost)
+
+
+@contextmanager
+def kept(df: DataFrame):
+    """The rows held in memory and on disk while a fit goes over them again and again."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
 
 
 def fit_gmm(df: DataFrame, k: int = 8, rounds: int = 100, tolerance: float = 1e-3):
-    return GaussianMixture(k=k, maxIter=rounds, tol=tolerance, seed=SEED).fit(df)
+    with kept(df.select("features")) as rows:
+        return GaussianMixture(k=k, maxIter=rounds, tol=tolerance, seed=SEED).fit(rows)
 
 
 def gmm_criteria(model, df: DataFrame, dimension: int) -> DataFrame:
@@ -288,20 +304,35 @@ def cluster_centers(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "cluster INT, center ARRAY<DOUBLE>")
 
 
+CLUSTERERS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}
+
+
 def search_clusters(df: DataFrame, grid: Sequence[Mapping], rounds: int = 50) -> tuple[object, list[dict]]:
-    """Best silhouette over a grid of k-means settings; a setting that fails is skipped."""
+    """Best silhouette over a grid of settings; ``model`` names the clusterer (k-means if absent).
+
+    A setting that the clusterer refuses is reported and skipped; any other failure ends the search.
+    """
     evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
     tried, best, best_score = [], None, -math.inf
-    for params in grid:
-        try:
-            model = KMeans(maxIter=rounds, seed=SEED, **params).fit(df)
-            value = evaluator.evaluate(model.transform(df))
-        except Exception as failed:
-            tried.append({**params, "silhouette": None, "error": str(failed)})
-            continue
-        tried.append({**params, "silhouette": value, "error": None})
-        if value > best_score:
-            best, best_score = model, value
+    with kept(df) as rows:
+        for params in grid:
+            chosen = {"maxIter": rounds, "seed": SEED} | {k: v for k, v in params.items() if k != "model"}
+            try:
+                clusterer = CLUSTERERS[params.get("model", "kmeans")](**chosen)
+            except (TypeError, ValueError, KeyError, IllegalArgumentException) as refused:
+                tried.append({**params, "silhouette": None, "error": str(refused)})
+                continue
+            try:
+                model = clusterer.fit(rows)
+            except IllegalArgumentException as refused:
+                tried.append({**params, "silhouette": None, "error": str(refused)})
+                continue
+            found = model.transform(rows)
+            # one cluster only has no silhouette
+            value = evaluator.evaluate(found) if found.agg(F.count_distinct("prediction")).first()[0] > 1 else None
+            tried.append({**params, "silhouette": value, "error": None})
+            if value is not None and value > best_score:
+                best, best_score = model, value
     return best, tried
 
 

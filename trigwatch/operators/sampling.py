@@ -11,8 +11,12 @@ from trigwatch.functions.ordering import ranked_within
 
 
 def shuffle_order(key: str, seed: int | None) -> list[Column]:
-    """Row order of a shuffle: by hash of key and seed, or by key for a fixed order."""
-    return [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    """Row order of a shuffle: by md5 of key and seed (the same in any engine), or by key for a fixed order."""
+    return [F.col(key)] if seed is None else [shuffled(key, seed), F.col(key)]
+
+
+def shuffled(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int | None = 42) -> DataFrame:
@@ -34,7 +38,7 @@ def _order_names(seed: int | None) -> Sequence[str]:
 
 
 def _with_order(df: DataFrame, key: str, seed: int | None) -> DataFrame:
-    return df if seed is None else df.withColumn("_shuffle", F.xxhash64(F.col(key), F.lit(seed)))
+    return df if seed is None else df.withColumn("_shuffle", shuffled(key, seed))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int | None = 42) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,15 +109,17 @@ def entries_to_array(entries: Column, dimension: int) -> Column:
 
 
 def to_vectors(long: DataFrame, keys: Sequence[str], dimension: int, output: str = "features") -> DataFrame:
-    """One ML vector per keys. A group holds at most ``dimension`` entries; rows without a
-    position only keep their group, which may become all zeros."""
+    """One ML vector per keys, sparse where that is smaller. A group holds at most
+    ``dimension`` entries; rows without a position only keep their group, which may become all
+    zeros."""
     entry = F.when(F.col("feature_idx").isNotNull(), F.struct("feature_idx", "value"))
-    return (
+    wide = (
         long.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # collect_list skips nulls
-        .withColumn(output, array_to_vector(entries_to_array(F.col("_entries"), dimension)))
-        .drop("_entries")
+        .withColumn("_dense", array_to_vector(entries_to_array(F.col("_entries"), dimension)))
     )
+    # the assembler compresses what it puts out, so nothing dense leaves the row's own task
+    return VectorAssembler(inputCols=["_dense"], outputCol=output).transform(wide).drop("_entries", "_dense")
 
 
 def vectorize(

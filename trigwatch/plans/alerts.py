@@ -69,9 +69,9 @@ def prioritize_topk_strict(spark, sf):
     return found.select("vec_id", F.col("feature_idx").cast("bigint").alias("pos"), F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
-BUCKET = """CASE WHEN (lower(coalesce(name, '')) LIKE 'boc^_%' ESCAPE '^' OR lower(feature) LIKE 'family^_boc^_%' ESCAPE '^') AND lower(coalesce(name, '')) LIKE '%telemetry%' THEN 0
-  WHEN lower(coalesce(name, '')) LIKE 'boc^_%' ESCAPE '^' OR lower(feature) LIKE 'family^_boc^_%' ESCAPE '^' THEN 1
-  WHEN lower(coalesce(name, '')) LIKE '%telemetry%' THEN 2 ELSE 3 END"""
+BUCKET = """CASE WHEN (lower(coalesce(name, '')) LIKE 'orb^_%' ESCAPE '^' OR lower(feature) LIKE 'family^_orb^_%' ESCAPE '^') AND lower(coalesce(name, '')) LIKE '%beacon%' THEN 0
+  WHEN lower(coalesce(name, '')) LIKE 'orb^_%' ESCAPE '^' OR lower(feature) LIKE 'family^_orb^_%' ESCAPE '^' THEN 1
+  WHEN lower(coalesce(name, '')) LIKE '%beacon%' THEN 2 ELSE 3 END"""
 
 
 @query(
@@ -116,11 +116,11 @@ def importances(spark, sf):
 @query(
     "importance_top10",
     with_ctes("tele cat", f"""
-WITH {IMPORTANCE} SELECT rule_id, importance, CASE WHEN lower(name) LIKE '%boc%' THEN 1 ELSE 0 END AS prior FROM imp WHERE importance > 0
+WITH {IMPORTANCE} SELECT rule_id, importance, CASE WHEN lower(name) LIKE '%orb%' THEN 1 ELSE 0 END AS prior FROM imp WHERE importance > 0
 ORDER BY 3 DESC, importance DESC, feature_idx LIMIT 10"""),
 )
 def importance_top10(spark, sf):
-    return ranking.importance_top(importances(spark, sf), 10, ["boc", "behavior of compromise", "behaviordefinition"]).select("rule_id", "importance", "prior")
+    return ranking.importance_top(importances(spark, sf), 10, ["orb", "odd pairing", "driftpattern"]).select("rule_id", "importance", "prior")
 
 
 @query("top_n_importance", with_ctes("tele cat", f"WITH {IMPORTANCE} SELECT rule_id, importance FROM imp ORDER BY importance DESC, rule_id LIMIT 20"))

@@ -227,19 +227,19 @@ def rule_family(spark, sf):
     )
 
 
-BUCKET_SQL = """CASE WHEN (lower(name) LIKE 'boc\\_%' ESCAPE '\\' OR feature LIKE 'family\\_boc\\_%' ESCAPE '\\') AND lower(name) LIKE '%telemetry%' THEN 0
-  WHEN lower(name) LIKE 'boc\\_%' ESCAPE '\\' OR feature LIKE 'family\\_boc\\_%' ESCAPE '\\' THEN 1
-  WHEN lower(name) LIKE '%telemetry%' THEN 2 ELSE 3 END"""
+BUCKET_SQL = """CASE WHEN (lower(name) LIKE 'orb\\_%' ESCAPE '\\' OR feature LIKE 'family\\_orb\\_%' ESCAPE '\\') AND lower(name) LIKE '%beacon%' THEN 0
+  WHEN lower(name) LIKE 'orb\\_%' ESCAPE '\\' OR feature LIKE 'family\\_orb\\_%' ESCAPE '\\' THEN 1
+  WHEN lower(name) LIKE '%beacon%' THEN 2 ELSE 3 END"""
 
 
 @query(
     "priority_bucket",
     with_ctes("cat", f"""
-WITH f AS (SELECT rule_id, name, CASE WHEN rule_id % 6 = 0 THEN 'family_boc_3xx' ELSE 'rule_' || CAST(rule_id AS VARCHAR) END AS feature FROM cat)
+WITH f AS (SELECT rule_id, name, CASE WHEN rule_id % 6 = 0 THEN 'family_orb_3xx' ELSE 'rule_' || CAST(rule_id AS VARCHAR) END AS feature FROM cat)
 SELECT rule_id, {BUCKET_SQL} AS bucket FROM f"""),
 )
 def priority_bucket(spark, sf):
-    feature = F.when(F.col("rule_id") % 6 == 0, "family_BOC_3xx").otherwise(F.concat(F.lit("rule_"), F.col("rule_id").cast("string")))
+    feature = F.when(F.col("rule_id") % 6 == 0, "family_ORB_7xx").otherwise(F.concat(F.lit("rule_"), F.col("rule_id").cast("string")))
     return catalog(spark, sf).select("rule_id", naming.priority_bucket(F.col("name"), feature, PREFIX, KEYWORD).alias("bucket"))
 
 

@@ -19,7 +19,7 @@ def families(spark, sf):
 
 
 def raw_ids(spark, sf):
-    """Telemetry whose ids are still in the test environment's numbering for every third event."""
+    """Beacon whose ids are still in the test environment's numbering for every third event."""
     rule = F.when(F.col("event_id") % 3 == 0, F.col("rule_id") + 100000).otherwise(F.col("rule_id"))
     return telemetry(spark, sf).withColumn("rule_id", rule)
 
@@ -132,8 +132,8 @@ def alert_features(spark, sf):
     ).where("top > 100")
     feature = F.explode(
         F.array(
-            F.struct(F.lit("family_BOC_3xx").alias("feature"), (F.col("top") / 100).alias("importance")),
-            F.struct(F.lit("family_BOC_300xx").alias("feature"), (F.col("top") / 200).alias("importance")),
+            F.struct(F.lit("family_ORB_7xx").alias("feature"), (F.col("top") / 100).alias("importance")),
+            F.struct(F.lit("family_ORB_700xx").alias("feature"), (F.col("top") / 200).alias("importance")),
             F.struct(F.lit("family_other").alias("feature"), (F.col("top") / 300).alias("importance")),
             F.struct(F.concat(F.lit("rule_"), F.col("low_rule").cast("string")).alias("feature"), (F.col("top") / 400).alias("importance")),
         )
@@ -147,8 +147,8 @@ def window_rules(spark, sf):
 
 ALERT_FEATURES = f"""wr AS (SELECT {wid('ts', 1440)} AS window_id, hostname, rule_id, sum(cnt) AS cnt, max(value) AS top FROM tele GROUP BY ALL),
 alerts AS (SELECT window_id, hostname, max(top) AS top, min(rule_id) AS low_rule FROM wr GROUP BY ALL HAVING max(top) > 100),
-feats AS (SELECT window_id, hostname, 'family_BOC_3xx' AS feature, 'BOC_3xx' AS family, NULL AS own, top / 100 AS importance FROM alerts
-  UNION ALL SELECT window_id, hostname, 'family_BOC_300xx', 'BOC_300xx', NULL, top / 200 FROM alerts
+feats AS (SELECT window_id, hostname, 'family_ORB_7xx' AS feature, 'ORB_7xx' AS family, NULL AS own, top / 100 AS importance FROM alerts
+  UNION ALL SELECT window_id, hostname, 'family_ORB_700xx', 'ORB_700xx', NULL, top / 200 FROM alerts
   UNION ALL SELECT window_id, hostname, 'family_other', 'other', NULL, top / 300 FROM alerts
   UNION ALL SELECT window_id, hostname, 'rule_' || CAST(low_rule AS VARCHAR), NULL, low_rule, top / 400 FROM alerts)"""
 

@@ -88,7 +88,7 @@ def naive_bayes_sql(spark, sf):
 
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf):
-    """Telemetry to report: windows, vectors, split, forest, held-out figures."""
+    """Beacon to report: windows, vectors, split, forest, held-out figures."""
     key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
     rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
     parts = sampling.stratified_split(rows, "label", "key")

@@ -15,8 +15,8 @@ from trigwatch.functions import timing
 from trigwatch.session import ensure_checkpoint_dir
 
 # Arguments of the operators under test: name prefix, keyword, marker and family patterns.
-PREFIX, KEYWORD, MARKER = "BOC_", "Telemetry", "BOC_OfficeHour"
-FAMILY_PATTERNS = ((r"^BOC_300\d{2}", "BOC_300xx"), (r"^BOC_3\d{2}", "BOC_3xx"))
+PREFIX, KEYWORD, MARKER = "ORB_", "Beacon", "ORB_NightShift"
+FAMILY_PATTERNS = ((r"^ORB_700\d{2}", "ORB_700xx"), (r"^ORB_7\d{2}", "ORB_7xx"))
 
 PLAIN = "yyyy-MM-dd HH:mm:ss"
 
@@ -58,11 +58,11 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey") % 20
     key = F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")
     name = (
-        F.when(k < 5, F.concat(F.lit("BOC_3"), key, F.lit(" "), "p_name"))
-        .when(k < 7, F.concat(F.lit("BOC_300"), key, F.lit(" "), "p_name"))
-        .when(k < 9, F.concat(F.lit("Telemetry "), "p_name"))
-        .when(k == 9, F.concat(F.lit("BOC_309 "), "p_name", F.lit(" Telemetry")))
-        .when(k == 10, F.concat(F.lit("BOC_OfficeHour "), "p_name"))
+        F.when(k < 5, F.concat(F.lit("ORB_7"), key, F.lit(" "), "p_name"))
+        .when(k < 7, F.concat(F.lit("ORB_700"), key, F.lit(" "), "p_name"))
+        .when(k < 9, F.concat(F.lit("Beacon "), "p_name"))
+        .when(k == 9, F.concat(F.lit("ORB_709 "), "p_name", F.lit(" Beacon")))
+        .when(k == 10, F.concat(F.lit("ORB_NightShift "), "p_name"))
         .otherwise(F.col("p_name"))
     )
     return (
@@ -195,17 +195,17 @@ SELECT event_id, user_id, event_type, value, 'host-' || CAST(user_id % 5 AS VARC
 FROM events""",
     "cat": """
 SELECT 100000 + p_partkey AS rule_id,
-  CASE WHEN p_partkey % 20 < 5 THEN 'BOC_3' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || ' ' || p_name
-       WHEN p_partkey % 20 < 7 THEN 'BOC_300' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || ' ' || p_name
-       WHEN p_partkey % 20 < 9 THEN 'Telemetry ' || p_name
-       WHEN p_partkey % 20 = 9 THEN 'BOC_309 ' || p_name || ' Telemetry'
-       WHEN p_partkey % 20 = 10 THEN 'BOC_OfficeHour ' || p_name
+  CASE WHEN p_partkey % 20 < 5 THEN 'ORB_7' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || ' ' || p_name
+       WHEN p_partkey % 20 < 7 THEN 'ORB_700' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || ' ' || p_name
+       WHEN p_partkey % 20 < 9 THEN 'Beacon ' || p_name
+       WHEN p_partkey % 20 = 9 THEN 'ORB_709 ' || p_name || ' Beacon'
+       WHEN p_partkey % 20 = 10 THEN 'ORB_NightShift ' || p_name
        ELSE p_name END AS name,
   p_type AS type, p_size % 2 = 0 AS enabled, p_brand AS origin
 FROM part WHERE p_partkey % 20 <> 19""",
     "fam": """
-SELECT rule_id, name, CASE WHEN regexp_matches(name, '^BOC_300[0-9]{2}') THEN 'BOC_300xx'
-  WHEN regexp_matches(name, '^BOC_3[0-9]{2}') THEN 'BOC_3xx' ELSE 'Uncategorized' END AS family
+SELECT rule_id, name, CASE WHEN regexp_matches(name, '^ORB_700[0-9]{2}') THEN 'ORB_700xx'
+  WHEN regexp_matches(name, '^ORB_7[0-9]{2}') THEN 'ORB_7xx' ELSE 'Uncategorized' END AS family
 FROM cat""",
     "idmap": """
 SELECT 200000 + p_partkey AS uat_rule_id, 100000 + p_partkey AS prod_rule_id, 'prod ' || p_name AS rule_name

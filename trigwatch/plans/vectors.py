@@ -155,39 +155,31 @@ def class_weights(spark, sf):
 @query(
     "stratified_split",
     with_ctes("scores", """
-SELECT event_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY event_id) <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM scores"""),
+SELECT event_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id), event_id) <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM scores"""),
 )
 def stratified_split(spark, sf):
-    return sampling.stratified_split(scores(spark, sf), "label", "event_id", seed=None).select("event_id", "label", "split")
+    return sampling.stratified_split(scores(spark, sf), "label", "event_id").select("event_id", "label", "split")
 
 
 @query(
     "stratified_folds",
-    with_ctes("scores", "SELECT event_id, label, (row_number() OVER (PARTITION BY label ORDER BY event_id) - 1) % 5 AS fold FROM scores"),
+    with_ctes("scores", "SELECT event_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id), event_id) - 1) % 5 AS fold FROM scores"),
 )
 def stratified_folds(spark, sf):
-    dealt = sampling.stratified_folds(scores(spark, sf), "label", "event_id", seed=None)
+    dealt = sampling.stratified_folds(scores(spark, sf), "label", "event_id")
     return dealt.select("event_id", "label", F.col("fold").cast("bigint").alias("fold"))
 
 
-@query("sample_rows", "SELECT event_id, value FROM events ORDER BY event_id LIMIT 100")
+@query("sample_rows", "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 100")
 def sample_rows(spark, sf):
-    return sampling.sample_rows(table(spark, sf, "events"), 100, "event_id", seed=None).select("event_id", "value")
-
-
-@query(
-    "sample_rows_shuffled",
-    None,
-)
-def sample_rows_shuffled(spark, sf):
     return sampling.sample_rows(table(spark, sf, "events"), 100, "event_id").select("event_id", "value")
 
 
-@query("save_background", with_ctes("scores", "SELECT event_id, score FROM scores WHERE label = 0 ORDER BY event_id LIMIT 50"))
+@query("save_background", with_ctes("scores", "SELECT event_id, score FROM scores WHERE label = 0 ORDER BY md5('42:' || event_id), event_id LIMIT 50"))
 def save_background(spark, sf):
     from trigwatch.operators.store import save_table
     from trigwatch.plans.tables import scratch
 
     path = scratch(spark, "background")
-    save_table(sampling.background_rows(scores(spark, sf), 50, "event_id", seed=None), path)
+    save_table(sampling.background_rows(scores(spark, sf), 50, "event_id"), path)
     return spark.read.parquet(path).select("event_id", "score")
