@@ -205,13 +205,12 @@ def label_distribution(spark, sf):
 @query(
     "ordered_query",
     with_ctes("tele", f"""
-SELECT {plain(wstart('ts', 120))} AS bucket, hostname, rule_id, CAST(sum(cnt) AS BIGINT) AS count FROM tele
-WHERE hostname = 'host-1' GROUP BY 1, 2, 3"""),
+SELECT {plain(wstart('ts', 120))} AS bucket, hostname, rule_id, CAST(sum(cnt) AS BIGINT) AS count FROM tele GROUP BY 1, 2, 3"""),
 )
 def ordered_query(spark, sf):
     from trigwatch.operators.store import ordered_export
 
-    rows = agg.reaggregate(small_windows(spark, sf).where("hostname = 'host-1'"), 120)
+    rows = agg.reaggregate(small_windows(spark, sf), 120)
     return texts(ordered_export(rows), "bucket").select("bucket", "hostname", "rule_id", "count")
 
 

@@ -88,7 +88,7 @@ def naive_bayes_sql(spark, sf):
 
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf):
-    """Beacon to report: windows, vectors, split, forest, held-out figures."""
+    """Telemetry to report: windows, vectors, split, forest, held-out figures."""
     key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
     rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
     parts = sampling.stratified_split(rows, "label", "key")
@@ -97,12 +97,15 @@ def train_and_evaluate(spark, sf):
     return metrics.evaluate(held_out.select(F.col("label").cast("int").alias("label"), F.col("probability").alias("score")))
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT vec_id, CASE WHEN label = 3 THEN 1 ELSE 0 END AS label, 1 AS same FROM embeddings")
 def save_load_model(spark, sf):
     train, everything = split(spark, sf)
     path = scratch(spark, "model")
-    models.save_model(models.fit_classifier(models.logistic(train.count(), rounds=50), train), path)
-    return scored(models.load_model(path), everything)
+    fitted = models.fit_classifier(models.logistic(train.count(), rounds=50), train)
+    models.save_model(fitted, path)
+    before = models.score(fitted, everything).select("vec_id", "label", F.col("probability").alias("before"))
+    after = models.score(models.load_model(path), everything).select("vec_id", F.col("probability").alias("after"))
+    return before.join(after, "vec_id").select("vec_id", F.col("label").cast("int").alias("label"), (F.col("before") == F.col("after")).cast("int").alias("same"))
 
 
 @query("score_model")

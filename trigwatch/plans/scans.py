@@ -187,18 +187,39 @@ def search_events_to_windows(spark, sf):
     return agg.named(agg.host_rule_counts(agg.ingest_windows(events, 15))).select("window_id", "hostname", "rule_id", "count")
 
 
+@query(
+    "scan_any_docs",
+    with_ctes("tele", f"""
+WITH {MAJORITY},
+hr AS (SELECT {hstart('ts', 60)} AS w, hostname, rule_id, sum(cnt) AS cnt FROM tele GROUP BY ALL)
+SELECT strftime(w, '%Y-%m-%d_%H-%M-%S') AS window_id, hostname, source_ip, rule_id, CAST(cnt AS BIGINT) AS count FROM hr JOIN maj USING (w, hostname) WHERE cnt > 0
+UNION ALL SELECT 'd' || CAST(event_id AS VARCHAR), 'global', '0.0.0.0', CASE WHEN event_id % 2 = 0 THEN rule_id ELSE rule_id + 1 END, cnt FROM tele WHERE cnt > 0"""),
+)
+def scan_any_docs(spark, sf):
+    name = F.col("rule_id").cast("string")
+    flat = telemetry(spark, sf).select(
+        F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("_id"), F.col("timestamp").alias("window_start"),
+        F.when(F.col("event_id") % 2 == 0, F.create_map(name, "count")).alias("rule_counts"),
+        F.create_map((F.col("rule_id") + 1).cast("string"), "count").alias("features"),
+    )
+    mixed = window_docs(spark, sf).withColumns({"hostname": F.lit(None).cast("string"), "source_ip": F.lit(None).cast("string")})
+    return docs.scan_any_docs(mixed.unionByName(flat, allowMissingColumns=True)).select("window_id", "hostname", "source_ip", "rule_id", "count")
+
+
 @query(
     "scan_search_files",
     with_ctes("tele", "SELECT hostname, source_ip, rule_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n FROM tele GROUP BY ALL"),
 )
 def scan_search_files(spark, sf):
+    # an answer per host and day, each a file of several lines
     path = scratch(spark, "answers")
-    t = telemetry(spark, sf).select(
+    entry = F.struct(
         F.col("hostname").alias("sysmon_hostname (custom)"), F.col("source_ip").alias("Source IP"), F.col("rule_id").alias("Custom Rule"),
         timing.format_siem_ts(F.col("timestamp")).alias("Log Source Time (Minimum)"), F.col("count").alias("Count"),
     )
-    t.select(F.to_json(F.struct(F.array(F.struct(*[F.col(f"`{c}`") for c in t.columns])).alias("events")))).write.text(path)
-    read = docs.events_from_search(spark.read.schema(docs.SEARCH_RESULT).json(path))
+    answers = telemetry(spark, sf).groupBy("hostname", F.to_date("timestamp")).agg(F.collect_list(entry).alias("events"))
+    answers.select(F.to_json(F.struct("events"), {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
+    read = docs.scan_search_files(spark, path)
     return read.groupBy("hostname", "source_ip", "rule_id").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
@@ -233,7 +254,9 @@ def save_catalog(spark, sf):
 def scan_id_map(spark, sf):
     good = id_map(spark, sf).select(F.concat(F.lit(" "), F.col("uat_rule_id").cast("string")).alias("uat_rule_id"), F.col("prod_rule_id").cast("string"), "rule_name")
     bad = good.select("uat_rule_id", F.lit("n/a").alias("prod_rule_id"), "rule_name")
-    return cat.clean_id_map(good.unionByName(bad))
+    path = scratch(spark, "id-map")
+    good.unionByName(bad).write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").csv(path)
+    return cat.scan_id_map(spark, path)
 
 
 @query(
@@ -241,10 +264,12 @@ def scan_id_map(spark, sf):
     "SELECT 100000 + p_partkey AS rule_id, p_brand AS family FROM part",
 )
 def scan_family_overrides(spark, sf):
-    # one JSON object per part with its entry and a note, as the override file has
-    entry = F.create_map((100000 + F.col("p_partkey")).cast("string"), F.col("p_brand"), F.lit("comment"), F.lit("a note"))
-    text = table(spark, sf, "part").select(F.to_json(F.struct(entry.alias("family_mapping"))).alias("value"))
-    return cat.family_overrides(text)
+    # an override file per brand: its entries and a note
+    path = scratch(spark, "overrides")
+    entries = F.collect_list(F.struct((100000 + F.col("p_partkey")).cast("string"), F.col("p_brand")))
+    files = table(spark, sf, "part").groupBy("p_brand").agg(F.map_concat(F.map_from_entries(entries), F.create_map(F.lit("comment"), F.lit("a note"))).alias("family_mapping"))
+    files.select(F.to_json(F.struct("family_mapping"), {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
+    return cat.scan_family_overrides(spark, path)
 
 
 @query(

@@ -70,7 +70,7 @@ def family_overrides(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def scan_family_overrides(spark: SparkSession, path: str) -> DataFrame:
-    return family_overrides(spark.read.option("wholetext", "true").text(path))
+    return family_overrides(spark.read.text(path, wholetext=True))
 
 
 def rule_names(*sources: DataFrame) -> DataFrame:
