@@ -7,7 +7,9 @@ range-partitioned slices. No step sorts all rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions.ordering import running_totals
@@ -227,9 +229,17 @@ def search_scores(folds: DataFrame, weights: dict[str, float]) -> DataFrame:
     return mean_rows.withColumn("composite_score", composite)
 
 
-def search_rank(candidates: DataFrame, top: int = 10) -> DataFrame:
-    """Best candidates of a search."""
-    return candidates.orderBy(F.desc("composite_score"), "candidate").limit(top)
+def search_rank(candidates: DataFrame, top: int | None = None) -> DataFrame:
+    """Candidates of a search, best first; with ``top`` only so many. Candidates are as few as the settings tried."""
+    ranked = candidates.orderBy(F.desc("composite_score"), "candidate")
+    return ranked if top is None else ranked.limit(top)
+
+
+def search_ranks(scores: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """``search_scores`` with the rank of each candidate by every metric and by the weighted sum
+    (1 is best, equal scores share a rank)."""
+    names = [*[f"mean_{m}" for m in weights], "composite_score"]
+    return scores.withColumns({f"rank_{n.removeprefix('mean_')}": F.rank().over(Window.orderBy(F.desc(n))) for n in names})
 
 
 def evaluate(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

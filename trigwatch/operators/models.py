@@ -25,6 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trigwatch.functions.naming import FAMILY_PREFIX, RULE_PREFIX
 from trigwatch.operators import metrics
 from trigwatch.operators.vectors import class_weights
 from trigwatch.session import cut_lineage, settled
@@ -390,7 +391,7 @@ def cv_results(spark, search_model) -> DataFrame:
     return spark.createDataFrame(rows, "candidate INT, params STRING, composite_score DOUBLE")
 
 
-def search_report(spark, search_model, held_out: DataFrame, weights: Mapping[str, float], top: int = 10) -> DataFrame:
+def search_report(spark, search_model, held_out: DataFrame, weights: Mapping[str, float], top: int | None = None) -> DataFrame:
     """Best candidates of a search next to the refitted winner's figures on held-out rows."""
     judge = CompositeEvaluator(weights)
     composite = judge.evaluate(search_model.transform(held_out))
@@ -399,10 +400,21 @@ def search_report(spark, search_model, held_out: DataFrame, weights: Mapping[str
     return ranked.select(*[F.lit(float(v)).alias(n) for n, v in best.items()], "*")
 
 
-def feature_importances(spark, tree_model, layout: DataFrame) -> DataFrame:
-    """Importances joined to their feature; one row per position of the layout."""
+def feature_importances(spark, tree_model, layout: DataFrame, names: DataFrame | None = None, families: DataFrame | None = None) -> DataFrame:
+    """Importances joined to their feature; one row per position of the layout.
+
+    ``names`` (rule_id, rule_name) adds the name of a rule's own feature, ``families``
+    (rule_id, family) the member rules of a family's; both are bounded by the catalogue.
+    """
     rows = [(i, float(v)) for i, v in enumerate(tree_model.featureImportances.toArray())]
-    return layout.join(spark.createDataFrame(rows, "feature_idx INT, importance DOUBLE"), "feature_idx")
+    found = layout.join(spark.createDataFrame(rows, "feature_idx INT, importance DOUBLE"), "feature_idx")
+    if names is not None:
+        own = names.select(F.concat(F.lit(RULE_PREFIX), F.col("rule_id").cast("string")).alias("feature"), "rule_name")
+        found = found.join(own, "feature", "left")
+    if families is not None:
+        members = families.groupBy(F.concat(F.lit(FAMILY_PREFIX), F.col("family")).alias("feature")).agg(F.sort_array(F.collect_list("rule_id")).alias("member_rules"))
+        found = found.join(members, "feature", "left")
+    return found
 
 
 def compare_models(fitted: Mapping[str, object], test: DataFrame, key: str) -> DataFrame:

@@ -174,7 +174,19 @@ def search_scores(spark, sf):
 @query("search_rank", f"WITH {FOLDS} SELECT candidate, round(0.6 * r + 0.4 * a, 6) AS composite_score FROM s ORDER BY 2 DESC, 1 LIMIT 10")
 def search_rank(spark, sf):
     found = rounded(metrics.search_scores(fold_scores(spark, sf), {"roc_auc": 0.6, "average_precision": 0.4}), "composite_score")
-    return metrics.search_rank(found).select("candidate", "composite_score")
+    return metrics.search_rank(found, 10).select("candidate", "composite_score")
+
+
+@query(
+    "search_ranks",
+    f"""WITH {FOLDS}, w AS (SELECT candidate, round(r, 6) AS r, round(a, 6) AS a, round(0.6 * r + 0.4 * a, 6) AS c FROM s)
+SELECT candidate, r AS mean_roc_auc, a AS mean_average_precision, c AS composite_score, CAST(rank() OVER (ORDER BY r DESC) AS INTEGER) AS rank_roc_auc,
+  CAST(rank() OVER (ORDER BY a DESC) AS INTEGER) AS rank_average_precision, CAST(rank() OVER (ORDER BY c DESC) AS INTEGER) AS rank_composite_score FROM w""",
+)
+def search_ranks(spark, sf):
+    weights = {"roc_auc": 0.6, "average_precision": 0.4}
+    found = metrics.search_scores(fold_scores(spark, sf), weights)
+    return metrics.search_ranks(rounded(found, "mean_roc_auc", "mean_average_precision", "composite_score"), weights)
 
 
 EVALUATE = f"""

@@ -16,7 +16,7 @@ from trigwatch.functions import timing
 from trigwatch.operators import explain, metrics, models, sampling, vectors
 from trigwatch.operators.store import save_table
 from trigwatch.plans.registry import query
-from trigwatch.plans.tables import embeddings, embeddings_long, rounded, scratch, telemetry, wid, with_ctes
+from trigwatch.plans.tables import catalog, embeddings, embeddings_long, rounded, scratch, telemetry, wid, with_ctes
 from trigwatch.plans.vectors import used_families, window_vectors
 from trigwatch.session import cut_lineage
 
@@ -174,7 +174,9 @@ def feature_importances(spark, sf):
     rows = window_vectors(spark, sf).select(F.col("is_attack").cast("double").alias("label"), "features")
     model = models.fit_classifier(models.random_forest(trees=10, depth=5), rows)
     layout = vectors.feature_layout(used_families(spark, sf), "family_first").select("feature_idx", "feature")
-    return models.feature_importances(spark, model.stages[-1], layout)
+    names = catalog(spark, sf).select("rule_id", F.col("name").alias("rule_name"))
+    found = models.feature_importances(spark, model.stages[-1], layout, names, used_families(spark, sf))
+    return found.withColumn("member_rules", F.array_join(F.col("member_rules").cast("array<string>"), ","))
 
 
 @query("compare_models")

@@ -22,6 +22,8 @@ def local_session(cores: str = "8", app: str = "trigwatch", **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="trigwatch-checkpoint-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -33,8 +35,8 @@ def local_session(cores: str = "8", app: str = "trigwatch", **conf: str) -> Spar
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a fresh folder of its own: on a cluster a
-    machine-local folder is lost with its executor.
+    Only a plain local session that names none falls back to a fresh folder of its own: on a
+    cluster a machine-local folder is lost with its executor, so there a name is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         named = tempfile.mkdtemp(prefix="trigwatch-checkpoint-")
     sc.setCheckpointDir(named)
