@@ -37,9 +37,11 @@ def cases():
     crowd = np.concatenate([rng.uniform(0, 1, (150, 2)), rng.uniform(0, 1, (150, 2)) + [1.04, 0], rng.uniform(-4, 6, (60, 2))])
     copies = np.concatenate([np.tile([[2.0, 2.0]], (80, 1)), rng.uniform(0, 4, (60, 2))])
     wide = rng.normal(0, 1, (120, 12))
+    deep = np.concatenate([rng.uniform(0, 0.2, (80, 10)), rng.uniform(0, 0.2, (80, 10)) + [1.0, *[0.0] * 9], rng.normal(0, 3, (40, 10))])
     return {
         "blobs": (blobs, 0.3, 5), "crowd": (crowd, 0.3, 6), "copies": (copies, 0.4, 4),
         "line": (np.linspace(0, 9, 91).reshape(-1, 1), 0.1 + 1e-9, 3), "wide": (wide, 3.2, 4), "noise": (wide, 0.01, 2),
+        "deep": (deep, 1.0, 5),
     }
 
 
@@ -59,6 +61,19 @@ def test_against_brute_force(spark, monkeypatch, name, refine):
     assert [r.cluster for r in got] == list(label)
 
 
+def test_work_is_counted_and_bounded(spark):
+    rng = np.random.default_rng(1)
+    apart = np.concatenate([rng.normal(c, 0.1, (50, 2)) for c in ((0, 0), (50, 0), (0, 50), (90, 90))])
+    everywhere = rng.normal(0, 1, (200, 64))
+    everywhere /= np.linalg.norm(everywhere, axis=1, keepdims=True)
+    for points, eps, fewest, most in ((apart, 0.2, 1, 200 * 200 // 3), (everywhere, 1.12, 200 * 200 * 0.9, 200 * 200)):
+        df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "key BIGINT, features ARRAY<DOUBLE>")
+        dimension, _, grid = anomaly._grid(df, "key", "features", eps, 100)
+        assert fewest <= anomaly.compared_pairs(grid, eps, dimension) <= most
+    with pytest.raises(ValueError, match="most_pairs"):
+        anomaly.fit_dbscan(df, "key", 1.12, 5, most_pairs=10_000)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 103, 200]], "node BIGINT")

@@ -235,14 +235,36 @@ def _grid(df: DataFrame, key: str, features: str, eps: float, min_samples: int):
 BLOCK = 256
 
 
-def _neighbours(points: DataFrame, eps: float, dimension: int, axes: int = 3) -> DataFrame:
+#: comparisons that a call does unless it is allowed more
+MOST_PAIRS = 10**10
+
+
+def compared_pairs(points: DataFrame, eps: float, dimension: int, axes: int = 3) -> int:
+    """Point pairs that ``_neighbours`` compares, from the sizes of the slots alone."""
+    directions = _directions(dimension, axes)
+    sizes = points.groupBy(_slot(F.col("x"), directions, eps).alias("slot")).agg(
+        F.count_if(~F.col("dense")).alias("lefts"), F.count(F.lit(1)).alias("rights")
+    )
+    reach = sizes.where("lefts > 0").select("lefts", F.explode(_around(F.col("slot"), len(directions))).alias("slot"))
+    pairs = reach.join(sizes.select("slot", "rights"), "slot").agg(F.sum(F.col("lefts").cast("decimal(38,0)") * F.col("rights")))
+    return int(pairs.first()[0] or 0)
+
+
+def _neighbours(points: DataFrame, eps: float, dimension: int, most_pairs: int, axes: int = 3) -> DataFrame:
     """(p, q) within eps for every point p of a cell that is not dense.
 
+    Exact pruning can fail: where eps is large next to the spread of the data, as between unit
+    vectors of many dimensions, every point may be near every other. The comparisons are
+    counted first, and the call is refused if there are more than ``most_pairs``.
+
     Such a cell has fewer than ``min_samples`` points, and two crowded cells are never
     compared here. Points meet by an equi join on projection slots, block by block: a slot
     of any size is cut into blocks of about ``BLOCK`` points, a row of the join holds two
     blocks, and only the pairs found within eps leave the task.
     """
+    work = compared_pairs(points, eps, dimension, axes)
+    if work > most_pairs:
+        raise ValueError(f"{work} pairs of points would be compared; allow it by most_pairs, or choose a smaller eps")
     directions = _directions(dimension, axes)
     slotted = points.withColumn("slot", _slot(F.col("x"), directions, eps))
     sizes = slotted.groupBy("slot").agg(
@@ -344,20 +366,20 @@ def _dense_links(core: DataFrame, eps: float, side: float, dimension: int, level
     return links.unionByName(touching(open_pairs, ["a", "sa"], ["b", "sb"], left, right)).distinct()
 
 
-def core_points(df: DataFrame, key: str, eps: float, min_samples: int, features: str = "features") -> DataFrame:
+def core_points(df: DataFrame, key: str, eps: float, min_samples: int, features: str = "features", most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Every row with its core flag (at least ``min_samples`` rows within eps, itself included)."""
     dimension, side, points = _grid(df, key, features, eps, min_samples)
-    flags = _core_points(points, _neighbours(points, eps, dimension), min_samples)
+    flags = _core_points(points, _neighbours(points, eps, dimension, most_pairs), min_samples)
     return df.join(flags.select(F.col("x").alias(features), "core"), features).select(*df.columns, "core")
 
 
-def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, features: str = "features") -> DataFrame:
+def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, features: str = "features", most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Exact density clusters: adds ``cluster`` (numbered by smallest core key, -1 = noise) and ``core``.
 
     A border point that several clusters reach joins the one with the smallest number.
     """
     dimension, side, points = _grid(df, key, features, eps, min_samples)
-    neighbours = _neighbours(points, eps, dimension)
+    neighbours = _neighbours(points, eps, dimension, most_pairs)
     flagged = cut_lineage(_core_points(points, neighbours, min_samples))
     core = flagged.where("core")
     is_core = core.select("pid", "cell")
