@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import filled, stored, table
+from trigwatch.llm.common import batched, filled, hash_sample, stored, table
 from trigwatch.llm.registry import query
 
 #: fixed values of the contract: the kinds in order, their patterns, and what a match must have
@@ -65,8 +65,9 @@ class MarkovRatio:
 
     One is trained on secrets, one on ordinary identifiers; every transition starts with a
     pseudo-count. Half of the random model is uniform, for secrets over alphabets that the
-    labelled ones lack. A string counts as random when its ratio is above zero, and above that
-    of all but ``UNKNOWN_SHARE`` of the long strings outside of known secrets, by ``MARGIN``.
+    labelled ones lack. A string counts as random when its ratio is at least halfway from that
+    of all but ``UNKNOWN_SHARE`` of the long strings outside of known secrets to zero, and
+    above it by ``MARGIN`` where the models are no help.
     """
 
     def __init__(self, secrets: list[str], ordinary: list[str], long_strings: list[str]) -> None:
@@ -74,7 +75,7 @@ class MarkovRatio:
         self.table = np.log(random) - self._model(ordinary)
         usual = sorted(self.value(s) for s in long_strings)
         high = usual[min(len(usual) - 1, int(len(usual) * (1 - UNKNOWN_SHARE)))] if usual else 0.0
-        self.threshold = max(high, 0.0) + MARGIN
+        self.threshold = max(high / 2, high + MARGIN)
 
     @staticmethod
     def _model(strings: list[str]) -> np.ndarray:
@@ -98,9 +99,8 @@ def _train(found: DataFrame, docs: DataFrame) -> MarkovRatio:
     and long strings of some documents outside of them."""
     values = found.select(F.explode("secrets").alias("s")).where(F.length("s") <= 512).distinct().orderBy(F.xxhash64("s")).limit(SECRETS)
     secrets = [r[0] for r in values.collect()]
-    some = docs.where(F.octet_length("text") <= DOCUMENT_BYTES).select("text", F.xxhash64("text").alias("at")).distinct().orderBy("at").limit(DOCUMENTS)
     ordinary, long_strings = [], []
-    for text, _ in some.collect():
+    for text in hash_sample(docs.where(F.octet_length("text") <= DOCUMENT_BYTES), "text", DOCUMENTS):
         spans = base_spans(text)
         rest, at = [], 0
         for start, _, end, _ in spans:
@@ -145,7 +145,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
     lists = "doc_id long, starts array<long>, kinds array<int>, ends array<long>, secrets array<string>, at array<long>, strings array<string>"
-    found = stored(rows.mapInArrow(scan, lists), "secrets")
+    found = stored(batched(rows).mapInArrow(scan, lists), "secrets")
     model = _train(found, rows)
     out_schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base", pa.string()), ("spans", pa.string())])
 
