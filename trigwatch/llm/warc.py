@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import attach_groups, filled, shared_folder, stored, table
+from trigwatch.llm.common import attach_groups, batched, filled, hash_sample, shared_folder, stored, table
 from trigwatch.llm.files import new_file, open_file
 from trigwatch.llm.registry import query
 
@@ -152,8 +152,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     only archives of successful tasks enter the stored manifest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), filled(text_col).alias("html"))
-    sample = rows.select(F.encode("html", "utf-8").alias("html"), F.xxhash64("html").alias("at")).orderBy("at").limit(DICT_PAGES).select(F.substring("html", 1, DICT_PAGE_BYTES))
-    dictionary = train_dictionary([bytes(r[0]) for r in sample.collect() if r[0]])
+    dictionary = train_dictionary([t.encode()[:DICT_PAGE_BYTES] for t in hash_sample(rows, "html", DICT_PAGES) if t])
 
     def write(batches):
         out, n, part = None, 0, TaskContext.get().partitionId()
@@ -174,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     refers = F.when(F.col("_owner").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_owner"))), F.col("_owner"))
     records = owned.select("page_id", "url", F.col("_digest").alias("digest"), F.col("_bytes").alias("size"), refers.alias("refers"), "html")
     records = records.withColumn("html", F.when(F.col("refers").isNull(), F.col("html")))
-    return stored(records.mapInArrow(write, "path string, records long"), "archives")
+    return stored(batched(records).mapInArrow(write, "path string, records long"), "archives")
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
