@@ -34,7 +34,7 @@ def translate_uat_files(df: DataFrame, id_map: DataFrame, path: str, segment: st
 
 def prod_rule_universe(rules: DataFrame, id_map: DataFrame) -> DataFrame:
     """Discovered ids after translation, distinct and sorted."""
-    return translate_ids(rules.select("rule_id"), id_map).distinct().orderBy("rule_id")
+    return translate_ids(rules.select("rule_id").distinct(), id_map).distinct().orderBy("rule_id")
 
 
 def join_family(df: DataFrame, families: DataFrame) -> DataFrame:
@@ -118,9 +118,11 @@ def expand_families(alerts: DataFrame, window_rules: DataFrame, families: DataFr
     keyed = alerts.withColumns(
         {"family": naming.feature_family(F.col("feature")), "own_rule": naming.feature_rule_id(F.col("feature"))}
     )
-    # one row per window, host and rule: a partition of this window holds at most the
-    # catalogue's rules, and its key is the key of the join that follows
-    summed = window_rules.groupBy("window_id", "hostname", "rule_id").agg(F.sum("count").alias("count"))
+    # alerts are few next to the windows: only their windows are aggregated. One row per window,
+    # host and rule: a partition of the window function holds at most the catalogue's rules,
+    # and its key is the key of the join that follows
+    alerted = checked_broadcast(alerts.select("window_id", "hostname").distinct())
+    summed = window_rules.join(alerted, ["window_id", "hostname"], "left_semi").groupBy("window_id", "hostname", "rule_id").agg(F.sum("count").alias("count"))
     inside = Window.partitionBy("window_id", "hostname", "family")
     members = join_family(summed, families).select(
         "window_id", "hostname", "family", F.col("rule_id").alias("child_rule"), F.col("count").alias("child_count"),
