@@ -8,11 +8,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigwatch.functions.ordering import running_totals
 from trigwatch.operators.models import score
-from trigwatch.session import cut_lineage, ensure_checkpoint_dir
+from trigwatch.session import checked_broadcast, cut_lineage, ensure_checkpoint_dir
 
 
 def shapley_values(
@@ -29,14 +30,12 @@ def shapley_values(
     pairs are formed by an equi join on the background number.
     """
     size = background.count()
-    # numbers the bounded background sample only
-    numbered = cut_lineage(background.select(vector_to_array("features").alias("b"))).select(
-        "b", (F.row_number().over(Window.orderBy("b")) - 1).alias("bg")
-    )
+    placed = cut_lineage(background.select(vector_to_array("features").alias("b"), F.monotonically_increasing_id().alias("_at")))
+    numbered = running_totals(placed, [F.col("_at")], {"_n": F.lit(1)}).select("b", (F.col("_n") - 1).cast("int").alias("bg"))
     rng = np.random.default_rng(seed)
     orders = F.array(*[F.array(*[F.lit(int(i)) for i in rng.permutation(dimension)]) for _ in range(permutations)])
     pairs = rows.select(key, vector_to_array("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("bg")).join(
-        F.broadcast(numbered), "bg"
+        checked_broadcast(numbered), "bg"
     )
     chains = pairs.select(key, "x", "b", F.explode(orders).alias("order")).withColumn(
         "chain", F.filter("order", lambda i: F.get("x", i) != F.get("b", i))
