@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import attach_groups, filled, stored, table
+from trigwatch.llm.common import attach_groups, batched, filled, stored, table
 from trigwatch.llm.registry import query
 
 #: bytes of text that a task's trie holds before its subtrees go out
@@ -132,7 +132,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     schema = pa.schema([("bytes", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("sha", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    combined = rows.mapInArrow(lambda it: _insert(it, schema, False), OWNED)
+    combined = batched(rows).mapInArrow(lambda it: _insert(it, schema, False), OWNED)
     dealt = combined.repartition(parts, "bytes", "hash").sortWithinPartitions("bytes", "hash")
     owners = dealt.mapInArrow(lambda it: _insert(it, schema, True), OWNED)
     groups = stored(owners.select(F.col("sha").alias("text_sha256"), F.col("owner").alias("keep_id"), F.col("n").alias("group_size")), "owners")

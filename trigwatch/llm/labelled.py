@@ -34,11 +34,14 @@ def labelled_sample(
     sizes = {r[0]: r[1] for r in known.groupBy("_y").agg(F.count(F.lit(1))).collect()}
     parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("_id"), "_y")
-    text = F.col(text_col)
-    found = docs.where(F.octet_length(text) <= most_bytes).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-    rows = found.select("_id", "_y", text.alias("_text"), *[F.col(c).cast("string") for c in also], F.xxhash64("_id").alias("_at")).collect()
-    rows = sorted({tuple(r) for r in rows}, key=lambda r: (r[-1], r[0], r[2]))
-    return [r[:-1] for r in rows if r[2]], sizes
+    plain = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).cast("string").alias(f"_also_{c}") for c in also]
+    )
+    found = plain.where(F.octet_length("_text").between(1, most_bytes)).join(F.broadcast(chosen), "_id")
+    # an id that many rows share counts once, with its first text
+    once = found.groupBy("_id", "_y").agg(F.min(F.struct("_text", *[f"_also_{c}" for c in also])).alias("_r"))
+    rows = once.select("_id", "_y", "_r.*", F.xxhash64("_id").alias("_at")).collect()
+    return [tuple(r)[:-1] for r in sorted(rows, key=lambda r: (r["_at"], r["_id"]))], sizes
 
 
 class Calibration:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import filled, fresh, table
+from trigwatch.llm.common import batched, filled, fresh, table
 from trigwatch.llm.labelled import Calibration, labelled_sample, remainder
 from trigwatch.llm.registry import query
 
@@ -76,7 +76,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
     """Fit on a bounded sample of the usable labels (``PER_CLASS`` texts each, of at most
     ``TEXT_BYTES``). Labels other than 0 and 1, labels without a text and empty texts are left
     out; with no text of one class, every score is the smoothed share of label 1."""
-    return CompressionClassifier(*labelled_sample(docs, labels, label, usable, PER_CLASS, TEXT_BYTES, id_col, text_col))
+    return CompressionClassifier(*labelled_sample(batched(docs), labels, label, usable, PER_CLASS, TEXT_BYTES, id_col, text_col))
 
 
 def quality_score(model: CompressionClassifier, text_col: str = "text") -> Column:
