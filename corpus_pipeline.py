@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trigwatch.llm.common import shared_folder, stored, table
+from trigwatch.llm.common import Scratch, shared_folder, table
 from trigwatch.llm.decontaminate import clean
 from trigwatch.llm.jaccard import one_per_group
 from trigwatch.llm.labelled import remainder
@@ -52,8 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each but the last is stored before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; each but the last is stored before the next reads it, and removed
+    when the next one is stored (the last one stores its files before it returns)."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        work = Scratch(spark, name)
+        docs = work.stored(stage(spark, docs, sf_dir), name)
+        if before:
+            before.clear()
+        before = work
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    before.clear()
+    return out

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from trigwatch.llm import jaccard
+from trigwatch.llm.common import Scratch
 from trigwatch.llm.graph import components
 from trigwatch.llm.jaccard import choose_matches, needed, one_per_group, similar_groups
 from trigwatch.llm.wordhash import MARKS, located_words, shingles, word_heads, words
@@ -122,7 +123,7 @@ def test_components(spark):
             for a, b in edges:
                 parent[a] = parent[b] = min(parent[a], parent[b])
         want = {v: p for v, p in parent.items() if any(v in e for e in edges if e[0] != e[1])}
-        out = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "graph")).collect()
         assert len(out) == len(want) and {r.node: r.comp for r in out} == want
 
 

@@ -96,8 +96,8 @@ def words(text: str, apart: np.ndarray = SPACES) -> np.ndarray:
     return located_words(text, apart)[0]
 
 
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``k`` words; of a shorter text, of all its words as one."""
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the run of ``k`` words at each word; of a shorter text, of all its words as one."""
     n = len(hashes)
     if not n:
         return hashes
@@ -106,4 +106,9 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     out = hashes[: n - k + 1] * _FACTORS[0]
     for j in range(1, k):
         out += hashes[j : n - k + 1 + j] * _FACTORS[j]
-    return np.unique(mixed(out))
+    return mixed(out)
+
+
+def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``k`` words."""
+    return np.unique(runs(hashes, k))
