@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.common import filled, fresh, table
+from trigwatch.llm.common import batched, filled, fresh, table
 from trigwatch.llm.registry import query
 from trigwatch.llm.wordhash import MARKS, located_words, mixed
 
 #: part of an item's words that edits may change; wanted recall; samples per table; most tables
 EDITS, RECALL, SAMPLES, MOST_TABLES = 0.2, 0.98, 4, 48
+#: items of fewer words are too common to tell anything and are never found
+LEAST_WORDS = 5
 #: items that one pass holds, and bytes of their texts
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-SLOTS, PAIR = 1 << 22, np.uint64(0x9E3779B97F4A7C15)
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def allowed(n: int) -> int:
@@ -110,12 +112,14 @@ class Finder:
         self.items: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             words = located_words(text, MARKS)[0]
-            if len(words):
+            if len(words) >= LEAST_WORDS:
                 self.items.setdefault(len(words), []).append((item_id, words))
         self.lengths = sorted(self.items)
         # lengths share 64 bits when there are more; a shared bit only makes the first test coarser
         self.bit = {n: i * min(64, len(self.lengths)) // max(1, len(self.lengths)) for i, n in enumerate(self.lengths)}
-        self.slots = np.zeros(SLOTS, np.uint64)
+        pairs = sum(n * len(group) for n, group in self.items.items())
+        self.shift = np.uint64(64 - max(16, min(24, (16 * pairs).bit_length())))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.uint64)
         self.walks, self.tables = {}, {}
         rng = np.random.default_rng(seed)
         for n, group in self.items.items():
@@ -133,13 +137,12 @@ class Finder:
             self.walks[n], self.tables[n] = walks, (count, np.take_along_axis(keys, order, 0), order)
 
     def _slot(self, words: np.ndarray) -> np.ndarray:
-        """Slots of the word pairs; of a single word, its own."""
-        pairs = words[:-1] * PAIR + words[1:] if len(words) > 1 else words
-        return (mixed(pairs) >> np.uint64(42)).astype(np.int64)
+        """Slots of the word pairs."""
+        return (mixed(words[:-1] * PAIR + words[1:]) >> self.shift).astype(np.int64)
 
     def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Item lengths and the window starts that may hold an item of that length."""
-        if not len(words):
+        if len(words) < 2:
             return
         marks = self.slots[self._slot(words)]
         some = marks[marks != 0]
@@ -223,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An item of ``n``
     words is in a document when some stretch of it differs by at most ``EDITS * n`` inserted,
     deleted or changed words; the row has the least such number and where (0-based word) the
-    first best stretch begins. Items without words and null items are never found; a null or
+    first best stretch begins. Null items and items of fewer than ``LEAST_WORDS`` words are never found; a null or
     empty text has none. Repeated rows give repeated rows, items that share an id count as
     one. A document with nothing found has no row.
 
@@ -245,7 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
 
-        part = rows.mapInArrow(find, "doc_id long, item_id long, distance int, first_word long")
+        part = batched(rows).mapInArrow(find, "doc_id long, item_id long, distance int, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -264,7 +267,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """``docs`` without the rows in which an item is found (as in ``leaks``); columns stay."""
     (flag,) = fresh(docs, "leaks")
     for block in item_blocks(items, item_id, item_text):
-        docs = docs.withColumn(flag, _leaky(Finder(block))(filled(text_col))).where(~F.col(flag)).drop(flag)
+        docs = batched(docs).withColumn(flag, _leaky(Finder(block))(filled(text_col))).where(~F.col(flag)).drop(flag)
     return docs
 
 
