@@ -32,8 +32,8 @@ RARE_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.is
 #: apostrophe, which can begin a token that goes on with letters
 LETTERS, AFTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r" \t\n\r!-&(-/:-@\[-`{-~"
 CHUNK = re.compile(rf"[ \t\n\r]*[{LETTERS}]+(?=[{AFTER}]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: chunks whose ids a worker remembers, and the longest of them
-CACHE_CHUNKS, CACHE_LENGTH = 500_000, 32
+#: chunks whose ids a worker remembers, the longest of them, and marks of chunks that came once
+CACHE_CHUNKS, CACHE_LENGTH, MARKS = 450_000, 32, 1 << 22
 
 
 class Encoder:
@@ -41,7 +41,7 @@ class Encoder:
 
     A byte-level pre-tokenizer always starts a new token where a run of white space begins and
     where a mark follows a letter, so a text may be encoded chunk by chunk, and the ids of
-    frequent chunks are remembered. Texts with rare white space or with the text of an added
+    chunks that come a second time are remembered: most never do. Texts with rare white space or with the text of an added
     token are encoded whole.
     """
 
@@ -52,14 +52,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.once = bytearray(MARKS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
         found, missing = [], {}
         for text in texts:
             if RARE_SPACE.search(text) or any(a in text for a in self.added):
@@ -72,8 +71,10 @@ class Encoder:
                     missing.setdefault(chunks[i], []).append((len(found), i))
             found.append(ids)
         for (chunk, places), ids in zip(missing.items(), self._ids(list(missing))):
-            if len(chunk) <= CACHE_LENGTH:
+            mark = hash(chunk) % MARKS
+            if self.once[mark] and len(chunk) <= CACHE_LENGTH and len(cache) < CACHE_CHUNKS:
                 cache[chunk] = ids
+            self.once[mark] = 1
             for text, i in places:
                 found[text][i] = ids
         return [b"".join(ids) for ids in found]
