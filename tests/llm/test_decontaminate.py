@@ -134,3 +134,25 @@ def test_windows_skip_no_match():
         for (doc_id, item_id), d in brute(items, rows).items():
             n = len(hashed(dict(items)[item_id]))
             assert n in {length for length, _ in finder.windows(words(rows[doc_id][1], MARKS))}, (doc_id, item_id, d)
+
+
+def test_long_items_at_the_edit_limit():
+    rng = np.random.default_rng(11)
+    for n in (61, 150, 400):
+        items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, n))) for i in range(5)]
+        finder, texts, want = Finder(items), [], []
+        for item_id, item in items:
+            for _ in range(8):
+                w = item.split()
+                for kind in rng.integers(0, 3, allowed(n)):
+                    at, new = int(rng.integers(0, len(w))), f"x{rng.integers(0, 1 << 40)}"
+                    w[at : at + int(kind != 1)] = [new] * int(kind < 2)
+                around = [f"w{x}" for x in rng.integers(0, 5000, 80)]
+                texts.append(" ".join(around[:40] + w + around[40:]))
+                want.append(item_id)
+        got = {(number, item_id): distance for number, item_id, distance, _ in finder.matches(texts)}
+        assert set(got) <= set(enumerate(want))
+        assert len(got) >= 0.95 * len(want), (n, len(got))
+        for number in range(0, len(texts), 9):
+            if (number, want[number]) in got:
+                assert got[number, want[number]] == plain_distance(hashed(items[want[number]][1]), hashed(texts[number]))

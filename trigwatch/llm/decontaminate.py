@@ -15,8 +15,10 @@ from trigwatch.llm.common import batched, filled, fresh, table
 from trigwatch.llm.registry import query
 from trigwatch.llm.wordhash import MARKS, located_words, mixed
 
-#: part of an item's words that edits may change; wanted recall; samples per table; most tables
-EDITS, RECALL, SAMPLES, MOST_TABLES = 0.2, 0.98, 4, 48
+#: part of an item's words that edits may change; wanted recall; samples per table; tables of the simulation
+EDITS, RECALL, SAMPLES, TRIAL_TABLES = 0.2, 0.98, 4, 48
+#: items of more words are looked for by pieces of at most so many: the tables needed grow with the length
+WHOLE_WORDS, PIECE_WORDS = 60, 32
 #: items of fewer words are too common to tell anything and are never found
 LEAST_WORDS = 5
 #: items that one pass holds, and bytes of their texts
@@ -72,17 +74,25 @@ EDIT = 1 << 40
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least word edits between the item and any stretch of the text, and where the first such stretch begins."""
-    a, b = item.tolist(), text.tolist()
-    row = list(range(len(b) + 1))  # a cell is edits * EDIT + begin
-    for x in a:
-        cell = row[0] + EDIT
-        new = [cell]
-        for j, y in enumerate(b):
-            step = row[j] if x == y else row[j] + EDIT
-            cell = min(step, row[j + 1] + EDIT, cell + EDIT)
-            new.append(cell)
-        row = new
-    return divmod(min(row), EDIT)
+    steps = np.arange(len(text) + 1, dtype=np.int64) * EDIT
+    row = np.arange(len(text) + 1, dtype=np.int64)  # a cell is edits * EDIT + begin
+    for x in item:
+        new = row + EDIT
+        np.minimum(new[1:], row[:-1] + np.where(text == x, 0, EDIT), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps  # words of the text that the item lacks
+    distance, start = divmod(int(row.min()), EDIT)
+    return distance, start
+
+
+def pieces(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Begin and words of the pieces by which an item is looked for: all of a short one.
+
+    Pieces of ``m`` words share out the edits of the item, so one of them at least has no more
+    than ``EDITS * m``.
+    """
+    count = 1 if len(words) <= WHOLE_WORDS else math.ceil(len(words) / PIECE_WORDS)
+    cuts = [i * len(words) // count for i in range(count + 1)]
+    return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -102,37 +112,43 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
 class Finder:
     """Finds the items of one block in texts.
 
-    Per item length: walks, and as many tables as simulated worst-case edits need for the
-    wanted recall. A text is searched only where a window has enough word pairs of items of
-    that length: ``k`` edits leave at least ``n - 1 - 2k`` of an item's pairs, so this skips
-    no match.
+    Items of more than ``WHOLE_WORDS`` words are looked for by their pieces, others whole; what
+    is found is compared as a whole item. Per length of what is looked for: walks, and as many
+    tables as simulated worst-case edits need for the wanted recall. A text is searched only
+    where a window has enough word pairs of that length's pieces: ``k`` edits leave at least
+    ``n - 1 - 2k`` of the pairs of ``n`` words, so this skips no match.
     """
 
     def __init__(self, items: list[tuple[int, str]], seed: int = 5) -> None:
-        self.items: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.items: list[tuple[int, np.ndarray]] = []
+        self.pieces: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # number of the item, begin, words
         for item_id, text in items:
             words = located_words(text, MARKS)[0]
             if len(words) >= LEAST_WORDS:
-                self.items.setdefault(len(words), []).append((item_id, words))
-        self.lengths = sorted(self.items)
+                for begin, piece in pieces(words):
+                    self.pieces.setdefault(len(piece), []).append((len(self.items), begin, piece))
+                self.items.append((item_id, words))
+        self.lengths = sorted(self.pieces)
         # lengths share 64 bits when there are more; a shared bit only makes the first test coarser
         self.bit = {n: i * min(64, len(self.lengths)) // max(1, len(self.lengths)) for i, n in enumerate(self.lengths)}
-        pairs = sum(n * len(group) for n, group in self.items.items())
+        pairs = sum(n * len(group) for n, group in self.pieces.items())
         self.shift = np.uint64(64 - max(16, min(24, (16 * pairs).bit_length())))
         self.slots = np.zeros(1 << (64 - int(self.shift)), np.uint64)
         self.walks, self.tables = {}, {}
         rng = np.random.default_rng(seed)
-        for n, group in self.items.items():
-            for _, words in group:
+        for n, group in self.pieces.items():
+            for *_, words in group:
                 self.slots[self._slot(words)] |= np.uint64(1) << np.uint64(self.bit[n])
-            walks = Walks(n, MOST_TABLES, seed)
-            some = [group[i] for i in rng.permutation(len(group))[:8]]
-            copies = [(edited(w, allowed(n), rng), w) for _, w in some for _ in range(max(4, 32 // len(some)))]
+            walks = Walks(n, TRIAL_TABLES, seed)
+            some = [group[i][2] for i in rng.permutation(len(group))[:8]]
+            copies = [(edited(w, allowed(n), rng), w) for w in some for _ in range(max(4, 32 // len(some)))]
             x = walks.signatures(np.concatenate([padded(c, np.zeros(1, np.int64), n) for c, _ in copies]))
             y = walks.signatures(np.concatenate([padded(w, np.zeros(1, np.int64), n) for _, w in copies]))
             hit = max(float((x == y).mean()), 1e-3)
-            count = 1 if hit >= RECALL else min(MOST_TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - hit)))
-            keys = walks.signatures(np.concatenate([padded(w, np.zeros(1, np.int64), n) for _, w in group]), count)
+            count = 1 if hit >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - hit))
+            if count > TRIAL_TABLES:
+                walks = Walks(n, count, seed)
+            keys = walks.signatures(np.concatenate([padded(w, np.zeros(1, np.int64), n) for *_, w in group]), count)
             order = np.argsort(keys, axis=0, kind="stable")
             self.walks[n], self.tables[n] = walks, (count, np.take_along_axis(keys, order, 0), order)
 
@@ -141,7 +157,7 @@ class Finder:
         return (mixed(words[:-1] * PAIR + words[1:]) >> self.shift).astype(np.int64)
 
     def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Item lengths and the window starts that may hold an item of that length."""
+        """Lengths and the window starts that may hold a piece (a short item whole) of that length."""
         if len(words) < 2:
             return
         marks = self.slots[self._slot(words)]
@@ -182,7 +198,7 @@ class Finder:
 
     def _look(self, n: int, waiting: list, found: dict) -> None:
         count, keys, order = self.tables[n]
-        group, most = self.items[n], allowed(n)
+        group = self.pieces[n]
         signs = self.walks[n].signatures(np.concatenate([padded(w, s, n) for _, w, s in waiting]), count)
         owner = np.concatenate([np.full(len(s), i) for i, (_, _, s) in enumerate(waiting)])
         starts = np.concatenate([s for _, _, s in waiting])
@@ -195,19 +211,37 @@ class Finder:
                 pairs.append(np.stack([np.repeat(rows, n_hits), order[np.repeat(low[rows], n_hits) + offset, t]], axis=1))
         if not pairs:
             return
-        pairs, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        distinct = [set(words.tolist()) for _, words in group]
-        for row, item in pairs[np.argsort(-times, kind="stable")].tolist():  # the likeliest place first
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        distinct: dict[int, set[int]] = {}
+        places: dict[tuple[int, int], list[list[int]]] = {}  # by waiting text and item: stretches to compare, joined where they meet
+        for row, piece in pairs[np.argsort(starts[pairs[:, 0]] - np.array([begin for _, begin, _ in group])[pairs[:, 1]], kind="stable")].tolist():
+            item, begin, _ = group[piece]
+            item_id, whole = self.items[item]
             number, words, _ = waiting[owner[row]]
-            item_id, start = group[item][0], int(starts[row])
-            before = found.get((number, item_id), (most + 1, 0))
+            if found.get((number, item_id), (1, 0))[0] == 0:
+                continue
+            most = allowed(len(whole))
+            slack = most if len(whole) == n else most + allowed(n)  # a piece may itself begin some words beside the window
+            start = int(starts[row]) - begin
+            low, high = max(0, start - slack), min(len(words), start + len(whole) + slack)
+            if item not in distinct:
+                distinct[item] = set(whole.tolist())
             # an edit takes away one distinct word at most
-            low = max(0, start - most)
-            near = words[low : start + n + most]
-            if before[0] and len(distinct[item].intersection(near.tolist())) >= len(distinct[item]) - most:
-                distance, at = best_place(group[item][1], near)
-                if (distance, low + at) < before:
-                    found[number, item_id] = (distance, low + at)
+            if len(distinct[item].intersection(words[low:high].tolist())) < len(distinct[item]) - most:
+                continue
+            known = places.setdefault((owner[row], item), [])
+            if known and low <= known[-1][1]:
+                known[-1][1] = max(known[-1][1], high)
+            else:
+                known.append([low, high])
+        for (text, item), stretches in places.items():
+            (item_id, whole), (number, words, _) = self.items[item], waiting[text]
+            for low, high in stretches:
+                before = found.get((number, item_id), (allowed(len(whole)) + 1, 0))
+                if before[0]:
+                    distance, at = best_place(whole, words[low:high])
+                    if (distance, low + at) < before:
+                        found[number, item_id] = (distance, low + at)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -231,9 +265,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     one. A document with nothing found has no row.
 
     Items go to the tasks in blocks of bounded size, each block one pass over all documents.
-    Windows begin at every word that may start an item. Every match is verified by the exact
-    distance around the window; the tables are as many as simulated edits at the limit need
-    for ``RECALL`` by a single window, and an item usually lies in several.
+    Windows begin at every word that may start an item, or a piece of an item of more than
+    ``WHOLE_WORDS`` words. Every match is verified by the exact distance of the whole item
+    around the window; the tables are as many as simulated edits at the limit need for
+    ``RECALL`` by a single window, and an item usually lies in several.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int64())])
