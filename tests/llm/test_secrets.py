@@ -73,3 +73,19 @@ def test_models():
         assert sum(model.random(secret(rng, alphabet, 20)) for _ in range(200)) >= 195
     assert sum(model.random(w) for w in prose(rng, 3000).split() if len(w) >= 16) <= 10
     assert not MarkovRatio([], [], []).random("x" * 20)
+
+
+def test_many_unlabelled_secrets(make_docs):
+    for every in (2, 8):  # about a third and a tenth of the long strings
+        rng, rows, want = random.Random(every), [], {}
+        for i in range(120):
+            text = " ".join(w for w in prose(rng).split() if len(w) < 16 or rng.random() < 0.05)
+            if i % 20 == 0:
+                text += f" token = {secret(rng, '0123456789abcdef', 40)} "
+            if i % every == 1:
+                want[i] = (len(text) + 1, len(text) + 29)
+                text += " " + secret(rng) + " end"
+            rows.append((i, text))
+        out = {r.doc_id: r.spans.split(",") for r in find_secrets(make_docs(rows)).collect()}
+        added = {(i, s) for i, spans in out.items() for s in spans if s.startswith("random")}
+        assert added == {(i, f"random:{a}:{b}") for i, (a, b) in want.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,8 +28,9 @@ CODE = {c: i for i, c in enumerate(ALPHABET)}
 
 #: bound of the training sample: secrets, documents with ordinary words, bytes of a document
 SECRETS, DOCUMENTS, DOCUMENT_BYTES = 5000, 400, 1 << 15
-#: share of the unlabelled long strings that may be secrets, and distance from the others
-UNKNOWN_SHARE, MARGIN = 0.05, 0.1
+#: one distinct ordinary word in so many is held back from the models; fewer than so many tell
+#: nothing; share of them that may look random; distance of the threshold from the others
+HELD_BACK, LEAST_HELD, ODD_SHARE, MARGIN = 5, 50, 0.05, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -66,15 +68,17 @@ class MarkovRatio:
     One is trained on secrets, one on ordinary identifiers; every transition starts with a
     pseudo-count. Half of the random model is uniform, for secrets over alphabets that the
     labelled ones lack. A string counts as random when its ratio is at least halfway from that
-    of all but ``UNKNOWN_SHARE`` of the long strings outside of known secrets to zero, and
-    above it by ``MARGIN`` where the models are no help.
+    of all but ``ODD_SHARE`` of the held-back ordinary strings to zero and above it by
+    ``MARGIN``; or, when these are few or look random themselves, when it is above zero by
+    ``MARGIN``. Long strings that nobody has labelled have no part in it, so any share of them
+    can be secrets.
     """
 
-    def __init__(self, secrets: list[str], ordinary: list[str], long_strings: list[str]) -> None:
+    def __init__(self, secrets: list[str], ordinary: list[str], held_back: list[str]) -> None:
         random = (np.exp(self._model(secrets)) + 1 / len(ALPHABET)) / 2
         self.table = np.log(random) - self._model(ordinary)
-        usual = sorted(self.value(s) for s in long_strings)
-        high = usual[min(len(usual) - 1, int(len(usual) * (1 - UNKNOWN_SHARE)))] if usual else 0.0
+        usual = sorted(self.value(s) for s in held_back)
+        high = min(0.0, usual[int(len(usual) * (1 - ODD_SHARE))]) if len(usual) >= LEAST_HELD else 0.0
         self.threshold = max(high / 2, high + MARGIN)
 
     @staticmethod
@@ -95,11 +99,11 @@ class MarkovRatio:
 
 
 def _train(found: DataFrame, docs: DataFrame) -> MarkovRatio:
-    """Models from bounded samples in hash order: secrets that the patterns found, and words
-    and long strings of some documents outside of them."""
+    """Models from bounded samples in hash order: secrets that the patterns found, and words of
+    some documents outside of them, a part of which is held back for the threshold."""
     values = found.select(F.explode("secrets").alias("s")).where(F.length("s") <= 512).distinct().orderBy(F.xxhash64("s")).limit(SECRETS)
     secrets = [r[0] for r in values.collect()]
-    ordinary, long_strings = [], []
+    ordinary = []
     for text in hash_sample(docs.where(F.octet_length("text") <= DOCUMENT_BYTES), "text", DOCUMENTS):
         spans = base_spans(text)
         rest, at = [], 0
@@ -109,8 +113,8 @@ def _train(found: DataFrame, docs: DataFrame) -> MarkovRatio:
         rest.append(text[at:])
         # longer ones may be secrets that no pattern knows
         ordinary += [w for part in rest for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,14}(?![A-Za-z0-9+/_=-])", part)]
-        long_strings += [s for _, s in other_strings(text, spans)]
-    return MarkovRatio(secrets, ordinary, long_strings)
+    held_back = {w for w in ordinary if zlib.crc32(w.encode()) % HELD_BACK == 0}
+    return MarkovRatio(secrets, [w for w in ordinary if w not in held_back], sorted(held_back))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
