@@ -364,3 +364,24 @@ def test_queries_without_sql_run(spark, name):
 def test_gmm_probabilities(spark):
     rows = QUERIES["fit_gmm"](spark, SF).collect()
     assert all(0 <= r.membership <= 1 + 1e-9 and not math.isnan(r.membership) for r in rows)
+
+
+def test_mixture_uses_all_dimensions(spark):
+    rng = np.random.default_rng(4)
+    # the two groups differ in the last five dimensions only
+    x = np.concatenate([rng.normal(0, [3, 3, 3, 1, 1, 1, 1, 1], (200, 8)), rng.normal([0, 0, 0, 6, 6, 6, 6, 6], [3, 3, 3, 1, 1, 1, 1, 1], (200, 8))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), ["key", "x"]).select("key", array_to_vector("x").alias("features"))
+    model = models.fit_gmm(df, k=2)
+    got = {r.key: r.prediction for r in model.transform(df).collect()}
+    assert model.converged and len({got[i] for i in range(200)}) == len({got[i] for i in range(200, 400)}) == 1 and got[0] != got[399]
+    assert np.allclose(sorted(model.weights), [0.5, 0.5], atol=1e-3)
+    densities = [w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(model.weights, model.means, model.covariances)]
+    assert abs(model.log_likelihood - np.log(sum(densities)).sum()) < 1e-6
+    same = spark.createDataFrame([([1.0, 2.0] if i < 9 else [float(i), 1.0],) for i in range(20)], ["x"]).select(array_to_vector("x").alias("features"))
+    assert models.fit_gmm(same, k=3).transform(same).where("isnan(probability[0])").count() == 0
+
+
+def test_mixture_queries_fit_the_embeddings(spark):
+    free = 3 + 4 * 64 + 4 * 64 * 65 // 2
+    [r] = QUERIES["gmm_criteria"](spark, SF).collect()
+    assert abs(r.aic - (2 * free - 2 * r.log_likelihood)) < 1e-6

@@ -10,6 +10,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -282,16 +283,99 @@ def kept(df: DataFrame):
         held.unpersist()
 
 
-def fit_gmm(df: DataFrame, k: int = 8, rounds: int = 100, tolerance: float = 1e-3):
-    with kept(df.select("features")) as rows:
-        return GaussianMixture(k=k, maxIter=rounds, tol=tolerance, seed=SEED).fit(rows)
+class Mixture:
+    """Gaussian mixture with full covariances, by expectation-maximisation from k-means.
+
+    ``ridge`` is added to every variance, so that components of few rows or of equal rows stay
+    proper (MLlib's mixture has no such term and fails on them). A round is one pass: tasks
+    send a sum of rows, of differences and of their products per component.
+    """
+
+    def __init__(self, k: int = 8, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6):
+        self.k, self.rounds, self.tolerance, self.ridge = k, rounds, tolerance, ridge
+
+    def fit(self, df: DataFrame) -> "Mixture":
+        with kept(df.select(vector_to_array("features").alias("x"), "features")) as rows:
+            start = KMeans(k=self.k, seed=SEED, maxIter=self.rounds).fit(rows)
+            self.means = np.array(start.clusterCenters())
+            self.k = len(self.means)  # no more than there are different rows
+            self._update(rows, lambda x: np.eye(self.k)[((x[:, None] - self.means) ** 2).sum(2).argmin(1)])
+            self.converged, before = False, -math.inf
+            for self.n_rounds in range(1, self.rounds + 1):
+                now = self._update(rows, None)
+                if abs(now - before) < self.tolerance:
+                    self.converged = True
+                    break
+                before = now
+            self.log_likelihood = self._totals(rows, None)[0]
+        return self
+
+    def chances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Membership of each row in each component, and its log-likelihood."""
+        logs = np.empty((len(x), self.k))
+        for c in range(self.k):
+            z = (x - self.means[c]) @ self.whiten[c]
+            logs[:, c] = np.log(self.weights[c]) + np.log(np.diag(self.whiten[c])).sum() - 0.5 * ((z**2).sum(1) + x.shape[1] * math.log(2 * math.pi))
+        top = logs.max(1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+        return np.exp(logs - total), total[:, 0]
+
+    def _totals(self, rows: DataFrame, assign) -> tuple:
+        """Log-likelihood, rows, differences from the present means and their products, per component."""
+        k, (_, d) = self.k, self.means.shape
+
+        def sums(batches):
+            fit, n, first, second = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                if assign:
+                    r = assign(x)
+                else:
+                    r, likelihood = self.chances(x)
+                    fit += float(likelihood.sum())
+                for c in range(k):
+                    apart = x - self.means[c]
+                    n[c] += r[:, c].sum()
+                    first[c] += r[:, c] @ apart
+                    second[c] += (r[:, c, None] * apart).T @ apart
+            flat = np.concatenate([[fit], n, first.ravel(), second.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        flat = sum(np.array(r.s) for r in rows.select("x").mapInArrow(sums, "s array<double>").toLocalIterator())
+        n, first, second = np.split(flat[1:], [k, k + k * d])
+        return float(flat[0]), n, first.reshape(k, d), second.reshape(k, d, d)
+
+    def _update(self, rows: DataFrame, assign) -> float:
+        """One round; the mean log-likelihood of a row before it."""
+        fit, n, first, second = self._totals(rows, assign)
+        total, n = n.sum(), n + 10 * np.finfo(float).eps
+        shift = first / n[:, None]
+        self.weights, self.means = n / n.sum(), self.means + shift
+        self.covariances = second / n[:, None, None] - shift[:, :, None] * shift[:, None, :] + self.ridge * np.eye(first.shape[1])
+        self.whiten = [np.linalg.inv(np.linalg.cholesky(c)).T for c in self.covariances]
+        return fit / total
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """With ``probability`` (an array over the components) and ``prediction``, the likeliest one."""
+
+        @F.pandas_udf("array<double>")
+        def member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(list(self.chances(np.stack(batch.to_numpy()))[0]) if len(batch) else [], dtype=object)
+
+        out = df.withColumn("probability", member(vector_to_array("features")))
+        return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("int"))
+
+
+def fit_gmm(df: DataFrame, k: int = 8, rounds: int = 100, tolerance: float = 1e-3) -> Mixture:
+    return Mixture(k, rounds, tolerance).fit(df)
 
 
-def gmm_criteria(model, df: DataFrame, dimension: int) -> DataFrame:
+def gmm_criteria(model: Mixture, df: DataFrame, dimension: int) -> DataFrame:
     """Log-likelihood, AIC and BIC of a full-covariance mixture."""
-    k = model.getK()
+    k = model.k
     free = k - 1 + k * dimension + k * dimension * (dimension + 1) // 2
-    fit = float(model.summary.logLikelihood)
+    fit = model.log_likelihood
     return df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(fit).alias("log_likelihood"),
         F.lit(2.0 * free - 2.0 * fit).alias("aic"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from trigwatch.functions import timing
@@ -124,18 +124,16 @@ def fit_kmeans(spark, sf):
 
 @query("fit_gmm")
 def fit_gmm(spark, sf):
-    rows = explain.project_windows(labelled_vectors(spark, sf), 3)
-    low = rows.select("vec_id", array_to_vector(F.array("c1", "c2", "c3")).alias("features"))
-    model = models.fit_gmm(low, k=4, rounds=20)
-    membership = F.array_max(vector_to_array("probability"))
-    return model.transform(low).select("vec_id", F.col("prediction").alias("cluster"), membership.alias("membership"))
+    rows = labelled_vectors(spark, sf)
+    model = models.fit_gmm(rows, k=4)
+    membership = F.array_max("probability")
+    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"), membership.alias("membership"))
 
 
 @query("gmm_criteria")
 def gmm_criteria(spark, sf):
-    rows = explain.project_windows(labelled_vectors(spark, sf), 3)
-    low = rows.select("vec_id", array_to_vector(F.array("c1", "c2", "c3")).alias("features"))
-    return models.gmm_criteria(models.fit_gmm(low, k=4, rounds=20), low, 3)
+    rows = labelled_vectors(spark, sf)
+    return models.gmm_criteria(models.fit_gmm(rows, k=4), rows, DIMENSION)
 
 
 @query("search_grid")
