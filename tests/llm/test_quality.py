@@ -132,3 +132,13 @@ def test_long_texts_go_window_by_window(monkeypatch):
 
 def test_threshold():
     assert best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+
+
+def test_worst_piece_can_be_the_last():
+    rng = random.Random(8)
+    sample = [(i, int(i % 2 == 0), (junk if i % 2 else prose)(rng, 200)) for i in range(80)]
+    model = CompressionClassifier(sample, {0: 40, 1: 40})
+    good, bad = prose(rng, 900).encode(), junk(rng, 300).encode()
+    for size in (300, 512):  # a last piece that is short, or full
+        clean, ending, within = (model.values(t)[1] for t in (good[: 1536 + size], good[:1536] + bad[:size], good[:512] + bad[:512] + good[:1024]))
+        assert within < clean - 0.2 and ending < clean - 0.1, (size, clean, ending, within)

@@ -51,7 +51,9 @@ class CompressionClassifier:
         return self.__dict__ | {"_packers": None}
 
     def values(self, text: bytes) -> tuple[float, float]:
-        """Normalised difference of the compressed sizes over all pieces, and for the piece where it is least."""
+        """Normalised difference of the compressed sizes over all pieces, and for the piece where it is least.
+
+        A short last piece is too short to compare: the last ``PIECE`` bytes stand for it."""
         if self._packers is None:
             self._packers = {}
             for y, data in self.dictionaries.items():
@@ -63,7 +65,9 @@ class CompressionClassifier:
         if not sizes:
             return 0.0, 0.0
         b, g = map(sum, zip(*sizes))
-        whole = sizes[:-1] or sizes
+        whole = sizes
+        if len(text) > PIECE and len(text) % PIECE:
+            whole = [*sizes[:-1], (len(bad(text[-PIECE:])), len(good(text[-PIECE:])))]
         return (b - g) / (b + g), min((x - y) / (x + y) for x, y in whole)
 
     def score(self, text: str) -> float:
