@@ -385,3 +385,15 @@ def test_mixture_queries_fit_the_embeddings(spark):
     free = 3 + 4 * 64 + 4 * 64 * 65 // 2
     [r] = QUERIES["gmm_criteria"](spark, SF).collect()
     assert abs(r.aic - (2 * free - 2 * r.log_likelihood)) < 1e-6
+
+
+def test_shapley_query_takes_the_whole_background(spark, monkeypatch):
+    sizes, plain = [], explain.shapley_values
+
+    def seen(model, rows, background, *args, **settings):
+        sizes.append((background.count(), settings.get("permutations", 4)))
+        return plain(model, rows.limit(2), background, *args, **settings)
+
+    monkeypatch.setattr(explain, "shapley_values", seen)
+    assert QUERIES["shapley_values"](spark, SF).count() > 0
+    assert sizes == [(50, 4)]

@@ -195,9 +195,9 @@ def shapley_values(spark, sf):
     rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
     model = models.fit_classifier(models.random_forest(trees=5, depth=4), rows.select("label", "features"))
     alerts = models.score(model, rows).where("predicted_label = 1").select("key", "features")
-    background = sampling.background_rows(rows, 5, "key").select("features")
+    background = sampling.background_rows(rows, 50, "key").select("features")
     dimension = vectors.feature_layout(used_families(spark, sf), "family_first").count()
-    return explain.shapley_values(model, alerts, background, "key", dimension, permutations=1)
+    return explain.shapley_values(model, alerts, background, "key", dimension)
 
 
 def forest(spark, sf):
