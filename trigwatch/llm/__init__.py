@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "warc", "secrets", "jaccard", "pii", "exact", "mixing", "toxicity", "tokens", "decontaminate")
+MODULES = ("quality", "warc", "secrets", "jaccard", "pii", "exact", "mixing", "toxicity", "tokens", "decontaminate", "negatives", "search", "bpe")
 
 
 def load_llm() -> tuple[dict, dict]:
