@@ -15,7 +15,7 @@ from trigwatch.sources import documents as docs
 EVENT = "hostname STRING, rule_id BIGINT, timestamp TIMESTAMP_NTZ, count BIGINT, source_label STRING"
 
 
-def at(clock: str, day: str = "2025-07-29") -> datetime:
+def at(clock: str, day: str = "2031-02-09") -> datetime:
     return datetime.fromisoformat(f"{day} {clock}")
 
 
@@ -46,7 +46,7 @@ def test_snap_rolls_over_midnight(spark, size):
 
 def test_window_ids(spark):
     ids = [r[0] for r in stamps(spark, "09:00:00", "09:29:59", "09:30:00", "09:59:00", "10:00:00").select(timing.window_id(F.col("ts"), 30)).collect()]
-    assert ids == ["2025-07-29_09-00-00_W18"] * 2 + ["2025-07-29_09-30-00_W19"] * 2 + ["2025-07-29_10-00-00_W20"]
+    assert ids == ["2031-02-09_09-00-00_W18"] * 2 + ["2031-02-09_09-30-00_W19"] * 2 + ["2031-02-09_10-00-00_W20"]
 
 
 def test_hour_anchored_differs_from_day_anchored(spark):
@@ -55,15 +55,15 @@ def test_hour_anchored_differs_from_day_anchored(spark):
 
 
 def test_ingest_window_id(spark):
-    row = stamps(spark, "09:50:55").select(timing.window_id_hour(F.col("ts"), 30), timing.window_end_hour(F.col("ts"), 30)).first()
-    assert row == ("2025-07-29_09-30-00", at("10:00:00"))
+    row = stamps(spark, "09:41:07").select(timing.window_id_hour(F.col("ts"), 30), timing.window_end_hour(F.col("ts"), 30)).first()
+    assert row == ("2031-02-09_09-30-00", at("10:00:00"))
 
 
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Jul 29, 2025, 9:50:55 AM", at("09:50:55")), ("Aug 08, 2025, 10:19:56 AM", at("10:19:56", "2025-08-08")),
-        ("Jul 29, 2025, 12:00:01 AM", at("00:00:01")), ("invalid-timestamp", None), ("", None),
+        ("Feb 09, 2031, 9:41:07 AM", at("09:41:07")), ("Mar 03, 2031, 11:07:08 AM", at("11:07:08", "2031-03-03")),
+        ("Feb 09, 2031, 12:00:01 AM", at("00:00:01")), ("invalid-timestamp", None), ("", None),
     ],
 )
 def test_parse(spark, text, want):
@@ -71,14 +71,14 @@ def test_parse(spark, text, want):
 
 
 @pytest.mark.parametrize(
-    "text, want", [("2327.0", 2327), ("294,516", 294516), (" 12 ", 12), ("", None), ("many", None), ("-3.9", -3), ("nan", None), ("inf", None)]
+    "text, want", [("816.0", 816), ("71,305", 71305), (" 12 ", 12), ("", None), ("many", None), ("-3.9", -3), ("nan", None), ("inf", None)]
 )
 def test_count(spark, text, want):
     assert one(spark, cleaning.normalize_count(F.lit(text))) == want
 
 
 def test_strict_count_rejects_separators(spark):
-    assert one(spark, cleaning.coerce_number(F.lit("294,516"))) is None
+    assert one(spark, cleaning.coerce_number(F.lit("71,305"))) is None
 
 
 @pytest.mark.parametrize(
@@ -146,15 +146,15 @@ def test_empty_single_zero_negative(spark):
 
 
 def test_search_answer_to_windows(spark):
-    entry = '{"sysmon_hostname (custom)":"h","Source IP":"1.2.3.4","Custom Rule":7,"Log Source Time (Minimum)":"Jul 29, 2025, %s","Count":%d}'
-    parts = ",".join(entry % p for p in (("9:50:55 AM", 50), ("9:55:55 AM", 25), ("10:00:55 AM", 75)))
+    entry = '{"sysmon_hostname (custom)":"h","Source IP":"1.2.3.4","Custom Rule":7,"Log Source Time (Minimum)":"Feb 09, 2031, %s","Count":%d}'
+    parts = ",".join(entry % p for p in (("9:41:07 AM", 50), ("9:55:55 AM", 25), ("10:00:55 AM", 75)))
     # dropped: no address, placeholder address, unreadable time
-    parts += ',{"Custom Rule":7,"Count":1,"Log Source Time (Minimum)":"Jul 29, 2025, 9:50:55 AM"}'
-    parts += ',{"Source IP":"N/A","src_ip":"1.1.1.1","Custom Rule":7,"Count":1,"Log Source Time (Minimum)":"Jul 29, 2025, 9:50:55 AM"}'
+    parts += ',{"Custom Rule":7,"Count":1,"Log Source Time (Minimum)":"Feb 09, 2031, 9:41:07 AM"}'
+    parts += ',{"Source IP":"N/A","src_ip":"1.1.1.1","Custom Rule":7,"Count":1,"Log Source Time (Minimum)":"Feb 09, 2031, 9:41:07 AM"}'
     parts += "," + entry % ("never", 9)
     answer = spark.createDataFrame([('{"events":[%s]}' % parts,)], "a STRING")
     found = agg.named(agg.host_rule_counts(agg.ingest_windows(docs.search_events(docs.parse_search_json(answer, "a")), 30)))
-    assert {(r.window_id, r["count"]) for r in found.collect()} == {("2025-07-29_09-30-00", 75), ("2025-07-29_10-00-00", 75)}
+    assert {(r.window_id, r["count"]) for r in found.collect()} == {("2031-02-09_09-30-00", 75), ("2031-02-09_10-00-00", 75)}
 
 
 def test_documents_keep_hosts_with_dots(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -33,23 +34,23 @@ def trigger_folder(spark, rows):
 
 
 def test_trigger_files(spark):
-    good = ("h", "100221", "Aug 08, 2025, 10:19:56 AM", "2327.0")
+    good = ("h", "300417", "Mar 03, 2031, 11:07:08 PM", "816.0")
     path = trigger_folder(
         spark,
         {
-            "a": [good, ("h", "100221", "Jul 29, 2025, 9:50:55 AM", "294,516"), ("N/A", "1", "Jul 29, 2025, 9:50:55 AM", "1")],
-            "b": [good, ("h", "2", "yesterday", "5"), ("h", "x", "Jul 29, 2025, 9:50:55 AM", "5")],
+            "a": [good, ("h", "300417", "Feb 9, 2031, 6:05:04 AM", "71,305"), ("N/A", "1", "Feb 9, 2031, 6:05:04 AM", "1")],
+            "b": [good, ("h", "2", "yesterday", "5"), ("h", "x", "Feb 9, 2031, 6:05:04 AM", "5")],
         },
     )
     rows = triggers.scan_trigger_csv(spark, path, "attack").collect()
-    assert sorted(r["count"] for r in rows) == [2327, 2327, 294516]
+    assert sorted(r["count"] for r in rows) == [816, 816, 71305]
     assert {r.source_label for r in rows} == {"attack"} and len({r.window_id for r in rows}) == 2
     strict = triggers.scan_trigger_csv(spark, path, "attack", strict_count=True)
-    assert sorted(r["count"] for r in strict.collect()) == [2327, 2327]
+    assert sorted(r["count"] for r in strict.collect()) == [816, 816]
     named = triggers.scan_trigger_csv(spark, path, "attack", null_host="nan")
     assert "nan" in {r.hostname for r in named.collect()}
     quarantined = triggers.scan_trigger_csv(spark, path, "attack", bad_rows="quarantine_file")
-    assert sorted(r["count"] for r in quarantined.collect()) == [2327, 294516]
+    assert sorted(r["count"] for r in quarantined.collect()) == [816, 71305]
 
 
 def test_no_trigger_files(spark):
@@ -74,8 +75,8 @@ def test_job_list_raises(spark):
 
 def test_calendar_file(spark):
     path = scratch(spark, "calendar")
-    spark.createDataFrame([("11/8/2025 8:30", "11/8/2025 9:00")], "`start time` STRING, `end time` STRING").write.option("header", "true").csv(path)
-    assert jobs.scan_calendar(spark, path).first() == (datetime(2025, 8, 11, 8, 30), datetime(2025, 8, 11, 9, 0))
+    spark.createDataFrame([("4/3/2031 7:15", "4/3/2031 7:45")], "`start time` STRING, `end time` STRING").write.option("header", "true").csv(path)
+    assert jobs.scan_calendar(spark, path).first() == (datetime(2031, 3, 4, 7, 15), datetime(2031, 3, 4, 7, 45))
 
 
 # --- stored tables ------------------------------------------------------------------------
@@ -90,7 +91,7 @@ def test_upsert_table_is_idempotent(spark):
     first, second = rows_of(spark, ("w", "h", 1, 5, 1), ("w", "h", 2, 6, 1)), rows_of(spark, ("w", "h", 1, 9, 2))
     for batch in (first, second, second, first):
         store.upsert_table(batch, path, keys, "version")
-    assert {(r.rule_id, r["count"]) for r in spark.read.parquet(path).collect()} == {(1, 9), (2, 6)}
+    assert {(r.rule_id, r["count"]) for r in store.read_table(spark, path).collect()} == {(1, 9), (2, 6)}
 
 
 def test_upsert_touches_only_its_dates(spark):
@@ -98,7 +99,7 @@ def test_upsert_touches_only_its_dates(spark):
     store.upsert_table(rows_of(spark, ("w", "h", 1, 5, 1)), path, keys, "version")
     other = rows_of(spark, ("w2", "h", 1, 7, 1)).withColumn("window_date", F.lit("2024-01-02").cast("date"))
     store.upsert_table(other, path, keys, "version")
-    assert {(r.window_id, r["count"]) for r in spark.read.parquet(path).collect()} == {("w", 5), ("w2", 7)}
+    assert {(r.window_id, r["count"]) for r in store.read_table(spark, path).collect()} == {("w", 5), ("w2", 7)}
 
 
 def test_upsert_reads_only_its_dates(spark):
@@ -342,20 +343,54 @@ def test_stream_in_many_batches_equals_batch(spark):
     counted = live.tumbling_counts(stream, 60, ["hostname"], slack="60 days")
     live.stream_upsert(counted, path, marks, ["window_start", "hostname"]).awaitTermination()
     want = {(r.window_start, r.hostname): r["count"] for r in live.tumbling_counts(base, 60, ["hostname"]).collect()}
-    got = {(r.window_start, r.hostname): r["count"] for r in spark.read.parquet(path).collect()}
+    got = {(r.window_start, r.hostname): r["count"] for r in store.read_table(spark, path).collect()}
     assert got == want
 
 
 def test_expired_days_go(spark):
     path = scratch(spark, "days")
-    rows = [("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-09", "a")]
-    spark.createDataFrame(rows, "d STRING, hostname STRING").select(F.col("d").cast("date").alias("window_date"), "hostname").write.partitionBy("window_date").parquet(path)
+    rows = [("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-09", "a"), (None, "c")]
+    days = spark.createDataFrame(rows, "d STRING, hostname STRING").select(F.col("d").cast("date").alias("window_date"), "hostname", F.lit(1).alias("version"))
+    store.upsert_table(days, path, ["hostname", "window_date"], "version")
+    before = store.read_table(spark, path)
     assert live.drop_expired_days(spark, path, "2024-01-05", lookups.host_list(spark, ["b"])) == 1
-    assert {(str(r.window_date), r.hostname) for r in spark.read.parquet(path).collect()} == {("2024-01-02", "b"), ("2024-01-09", "a")}
+    left = {(str(r.window_date), r.hostname) for r in store.read_table(spark, path).collect()}
+    assert left == {("2024-01-02", "b"), ("2024-01-09", "a"), ("None", "c")} and before.count() == 4
     assert live.drop_expired_days(spark, path, "2024-01-05") == 1
+    assert live.drop_expired_days(spark, path, "2024-01-05") == 0
     assert live.drop_expired_days(spark, scratch(spark, "none"), "2024-01-05") == 0
 
 
+def scored(spark, *rows):
+    start = datetime(2024, 1, 1, 9)
+    return spark.createDataFrame([(w, h, p, start, start + timedelta(hours=1)) for w, h, p in rows], "window_id STRING, hostname STRING, probability DOUBLE, window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ")
+
+
+def test_alerts_are_corrected_and_withdrawn(spark):
+    path = scratch(spark, "alerts")
+    judge = lambda df: df.withColumn("predicted_label", (F.col("probability") > 0.5).cast("int"))
+    alerts = lambda: {(r.window_id, r.confidence) for r in live.stored_alerts(spark, path).collect()}
+    runs = []
+    for confidence, want in ((0.95, 0.95), (0.60, 0.60), (0.10, None), (0.70, 0.70), (None, None)):
+        time.sleep(0.002)  # runs start at different milliseconds
+        runs.append(live.detect_sink(judge, 0.5, path))
+        runs[-1](scored(spark, ("w", "h", confidence), ("v", "h", 0.8)), 0)
+        assert alerts() == {("v", 0.8)} | ({("w", want)} if want else set())
+    runs[0](scored(spark, ("w", "h", 0.95), ("v", "h", 0.8)), 0)  # an old run's batch comes again
+    assert alerts() == {("v", 0.8)}
+
+
+def test_progress_outlives_a_restart(spark):
+    kept, log = scratch(spark, "progress"), live.ProgressLog()
+    log.rows += [("q", "r1", "started", "t0", None, None, None), ("q", "r1", "progress", "t1", 0, 5, None), ("q", "r1", "progress", "t2", 1, 7, None)]
+    assert log.store(spark, kept) == 3 and log.rows == [] and log.store(spark, kept) == 0
+    again = live.ProgressLog()  # batch 1 was not committed and is repeated
+    again.rows += [("q", "r2", "progress", "t3", 1, 9, None), ("q", "r2", "progress", "t4", 2, 1, None), ("p", "r3", "progress", "t4", 0, 100, None)]
+    again.store(spark, kept)
+    sums = {r.query: r.n for r in live.stored_progress(spark, kept).groupBy("query").agg(F.sum("input_rows").alias("n")).collect()}
+    assert sums == {"q": 15, "p": 100}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"search_grid", "search_random", "fit_svm", "fit_random_forest", "fit_extra_trees"}))
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1

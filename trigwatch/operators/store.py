@@ -1,7 +1,7 @@
 """Stored tables: keyed upserts, retention, summaries and exports.
 
-Tables are Parquet partitioned by date. A merge reads and writes the dates of the incoming
-rows only. Latest-per-key is an aggregate (``max_by``), not a window: it combines map-side, so
+Tables are Parquet partitioned by date, with versions (``sources/versioned.py``). A merge reads
+and writes the dates of the incoming rows only. Latest-per-key is an aggregate (``max_by``), not a window: it combines map-side, so
 a key that was written a billion times is not gathered in one task.
 """
 
@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigwatch.functions.timing import PLAIN_FORMAT, SIEM_FORMAT
 from trigwatch.operators.lookups import protected_hosts
-from trigwatch.session import cut_lineage
+from trigwatch.sources import versioned
 
 
 def dedupe_latest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -81,14 +80,9 @@ def stamp(df: DataFrame, column: str = "prediction_time", at: Column | None = No
     return df.withColumn(column, F.current_timestamp().cast("timestamp_ntz") if at is None else at)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Stored table, or None if nothing was written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """Stored table as of a version (the latest one by default), or None if nothing was written yet."""
+    return versioned.read_version(spark, path, version)
 
 
 def touched_dates(existing: DataFrame, incoming: DataFrame, partition: str) -> DataFrame:
@@ -101,32 +95,33 @@ def touched_dates(existing: DataFrame, incoming: DataFrame, partition: str) -> D
 
 def upsert_table(
     incoming: DataFrame, path: str, keys: Sequence[str], version: str, partition: str = "window_date",
-    merge: str = "replace",
-) -> None:
+    merge: str = "replace", tries: int = 1,
+) -> int:
     """Merge rows into a date-partitioned table; only the dates present in them are read and rewritten.
 
     ``replace`` keeps the newest row per key, ``windows`` replaces whole windows (rules that a
     later fetch lacks go), ``sum`` stores each contribution under its version; readers add
-    them up with ``summed``. Repeating a batch gives the same table in every mode. The merged
-    rows are checkpointed first, since a partition cannot be read and replaced in one job.
-    The switch of a date's files is not atomic for concurrent readers.
+    them up with ``summed``. Repeating a batch gives the same table in every mode.
+
+    The new files of the dates are written beside the old ones and become the table in one step;
+    returns the table's new version. A writer that another one has overtaken starts again from the
+    newer table, up to ``tries`` times, and then raises ``TableConflict``.
     """
     spark = incoming.sparkSession
-    existing = read_table(spark, path)
-    before = incoming.limit(0) if existing is None else touched_dates(existing, incoming, partition).select(incoming.columns)
-    if merge == "windows":
-        merged = upsert_windows(before, incoming, version).select(incoming.columns)
-    else:
-        merged = dedupe_latest(before.unionByName(incoming), [*keys, version] if merge == "sum" else keys, version)
-    incoming = cut_lineage(merged)
-    # rebalanced by date: few files per date, and a date too large for one writer is split
-    (
-        incoming.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    while True:
+        now = versioned.manifest(spark, path)
+        stored = None if now is None else versioned.frame_of(spark, path, now)
+        before = incoming.limit(0) if stored is None else touched_dates(stored, incoming, partition).select(incoming.columns)
+        if merge == "windows":
+            merged = upsert_windows(before, incoming, version).select(incoming.columns)
+        else:
+            merged = dedupe_latest(before.unionByName(incoming), [*keys, version] if merge == "sum" else keys, version)
+        try:
+            return versioned.replace_partitions(merged, path, partition, now)
+        except versioned.TableConflict:
+            tries -= 1
+            if tries < 1:
+                raise
 
 
 # --- retention ----------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def written(spark, sf, mode, versions_=None):
         dated = part.drop("first_time").withColumn("window_date", F.substring("window_id", 1, 10).cast("date"))
         for _ in range(2):
             store.upsert_table(dated, path, KEYS, "version", merge=mode)
-    return spark.read.parquet(path)
+    return store.read_table(spark, path)
 
 
 KEYS = ["window_id", "hostname", "rule_id"]
