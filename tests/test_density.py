@@ -52,6 +52,7 @@ def test_against_brute_force(spark, monkeypatch, name, refine):
     if refine:
         monkeypatch.setattr(anomaly, "DIRECT_PAIRS", 0)
         monkeypatch.setattr(anomaly, "BLOCK", 16)
+        monkeypatch.setattr(anomaly, "GROUP", 2)
         if name in ("wide", "noise", "line"):
             pytest.skip("no crowded cells to refine")
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "key BIGINT, features ARRAY<DOUBLE>")
@@ -79,3 +80,49 @@ def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 103, 200]], "node BIGINT")
     got = {r.node: r.component for r in anomaly.connected_components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"), nodes).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[103] == 100 and got[200] == 200
+
+
+def test_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "BLOCK", 8)
+    monkeypatch.setattr(anomaly, "GROUP", 3)
+    points = np.random.default_rng(3).normal(0, 1, (200, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "key BIGINT, features ARRAY<DOUBLE>")
+    dimension, _, grid = anomaly._grid(df, "key", "features", 3.2, 4)
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= 3.2
+    found = anomaly._neighbours(grid, 3.2, dimension).select("p", "q").collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == set(zip(*(at.tolist() for at in np.nonzero(near))))
+
+
+def plain_silhouette(x, label):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i in range(len(x)):
+        own = (label == label[i]).sum()
+        if own == 1:
+            out.append(0.0)
+            continue
+        a, b = d[i][label == label[i]].sum() / (own - 1), min(d[i][label == k].mean() for k in set(label) - {label[i]})
+        out.append((b - a) / max(a, b))
+    return np.array(out)
+
+
+def test_silhouette_of_all_and_of_a_sample(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.8, (80, 3)) for c in (0, 3, 5)] + [np.full((1, 3), 20.0), np.full((9, 3), -4.0)])
+    label = np.repeat([0, 1, 2, 3, 4], [80, 80, 80, 1, 9])
+    df = spark.createDataFrame([(i, int(k), p.tolist()) for i, (k, p) in enumerate(zip(label, x))], "key BIGINT, cluster BIGINT, features ARRAY<DOUBLE>").repartition(3)
+    want = plain_silhouette(x, label).mean()
+    mean, error = anomaly.silhouette(df, "key")
+    assert abs(mean - want) < 1e-9 and error == 0.0
+    mean, error = anomaly.silhouette(df, "key", points=120)
+    assert 0 < abs(mean - want) <= error == pytest.approx(np.sqrt(2 * np.log(200) / 120))
+
+
+def test_many_centres_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "CENTRE_BLOCK", 4)
+    rng = np.random.default_rng(6)
+    c, s = rng.normal(size=(23, 5)), rng.uniform(0.1, 1, 23)
+    df = spark.createDataFrame([(i, float(s[i]), c[i].tolist()) for i in range(23)], "cluster BIGINT, s DOUBLE, center ARRAY<DOUBLE>")
+    got = {r.cluster: r.worst for r in anomaly.centre_similarity(df).collect()}
+    for i in range(23):
+        assert abs(got[i] - max((s[i] + s[j]) / np.linalg.norm(c[i] - c[j]) for j in range(23) if j != i)) < 1e-9

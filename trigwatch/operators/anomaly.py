@@ -87,38 +87,108 @@ def cluster_anomalies(
     return found.groupBy(key).agg(F.concat_ws("+", F.sort_array(F.collect_set("reason"))).alias("reasons"))
 
 
-def cluster_quality(df: DataFrame, key: str, cluster: str = "cluster", features: str = "features") -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin from centres and distances, silhouette with squared
-    distances (the form with a linear-time expression; no pair of points is formed)."""
+#: centres that are compared as one list, and points whose silhouette is computed unless told otherwise
+CENTRE_BLOCK, SILHOUETTE_POINTS = 256, 2000
+
+
+def centre_similarity(spread: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """``cluster, worst``: the largest (s + s') / distance of a cluster's centre to any other.
+
+    ``spread`` has ``center`` and ``s`` per cluster. Every centre meets every block of centres by
+    an equi join on the block's number, so no task holds all centres.
+    """
+    blocks = -(-spread.count() // CENTRE_BLOCK)
+    held = spread.groupBy(F.pmod(F.xxhash64(cluster), F.lit(max(1, blocks))).alias("block")).agg(
+        F.collect_list(F.struct(F.col(cluster).alias("id"), "s", "center")).alias("others")
+    )
+    asked = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, blocks) - 1).cast("bigint"))))
+    similar = F.transform(
+        F.filter("others", lambda other: other["id"] != F.col(cluster)),
+        lambda other: (F.col("s") + other["s"]) / distance(F.col("center"), other["center"]),
+    )
+    return asked.join(held, "block").select(cluster, F.array_max(similar).alias("worst")).groupBy(cluster).agg(F.max("worst").alias("worst"))
+
+
+def cluster_quality(
+    df: DataFrame, key: str, cluster: str = "cluster", features: str = "features", points: int = SILHOUETTE_POINTS, risk: float = 0.01
+) -> DataFrame:
+    """Calinski-Harabasz and Davies-Bouldin from centres and distances, and two silhouettes: with
+    squared distances over all points, and with plain distances over ``points`` of them
+    (``silhouette``, off by more than ``silhouette_error`` with a probability of at most ``risk``)."""
     middle = centers(df, cluster, features)
     spread = point_center_distance(df, middle, cluster, features).groupBy(cluster).agg(
         F.avg("distance").alias("s"), F.sum(F.col("distance") * F.col("distance")).alias("w")
     )
     overall = centers(df.withColumn("_all", F.lit(0)), "_all", features).select("center").scalar()
-    per_cluster = (
+    per_cluster = cut_lineage(
         middle.join(spread, cluster)
         .withColumn("overall", overall)
         .withColumn("b", F.col("n") * squared_distance(F.col("center"), F.col("overall")))
     )
-    # the clusters (not the points) fit one row: their number is a model parameter
-    gathered = per_cluster.agg(
-        F.collect_list(F.struct("s", "center", F.col(cluster).alias("id"))).alias("g"),
-        F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
-    )
-
-    def worst(one: Column) -> Column:
-        others = F.filter("g", lambda other: other["id"] != one["id"])
-        return F.array_max(
-            F.transform(others, lambda other: (one["s"] + other["s"]) / distance(one["center"], other["center"]))
-        )
-
-    total = F.aggregate(F.transform("g", worst), F.lit(0.0), lambda s, v: s + v)
-    figures = gathered.select(
+    sums = per_cluster.agg(F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    worst = centre_similarity(per_cluster.select(cluster, "s", "center"), cluster).agg(F.sum("worst").alias("total"))
+    plain, error = silhouette(df, key, cluster, features, points, risk)
+    return sums.select(
         F.col("k").alias("n_clusters"),
         ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"),
-        (total / F.col("k")).alias("davies_bouldin"),
+        (worst.select("total").scalar() / F.col("k")).alias("davies_bouldin"),
+        F.lit(silhouette_squared(df, cluster, features)).alias("silhouette_squared"),
+        F.lit(plain).alias("silhouette"),
+        F.lit(error).alias("silhouette_error"),
     )
-    return figures.withColumn("silhouette_squared", F.lit(silhouette_squared(df, cluster, features)))
+
+
+def silhouette(
+    df: DataFrame, key: str, cluster: str = "cluster", features: str = "features", points: int = SILHOUETTE_POINTS, risk: float = 0.01
+) -> tuple[float, float]:
+    """Mean silhouette with plain distances, and its error.
+
+    The first ``points`` rows in the order of a hash of the key (and then the key) are compared with all rows, so
+    each of their silhouettes is exact; their mean is that of all rows if there are no more. Else
+    it is the mean of a sample of values between -1 and 1, which Hoeffding's bound keeps within
+    ``sqrt(2 ln(2 / risk) / points)`` of the mean of all. Tasks send one sum and count per sampled point and cluster.
+    """
+    spark = df.sparkSession
+    chosen = df.orderBy(F.xxhash64(key), key).limit(points).select(cluster, features).collect()
+    if not chosen:
+        return float("nan"), 0.0
+    sample = spark.sparkContext.broadcast(np.array([r[1] for r in chosen], float))
+    own = [r[0] for r in chosen]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, totals = sample.value, {}
+        for batch in batches:
+            for name, part in batch.groupby("c", dropna=False):
+                x = np.array(part["x"].tolist(), float)
+                for start in range(0, len(x), 2048):
+                    some = x[start : start + 2048]
+                    squares = (at * at).sum(1)[:, None] + (some * some).sum(1) - 2 * at @ some.T
+                    # a point's distance to itself is exactly 0
+                    squares[(squares < 1e-6) & (squares != 0)] = _small_squares(at, some, squares)
+                    total = totals.setdefault(name, [np.zeros(len(at)), 0])
+                    total[0] += np.sqrt(np.maximum(squares, 0)).sum(1)
+                    total[1] += len(some)
+        for name, (total, n) in totals.items():
+            yield pd.DataFrame({"c": name, "i": np.arange(len(at)), "total": total, "n": n})
+
+    kind = df.schema[cluster].dataType.simpleString()
+    sums = df.select(F.col(cluster).alias("c"), F.col(features).alias("x")).mapInPandas(summed, f"c {kind}, i BIGINT, total DOUBLE, n BIGINT")
+    mine = spark.createDataFrame(list(enumerate(own)), f"i BIGINT, own {kind}")
+    means = sums.groupBy("i", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(F.broadcast(mine), "i")
+    same = F.col("c").eqNullSafe(F.col("own"))
+    inside = F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
+    outside = F.min(F.when(~same, F.col("total") / F.col("n")))
+    per_point = means.groupBy("i").agg(inside.alias("a"), outside.alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    mean = per_point.agg(F.avg(value)).first()[0]
+    rows = len(chosen) if len(chosen) < points else df.count()
+    return mean, 0.0 if rows <= len(chosen) else math.sqrt(2 * math.log(2 / risk) / len(chosen))
+
+
+def _small_squares(a: np.ndarray, b: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Small squared distances again, from the differences: the fast form cancels there."""
+    i, j = np.nonzero((squares < 1e-6) & (squares != 0))
+    return ((a[i] - b[j]) ** 2).sum(1)
 
 
 def silhouette_squared(df: DataFrame, cluster: str = "cluster", features: str = "features") -> float:
@@ -192,15 +262,16 @@ def _near_cells(cells: DataFrame, eps: float, side: float, dimension: int, axes:
 BOX_TEST = 8
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component`` (smallest node id) by alternating large-star and small-star steps.
 
     Each step replaces the neighbours of a node by its minimum, an aggregate that combines
-    map-side, so a hub costs no more than its edges. The edge list is checkpointed per round.
+    map-side, so a hub costs no more than its edges. The edge list is checkpointed per round;
+    the smallest node of a component spreads with every step, so the rounds end.
     """
     links = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -216,7 +287,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -
             roots = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mark = state
-    raise RuntimeError("components did not settle")
 
 
 def _grid(df: DataFrame, key: str, features: str, eps: float, min_samples: int):
@@ -231,12 +301,8 @@ def _grid(df: DataFrame, key: str, features: str, eps: float, min_samples: int):
     return dimension, side, points
 
 
-#: points per block; two blocks are compared as one small matrix
-BLOCK = 256
-
-
-#: comparisons that a call does unless it is allowed more
-MOST_PAIRS = 10**10
+#: points per block, two of which are compared as one small matrix, and blocks per side of a task's group
+BLOCK, GROUP = 256, 64
 
 
 def compared_pairs(points: DataFrame, eps: float, dimension: int, axes: int = 3) -> int:
@@ -250,37 +316,47 @@ def compared_pairs(points: DataFrame, eps: float, dimension: int, axes: int = 3)
     return int(pairs.first()[0] or 0)
 
 
-def _neighbours(points: DataFrame, eps: float, dimension: int, most_pairs: int, axes: int = 3) -> DataFrame:
+def _neighbours(points: DataFrame, eps: float, dimension: int, most_pairs: int | None = None, axes: int = 3) -> DataFrame:
     """(p, q) within eps for every point p of a cell that is not dense.
 
     Exact pruning can fail: where eps is large next to the spread of the data, as between unit
-    vectors of many dimensions, every point may be near every other. The comparisons are
-    counted first, and the call is refused if there are more than ``most_pairs``.
-
-    Such a cell has fewer than ``min_samples`` points, and two crowded cells are never
-    compared here. Points meet by an equi join on projection slots, block by block: a slot
-    of any size is cut into blocks of about ``BLOCK`` points, a row of the join holds two
-    blocks, and only the pairs found within eps leave the task.
+    vectors of many dimensions, every point may be near every other. With ``most_pairs`` the
+    comparisons are counted first, and a call with more is refused.
+
+    A sparse cell has fewer than ``min_samples`` points, and two crowded cells are never
+    compared here. Points meet by an equi join on pairs of projection slots, block by block: a
+    slot of any size is cut into blocks of about ``BLOCK`` points, and the blocks of a pair of
+    slots are dealt to tasks as a grid of ``GROUP`` by ``GROUP`` blocks. So no task gets more than
+    one square of the grid, whatever a slot holds, a block travels once per row or column of
+    squares, and only the pairs found within eps leave the task.
     """
-    work = compared_pairs(points, eps, dimension, axes)
-    if work > most_pairs:
+    if most_pairs is not None and (work := compared_pairs(points, eps, dimension, axes)) > most_pairs:
         raise ValueError(f"{work} pairs of points would be compared; allow it by most_pairs, or choose a smaller eps")
     directions = _directions(dimension, axes)
     slotted = points.withColumn("slot", _slot(F.col("x"), directions, eps))
-    sizes = slotted.groupBy("slot").agg(
-        F.ceil(F.count_if(~F.col("dense")) / BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights")
+    sizes = cut_lineage(
+        slotted.groupBy("slot").agg(F.ceil(F.count_if(~F.col("dense")) / BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights"))
     )
+    near = sizes.where("lefts > 0").select(F.col("slot").alias("l_slot"), "lefts", F.explode(_around(F.col("slot"), len(directions))).alias("r_slot"))
+    near = cut_lineage(near.join(sizes.select(F.col("slot").alias("r_slot"), "rights"), "r_slot"))
     cut = slotted.join(sizes, "slot").withColumn("_h", F.xxhash64("pid"))
+    groups = lambda blocks: F.sequence(F.lit(0).cast("bigint"), F.floor((blocks - 1) / GROUP))
     left = (
         cut.where("NOT dense")
-        .groupBy("slot", F.pmod("_h", F.col("lefts")).alias("block"))
+        .groupBy(F.col("slot").alias("l_slot"), F.pmod("_h", F.col("lefts")).alias("block"))
         .agg(F.collect_list(F.struct("pid", "cell", "x")).alias("l"))
-        .select("l", F.explode(_around(F.col("slot"), len(directions))).alias("slot"))
+        .withColumn("l_group", F.floor(F.col("block") / GROUP)).drop("block")
+        .join(near.select("l_slot", "r_slot", groups(F.col("rights")).alias("r_group")), "l_slot")
+        .withColumn("r_group", F.explode("r_group"))
     )
-    right = cut.groupBy("slot", F.pmod("_h", F.col("rights")).alias("block")).agg(
-        F.collect_list(F.struct("pid", "cell", "weight", "x")).alias("r")
+    right = (
+        cut.groupBy(F.col("slot").alias("r_slot"), F.pmod("_h", F.col("rights")).alias("block"))
+        .agg(F.collect_list(F.struct("pid", "cell", "weight", "x")).alias("r"))
+        .withColumn("r_group", F.floor(F.col("block") / GROUP)).drop("block")
+        .join(near.select("l_slot", "r_slot", groups(F.col("lefts")).alias("l_group")), "r_slot")
+        .withColumn("l_group", F.explode("l_group"))
     )
-    blocks = left.join(right.drop("block"), "slot").select(
+    blocks = left.join(right, ["l_slot", "r_slot", "l_group", "r_group"]).select(
         F.col("l.pid").alias("p"), F.col("l.cell").alias("p_cell"), F.flatten("l.x").alias("px"),
         F.col("r.pid").alias("q"), F.col("r.cell").alias("q_cell"), F.col("r.weight").alias("weight"), F.flatten("r.x").alias("qx"),
     )
@@ -366,14 +442,14 @@ def _dense_links(core: DataFrame, eps: float, side: float, dimension: int, level
     return links.unionByName(touching(open_pairs, ["a", "sa"], ["b", "sb"], left, right)).distinct()
 
 
-def core_points(df: DataFrame, key: str, eps: float, min_samples: int, features: str = "features", most_pairs: int = MOST_PAIRS) -> DataFrame:
+def core_points(df: DataFrame, key: str, eps: float, min_samples: int, features: str = "features", most_pairs: int | None = None) -> DataFrame:
     """Every row with its core flag (at least ``min_samples`` rows within eps, itself included)."""
     dimension, side, points = _grid(df, key, features, eps, min_samples)
     flags = _core_points(points, _neighbours(points, eps, dimension, most_pairs), min_samples)
     return df.join(flags.select(F.col("x").alias(features), "core"), features).select(*df.columns, "core")
 
 
-def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, features: str = "features", most_pairs: int = MOST_PAIRS) -> DataFrame:
+def fit_dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, features: str = "features", most_pairs: int | None = None) -> DataFrame:
     """Exact density clusters: adds ``cluster`` (numbered by smallest core key, -1 = noise) and ``core``.
 
     A border point that several clusters reach joins the one with the smallest number.

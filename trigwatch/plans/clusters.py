@@ -90,14 +90,19 @@ p AS (SELECT vec_id, CAST(label AS BIGINT) AS cluster, CAST(embedding AS DOUBLE[
 pr AS (SELECT a.vec_id, a.cluster AS ci, z.cluster AS cj, sum(power(list_distance(a.e, z.e), 2)) AS sd, count(*) AS m FROM p a, p z GROUP BY 1, 2, 3),
 own AS (SELECT vec_id, CASE WHEN m > 1 THEN sd / (m - 1) END AS a FROM pr WHERE ci = cj),
 oth AS (SELECT vec_id, min(sd / m) AS b FROM pr WHERE ci <> cj GROUP BY 1),
-sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM own JOIN oth USING (vec_id))
+sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM own JOIN oth USING (vec_id)),
+pl AS (SELECT a.vec_id, a.cluster AS ci, z.cluster AS cj, sum(list_distance(a.e, z.e)) AS sd, count(*) AS m FROM p a, p z GROUP BY 1, 2, 3),
+pown AS (SELECT vec_id, CASE WHEN m > 1 THEN sd / (m - 1) END AS a FROM pl WHERE ci = cj),
+poth AS (SELECT vec_id, min(sd / m) AS b FROM pl WHERE ci <> cj GROUP BY 1),
+psil AS (SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM pown JOIN poth USING (vec_id))
 SELECT (SELECT count(*) FROM n) AS n_clusters,
   round(((SELECT sum(n.n * bb) FROM b JOIN n USING (cluster)) / ((SELECT count(*) FROM n) - 1)) / ((SELECT sum(w) FROM n) / ((SELECT sum(n) FROM n) - (SELECT count(*) FROM n))), 6) AS calinski_harabasz,
-  round((SELECT avg(worst) FROM db), 6) AS davies_bouldin, round((SELECT s FROM sil), 6) AS silhouette_squared"""),
+  round((SELECT avg(worst) FROM db), 6) AS davies_bouldin, round((SELECT s FROM sil), 6) AS silhouette_squared,
+  round((SELECT s FROM psil), 6) AS silhouette, 0.0::DOUBLE AS silhouette_error"""),
 )
 def cluster_quality(spark, sf):
     found = anomaly.cluster_quality(embeddings(spark, sf), "vec_id")
-    return rounded(found, "calinski_harabasz", "davies_bouldin", "silhouette_squared")
+    return rounded(found, "calinski_harabasz", "davies_bouldin", "silhouette_squared", "silhouette")
 
 
 EPS, MIN_SAMPLES = 1.12, 3
