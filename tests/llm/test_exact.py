@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from trigwatch.llm.common import Scratch
 from trigwatch.llm.exact import Trie, exact_groups
 
 
@@ -40,10 +42,18 @@ def test_hot_group(make_docs):
     assert same(got, brute(rows))
 
 
-def test_unordered_tries_go_out_when_full(make_docs, monkeypatch):
-    monkeypatch.setattr("trigwatch.llm.exact.TRIE_BYTES", 50)
-    rows = [(i, f"text {i % 40}" * 3) for i in range(200)]
-    assert same([tuple(r) for r in exact_groups(make_docs(rows)).collect()], brute(rows))
+def test_subtrees_go_out_when_full(spark, make_docs, monkeypatch):
+    rows = [(i, f"{'abc'[i % 3]}{i % 40}" * (1 + i % 5)) for i in range(400)] + [(500, None), (501, "x" * 9000), (502, "x" * 9000 + "y")]
+    for most in (900, 5000, 40_000):
+        monkeypatch.setattr("trigwatch.llm.exact.TRIE_BYTES", most)
+        work, rounds = Scratch(spark, "exact"), []
+        monkeypatch.setattr(work, "stored", lambda df, name, plain=work.stored: rounds.append(name) or plain(df, name))
+        assert same([tuple(r) for r in exact_groups(make_docs(rows), work=work).collect()], brute(rows))
+        assert (len(rounds) > 1) == (most < 40_000)
+
+
+def strings(trie):
+    return {t: (o, n) for t, o, n in trie.terminals()}
 
 
 @settings(max_examples=200, deadline=None)
@@ -51,8 +61,48 @@ def test_unordered_tries_go_out_when_full(make_docs, monkeypatch):
 def test_trie(rows):
     trie, want = Trie(), {}
     for text, owner in rows:
-        trie.add(text, owner, 1)
+        assert trie.add(text, owner, 1)
         before = want.get(text, (None, 0))
         best = max([x for x in (before[0], owner) if x is not None], default=None)
         want[text] = (best, before[1] + 1)
-    assert {t: (o, n) for t, o, n in trie.terminals()} == want
+    assert strings(trie) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=6), min_size=1), st.integers(0, 4000), st.lists(st.binary(max_size=6)))
+def test_spilled_subtrees(first, most, later):
+    trie, out = Trie(), Counter()
+    for text in first:
+        trie.add(text, 1, 1)
+    before = trie.held
+    for text, _, n in trie.spill(most):
+        out[text] += n
+    assert not out or trie.held < before
+    assert len(set(first)) == 1 or strings(trie)  # something stays
+    for text in later:
+        if not trie.add(text, 1, 1):
+            out[text] += 1
+    kept = {t: n for t, (_, n) in strings(trie).items()}
+    assert not set(kept) & set(out)  # a string is either in the trie or went out, with all its copies
+    assert Counter(kept) + out == Counter(first + later)
+
+
+def test_a_trie_branches():
+    trie = Trie()
+    for i, text in enumerate([b"prefix one", b"prefix two", b"prefix", b"other"]):
+        trie.add(text, i, 1)
+    assert sorted(trie.root[1]) == [ord("o"), ord("p")]
+    shared = trie.root[1][ord("p")]
+    assert shared[0] == b"prefix" and shared[3] == 1 and list(shared[1]) == [ord(" ")]
+    assert sorted(c[0] for c in shared[1][ord(" ")][1].values()) == [b"one", b"two"]
+
+
+def test_memory_of_many_short_texts_is_counted():
+    texts = [f"{i * 7919 % 1_000_003:010d}".encode() for i in range(1_000_000)]
+    tracemalloc.start()
+    trie = Trie()
+    for i, text in enumerate(texts):
+        trie.add(text, i, 1)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.6 * trie.held < taken < 1.1 * trie.held

@@ -110,3 +110,26 @@ def test_long_cut(make_docs):
     for r in mixed(make_docs(rows)).collect():
         got[r.doc_id] += size_of(r.text)
     assert dict(got) == words
+
+
+def dealt(docs):
+    got = defaultdict(int)
+    for r in mixed(docs).collect():
+        got[r.source, r.doc_id] += size_of(r.text)
+    return dict(got)
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_equal_rows_keep_to_their_sources(make_docs, ids):
+    text = " ".join(f"w{j}" for j in range(20))
+    rows = [(ids, text, "en", "a")] * 100 + [(ids, text, "en", "b")] * 100 + [(ids, text, "en", None)] * 3
+    rows += [(1000 + i, "x y z " * (1 + i % 5), "en", "b") for i in range(400)]
+    docs = make_docs(rows).repartition(5)
+    want = defaultdict(int)
+    for r in mix(docs).collect():
+        want[r.source, r.doc_id] += r.taken
+    assert dealt(docs) == {k: v for k, v in want.items() if v}
+    per = defaultdict(list)
+    for r in mixed(docs).where("doc_id IS NULL OR doc_id = 7").collect():
+        per[r.source].append(size_of(r.text))
+    assert all(sum(n != 20 for n in sizes) <= 1 for sizes in per.values())  # whole texts, and one cut

@@ -100,3 +100,14 @@ def test_expectation_maximisation():
     assert tables[0][1, 1] > 0.85 and tables[0][1, 1] > tables[1][1, 1] > tables[3][1, 1]
     right = sum(n - truth[v] if posterior(share, tables, v) < 0.5 else truth[v] for v, n in counts.items())
     assert right / sum(counts.values()) > 0.93
+
+
+def test_added_spans_touch_no_base_span(make_docs):
+    rng = random.Random(12)
+    parts = ["a@b.co", "10.0.0.1", "+1 415 555 0100", "4111 1111 1111 1111", "call 415-555-0199", " ", "x", "@handle", "300.1.2.3", "tel. 0301234567", ", "]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(15))) for i in range(200)]
+    for r in find_personal_data(make_docs(rows)).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        base = [s for s in spans if s[0] != "other"]
+        assert all(b <= c or d <= a for k, a, b in spans if k == "other" for _, c, d in base)
+        assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() == r.base_sha256

@@ -4,8 +4,9 @@ import hashlib
 import random
 import re
 import string
+import time
 
-from trigwatch.llm.secrets import KINDS, MarkovRatio, base_spans, find_secrets
+from trigwatch.llm.secrets import KINDS, LETTER, STRING, MarkovRatio, base_spans, find_secrets, other_strings
 
 
 def brute(text):
@@ -89,3 +90,26 @@ def test_many_unlabelled_secrets(make_docs):
         out = {r.doc_id: r.spans.split(",") for r in find_secrets(make_docs(rows)).collect()}
         added = {(i, s) for i, spans in out.items() for s in spans if s.startswith("random")}
         assert added == {(i, f"random:{a}:{b}") for i, (a, b) in want.items()}
+
+
+def test_a_long_log_of_keys_takes_linear_time():
+    rng = random.Random(8)
+    line = lambda: f"{rng.getrandbits(128):032x} {''.join(rng.choice('abcdefgh_ABC') for _ in range(20))}\n"
+    took = []
+    for n in (20_000, 200_000):  # the longer one has about 10 MB
+        text = "".join(line() for _ in range(n))
+        start = time.process_time()
+        spans = base_spans(text)
+        others = other_strings(text, spans)
+        took.append(time.process_time() - start)
+        assert len(spans) >= n * 0.99 and len(others) >= n * 0.99
+    assert took[1] < 25 * took[0]
+
+
+def test_strings_beside_spans():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=abcdef123456", " ", "A" * 20, "b_" * 9, "0123456789abcdef" * 2, "=", "\n", "zz", "AKIA" + "Q7" * 9]) for _ in range(12))
+        spans = base_spans(text)
+        want = [(m.start(), m[0]) for m in STRING.finditer(text) if LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in spans)]
+        assert other_strings(text, spans) == want

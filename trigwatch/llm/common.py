@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigwatch.llm.files import delete_folder
 from trigwatch.session import ensure_checkpoint_dir
+from trigwatch.sources.versioned import delete_folder
 
 #: a group is hot when it holds more than one row in so many; there are fewer hot groups than this
 HOT_SHARE = 200
@@ -38,13 +38,13 @@ class Scratch:
     """Tables that an operator stores on its way, in one shared folder that goes when it is done."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.folder = shared_folder(spark, name)
+        self.spark, self.folder = spark, shared_folder(spark, name)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         return stored(df, name, self.folder)
 
     def clear(self) -> None:
-        delete_folder(self.folder)
+        delete_folder(self.spark, self.folder)
 
 
 def batched(df: DataFrame) -> DataFrame:

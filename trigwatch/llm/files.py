@@ -7,10 +7,30 @@ import uuid
 from pyarrow import fs
 
 
-def _at(path: str):
+#: names that Spark gives to stores, and those under which pyarrow reaches the same place
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gs": "gs", "s3": "s3", "abfss": "abfss", "hdfs": "hdfs", "file": "file"}
+
+
+def plain_path(path: str) -> str:
+    """The path as pyarrow names it; raises for a store that tasks cannot write to."""
     if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[len("file:"):]
-    return fs.FileSystem.from_uri(path)
+        return "file://" + path[len("file:"):]
+    if path.startswith(("dbfs:/", "/")):  # the former is mounted on every machine
+        return "/dbfs/" + path[len("dbfs:/"):].lstrip("/") if path.startswith("dbfs:") else path
+    scheme, rest = path.split("://", 1) if "://" in path else ("", path)
+    if scheme not in SCHEMES:
+        raise ValueError(f"tasks cannot write files to {path!r}: name a shared folder on {', '.join(sorted(SCHEMES))} or a mounted path in spark.checkpoint.dir")
+    return f"{SCHEMES[scheme]}://{rest}"
+
+
+def check_folder(path: str) -> str:
+    """``path``, after making sure, before any work, that files can be reached below it."""
+    _at(path)
+    return path
+
+
+def _at(path: str):
+    return fs.FileSystem.from_uri(plain_path(path))
 
 
 def new_file(folder: str, part: int, suffix: str):
@@ -25,12 +45,6 @@ def new_file(folder: str, part: int, suffix: str):
     return path, system.open_output_stream(inner, compression=None)
 
 
-def delete_folder(path: str) -> None:
-    system, inner = _at(path)
-    if system.get_file_info(inner).type == fs.FileType.Directory:
-        system.delete_dir(inner)
-
-
 def open_file(path: str):
     """A seekable stream over the file."""
     system, inner = _at(path)

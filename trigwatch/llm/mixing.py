@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trigwatch.functions.ordering import running_totals
+from trigwatch.functions.ordering import ranked_within, running_totals
 from trigwatch.llm.common import attach_groups, filled, fresh, stored, table
 from trigwatch.llm.registry import query
 
@@ -112,24 +112,39 @@ def mix(
     return summed.select("doc_id", "size", "source_size", "target", (passes * size + last).alias("taken"), "source")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """``docs`` as the mix takes them: a row for each full pass, and one more with the text up to
     the cut if the last pass ends inside the document. Documents of which nothing is taken go.
 
-    Columns are those of ``docs``; an ``n_chars`` column follows the text. Rows with equal id
-    and size share what the mix takes of them evenly (rounded down). A cut text ends with its
-    last word taken.
+    Columns are those of ``docs``; an ``n_chars`` column follows the text. Rows of equal source,
+    id and size are interchangeable: what the mix takes of them is dealt row after row, whole texts
+    first and one cut, so no word is lost or moved to another source. A cut text ends with its last
+    word taken.
     """
-    size, key, taken, n = fresh(docs, "size", "key", "taken", "n")
-    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"))
+    size, key, taken, n, place = fresh(docs, "size", "key", "taken", "n", "place")
+
+    def name(source: Column, doc_id: Column, words: Column) -> Column:
+        # a source may hold any character, so it stands last
+        return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), words.cast("string"), F.coalesce(F.concat(F.lit("|"), source), F.lit("")))
+
     shares = stored(
-        mix(docs, id_col, text_col, **settings).groupBy(name.alias(key)).agg(F.sum("taken").alias(taken), F.count(F.lit(1)).alias(n)),
+        mix(docs, id_col, text_col, source_col, **settings)
+        .groupBy(name(F.col("source"), F.col("doc_id"), F.col("size")).alias(key))
+        .agg(F.sum("taken").alias(taken), F.count(F.lit(1)).alias(n)),
         "taken",
     )
     rows = docs.withColumn(size, word_count(text_col))
-    rows = rows.withColumn(key, F.concat_ws("|", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.col(size)))
-    rows = attach_groups(rows, shares, key, n, [id_col]).withColumn(taken, F.floor(F.col(taken) / F.col(n)).cast("long")).where(F.col(taken) > 0)
-    full, part = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
+    rows = rows.withColumn(key, name(F.col(source_col).cast("string"), F.col(id_col).cast("long"), F.col(size)))
+    rows = attach_groups(rows, shares, key, n, [id_col]).where(F.col(taken) > 0).withColumn(place, F.lit(0).cast("long"))
+    if not shares.where(F.col(n) > 1).isEmpty():
+        again = rows.where(F.col(n) > 1).withColumn(place, F.monotonically_increasing_id())
+        first, more = fresh(again, "first", "more")
+        again = ranked_within(again, key, [F.col(place)], first, more).withColumn(place, F.col(first) - 1).drop(first, more)
+        rows = rows.where(F.col(n) == 1).unionByName(again.select(rows.columns))
+    # of the whole texts taken, each row gets its even part, and the first rows one more; the next one gets the cut
+    whole, rest = F.floor(F.col(taken) / F.col(size)), F.col(taken) % F.col(size)
+    full = (F.floor(whole / F.col(n)) + (F.col(place) < whole % F.col(n)).cast("int")).cast("int")
+    part = F.when(F.col(place) == whole % F.col(n), rest).otherwise(F.lit(0)).cast("int")
     copies = rows.withColumn(key, F.explode(F.concat(F.array_repeat(F.lit(0), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
     # possessive groups: Java matches them in a loop, not by recursion
     some = F.concat(F.lit(rf"^({SPACE}*+(?:{WORD}+{SPACE}*+){{"), (F.col(key) - 1).cast("string"), F.lit(rf"}}+{WORD}+)"))

@@ -217,18 +217,24 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     added = ~F.col("ok") & liked & (_score(weights) >= least) if counted else F.lit(False)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", F.when(F.col("ok"), rank).otherwise(F.lit(len(KINDS))).alias("rank"), "end")
-    spans = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("base"), F.array_sort(F.collect_set(F.when(added, span))).alias("more"),
+    # an added span overlaps a base span that starts before it and reaches into it, or the next one to start
+    up = Window.partitionBy("row").orderBy("start", F.desc("ok"), "end").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("ok"), F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = judged.where(F.col("ok") | added).withColumns(
+        {"before": F.max(F.when(F.col("ok"), F.col("end"))).over(up), "after": F.min(F.when(F.col("ok"), F.col("start"))).over(down)}
+    )
+    free = ~F.col("ok") & (F.coalesce("before", F.col("start")) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    spans = reached.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("base"), F.array_sort(F.collect_set(F.when(free, span))).alias("more"),
         *[F.count(F.when(F.col("ok") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS[:4]],
     )
-    free = F.filter("more", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def text(list_: Column) -> Column:
         parts = F.transform(list_, lambda s: F.concat_ws(":", F.element_at(names, s["rank"].cast("int")), s["start"], s["end"]))
         return F.coalesce(F.array_join(parts, ","), F.lit(""))
 
-    out = rows.join(spans.withColumn("all", F.array_sort(F.concat("base", free))), "row", "left")
+    out = rows.join(spans.withColumn("all", F.array_sort(F.concat("base", "more"))), "row", "left")
     return out.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("all")).alias("spans"),

@@ -50,10 +50,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_strings(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """Start and text of the long strings, not only of digits and marks, that touch no span."""
-    out = []
+    """Start and text of the long strings, not only of digits and marks, that touch no span.
+
+    Both are in order of their starts, so one walk over the spans will do: a string touches one
+    if the farthest end of those that begin before its end lies behind its start.
+    """
+    out, at, reach = [], 0, 0
     for m in STRING.finditer(text):
-        if LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in spans):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start() and LETTER.search(m[0]):
             out.append((m.start(), m[0]))
     return out
 

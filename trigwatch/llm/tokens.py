@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trigwatch.llm.common import batched, filled, shared_folder, stored, table
-from trigwatch.llm.files import new_file, open_file
+from trigwatch.llm.files import check_folder, new_file, open_file
 from trigwatch.llm.registry import query
 
 MAGIC = b"IDPLANE1"
@@ -231,6 +231,7 @@ def write_ids(
     task encodes and writes block by block. A repeated task writes another file, and only
     files of successful tasks enter the manifest, which is stored before it is returned.
     """
+    check_folder(folder)
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"), F.xxhash64(filled(text_col)).alias("tie"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigwatch.llm.common import attach_groups, batched, filled, hash_sample, shared_folder, stored, table
-from trigwatch.llm.files import new_file, open_file
+from trigwatch.llm.files import check_folder, new_file, open_file
 from trigwatch.llm.registry import query
 
 #: fixed values of the archive format
@@ -151,6 +151,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     found by a map-side aggregate and its pages stay where they are. A repeated task writes another archive;
     only archives of successful tasks enter the stored manifest.
     """
+    check_folder(folder)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), filled(text_col).alias("html"))
     dictionary = train_dictionary([t.encode()[:DICT_PAGE_BYTES] for t in hash_sample(rows, "html", DICT_PAGES) if t])
 
