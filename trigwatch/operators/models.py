@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
@@ -13,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
@@ -23,13 +24,15 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigwatch.functions.naming import FAMILY_PREFIX, RULE_PREFIX
 from trigwatch.operators import metrics
+from trigwatch.operators.trees import AdaBoost, ExtraTrees, with_chances
 from trigwatch.operators.vectors import class_weights
 from trigwatch.session import cut_lineage, settled
+from trigwatch.sources.versioned import folder_entries
 
 SEED = 42
 #: deepest tree MLlib accepts, for "unlimited depth"
@@ -92,12 +95,23 @@ def score(model, df: DataFrame, dimension: int | None = None) -> DataFrame:
     ).drop("prediction", *extra)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model, path: str) -> None:
+    """Any fitted model: pipelines in their own form, the others as one row ``kind, parts`` of JSON."""
+    for kind, own in OWN_MODELS.items():
+        if isinstance(model, own):
+            spark = SparkSession.getActiveSession()
+            row = spark.createDataFrame([(kind, json.dumps(model.parts()))], "kind STRING, parts STRING")
+            row.coalesce(1).write.mode("overwrite").parquet(path)
+            return
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str):
+    spark = SparkSession.getActiveSession()
+    if any(name == "metadata" for name, _ in folder_entries(spark, path)):
+        return PipelineModel.load(path)
+    row = spark.read.parquet(path).first()
+    return OWN_MODELS[row.kind].from_parts(json.loads(row.parts))
 
 
 # --- naive Bayes as two aggregates ----------------------------------------------------------
@@ -130,147 +144,190 @@ def naive_bayes_predict(long: DataFrame, stats: DataFrame, key: str) -> DataFram
     )
 
 
-# --- models MLlib has no estimator for (documented approximations) --------------------------
+# --- models MLlib has no estimator for (trees: operators/trees.py) --------------------------
 
 
 class FourierSvm:
     """RBF support vector classifier by random Fourier features (Rahimi & Recht 2007), a
-    linear SVM on them, and a logistic fit on the margin for probabilities."""
+    linear SVM on them, and a logistic fit on the margin for probabilities.
+
+    The weighted rows are stored once; what is fitted is a handful of numpy arrays.
+    """
 
     def __init__(self, size: int = 256, c: float = 1.0, gamma: float | None = None, rounds: int = 100):
         self.size, self.c, self.gamma, self.rounds = size, c, gamma, rounds
 
     def fit(self, df: DataFrame) -> "FourierSvm":
-        n = df.count()
-        dimension = len(df.select("features").first()[0])
+        rows = cut_lineage(class_weights(df))
+        n, self.dimension, spread = rows.select(F.explode(vector_to_array("features")).alias("x"), F.size(vector_to_array("features")).alias("d")).agg(
+            F.count(F.lit(1)) / F.max("d"), F.max("d"), F.var_pop("x")
+        ).first()
         if self.gamma is None:
-            cells = df.select(F.explode(vector_to_array("features")).alias("x"))
-            spread = cells.agg(F.var_pop("x")).first()[0]
-            self.gamma = 1.0 / (dimension * spread) if spread else 1.0
-        rng = np.random.default_rng(SEED)
-        weights = rng.normal(scale=math.sqrt(2 * self.gamma), size=(dimension, self.size))
-        phase = rng.uniform(0, 2 * math.pi, self.size)
-        size = self.size
+            self.gamma = 1.0 / (self.dimension * spread) if spread else 1.0
+        self._draw()
 
         @F.pandas_udf("array<double>")
         def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, dimension))
-                yield pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ weights + phase)))
-
-        self._lift = lift
-        lifted = cut_lineage(class_weights(self._lifted(df)))
-        self.svm = LinearSVC(featuresCol="lifted", regParam=1.0 / (self.c * n), maxIter=self.rounds, weightCol="weight").fit(lifted)
-        margins = self._margins(lifted)
-        self.platt = LogisticRegression(featuresCol="margin").fit(margins)
+                yield pd.Series(list(self.lifted(np.stack(batch.to_numpy()))) if len(batch) else [], dtype=object)
+
+        lifted = cut_lineage(rows.withColumn("lifted", array_to_vector(lift(vector_to_array("features")))))
+        svm = LinearSVC(featuresCol="lifted", regParam=1.0 / (self.c * n), maxIter=self.rounds, weightCol="weight").fit(lifted)
+        self.coefficients, self.intercept = svm.coefficients.toArray(), float(svm.intercept)
+        margin = array_to_vector(F.array(F.get(vector_to_array("rawPrediction"), F.lit(1))))
+        platt = LogisticRegression(featuresCol="margin").fit(svm.transform(lifted).select("label", margin.alias("margin")))
+        self.slope, self.offset = float(platt.coefficients[0]), float(platt.intercept)
         return self
 
-    def _lifted(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("lifted", array_to_vector(self._lift(vector_to_array("features"))))
+    def _draw(self) -> None:
+        rng = np.random.default_rng(SEED)
+        self.directions = rng.normal(scale=math.sqrt(2 * self.gamma), size=(self.dimension, self.size))
+        self.phase = rng.uniform(0, 2 * math.pi, self.size)
 
-    def _margins(self, lifted: DataFrame) -> DataFrame:
-        raw = self.svm.transform(lifted)
-        one = array_to_vector(F.array(F.get(vector_to_array("rawPrediction"), F.lit(1))))
-        return raw.withColumn("margin", one).drop("rawPrediction", "prediction")
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / self.size) * np.cos(x @ self.directions + self.phase)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.platt.transform(self._margins(self._lifted(df))).drop("lifted")
-
-
-class AdaBoost:
-    """Discrete multi-class boosting of shallow trees (Zhu et al. 2009). The row weights are a
-    column; each round is one distributed tree fit and one weighted error aggregate."""
-
-    def __init__(self, rounds: int = 50, rate: float = 1.0, depth: int = 1, classes: int = 2):
-        self.rounds, self.rate, self.depth, self.classes = rounds, rate, depth, classes
-        self.trees: list[tuple[Model, float]] = []
-
-    def fit(self, df: DataFrame) -> "AdaBoost":
-        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-        weights = cut_lineage(rows.select("_row", F.lit(1.0 / rows.count()).alias("weight")))
-        for _ in range(self.rounds):
-            current = rows.join(weights, "_row")  # only row numbers and weights are written per round
-            tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="weight", seed=SEED).fit(current)
-            marked = tree.transform(current).withColumn("_wrong", (F.col("prediction") != F.col("label")).cast("double"))
-            error = marked.agg(F.sum(F.col("weight") * F.col("_wrong")) / F.sum("weight")).first()[0]
-            if error <= 0:
-                self.trees.append((tree, 1.0))
-                break
-            if error >= 1 - 1 / self.classes:
-                break
-            alpha = self.rate * (math.log((1 - error) / error) + math.log(self.classes - 1))
-            self.trees.append((tree, alpha))
-            raised = F.col("weight") * F.exp(F.lit(alpha) * F.col("_wrong"))
-            norm = 1 + error * (math.exp(alpha) - 1)
-            weights = cut_lineage(marked.select("_row", (raised / F.lit(norm)).alias("weight")))
-        if not self.trees:
-            raise ValueError("the first tree is no better than chance")
-        return self
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        margin = self.lifted(x) @ self.coefficients + self.intercept
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_vote", F.lit(0.0))
-        for tree, alpha in self.trees:
-            side = F.when(F.col("prediction") == 1, alpha).otherwise(-alpha)
-            out = tree.transform(out).withColumn("_vote", F.col("_vote") + side).drop("prediction", "probability", "rawPrediction")
-        decision = F.col("_vote") / sum(a for _, a in self.trees)
-        chance = 1 / (1 + F.exp(-decision))
-        return out.withColumns({"prediction": (decision > 0).cast("double"), "probability": chance}).drop("_vote")
-
-
-class ExtraTrees:
-    """Extremely randomised trees, approximated: forests without bootstrap, each on features
-    cut at its own random thresholds, so splits can only fall on random points."""
-
-    def __init__(self, trees: int = 100, depth: int = 10, members: int = 5, cuts: int = 16):
-        self.trees, self.depth, self.members, self.cuts = trees, depth, members, cuts
-
-    def fit(self, df: DataFrame) -> "ExtraTrees":
-        ranges = (
-            df.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-            .groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .orderBy("i").collect()  # one row per feature
-        )
-        rng = np.random.default_rng(SEED)
-        weighted = cut_lineage(class_weights(df))
-        self.forests = []
-        for member in range(self.members):
-            steps = [max((r["hi"] - r["lo"]) / self.cuts, 1e-12) for r in ranges]
-            starts = [r["lo"] - s * rng.uniform() for r, s in zip(ranges, steps)]
-            forest = RandomForestClassifier(
-                featuresCol="cut", numTrees=max(1, self.trees // self.members), maxDepth=self.depth, bootstrap=False,
-                featureSubsetStrategy="sqrt", weightCol="weight", seed=SEED + member,
-            ).fit(self._cut(weighted, starts, steps))
-            self.forests.append((forest, starts, steps))
+        return with_chances(df, self.chances)
+
+    def parts(self) -> dict:
+        settings = {"size": self.size, "c": self.c, "gamma": self.gamma, "rounds": self.rounds}
+        fitted = {"dimension": self.dimension, "intercept": self.intercept, "slope": self.slope, "offset": self.offset}
+        return {"settings": settings, "fitted": fitted, "coefficients": self.coefficients.tolist()}
+
+    @classmethod
+    def from_parts(cls, parts: dict) -> "FourierSvm":
+        model = cls(**parts["settings"])
+        vars(model).update(parts["fitted"])
+        model.coefficients = np.array(parts["coefficients"])
+        model._draw()
+        return model
+
+
+# --- clustering -----------------------------------------------------------------------------
+
+
+#: rows, in the order of a hash, from which the first centres are drawn
+START_ROWS = 4096
+
+
+class Centroids:
+    """k-means from several starts, all of them in one pass per round.
+
+    The starts are drawn by k-means++ from the first ``START_ROWS`` rows in hash order; every
+    round goes over all rows. Tasks send a sum, a count and a cost per start and cluster, which
+    are added up by key. A start rests when no centre moves farther than ``tolerance``; the one
+    with the least cost wins. A centre that loses all its rows stays where it is.
+    """
+
+    def __init__(self, k: int = 8, restarts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = SEED):
+        self.k, self.restarts, self.rounds, self.tolerance, self.seed = k, restarts, rounds, tolerance, seed
+
+    def fit(self, df: DataFrame) -> "Centroids":
+        with kept(df.select(vector_to_array("features").alias("x"))) as rows:
+            some = np.array([r.x for r in rows.orderBy(F.xxhash64("x")).limit(START_ROWS).collect()])
+            starts = [self._start(some, np.random.default_rng([self.seed, i])) for i in range(self.restarts)]
+            open_, n_rounds, costs = set(range(self.restarts)), [0] * self.restarts, [math.inf] * self.restarts
+            for _ in range(self.rounds):
+                active = sorted(open_)
+                for i, (sums, counts, _) in zip(active, self._totals(rows, [starts[i] for i in active])):
+                    moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], starts[i])
+                    shift = np.sqrt(((moved - starts[i]) ** 2).sum(1).max())
+                    starts[i], n_rounds[i] = moved, n_rounds[i] + 1
+                    if shift <= self.tolerance:
+                        open_.discard(i)
+                if not open_:
+                    break
+            for i, (_, counts, cost) in enumerate(self._totals(rows, starts)):
+                costs[i] = cost
+            best = int(np.argmin(costs))
+            self.centers, self.cost, self.n_rounds, self.costs = starts[best], float(costs[best]), n_rounds[best], [float(c) for c in costs]
         return self
 
-    @staticmethod
-    def _cut(df: DataFrame, starts: Sequence[float], steps: Sequence[float]) -> DataFrame:
-        shifted = F.zip_with(vector_to_array("features"), F.array(*[F.lit(s) for s in starts]), lambda x, s: x - s)
-        binned = F.zip_with(shifted, F.array(*[F.lit(s) for s in steps]), lambda x, w: F.floor(x / w).cast("double"))
-        return df.withColumn("cut", array_to_vector(binned))
+    def _start(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        centers = x[rng.integers(len(x))][None]
+        while len(centers) < self.k:
+            apart = ((x[:, None] - centers[None]) ** 2).sum(2).min(1)
+            if apart.sum() <= 0:  # there are no more different rows
+                break
+            centers = np.concatenate([centers, x[rng.choice(len(x), p=apart / apart.sum())][None]])
+        return centers
+
+    def _totals(self, rows: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Per start the sum and count of the rows of each cluster, and the cost."""
+        d = starts[0].shape[1]
+
+        def sums(batches):
+            total = [np.zeros((len(c), d + 2)) for c in starts]
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                for part, centers in zip(total, starts):
+                    apart = (x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2 * x @ centers.T
+                    near = apart.argmin(1)
+                    np.add.at(part[:, :d], near, x)
+                    np.add.at(part[:, d], near, 1)
+                    np.add.at(part[:, d + 1], near, ((x - centers[near]) ** 2).sum(1))
+            for i, part in enumerate(total):
+                yield keyed_sums(part, i)
+
+        out = [np.zeros((len(c), d + 2)) for c in starts]
+        for i, c, j, value in added_up(rows.mapInArrow(sums, KEYED)):
+            out[i][c, j] = value
+        return [(t[:, :d], t[:, d], t[:, d + 1].sum()) for t in out]
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centers)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_sum", F.lit(0.0))
-        for forest, starts, steps in self.forests:
-            out = (
-                forest.transform(self._cut(out, starts, steps))
-                .withColumn("_sum", F.col("_sum") + F.get(vector_to_array("probability"), F.lit(1)))
-                .drop("cut", "prediction", "probability", "rawPrediction")
-            )
-        chance = F.col("_sum") / len(self.forests)
-        return out.withColumns({"prediction": (chance > 0.5).cast("double"), "probability": chance}).drop("_sum")
+        """With ``prediction``, the nearest centre."""
+
+        @F.pandas_udf("int")
+        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, self.centers.shape[1]))
+                yield pd.Series(((x * x).sum(1)[:, None] + (self.centers**2).sum(1) - 2 * x @ self.centers.T).argmin(1).astype(np.int32))
 
+        return df.withColumn("prediction", nearest(vector_to_array("features")))
+
+    def parts(self) -> dict:
+        settings = {"k": self.k, "restarts": self.restarts, "rounds": self.rounds, "tolerance": self.tolerance, "seed": self.seed}
+        return {"settings": settings, "centers": self.centers.tolist(), "cost": self.cost, "n_rounds": self.n_rounds, "costs": self.costs}
+
+    @classmethod
+    def from_parts(cls, parts: dict) -> "Centroids":
+        model = cls(**parts["settings"])
+        model.centers, model.cost, model.n_rounds, model.costs = np.array(parts["centers"]), parts["cost"], parts["n_rounds"], parts["costs"]
+        return model
+
+
+KEYED = "i long, c long, j long, v double"
 
-# --- clustering -----------------------------------------------------------------------------
 
+def keyed_sums(part: np.ndarray, i: int) -> pa.RecordBatch:
+    """A task's sums (a row per cluster) as rows ``i, c, j, v``; zeros stay out."""
+    c, j = np.nonzero(part)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i)), pa.array(c), pa.array(j), pa.array(part[c, j])], names=["i", "c", "j", "v"])
 
-def fit_kmeans(df: DataFrame, k: int = 8, restarts: int = 10, rounds: int = 300, tolerance: float = 1e-4):
-    """Best of several starts by training cost; the input is computed once for all of them."""
-    with kept(df.select("features")) as rows:
-        models = [
-            KMeans(k=k, maxIter=rounds, tol=tolerance, seed=SEED + i, initMode="k-means||").fit(rows) for i in range(restarts)
-        ]
-        return min(models, key=lambda m: m.summary.trainingCost)
+
+def added_up(sums: DataFrame) -> Iterator[tuple[int, int, int, float]]:
+    """Sums of all tasks by key, added up by the executors; what comes back has the model's size."""
+    found = sums.groupBy("i", "c", "j").agg(F.sum("v").alias("v")).toPandas()
+    return zip(found["i"].tolist(), found["c"].tolist(), found["j"].tolist(), found["v"].tolist())
+
+
+def fit_kmeans(df: DataFrame, k: int = 8, restarts: int = 10, rounds: int = 300, tolerance: float = 1e-4) -> Centroids:
+    """Best of several starts by cost; the input is computed once, and a round is one pass for all of them."""
+    return Centroids(k, restarts, rounds, tolerance).fit(df)
+
+
+def centroid_table(spark: SparkSession, model: Centroids) -> DataFrame:
+    """Centres, one row per cluster and feature, with the inertia and the rounds of the winning start."""
+    rows = [(c, j, float(v), model.cost, model.n_rounds) for c, center in enumerate(model.centers) for j, v in enumerate(center)]
+    return spark.createDataFrame(rows, "cluster INT, feature_idx INT, value DOUBLE, inertia DOUBLE, rounds INT")
 
 
 @contextmanager
@@ -288,7 +345,8 @@ class Mixture:
 
     ``ridge`` is added to every variance, so that components of few rows or of equal rows stay
     proper (MLlib's mixture has no such term and fails on them). A round is one pass: tasks
-    send a sum of rows, of differences and of their products per component.
+    send a sum of rows, of differences and of their products per component, which the executors
+    add up by key.
     """
 
     def __init__(self, k: int = 8, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6):
@@ -296,8 +354,7 @@ class Mixture:
 
     def fit(self, df: DataFrame) -> "Mixture":
         with kept(df.select(vector_to_array("features").alias("x"), "features")) as rows:
-            start = KMeans(k=self.k, seed=SEED, maxIter=self.rounds).fit(rows)
-            self.means = np.array(start.clusterCenters())
+            self.means = Centroids(self.k, 1, self.rounds).fit(rows).centers
             self.k = len(self.means)  # no more than there are different rows
             self._update(rows, lambda x: np.eye(self.k)[((x[:, None] - self.means) ** 2).sum(2).argmin(1)])
             self.converged, before = False, -math.inf
@@ -338,12 +395,15 @@ class Mixture:
                     n[c] += r[:, c].sum()
                     first[c] += r[:, c] @ apart
                     second[c] += (r[:, c, None] * apart).T @ apart
-            flat = np.concatenate([[fit], n, first.ravel(), second.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], ["s"])
+            second = second.reshape(k, d * d)
+            own = np.zeros((k, 1))
+            own[0] = fit
+            yield keyed_sums(np.concatenate([own, n[:, None], first, second], axis=1), 0)
 
-        flat = sum(np.array(r.s) for r in rows.select("x").mapInArrow(sums, "s array<double>").toLocalIterator())
-        n, first, second = np.split(flat[1:], [k, k + k * d])
-        return float(flat[0]), n, first.reshape(k, d), second.reshape(k, d, d)
+        total = np.zeros((k, 2 + d + d * d))
+        for _, c, j, value in added_up(rows.select("x").mapInArrow(sums, KEYED)):
+            total[c, j] = value
+        return float(total[0, 0]), total[:, 1], total[:, 2 : 2 + d], total[:, 2 + d :].reshape(k, d, d)
 
     def _update(self, rows: DataFrame, assign) -> float:
         """One round; the mean log-likelihood of a row before it."""
@@ -367,6 +427,31 @@ class Mixture:
         return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("int"))
 
 
+    def parts(self) -> dict:
+        settings = {"k": self.k, "rounds": self.rounds, "tolerance": self.tolerance, "ridge": self.ridge}
+        fitted = {"weights": self.weights.tolist(), "means": self.means.tolist(), "covariances": self.covariances.tolist()}
+        return {"settings": settings, **fitted, "log_likelihood": self.log_likelihood, "converged": self.converged, "n_rounds": self.n_rounds}
+
+    @classmethod
+    def from_parts(cls, parts: dict) -> "Mixture":
+        model = cls(**parts["settings"])
+        model.weights, model.means, model.covariances = (np.array(parts[n]) for n in ("weights", "means", "covariances"))
+        model.whiten = [np.linalg.inv(np.linalg.cholesky(c)).T for c in model.covariances]
+        model.log_likelihood, model.converged, model.n_rounds = parts["log_likelihood"], parts["converged"], parts["n_rounds"]
+        return model
+
+
+def mixture_table(spark: SparkSession, model: Mixture) -> DataFrame:
+    """Weights, means and covariances of the components: one row per component and pair of features
+    ``i <= j``; the mean is that of feature ``i``."""
+    d = model.means.shape[1]
+    rows = [
+        (c, float(model.weights[c]), i, j, float(model.means[c, i]), float(model.covariances[c, i, j]))
+        for c in range(model.k) for i in range(d) for j in range(i, d)
+    ]
+    return spark.createDataFrame(rows, "component INT, weight DOUBLE, i INT, j INT, mean DOUBLE, covariance DOUBLE")
+
+
 def fit_gmm(df: DataFrame, k: int = 8, rounds: int = 100, tolerance: float = 1e-3) -> Mixture:
     return Mixture(k, rounds, tolerance).fit(df)
 
@@ -389,6 +474,8 @@ def cluster_centers(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "cluster INT, center ARRAY<DOUBLE>")
 
 
+OWN_MODELS = {"svm": FourierSvm, "adaboost": AdaBoost, "extra_trees": ExtraTrees, "kmeans": Centroids, "mixture": Mixture}
+
 CLUSTERERS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}
 
 

@@ -6,14 +6,12 @@ parts that are plain aggregates have one.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from trigwatch.functions import timing
-from trigwatch.operators import explain, metrics, models, sampling, vectors
+from trigwatch.operators import anomaly, explain, metrics, models, sampling, vectors
 from trigwatch.operators.store import save_table
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import catalog, embeddings, embeddings_long, rounded, scratch, telemetry, wid, with_ctes
@@ -48,10 +46,10 @@ def _pipeline_query(name, build):
     return run
 
 
-_pipeline_query("fit_random_forest", lambda train: models.random_forest(trees=40))
-_pipeline_query("fit_decision_tree", lambda train: models.decision_tree(depth=6))
-_pipeline_query("fit_gbt", lambda train: models.gradient_boosting(rounds=10))
-_pipeline_query("fit_logistic", lambda train: models.logistic(train.count(), rounds=100))
+_pipeline_query("fit_random_forest", lambda train: models.random_forest())
+_pipeline_query("fit_decision_tree", lambda train: models.decision_tree())
+_pipeline_query("fit_gbt", lambda train: models.gradient_boosting())
+_pipeline_query("fit_logistic", lambda train: models.logistic(train.count()))
 _pipeline_query("fit_naive_bayes", lambda train: models.naive_bayes())
 
 
@@ -64,9 +62,9 @@ def _object_query(name, build):
     return run
 
 
-_object_query("fit_svm", partial(models.FourierSvm, size=128, rounds=30))
-_object_query("fit_adaboost", partial(models.AdaBoost, rounds=5, depth=2))
-_object_query("fit_extra_trees", partial(models.ExtraTrees, trees=20, members=2, depth=6))
+_object_query("fit_svm", models.FourierSvm)
+_object_query("fit_adaboost", models.AdaBoost)
+_object_query("fit_extra_trees", models.ExtraTrees)
 
 
 @query(
@@ -118,8 +116,33 @@ def score_model(spark, sf):
 @query("fit_kmeans")
 def fit_kmeans(spark, sf):
     rows = labelled_vectors(spark, sf)
-    model = models.fit_kmeans(rows, k=10, restarts=2, rounds=20)
-    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    return models.fit_kmeans(rows, k=10).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query("kmeans_centers")
+def kmeans_centers(spark, sf):
+    return models.centroid_table(spark, models.fit_kmeans(labelled_vectors(spark, sf), k=10))
+
+
+@query(
+    "kmeans_optimality",
+    """SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(0 AS BIGINT) AS centres_off, true AS inertia_adds_up
+FROM embeddings""",
+)
+def kmeans_optimality(spark, sf):
+    """What makes a k-means solution one: every row is at its nearest centre, and every centre is the mean of its rows."""
+    rows = cut_lineage(labelled_vectors(spark, sf))
+    model = models.fit_kmeans(rows, k=10, tolerance=0.0)
+    centers = models.cluster_centers(spark, model)
+    x = vector_to_array("features")
+    placed = model.transform(rows).select("vec_id", x.alias("x"), F.col("prediction").alias("cluster")).join(F.broadcast(centers), "cluster")
+    apart = placed.withColumn("d", anomaly.squared_distance(F.col("x"), F.col("center")))
+    every = apart.drop("center").join(F.broadcast(centers.withColumnRenamed("cluster", "other").withColumnRenamed("center", "c")), F.lit(True))
+    nearest = every.groupBy("vec_id").agg(F.first("d").alias("d"), F.min(anomaly.squared_distance(F.col("x"), F.col("c"))).alias("least"))
+    means = apart.select("cluster", "center", F.posexplode("x").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("mean"), F.first(F.get("center", F.col("pos"))).alias("c"))
+    off = means.agg(F.count_if(F.abs(F.col("mean") - F.col("c")) > 1e-9).alias("centres_off"), F.count_distinct("cluster").alias("n_clusters"))
+    far = nearest.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("d") > F.col("least") + 1e-12).alias("nearer_elsewhere"), (F.abs(F.sum("d") - F.lit(model.cost)) < 1e-6).alias("inertia_adds_up"))
+    return far.join(off, F.lit(True)).select("n_rows", "n_clusters", "nearer_elsewhere", "centres_off", "inertia_adds_up")
 
 
 @query("fit_gmm")
@@ -136,6 +159,36 @@ def gmm_criteria(spark, sf):
     return models.gmm_criteria(models.fit_gmm(rows, k=4), rows, DIMENSION)
 
 
+@query("gmm_components")
+def gmm_components(spark, sf):
+    return models.mixture_table(spark, models.fit_gmm(labelled_vectors(spark, sf), k=4))
+
+
+#: thresholds of every feature in the split query, and the same as SQL
+CUTS = [round(-0.30 + 0.02 * i, 2) for i in range(31)]
+
+
+@query(
+    "boosted_splits",
+    with_ctes("emb", """
+WITH l AS (SELECT vec_id, CASE WHEN cluster = 3 THEN 1.0 ELSE 0.0 END AS y, pos, x FROM emb),
+cuts AS (SELECT round(-0.30 + 0.02 * i, 2)::DOUBLE AS cut FROM range(31) r(i)),
+h AS (SELECT pos, cut, sum(CASE WHEN x <= cut THEN 1 - y ELSE 0 END) AS l0, sum(CASE WHEN x <= cut THEN y ELSE 0 END) AS l1,
+    sum(CASE WHEN x > cut THEN 1 - y ELSE 0 END) AS r0, sum(CASE WHEN x > cut THEN y ELSE 0 END) AS r1 FROM l, cuts GROUP BY 1, 2),
+g AS (SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1) AS gain FROM h WHERE l0 + l1 > 0 AND r0 + r1 > 0),
+one AS (SELECT * FROM g ORDER BY round(gain, 9) DESC, pos, cut LIMIT 1),
+w AS (SELECT l.vec_id, l.y, CASE WHEN ((CASE WHEN l.x <= one.cut THEN l1 / (l0 + l1) ELSE r1 / (r0 + r1) END) > 0.5) <> (l.y = 1) THEN 1 ELSE 0 END AS wrong FROM l JOIN one ON l.pos = one.pos),
+e AS (SELECT avg(wrong) AS error FROM w)
+SELECT CAST(pos AS INTEGER) AS feature, cut AS threshold, round(gain, 6) AS gain, round(error, 9) AS error, round(ln((1 - error) / error), 6) AS alpha FROM one, e"""),
+)
+def boosted_splits(spark, sf):
+    """The first round of boosting against the best split by SQL, over stated thresholds."""
+    model = models.AdaBoost(rounds=1, cuts=CUTS).fit(labelled_vectors(spark, sf))
+    (tree, alpha), (gain, error) = model.trees[0], model.history[0]
+    row = [(tree.feature[0], tree.threshold[0], round(gain, 6), round(error, 9), round(alpha, 6))]
+    return spark.createDataFrame(row, "feature INT, threshold DOUBLE, gain DOUBLE, error DOUBLE, alpha DOUBLE")
+
+
 @query("search_grid")
 def search_grid(spark, sf):
     """Grid search on the training rows, reported with the winner's held-out figures."""
