@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions import naming, timing
-from trigwatch.session import checked_broadcast, settled
+from trigwatch.session import checked_broadcast, cut_lineage, is_small, settled
 
 
 def translate_ids(df: DataFrame, id_map: DataFrame, column: str = "rule_id") -> DataFrame:
@@ -192,9 +192,27 @@ def calendar_fill(calendar: DataFrame, windows: DataFrame, values: Sequence[str]
     return calendar.join(windows.select("window_start", *values), "window_start", "left").na.fill(0, list(values))
 
 
+#: a window and host with more than one event in so many is hot; there are fewer than this
+HOT_SHARE = 200
+
+
 def alert_context(alerts: DataFrame, events: DataFrame, size: int) -> DataFrame:
-    """Raw events of each alerted window and host. The few alerts give up their id for its
-    start time, so no id is formatted per event."""
+    """Raw events of each alerted window and host. The alerts give up their id for its start time,
+    so no id is formatted per event.
+
+    Alerts are measured: few are broadcast, and events stay where they are. If there are many,
+    events of hot (window, host) keys, which are fewer than ``HOT_SHARE``, meet their alerts by
+    broadcast, and only the others are shuffled by key.
+    """
+    keys = ["_start", "hostname"]
     keyed = events.withColumn("_start", timing.window_start(F.col("timestamp"), size))
-    started = alerts.withColumn("_start", timing.start_of_id(F.col("window_id")))
-    return keyed.join(started, ["_start", "hostname"]).drop("_start")
+    started = cut_lineage(alerts.withColumn("_start", timing.start_of_id(F.col("window_id"))))
+    if is_small(started):
+        return keyed.join(F.broadcast(started), keys).drop("_start")
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts.join(started.select(*keys).distinct(), keys))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > total).select(*keys))
+    few = keyed.join(hot, keys, "left_semi").join(F.broadcast(started.join(hot, keys, "left_semi")), keys)
+    rest = keyed.join(hot, keys, "left_anti").join(started.join(hot, keys, "left_anti"), keys)
+    return few.unionByName(rest).drop("_start")

@@ -7,12 +7,13 @@ range-partitioned slices. No step sorts all rows in one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigwatch.functions.ordering import running_totals
+from trigwatch.session import checked_broadcast
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -221,10 +222,33 @@ def score_stats(scores: DataFrame) -> DataFrame:
     )
 
 
-def search_scores(folds: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Mean score over folds per candidate and metric, and their weighted sum."""
-    means = {m: F.avg(m) for m in weights}
-    mean_rows = folds.groupBy("candidate").agg(*[v.alias(f"mean_{m}") for m, v in means.items()])
+def curves_by(scores: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """ROC AUC and average precision of every group of ``label, score`` rows, from one scan.
+
+    Equal scores of a group are added up first; then all groups lie behind each other in one
+    range-sorted order with one running total, from which each group's start is taken off. So a
+    group may be of any size, and many groups cost no more than one.
+    """
+    points = scores.groupBy(*groups, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    order = [*[F.col(g) for g in groups], F.desc("score")]
+    placed = running_totals(points, order, {"_pos": F.col("pos"), "_neg": F.col("neg")})
+    starts = placed.groupBy(*groups).agg(
+        F.min(F.col("_pos") - F.col("pos")).alias("_pos0"), F.min(F.col("_neg") - F.col("neg")).alias("_neg0"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
+    )
+    points = placed.join(checked_broadcast(starts), list(groups))
+    tp, fp = F.col("_pos") - F.col("_pos0"), F.col("_neg") - F.col("_neg0")
+    pairs = F.col("neg") * (tp - F.col("pos")).cast("double") + F.col("pos") * F.col("neg") * 0.5
+    step = F.col("pos") / F.col("p") * tp / (tp + fp)
+    return points.groupBy(*groups).agg(
+        (F.sum(pairs) / (F.max("p") * F.max("n").cast("double"))).alias("roc_auc"), F.sum(step).alias("average_precision")
+    )
+
+
+def search_scores(folds: DataFrame, weights: dict[str, float], spread: bool = False) -> DataFrame:
+    """Mean score over folds per candidate and metric (with ``spread`` the standard deviation too),
+    and their weighted sum."""
+    figures = [F.avg(m).alias(f"mean_{m}") for m in weights] + [F.stddev_pop(m).alias(f"std_{m}") for m in weights if spread]
+    mean_rows = folds.groupBy("candidate").agg(*figures)
     composite = sum((F.lit(w) * F.col(f"mean_{m}") for m, w in weights.items()), F.lit(0.0))
     return mean_rows.withColumn("composite_score", composite)
 

@@ -7,28 +7,30 @@ import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigwatch.functions.naming import FAMILY_PREFIX, RULE_PREFIX
-from trigwatch.operators import metrics
+from trigwatch.operators import anomaly, metrics
 from trigwatch.operators.trees import AdaBoost, ExtraTrees, with_chances
 from trigwatch.operators.vectors import class_weights
 from trigwatch.session import cut_lineage, settled
@@ -476,61 +478,51 @@ def cluster_centers(spark, model) -> DataFrame:
 
 OWN_MODELS = {"svm": FourierSvm, "adaboost": AdaBoost, "extra_trees": ExtraTrees, "kmeans": Centroids, "mixture": Mixture}
 
-CLUSTERERS = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}
+def _mllib(kind):
+    return lambda df, rounds, **chosen: kind(**({"maxIter": rounds, "seed": SEED} | chosen)).fit(df).transform(df).select("key", "prediction")
 
 
-def search_clusters(df: DataFrame, grid: Sequence[Mapping], rounds: int = 50) -> tuple[object, list[dict]]:
-    """Best silhouette over a grid of settings; ``model`` names the clusterer (k-means if absent).
+def _own(kind):
+    return lambda df, rounds, **chosen: kind(**({"rounds": rounds} | chosen)).fit(df).transform(df).select("key", "prediction")
 
+
+def _density(df: DataFrame, rounds: int, **chosen) -> DataFrame:
+    flat = df.select("key", vector_to_array("features").alias("features"))
+    return anomaly.fit_dbscan(flat, "key", **chosen).select("key", F.col("cluster").alias("prediction"))
+
+
+CLUSTERERS = {"kmeans": _own(Centroids), "bisecting": _mllib(BisectingKMeans), "mixture": _own(Mixture), "density": _density}
+
+
+def search_clusters(df: DataFrame, key: str, grid: Sequence[Mapping], rounds: int = 50) -> tuple[DataFrame | None, list[dict]]:
+    """Best silhouette over a grid of settings: the winner's ``key, prediction`` and what each reached.
+
+    ``model`` names the clusterer (k-means if absent). Noise (-1) takes no part in a silhouette.
     A setting that the clusterer refuses is reported and skipped; any other failure ends the search.
     """
     evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
     tried, best, best_score = [], None, -math.inf
-    with kept(df) as rows:
+    with kept(df.select(F.col(key).alias("key"), "features")) as rows:
         for params in grid:
-            chosen = {"maxIter": rounds, "seed": SEED} | {k: v for k, v in params.items() if k != "model"}
+            chosen = {k: v for k, v in params.items() if k != "model"}
             try:
-                clusterer = CLUSTERERS[params.get("model", "kmeans")](**chosen)
+                found = cut_lineage(CLUSTERERS[params.get("model", "kmeans")](rows, rounds, **chosen))
             except (TypeError, ValueError, KeyError, IllegalArgumentException) as refused:
-                tried.append({**params, "silhouette": None, "error": str(refused)})
+                tried.append({**params, "silhouette": None, "n_clusters": None, "noise": None, "error": str(refused)})
                 continue
-            try:
-                model = clusterer.fit(rows)
-            except IllegalArgumentException as refused:
-                tried.append({**params, "silhouette": None, "error": str(refused)})
-                continue
-            found = model.transform(rows)
+            clusters, noise = found.agg(F.count_distinct(F.when(F.col("prediction") >= 0, F.col("prediction"))), F.count_if(F.col("prediction") < 0)).first()
+            placed = rows.join(found.where("prediction >= 0"), "key").select("features", F.col("prediction").cast("double").alias("prediction"))
             # one cluster only has no silhouette
-            value = evaluator.evaluate(found) if found.agg(F.count_distinct("prediction")).first()[0] > 1 else None
-            tried.append({**params, "silhouette": value, "error": None})
+            value = evaluator.evaluate(placed) if clusters > 1 else None
+            tried.append({**params, "silhouette": value, "n_clusters": clusters, "noise": noise, "error": None})
             if value is not None and value > best_score:
-                best, best_score = model, value
-    return best, tried
+                best, best_score = found, value
+    return None if best is None else best.withColumnRenamed("key", key), tried
 
 
 # --- search and comparison ------------------------------------------------------------------
 
 
-class CompositeEvaluator(Evaluator):
-    """Weighted sum of ROC AUC and average precision of class 1."""
-
-    def __init__(self, weights: Mapping[str, float]):
-        super().__init__()
-        self.weights = dict(weights)
-        self.seen: list[dict[str, float]] = []
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scores = dataset.select(
-            F.col("label").cast("int").alias("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-        )
-        report = {r["metric"]: r["value"] for r in metrics.evaluate(scores).collect()}  # a dozen figures
-        self.seen.append({m: report[m] for m in self.weights})
-        return sum(w * report[m] for m, w in self.weights.items())
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def param_grid(stage, values: Mapping[str, Sequence]) -> list[dict]:
     builder = ParamGridBuilder()
     for name, options in values.items():
@@ -538,14 +530,44 @@ def param_grid(stage, values: Mapping[str, Sequence]) -> list[dict]:
     return builder.build()
 
 
+class Search:
+    """Outcome of a search: what every candidate reached, and the best one fitted on all rows."""
+
+    def __init__(self, candidates: list[dict], scores: DataFrame, best: int, model: PipelineModel) -> None:
+        self.candidates, self.scores, self.best, self.bestModel = candidates, scores, best, model
+
+
+def stacked_predictions(pipeline: Pipeline, candidates: list[dict], df: DataFrame, folds: int, parallelism: int = 2) -> DataFrame:
+    """``candidate, fold, label, score``: held-out predictions of every candidate and fold in one frame."""
+
+    def fitted(job: tuple[int, int]) -> DataFrame:
+        candidate, fold = job
+        model = pipeline.fit(df.where(F.col("fold") != fold), candidates[candidate])
+        scored = model.transform(df.where(F.col("fold") == fold))
+        return scored.select(
+            F.lit(candidate).alias("candidate"), F.lit(fold).alias("fold"), F.col("label").cast("int").alias("label"),
+            F.get(vector_to_array("probability"), F.lit(1)).alias("score"),
+        )
+
+    with ThreadPool(parallelism) as pool:
+        frames = pool.map(inheritable_thread_target(df.sparkSession)(fitted), list(product(range(len(candidates)), range(folds))))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def search(
     pipeline: Pipeline, candidates: list[dict], df: DataFrame, folds: int, weights: Mapping[str, float], parallelism: int = 2
-):
-    """Cross-validated search on a given ``fold`` column; the best candidate is refitted on all rows."""
-    return CrossValidator(
-        estimator=pipeline, estimatorParamMaps=candidates, evaluator=CompositeEvaluator(weights),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED,
-    ).fit(df)
+) -> Search:
+    """Cross-validated search on a given ``fold`` column; the best candidate is refitted on all rows.
+
+    The fits are one job each; their predictions are stacked and scored together, by one range
+    sort for all candidates and folds.
+    """
+    if not candidates:
+        raise ValueError("a search needs candidates")
+    curves = metrics.curves_by(stacked_predictions(pipeline, candidates, df, folds, parallelism), ["candidate", "fold"])
+    scores = cut_lineage(metrics.search_ranks(metrics.search_scores(curves, dict(weights), spread=True), weights))
+    best = scores.orderBy(F.desc("composite_score"), "candidate").first()["candidate"]
+    return Search(candidates, scores, best, pipeline.fit(df, candidates[best]))
 
 
 def sample_candidates(candidates: list[dict], n: int) -> list[dict]:
@@ -553,21 +575,19 @@ def sample_candidates(candidates: list[dict], n: int) -> list[dict]:
     return random.Random(SEED).sample(candidates, min(n, len(candidates)))
 
 
-def cv_results(spark, search_model) -> DataFrame:
-    """One row per candidate: its parameters and mean score, best first."""
-    rows = []
-    for i, (params, value) in enumerate(zip(search_model.getEstimatorParamMaps(), search_model.avgMetrics)):
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
-        rows.append((i, text, float(value)))
-    return spark.createDataFrame(rows, "candidate INT, params STRING, composite_score DOUBLE")
+def cv_results(spark, found: Search) -> DataFrame:
+    """One row per candidate: its parameters, mean, spread over the folds and rank by every metric,
+    and its weighted sum."""
+    texts = [(i, ", ".join(f"{p.name}={v}" for p, v in sorted(c.items(), key=lambda kv: kv[0].name))) for i, c in enumerate(found.candidates)]
+    return spark.createDataFrame(texts, "candidate INT, params STRING").join(found.scores, "candidate")
 
 
-def search_report(spark, search_model, held_out: DataFrame, weights: Mapping[str, float], top: int | None = None) -> DataFrame:
+def search_report(spark, found: Search, held_out: DataFrame, weights: Mapping[str, float], top: int | None = None) -> DataFrame:
     """Best candidates of a search next to the refitted winner's figures on held-out rows."""
-    judge = CompositeEvaluator(weights)
-    composite = judge.evaluate(search_model.transform(held_out))
-    best = {"best_test_composite": composite, **{f"best_test_{m}": v for m, v in judge.seen[-1].items()}}
-    ranked = metrics.search_rank(cv_results(spark, search_model), top)
+    scored = score(found.bestModel, held_out).select(F.lit(0).alias("model"), F.col("label").cast("int").alias("label"), F.col("probability").alias("score"))
+    reached = metrics.curves_by(scored, ["model"]).select(*weights).first().asDict()
+    best = {"best_test_composite": sum(w * reached[m] for m, w in weights.items()), **{f"best_test_{m}": v for m, v in reached.items()}}
+    ranked = metrics.search_rank(cv_results(spark, found), top)
     return ranked.select(*[F.lit(float(v)).alias(n) for n, v in best.items()], "*")
 
 

@@ -108,9 +108,9 @@ class ExtraTrees:
             pure = n < self.least_rows or ones in (0.0, weight)
             front = {} if pure else {(t, 0): None for t in range(self.n_trees)}
             for _ in range(self.depth):
-                front = self._level(rows, front, dimension)
                 if not front:
                     break
+                front = self._level(rows, front, dimension)
         finally:
             rows.unpersist()
         return self
@@ -178,7 +178,8 @@ class ExtraTrees:
         gain[np.isnan(threshold) | (total[:, :, 0] == 0) | (total[:, :, 3] == 0)] = -np.inf
         children = {}
         for i, (tree, node) in enumerate(nodes):
-            j = int(gain[i].argmax())
+            # sums in another order may differ in their last digits: equal gains are equal to nine places
+            j = int(np.round(gain[i], 9).argmax())
             if gain[i, j] == -np.inf:
                 continue
             counts, weights, ones = (total[i, j, k::3] for k in range(3))
@@ -301,7 +302,6 @@ class AdaBoost:
             for i, node in enumerate(front):
                 if level == 0:
                     tree.value[0] = float(all_[i, 0, 0, 1] / max(all_[i, 0, 0].sum(), 1e-300))
-                # sums in another order may differ in their last digits: equal gains are equal to nine places
                 f, b = np.unravel_index(int(np.round(gain[i], 9).argmax()), gain[i].shape)
                 if level == 0:
                     self.root_gain = float(gain[i, f, b])

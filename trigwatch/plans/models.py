@@ -6,6 +6,8 @@ parts that are plain aggregates have one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -90,7 +92,7 @@ def train_and_evaluate(spark, sf):
     key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
     rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
     parts = sampling.stratified_split(rows, "label", "key")
-    model = models.fit_classifier(models.random_forest(trees=20, depth=6), parts.where("split = 'train'").select("label", "features"))
+    model = models.fit_classifier(models.random_forest(), parts.where("split = 'train'").select("label", "features"))
     held_out = models.score(model, parts.where("split = 'test'"))
     return metrics.evaluate(held_out.select(F.col("label").cast("int").alias("label"), F.col("probability").alias("score")))
 
@@ -189,16 +191,18 @@ def boosted_splits(spark, sf):
     return spark.createDataFrame(row, "feature INT, threshold DOUBLE, gain DOUBLE, error DOUBLE, alpha DOUBLE")
 
 
+SEARCHED = {"roc_auc": 0.5, "average_precision": 0.5}
+
+
 @query("search_grid")
 def search_grid(spark, sf):
     """Grid search on the training rows, reported with the winner's held-out figures."""
     train, everything = split(spark, sf)
-    rows = cut_lineage(vectors.class_weights(sampling.stratified_folds(train, "label", "vec_id", folds=3)))
-    pipeline = models.random_forest(trees=10)
-    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [3, 6]})
-    weights = {"roc_auc": 0.5, "average_precision": 0.5}
-    found = models.search(pipeline, grid, rows, 3, weights)
-    report = models.search_report(spark, found, everything.where("split = 'test'"), weights)
+    rows = cut_lineage(vectors.class_weights(sampling.stratified_folds(train, "label", "vec_id", folds=5)))
+    pipeline = models.random_forest(trees=20)
+    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [4, 10], "minInstancesPerNode": [1, 4]})
+    found = models.search(pipeline, grid, rows, 5, SEARCHED)
+    report = models.search_report(spark, found, everything.where("split = 'test'"), SEARCHED)
     path = scratch(spark, "search")
     save_table(report, path)
     return spark.read.parquet(path)
@@ -206,24 +210,45 @@ def search_grid(spark, sf):
 
 @query("search_random")
 def search_random(spark, sf):
-    rows = sampling.stratified_folds(labelled_vectors(spark, sf), "label", "vec_id", folds=3)
+    rows = sampling.stratified_folds(labelled_vectors(spark, sf), "label", "vec_id", folds=5)
     pipeline = models.decision_tree()
-    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 5]})
-    drawn = models.sample_candidates(grid, 3)
-    found = models.search(pipeline, drawn, cut_lineage(vectors.class_weights(rows)), 3, {"roc_auc": 0.5, "average_precision": 0.5})
+    grid = models.param_grid(pipeline.getStages()[0], {"maxDepth": [2, 4, 6, 10], "minInstancesPerNode": [1, 5, 10]})
+    drawn = models.sample_candidates(grid, 6)
+    found = models.search(pipeline, drawn, cut_lineage(vectors.class_weights(rows)), 5, SEARCHED)
     return models.cv_results(spark, found)
 
 
+@query(
+    "search_results_ranked",
+    "SELECT CAST(count(*) AS BIGINT) AS n_candidates, true AS ranks_follow_scores, true AS composite_adds_up FROM range(6)",
+)
+def search_results_ranked(spark, sf):
+    """The report of a real search: its ranks and weighted sums against the same from its means."""
+    found = search_random(spark, sf)
+    again = metrics.search_ranks(found.drop(*[c for c in found.columns if c.startswith("rank_")]), SEARCHED)
+    ranks = [c for c in found.columns if c.startswith("rank_")]
+    both = found.select("candidate", *[F.col(c).alias(f"_{c}") for c in ranks], "composite_score", "mean_roc_auc", "mean_average_precision").join(again.select("candidate", *ranks), "candidate")
+    same = [F.col(c) == F.col(f"_{c}") for c in ranks]
+    sum_ = sum((F.lit(w) * F.col(f"mean_{m}") for m, w in SEARCHED.items()), F.lit(0.0))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.every(reduce(lambda a, b: a & b, same)).alias("ranks_follow_scores"),
+        F.every(F.abs(sum_ - F.col("composite_score")) < 1e-9).alias("composite_adds_up"),
+    )
+
+
 @query("search_clusters")
 def search_clusters(spark, sf):
-    _, tried = models.search_clusters(labelled_vectors(spark, sf), [{"k": 5}, {"k": 10}], rounds=10)
-    return spark.createDataFrame([(t["k"], t["silhouette"]) for t in tried], "k INT, silhouette DOUBLE")
+    """Every kind of clusterer; no setting is refused."""
+    grid = [{"k": 5}, {"k": 10}, {"model": "bisecting", "k": 10}, {"model": "mixture", "k": 4}, {"model": "density", "eps": 1.12, "min_samples": 3}]
+    _, tried = models.search_clusters(labelled_vectors(spark, sf), "vec_id", grid)
+    rows = [(t.get("model", "kmeans"), t.get("k"), t.get("eps"), t["n_clusters"], t["noise"], t["silhouette"]) for t in tried]
+    return spark.createDataFrame(rows, "model STRING, k INT, eps DOUBLE, n_clusters BIGINT, noise BIGINT, silhouette DOUBLE")
 
 
 @query("feature_importances")
 def feature_importances(spark, sf):
     rows = window_vectors(spark, sf).select(F.col("is_attack").cast("double").alias("label"), "features")
-    model = models.fit_classifier(models.random_forest(trees=10, depth=5), rows)
+    model = models.fit_classifier(models.random_forest(), rows)
     layout = vectors.feature_layout(used_families(spark, sf), "family_first").select("feature_idx", "feature")
     names = catalog(spark, sf).select("rule_id", F.col("name").alias("rule_name"))
     found = models.feature_importances(spark, model.stages[-1], layout, names, used_families(spark, sf))
@@ -241,21 +266,51 @@ def compare_models(spark, sf):
     return models.compare_models(fitted, everything.where("split = 'test'"), "vec_id")
 
 
+def explained(spark, sf):
+    """A fitted forest, the windows it calls attacks, and the background they are compared with."""
+    key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
+    rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
+    model = models.fit_classifier(models.random_forest(), rows.select("label", "features"))
+    alerts = cut_lineage(models.score(model, rows).where("predicted_label = 1").select("key", "features", "probability"))
+    background = cut_lineage(sampling.background_rows(rows, 50, "key").select("features"))
+    return model, alerts, background
+
+
 @query("shapley_values")
 def shapley_values(spark, sf):
     """Attributions of every window predicted as attack."""
-    key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
-    rows = window_vectors(spark, sf).select(key.alias("key"), F.col("is_attack").cast("double").alias("label"), "features")
-    model = models.fit_classifier(models.random_forest(trees=5, depth=4), rows.select("label", "features"))
-    alerts = models.score(model, rows).where("predicted_label = 1").select("key", "features")
-    background = sampling.background_rows(rows, 50, "key").select("features")
-    dimension = vectors.feature_layout(used_families(spark, sf), "family_first").count()
-    return explain.shapley_values(model, alerts, background, "key", dimension)
+    model, alerts, background = explained(spark, sf)
+    return explain.shapley_values(spark, explain.node_table(spark, model.stages[-1]), alerts.select("key", "features"), background, "key")
+
+
+@query("shapley_sums", "SELECT true AS alerts_found, CAST(0 AS BIGINT) AS off FROM events LIMIT 1")
+def shapley_sums(spark, sf):
+    """Alerts whose attributions do not sum to their score minus the mean score of the background."""
+    model, alerts, background = explained(spark, sf)
+    found = explain.shapley_values(spark, explain.node_table(spark, model.stages[-1]), alerts.select("key", "features"), background, "key")
+    base = models.score(model, background).agg(F.avg("probability")).first()[0]
+    sums = alerts.join(found.groupBy("key").agg(F.sum("attribution").alias("s")), "key", "left")
+    gap = F.abs(F.coalesce("s", F.lit(0.0)) - (F.col("probability") - F.lit(base)))
+    return sums.agg((F.count(F.lit(1)) > 0).alias("alerts_found"), F.count_if(gap > 1e-9).alias("off"))
+
+
+@query(
+    "background_cross",
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+b AS (SELECT vec_id AS bg_id, e AS b FROM v WHERE label <> 3 ORDER BY md5('42:' || vec_id), vec_id LIMIT 50)
+SELECT vec_id, bg_id, round(list_distance(e, b), 6) AS distance FROM v, b""",
+)
+def background_cross(spark, sf):
+    """Every vector with every background row."""
+    e = embeddings(spark, sf).withColumn("label", (F.col("cluster") == 3).cast("int"))
+    background = sampling.background_rows(e, 50, "vec_id").select(F.col("vec_id").alias("bg_id"), F.col("features").alias("b"))
+    pairs = explain.background_pairs(e.select("vec_id", "features"), background)
+    return rounded(pairs.select("vec_id", "bg_id", anomaly.distance(F.col("features"), F.col("b")).alias("distance")), "distance")
 
 
 def forest(spark, sf):
     rows = window_vectors(spark, sf).select(F.col("is_attack").cast("double").alias("label"), "features")
-    return models.fit_classifier(models.random_forest(trees=10, depth=5), rows).stages[-1]
+    return models.fit_classifier(models.random_forest(), rows).stages[-1]
 
 
 @query("tree_path_itemsets")
@@ -283,5 +338,8 @@ def cooccurring_rules(spark, sf):
 
 @query("project_windows")
 def project_windows(spark, sf):
-    rows = window_vectors(spark, sf)
-    return explain.project_windows(rows, 2).select("window_id", "hostname", "source_label", "source_ip", "c1", "c2")
+    """Three components of a sample that keeps the shares of the labels."""
+    key = F.concat_ws("|", "window_id", "hostname", "source_label", "source_ip")
+    rows = window_vectors(spark, sf).withColumn("key", key)
+    sample = sampling.stratified_split(rows, "is_attack", "key", test_share=0.5).where("split = 'test'")
+    return explain.project_windows(sample, 3).select("window_id", "hostname", "source_label", "source_ip", "c1", "c2", "c3")

@@ -62,18 +62,22 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has few rows, and as text few bytes. Rows are counted where they are; only
+    if they are few is their size summed up."""
+    if df.count() > max_rows:
+        return False
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return (df.agg(size).first()[0] or 0) <= max_bytes
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only after measuring that ``df`` is small; else leave the join to AQE.
 
-    Rows and their size as text are measured in one pass that stops after ``max_rows``.
     Use it for tables read from small files (catalogue, id map, jobs), where that is cheap,
     and ``settled`` for derived ones.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-    rows, text = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
-    if rows <= max_rows and (text or 0) <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
