@@ -111,3 +111,12 @@ def test_added_spans_touch_no_base_span(make_docs):
         base = [s for s in spans if s[0] != "other"]
         assert all(b <= c or d <= a for k, a, b in spans if k == "other" for _, c, d in base)
         assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() == r.base_sha256
+
+
+def test_context_decides_where_labelers_abstain(make_docs):
+    rows = [(i, f"contact wizard @bob{i:03d} soon") for i in range(150)]
+    rows += [(1000 + i, f"version gizmo @media{i:03d} soon") for i in range(150)]
+    rows += [(2000, "the wizard @carola said"), (2001, "the gizmo @charsets said")]
+    out = {r.doc_id: r.spans for r in find_personal_data(make_docs(rows)).collect()}
+    assert out[2000] == "other:11:18" and out[2001] == ""
+    assert all("other" in out[i] for i in range(150)) and all(out[1000 + i] == "" for i in range(150))

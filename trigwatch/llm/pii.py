@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,54 +128,82 @@ def posterior(share: float, tables: list[dict], pattern: tuple[int, ...]) -> flo
     return 1 / (1 + math.exp(max(-50.0, min(50.0, b - a))))
 
 
-def train_classifier(patterns: list[tuple[tuple[float, ...], float, float]], rounds: int = 300, rate: float = 0.5) -> list[float]:
-    """Logistic weights (last: the constant) for (features, label between 0 and 1, count)."""
-    size = len(patterns[0][0]) if patterns else 0
-    weights, total = [0.0] * (size + 1), sum(n for _, _, n in patterns) or 1.0
-    for _ in range(rounds):
-        step = [1e-3 * w for w in weights]
-        for x, y, n in patterns:
-            z = sum(w * v for w, v in zip(weights, x)) + weights[-1]
-            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * n / total
-            for i, v in enumerate(x):
-                step[i] += error * v
-            step[-1] += error
-        weights = [w - rate * s for w, s in zip(weights, step)]
-    return weights
+#: what the span classifier sees beside the votes and the kind, each as one of ``BUCKETS`` by hash:
+#: the last word before the span, the first word after it, and the span's shape
+SEEN = ("before", "after", "shape")
+BUCKETS = 32
+#: bound of its training sample: so many candidates of each kind, in the order of a hash
+TRAIN_PER_KIND = 4000
+
+
+def span_features(match: Column, tail: Column, head: Column) -> dict[str, Column]:
+    """Bucket of each of ``SEEN``: words in lower case; a shape has its runs of digits and letters
+    as one sign each, and the number of digits."""
+
+    def bucket(text: Column) -> Column:
+        return F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int")
+
+    shape = F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "0")
+    return {
+        "before": bucket(F.regexp_extract(F.lower(tail), r"(\p{L}+)[^\p{L}]*$", 1)),
+        "after": bucket(F.regexp_extract(F.lower(head), r"^[^\p{L}]*(\p{L}+)", 1)),
+        "shape": bucket(F.concat_ws("|", shape, F.length(_digits(match)))),
+    }
+
+
+def active(pattern: tuple[int, ...], kind: str, seen: tuple[int, ...]) -> list[int]:
+    """Numbers of the features that a candidate has; the last one is the constant."""
+    said = [2 * i + (v < 0) for i, v in enumerate(pattern) if v]
+    kinds = 2 * len(LABELERS)
+    buckets = [kinds + len(KINDS) + BUCKETS * i + b for i, b in enumerate(seen)]
+    return [*said, kinds + KINDS.index(kind), *buckets, N_FEATURES - 1]
 
 
-FEATURES = tuple(chain.from_iterable((f"{l}_for", f"{l}_against") for l in LABELERS)) + tuple(f"is_{k}" for k in KINDS)
+N_FEATURES = 2 * len(LABELERS) + len(KINDS) + BUCKETS * len(SEEN) + 1
 
 
-def _features(pattern: tuple[int, ...], kind: str) -> tuple[float, ...]:
-    said = chain.from_iterable((float(v == 1), float(v == -1)) for v in pattern)
-    return (*said, *(float(kind == k) for k in KINDS))
+def train_classifier(rows: list[tuple[list[int], float]], rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> list[float]:
+    """Logistic weights for rows of (feature numbers, belief between 0 and 1)."""
+    x = np.zeros((len(rows), N_FEATURES))
+    for i, (numbers, _) in enumerate(rows):
+        x[i, numbers] = 1.0
+    y = np.array([belief for _, belief in rows])
+    weights, first, second = np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+    for step in range(1, rounds + 1):
+        error = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) - y
+        slope = x.T @ error / len(rows) + ridge * weights
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return weights.tolist()
 
 
 def _score(weights: list[float]) -> Column:
     """Probability of the span classifier, as a column expression."""
-    said = list(chain.from_iterable(((F.col(f"v_{l}") == 1).cast("double"), (F.col(f"v_{l}") == -1).cast("double")) for l in LABELERS))
-    parts = [*said, *((F.col("kind") == k).cast("double") for k in KINDS)]
-    z = F.lit(float(weights[-1]))
-    for w, part in zip(weights, parts):
-        z = z + F.lit(float(w)) * part
+    z, at = F.lit(float(weights[-1])), 2 * len(LABELERS)
+    for i, l in enumerate(LABELERS):
+        z = z + F.when(F.col(f"v_{l}") == 1, weights[2 * i]).when(F.col(f"v_{l}") == -1, weights[2 * i + 1]).otherwise(0.0)
+    for i, k in enumerate(KINDS):
+        z = z + F.when(F.col("kind") == k, weights[at + i]).otherwise(0.0)
+    for i, name in enumerate(SEEN):
+        own = weights[at + len(KINDS) + BUCKETS * i : at + len(KINDS) + BUCKETS * (i + 1)]
+        z = z + F.get(F.array(*[F.lit(float(w)) for w in own]), F.col(f"c_{name}"))
     return 1 / (1 + F.exp(-z))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows ``row, doc_id`` of all documents, and ``row, kind, start, end, match, tail`` of all matches.
+    """Rows ``row, doc_id`` of all documents, and ``row, kind, start, end, match, tail, head`` of all matches.
 
-    One pass reads the texts; of each kind it stores the matches, and the length and the last
-    characters of each piece between them. Places are then running sums over the pieces of a
+    One pass reads the texts; of each kind it stores the matches, and the length, the first and the
+    last characters of each piece between them. Places are then running sums over the pieces of a
     document.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("t"))
     columns = []
     for kind, pattern in PATTERNS.items():
-        pieces = F.transform(F.split("t", pattern, -1), lambda p: F.struct(F.char_length(p).alias("size"), F.right(p, F.lit(CONTEXT)).alias("tail")))
+        pieces = F.transform(F.split("t", pattern, -1), lambda p: F.struct(F.char_length(p).alias("size"), F.right(p, F.lit(CONTEXT)).alias("tail"), F.left(p, F.lit(CONTEXT)).alias("head")))
         found = F.transform(
-            F.arrays_zip(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("match"), pieces.alias("piece")),
-            lambda z: F.struct(z["match"].alias("match"), z["piece"]["size"].alias("size"), z["piece"]["tail"].alias("tail")),
+            F.arrays_zip(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("match"), pieces.alias("piece"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("next")),
+            lambda z: F.struct(z["match"].alias("match"), z["piece"]["size"].alias("size"), z["piece"]["tail"].alias("tail"), z["next"]["head"].alias("head")),
         )
         columns.append(F.when(HINTS[kind](F.col("t")), found).alias(kind))
     scanned = stored(rows.select("row", "doc_id", *columns), "pii")
@@ -182,7 +212,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     upto = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("size") + F.char_length("match")).over(upto)
     placed = each.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.char_length("match"))
-    return scanned.select("row", "doc_id"), placed.select("row", "kind", "start", "end", "match", "tail")
+    return scanned.select("row", "doc_id"), placed.select("row", "kind", "start", "end", "match", "tail", "head")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -192,29 +222,34 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind:start:end in code points, the end exclusive; spans stand by start, then kind, and are
     joined by commas (``base_sha256`` is over those of the contract's kinds). Kind ``other``
     is added by the method: a candidate (a failed match, a national number, a handle) that
-    overlaps no base span, that some labeler is for, and to which the span classifier gives at
-    least ``least``. Null and empty texts have no spans; repeated rows are rows of their own;
+    overlaps no base span, that the labelers do not speak against in the balance, and to which
+    the span classifier gives at least ``least``. Null and empty texts have no spans; repeated rows are rows of their own;
     other columns are not read. Without any candidate nothing is trained.
 
     Labelers vote on every candidate; only the counts of vote patterns, of which there is a
     fixed number, reach the driver. There expectation-maximisation finds how reliable each
-    labeler is, and its beliefs train the classifier, which is then a column expression.
+    labeler is. Its beliefs train the classifier on at most ``TRAIN_PER_KIND`` candidates of a kind, by
+    hash, on which some labeler speaks; besides the votes it sees the words around the span and its
+    shape, so it can decide where they abstain or tie. It is then a column expression.
     """
     rows, found = candidates(docs, id_col, text_col)
     kind, match = F.col("kind"), F.col("match")
     judged = found.withColumn("ok", valid(kind, match))
     judged = judged.withColumns({f"v_{name}": vote for name, vote in votes(kind, match, F.col("tail"), F.col("ok")).items()})
-    judged = stored(judged.drop("tail", "match"), "candidates")
-    said = [f"v_{name}" for name in LABELERS]
-    counted = judged.groupBy("kind", *said).agg(F.count(F.lit(1)).alias("n")).collect()
-    patterns: dict[tuple[int, ...], float] = {}
-    for r in counted:
-        key = tuple(r[s] for s in said)
-        patterns[key] = patterns.get(key, 0) + r["n"]
-    share, tables = reliabilities(patterns)
-    weights = train_classifier([(_features(tuple(r[s] for s in said), r["kind"]), posterior(share, tables, tuple(r[s] for s in said)), float(r["n"])) for r in counted])
-    liked = F.greatest(*[F.col(s) for s in said]) == 1
-    added = ~F.col("ok") & liked & (_score(weights) >= least) if counted else F.lit(False)
+    judged = judged.withColumns({f"c_{name}": seen for name, seen in span_features(match, F.col("tail"), F.col("head")).items()})
+    judged = stored(judged.drop("tail", "head", "match"), "candidates")
+    said, seen = [f"v_{name}" for name in LABELERS], [f"c_{name}" for name in SEEN]
+    counted = judged.groupBy(*said).agg(F.count(F.lit(1)).alias("n")).collect()
+    share, tables = reliabilities({tuple(r[s] for s in said): float(r["n"]) for r in counted})
+    # where all labelers abstain they teach nothing: there the words around decide
+    spoke = reduce(lambda a, b: a | b, [F.col(s) != 0 for s in said])
+    balance = reduce(lambda a, b: a + b, [F.col(s) for s in said])
+    hashed = F.xxhash64("kind", "row", "start")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(hashed, "row", "start"))
+    sample = judged.where(spoke).select("kind", *said, *seen, place.alias("place")).where(F.col("place") <= TRAIN_PER_KIND).collect()
+    beliefs = {tuple(r[s] for s in said): posterior(share, tables, tuple(r[s] for s in said)) for r in counted}
+    lessons = [(active(tuple(r[s] for s in said), r["kind"], tuple(r[s] for s in seen)), beliefs[tuple(r[s] for s in said)]) for r in sample]
+    added = ~F.col("ok") & (balance >= 0) & (_score(train_classifier(lessons)) >= least) if lessons else F.lit(False)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", F.when(F.col("ok"), rank).otherwise(F.lit(len(KINDS))).alias("rank"), "end")
     # an added span overlaps a base span that starts before it and reaches into it, or the next one to start
