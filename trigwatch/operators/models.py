@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from trigwatch.functions.naming import FAMILY_PREFIX, RULE_PREFIX
 from trigwatch.operators import anomaly, metrics
+from trigwatch.operators.svm import KernelSvm
 from trigwatch.operators.trees import AdaBoost, ExtraTrees, with_chances
 from trigwatch.operators.vectors import class_weights
 from trigwatch.session import cut_lineage, settled
@@ -151,7 +152,8 @@ def naive_bayes_predict(long: DataFrame, stats: DataFrame, key: str) -> DataFram
 
 class FourierSvm:
     """RBF support vector classifier by random Fourier features (Rahimi & Recht 2007), a
-    linear SVM on them, and a logistic fit on the margin for probabilities.
+    linear SVM on them, and a logistic fit on the margin for probabilities. Linear in the rows
+    and without a bound on them; ``svm.KernelSvm`` has the kernel itself.
 
     The weighted rows are stored once; what is fitted is a handful of numpy arrays.
     """
@@ -476,7 +478,7 @@ def cluster_centers(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "cluster INT, center ARRAY<DOUBLE>")
 
 
-OWN_MODELS = {"svm": FourierSvm, "adaboost": AdaBoost, "extra_trees": ExtraTrees, "kmeans": Centroids, "mixture": Mixture}
+OWN_MODELS = {"svm": FourierSvm, "kernel_svm": KernelSvm, "adaboost": AdaBoost, "extra_trees": ExtraTrees, "kmeans": Centroids, "mixture": Mixture}
 
 def _mllib(kind):
     return lambda df, rounds, **chosen: kind(**({"maxIter": rounds, "seed": SEED} | chosen)).fit(df).transform(df).select("key", "prediction")

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from trigwatch.functions import timing
-from trigwatch.operators import anomaly, explain, metrics, models, sampling, vectors
+from trigwatch.operators import anomaly, explain, metrics, models, sampling, svm, vectors
 from trigwatch.operators.store import save_table
 from trigwatch.plans.registry import query
 from trigwatch.plans.tables import catalog, embeddings, embeddings_long, rounded, scratch, telemetry, wid, with_ctes
@@ -64,11 +64,44 @@ def _object_query(name, build):
     return run
 
 
-_object_query("fit_svm", models.FourierSvm)
+_object_query("fit_svm", svm.KernelSvm)
+_object_query("fit_svm_fourier", models.FourierSvm)
 _object_query("fit_adaboost", models.AdaBoost)
 _object_query("fit_extra_trees", models.ExtraTrees)
 
 
+@query(
+    "svm_optimality",
+    """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS outside_box, true AS balanced, CAST(0 AS BIGINT) AS conditions_broken, true AS gap_closed
+FROM embeddings""",
+)
+def svm_optimality(spark, sf):
+    """What makes multipliers the solution of the dual problem: they lie in their boxes and
+    balance, rows without one are outside the margin, rows at their bound inside or on it, the
+    others on it; and the primal value is the dual one. Margins are summed up by SQL functions."""
+    rows = labelled_vectors(spark, sf)
+    model = svm.KernelSvm(part_rows=200, most_rows=2 * rows.count(), folds=2, tolerance=1e-4).fit(rows)
+    support = svm.support_table(spark, model)
+    y = F.when(F.col("label") == 1.0, 1.0).otherwise(-1.0)
+    weighted = vectors.class_weights(rows).select(y.alias("y"), vector_to_array("features").alias("x"), (F.col("weight") * model.c).alias("cap"))
+    # equal rows share a multiplier, up to the sum of their bounds
+    caps = cut_lineage(weighted.groupBy("x", "y").agg(F.sum("cap").alias("cap"), F.count(F.lit(1)).alias("copies")))
+    other = F.broadcast(support.select(F.col("x").alias("s"), (F.col("alpha") * F.col("y")).alias("w")))  # bounded by most_rows
+    near = F.exp(-F.lit(model.gamma) * anomaly.squared_distance(F.col("x"), F.col("s")))
+    margins = caps.join(other, F.lit(True)).groupBy("x", "y").agg((F.sum(F.col("w") * near) + F.lit(model.bias)).alias("f"))
+    placed = caps.join(margins, ["x", "y"]).join(support.select("x", "y", "alpha"), ["x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    gap, slack, full = F.col("y") * F.col("f") - 1, 2e-3, F.col("alpha") >= F.col("cap") * (1 - 1e-9)
+    broken = ((F.col("alpha") == 0) & (gap < -slack)) | (full & (gap > slack)) | ((F.col("alpha") > 0) & ~full & (F.abs(gap) > slack))
+    # |w|^2 is the sum of alpha y (f - b), and the balance makes b drop out
+    length = F.sum(F.col("alpha") * F.col("y") * F.col("f"))
+    dual, primal = F.sum("alpha") - length / 2, length / 2 + F.sum(F.col("cap") * F.greatest(F.lit(0.0), -gap))
+    return placed.agg(
+        F.sum("copies").alias("n_rows"), F.count_if((F.col("alpha") < 0) | (F.col("alpha") > F.col("cap") * (1 + 1e-9))).alias("outside_box"),
+        (F.abs(F.sum(F.col("alpha") * F.col("y"))) < 1e-6).alias("balanced"), F.count_if(broken).alias("conditions_broken"),
+        (primal - dual <= 2e-4 * dual).alias("gap_closed"),
+    )
+
+
 @query(
     "naive_bayes_sql",
     with_ctes("emb", """
