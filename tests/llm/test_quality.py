@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
+from trigwatch.llm import toxicity
 from trigwatch.llm.labelled import Calibration, remainder
 from trigwatch.llm.quality import CompressionClassifier, fit_quality, good_only, quality_score
-from trigwatch.llm.toxicity import TextCnn, ToxicityModel, best_threshold, fit_toxicity, language_threshold, toxicity_score
+from trigwatch.llm.toxicity import TextCnn, ToxicityModel, best_threshold, fit_toxicity, language_threshold, toxicity_score, word_ids
 
 
 def prose(rng, n=80):
@@ -142,3 +144,69 @@ def test_worst_piece_can_be_the_last():
     for size in (300, 512):  # a last piece that is short, or full
         clean, ending, within = (model.values(t)[1] for t in (good[: 1536 + size], good[:1536] + bad[:size], good[:512] + bad[:512] + good[:1024]))
         assert within < clean - 0.2 and ending < clean - 0.1, (size, clean, ending, within)
+
+
+def test_compressed_difference_by_the_library_alone():
+    """Every value against one-off compressors, without the operator's pieces or packers."""
+    rng = random.Random(12)
+    model = CompressionClassifier([(i, i % 2, (prose if i % 2 else junk)(rng, 150)) for i in range(60)], {0: 30, 1: 30})
+
+    def size(y, data):
+        known = zstandard.ZstdCompressionDict(model.dictionaries[y])
+        return len(zstandard.ZstdCompressor(level=1, dict_data=known, write_content_size=False, write_dict_id=False).compress(data))
+
+    for n in (1, 40, 60, 200, 900):
+        text = (prose(rng, n) + junk(rng, n // 3)).encode()
+        starts = range(0, len(text), 512)
+        pairs = [(size(0, text[a : a + 512]), size(1, text[a : a + 512])) for a in starts]
+        bad, good = sum(p[0] for p in pairs), sum(p[1] for p in pairs)
+        compared = [(a, a + 512) for a in starts if a + 512 <= len(text)] or [(0, len(text))]
+        if len(text) > 512 and len(text) % 512:
+            compared.append((len(text) - 512, len(text)))
+        worst = min((size(0, text[a:b]) - size(1, text[a:b])) / (size(0, text[a:b]) + size(1, text[a:b])) for a, b in compared)
+        assert model.values(text) == pytest.approx(((bad - good) / (bad + good), worst), abs=1e-12)
+        z = sum(w * min(6, max(-6, (v - m) / s)) for w, v, m, s in zip(model.calibration.weights, model.values(text), model.calibration.mean, model.calibration.scale))
+        assert model.score(text.decode()) == pytest.approx(1 / (1 + np.exp(-z - model.calibration.weights[-1])))
+
+
+def test_network_value_place_by_place():
+    """The network's value by plain sums over every place, width and filter."""
+    rows = toxic_rows(40, 9)
+    network = TextCnn()
+    network.fit([r[1] for r in rows], np.array([int(r[0] % 3 == 0) for r in rows]))
+    for text in ("", "one", "two words", rows[0][1], rows[5][1]):
+        words = [network.embedding[list(ids)].sum(0) for ids in word_ids(text)]
+        edge = [np.zeros(toxicity.SIZE)] * (max(toxicity.WIDTHS) - 1)
+        places = edge + (words or [np.zeros(toxicity.SIZE)]) + edge
+        value = float(network.out[-1])
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                responses = [sum(places[at + j] @ network.filters[k][j * toxicity.SIZE : (j + 1) * toxicity.SIZE, f] for j in range(w)) for at in range(len(places) - w + 1)]
+                value += max(0.0, max(responses) + network.bias[k][f]) * network.out[k * toxicity.FILTERS + f]
+        assert network.value(text) == pytest.approx(value, abs=1e-4)
+
+
+def test_no_text_calibrates_itself(monkeypatch):
+    """Calibration and thresholds see values of networks that were not trained on the text."""
+    sample = [(r[0], int(r[0] % 3 == 0), r[1], r[2]) for r in toxic_rows(48, 6)]
+    trained, judged = [], []
+    plain_fit, plain_value = TextCnn.fit, TextCnn.value
+
+    def fit(self, texts, y, **rest):
+        self.own = set(texts)
+        trained.append(len(texts))
+        plain_fit(self, texts, y, **rest)
+
+    def value(self, text):
+        assert text not in self.own
+        judged.append(text)
+        return plain_value(self, text)
+
+    monkeypatch.setattr(TextCnn, "fit", fit)
+    monkeypatch.setattr(TextCnn, "value", value)
+    ToxicityModel(sample, {0: 32, 1: 16})
+    assert sorted(trained) == [36, 36, 36, 36, 48] and sorted(judged) == sorted(r[2] for r in sample)
+    # one toxic text: without its part there is none, and that part gives no values
+    judged.clear()
+    ToxicityModel([(i, int(i == 2), f"text number {i}", "en") for i in range(8)], {0: 7, 1: 1})
+    assert len(judged) == 6

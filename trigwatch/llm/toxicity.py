@@ -16,9 +16,11 @@ from trigwatch.llm.wordhash import MARKS, word_heads
 
 #: bound of the training sample: texts of each class, bytes of a text
 PER_CLASS, TEXT_BYTES = 1600, 1 << 14
-BUCKETS, SIZE, WIDTHS, FILTERS, HEADS = 1 << 15, 12, (1, 2, 3), 8, (4, 5)
+BUCKETS, SIZE, WIDTHS, FILTERS, HEADS = 1 << 15, 12, (2, 3, 4, 5), 8, (4, 5)
 ROWS = 1 + len(HEADS)
-EPOCHS, BATCH, RATE = 12, 16, 0.15
+EPOCHS, BATCH, RATE = 8, 4, 0.15
+#: parts of the sample that are held back in turn
+FOLDS = 4
 #: words that are scored at a time
 WINDOW = 1 << 15
 
@@ -122,25 +124,28 @@ class TextCnn:
 
 
 class ToxicityModel:
-    """The network, a calibration on texts it was not trained on, and a threshold per language."""
+    """The network, a calibration, and a threshold per language.
+
+    The network is trained on the whole sample. Calibration and thresholds follow the values
+    that each text gets from a network trained without its part of the sample; a part without
+    which a class is missing gives none.
+    """
 
     def __init__(self, sample: list[tuple], sizes: dict[int, int]) -> None:
-        held = [i % 4 == 3 for i in range(len(sample))]
         y = np.array([r[1] for r in sample], int)
-        self.network = None
+        self.network = network_of(sample)
         self.thresholds: dict[str | None, float] = {}
-        values = np.zeros((0, 1))
-        rest = [r for r, h in zip(sample, held) if h]
-        if len(y) and y.min() != y.max():
-            self.network = TextCnn()
-            train = [r for r, h in zip(sample, held) if not h]
-            self.network.fit([r[2] for r in train], np.array([r[1] for r in train], int))
-            values = np.array([self.network.value(r[2]) for r in rest]).reshape(-1, 1)
-        labels = np.array([r[1] for r in rest], int)[: len(values)]
-        self.calibration = Calibration(values, labels, sizes)
-        scores = np.array([self.calibration(v) for v in values])
-        for lang in {None, *(r[3] for r in rest)} if len(scores) else ():
-            mine = np.array([lang is None or r[3] == lang for r in rest])
+        seen, values = [], []
+        for k in range(FOLDS if self.network else 0):
+            other = network_of([r for i, r in enumerate(sample) if i % FOLDS != k])
+            mine = range(k, len(sample), FOLDS) if other else ()
+            seen += mine
+            values += [other.value(sample[i][2]) for i in mine]
+        labels, langs = y[seen], np.array([sample[i][3] for i in seen], object)
+        self.calibration = Calibration(np.array(values).reshape(-1, 1), labels, sizes)
+        scores = np.array([self.calibration([v]) for v in values])
+        for lang in {None, *langs}:
+            mine = np.array([lang is None or other == lang for other in langs], bool)
             if mine.sum() >= 20 and 0 < labels[mine].sum() < mine.sum():
                 self.thresholds[lang] = best_threshold(scores[mine], labels[mine])
 
@@ -148,6 +153,16 @@ class ToxicityModel:
         return self.calibration([self.network.value(text)] if self.network else [0.0])
 
 
+def network_of(sample: list[tuple]) -> TextCnn | None:
+    """A network trained on rows ``(id, label, text, ...)`` of both classes, none if one is missing."""
+    y = np.array([r[1] for r in sample], int)
+    if not len(y) or y.min() == y.max():
+        return None
+    network = TextCnn()
+    network.fit([r[2] for r in sample], y)
+    return network
+
+
 def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     """Middle of the gap at which F1 is largest."""
     order = np.argsort(-scores, kind="stable")
