@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import io
+import json
+import os
 import random
 import struct
 import zlib
@@ -29,6 +31,29 @@ def test_chunks_give_the_same_ids(code):
         assert code.encode(texts[at : at + 100]) == [whole(code, t) for t in texts[at : at + 100]]
 
 
+@pytest.mark.parametrize("change", [
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+    {"normalizer": {"type": "Prepend", "prepend": "x"}},
+    {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+])
+def test_files_that_split_otherwise_are_not_cut(tmp_path, change):
+    with open(tokenizer_file(), encoding="utf-8") as file:
+        spec = json.load(file) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = Encoder(str(path))
+    assert other.by_chunk == ("truncation" in change)
+    texts = ["several words, in a row; it's long enough", "a b", "", " x  y\n", "word"] * 2
+    assert other.encode(texts) == [whole(other, t) for t in texts] and len(other.encode(texts[:1])[0]) > 12
+
+
+def test_file_of_word_ends():
+    other = Encoder(os.path.join(os.path.dirname(tokenizer_file()), "word_bpe_49k.json"))
+    texts = ["Several Words, in a row; it's long", "a  b\n", "", "é中 x"]
+    assert not other.by_chunk and other.encode(texts) == [whole(other, t) for t in texts]
+
+
 class Kept(io.BytesIO):
     def close(self):
         pass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,13 +37,21 @@ CHUNK = re.compile(rf"[ \t\n\r]*[{LETTERS}]+(?=[{AFTER}]|\Z)|[ \t\n\r]*[^ \t\n\r
 CACHE_CHUNKS, CACHE_LENGTH, MARKS = 450_000, 32, 1 << 22
 
 
+def usual_words(spec: dict) -> bool:
+    """Whether a tokenizers file splits texts by the usual byte-level word pattern, as they are."""
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return plain and spec.get("normalizer") is None
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, as little-endian unsigned 32-bit integers.
 
     A byte-level pre-tokenizer always starts a new token where a run of white space begins and
     where a mark follows a letter, so a text may be encoded chunk by chunk, and the ids of
     chunks that come a second time are remembered: most never do. Texts with rare white space or with the text of an added
-    token are encoded whole.
+    token are encoded whole, and so are all texts if the file splits words in another way.
+    Truncation and padding of the file are not used.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,6 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_chunk = usual_words(json.load(file))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.once = bytearray(MARKS)
@@ -61,7 +74,7 @@ class Encoder:
         cache = self.cache
         found, missing = [], {}
         for text in texts:
-            if RARE_SPACE.search(text) or any(a in text for a in self.added):
+            if not self.by_chunk or RARE_SPACE.search(text) or any(a in text for a in self.added):
                 found.append(self._ids([text]))
                 continue
             chunks = CHUNK.findall(text)
