@@ -210,3 +210,11 @@ def test_no_text_calibrates_itself(monkeypatch):
     judged.clear()
     ToxicityModel([(i, int(i == 2), f"text number {i}", "en") for i in range(8)], {0: 7, 1: 1})
     assert len(judged) == 6
+
+
+def test_fits_in_tasks_are_the_same(spark):
+    sample = [(r[0], int(r[0] % 3 == 0), r[1], r[2]) for r in toxic_rows(40, 5)]
+    here, there = [toxicity.fitted(sample, k) for k in range(5)], toxicity.all_fitted(spark, sample)
+    assert [v for _, part in here for v in part] == pytest.approx([v for _, part in there for v in part], abs=1e-4)
+    assert there[4][0].value("vilword here") == pytest.approx(here[4][0].value("vilword here"), abs=1e-4)
+    assert toxicity.all_fitted(spark, []) == [(None, [])] * 5

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,19 +130,15 @@ class ToxicityModel:
 
     The network is trained on the whole sample. Calibration and thresholds follow the values
     that each text gets from a network trained without its part of the sample; a part without
-    which a class is missing gives none.
+    which a class is missing gives none. ``fits`` are what ``fitted`` gives for 0 to ``FOLDS``.
     """
 
-    def __init__(self, sample: list[tuple], sizes: dict[int, int]) -> None:
+    def __init__(self, sample: list[tuple], sizes: dict[int, int], fits: list[tuple] | None = None) -> None:
+        *held, (self.network, _) = fits or [fitted(sample, k) for k in range(FOLDS + 1)]
         y = np.array([r[1] for r in sample], int)
-        self.network = network_of(sample)
         self.thresholds: dict[str | None, float] = {}
-        seen, values = [], []
-        for k in range(FOLDS if self.network else 0):
-            other = network_of([r for i, r in enumerate(sample) if i % FOLDS != k])
-            mine = range(k, len(sample), FOLDS) if other else ()
-            seen += mine
-            values += [other.value(sample[i][2]) for i in mine]
+        seen = [i for k, (_, part) in enumerate(held) if len(part) for i in range(k, len(sample), FOLDS)]
+        values = [v for _, part in held for v in part]
         labels, langs = y[seen], np.array([sample[i][3] for i in seen], object)
         self.calibration = Calibration(np.array(values).reshape(-1, 1), labels, sizes)
         scores = np.array([self.calibration([v]) for v in values])
@@ -163,6 +161,27 @@ def network_of(sample: list[tuple]) -> TextCnn | None:
     return network
 
 
+def fitted(sample: list[tuple], k: int) -> tuple[TextCnn | None, list[float]]:
+    """The values of part ``k`` by a network trained on the other parts; for ``k = FOLDS`` the
+    network of the whole sample and no values."""
+    if k == FOLDS:
+        return network_of(sample), []
+    network = network_of([r for i, r in enumerate(sample) if i % FOLDS != k])
+    return None, [network.value(r[2]) for r in sample[k::FOLDS]] if network else []
+
+
+def all_fitted(spark: SparkSession, sample: list[tuple]) -> list[tuple]:
+    """``fitted`` for every part, each in a task of its own; the sample has a fixed bound."""
+
+    def fit(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(fitted(sample, k))], pa.binary())], names=["k", "fit"])
+
+    found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit, "k long, fit binary").collect()
+    return [pickle.loads(r["fit"]) for r in sorted(found, key=lambda r: r["k"])]
+
+
 def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     """Middle of the gap at which F1 is largest."""
     order = np.argsort(-scores, kind="stable")
@@ -178,7 +197,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
     ``TEXT_BYTES``). Languages only choose thresholds, never scores; a language with fewer than
     20 held-back texts, or without both classes, uses the threshold of all. With no text of one
     class, every score is the smoothed share of label 1."""
-    return ToxicityModel(*labelled_sample(batched(docs), labels, label, usable, PER_CLASS, TEXT_BYTES, id_col, text_col, [lang_col]))
+    sample, sizes = labelled_sample(batched(docs), labels, label, usable, PER_CLASS, TEXT_BYTES, id_col, text_col, [lang_col])
+    return ToxicityModel(sample, sizes, all_fitted(docs.sparkSession, sample))
 
 
 def toxicity_score(model: ToxicityModel, text_col: str = "text") -> Column:
