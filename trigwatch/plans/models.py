@@ -80,7 +80,7 @@ def svm_optimality(spark, sf):
     balance, rows without one are outside the margin, rows at their bound inside or on it, the
     others on it; and the primal value is the dual one. Margins are summed up by SQL functions."""
     rows = labelled_vectors(spark, sf)
-    model = svm.KernelSvm(part_rows=200, most_rows=2 * rows.count(), folds=2, tolerance=1e-4).fit(rows)
+    model = svm.KernelSvm(part_rows=200, most_rows=2 * rows.count(), folds=2, tolerance=1e-6).fit(rows)
     support = svm.support_table(spark, model)
     y = F.when(F.col("label") == 1.0, 1.0).otherwise(-1.0)
     weighted = vectors.class_weights(rows).select(y.alias("y"), vector_to_array("features").alias("x"), (F.col("weight") * model.c).alias("cap"))
