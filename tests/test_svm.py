@@ -120,3 +120,35 @@ def test_saved_cascade(spark, rings):
     model, path = svm.KernelSvm(folds=2).fit(frame(spark, x, y)), scratch(spark, "model")
     models.save_model(model, path)
     assert np.array_equal(models.load_model(path).chances(x), model.chances(x))
+
+
+def test_large_problems_are_solved_by_sets(monkeypatch, rings):
+    x, y = rings
+    sign, cap = np.where(y == 1, 1.0, -1.0), np.ones(400)
+    whole, bias = svm.solve_dual(x, sign, cap, np.zeros(400), 1.0, 1e-6)
+    columns, plain = [], svm.kernel_sums
+    monkeypatch.setattr(svm, "WORKING", 80)
+    monkeypatch.setattr(svm, "kernel_sums", lambda x, vectors, *rest: columns.append(len(vectors)) or plain(x, vectors, *rest))
+    alpha, same = svm.solve_dual(x, sign, cap, np.zeros(400), 1.0, 1e-6)
+    assert max(columns) <= 80 and same == pytest.approx(bias, abs=1e-5)
+    assert abs(alpha @ sign) < 1e-9 and ((alpha >= 0) & (alpha <= cap)).all()
+    k = svm.rbf(x, x, 1.0)
+    value = lambda a: a.sum() - (a * sign) @ k @ (a * sign) / 2
+    assert value(alpha) == pytest.approx(value(whole), rel=1e-7)
+    one, other = svm.solve_dual(x, np.ones(400), cap, np.zeros(400), 1.0, 1e-6)
+    assert not one.any() and other == 1.0
+
+
+def test_later_passes_hold_no_row_twice(spark, monkeypatch, rings):
+    x, y = rings
+    seen, plain = [], svm.KernelSvm._again
+
+    def again(self, own, state, scored, tolerance):
+        sizes = state.where("alpha > 0").groupBy("model").count().join(scored.where("missed").groupBy("model").agg(F.count("id").alias("more")), "model", "left")
+        seen.extend((r["count"], r["more"] or 0) for r in sizes.collect())
+        return plain(self, own, state, scored, tolerance)
+
+    monkeypatch.setattr(svm.KernelSvm, "_again", again)
+    model = svm.KernelSvm(folds=2, part_rows=25, tolerance=1e-6).fit(frame(spark, x, y))
+    assert model.converged and model.gap <= 1e-6 and seen
+    assert all(held + more <= 400 for held, more in seen) and len(set(model.details[:, 0])) == len(model.details)

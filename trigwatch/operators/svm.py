@@ -19,6 +19,8 @@ from trigwatch.session import cut_lineage
 KERNEL_BYTES = 256 * 1024 * 1024
 #: cells of a kernel block while rows are scored
 BLOCK_CELLS = 4_000_000
+#: rows that are solved at once; of larger problems, as many at a time
+WORKING = 2000
 #: least tolerance of a local problem, above the rounding of its sums
 FINEST = 1e-9
 #: rows of a level; ``model`` is the fold that the problem does not see
@@ -57,13 +59,42 @@ class Columns:
 def solve_dual(x: np.ndarray, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, gamma: float, tolerance: float) -> tuple[np.ndarray, float]:
     """Multipliers and bias of the dual problem, from feasible multipliers on.
 
+    Up to ``WORKING`` rows are one problem for ``pair_steps``. Of more rows, those that break the
+    optimality conditions most are solved with the others held fixed, as often as it takes: a
+    round computes the kernel of the rows it changed only, by matrix products.
+    """
+    alpha = alpha.copy()
+    value = np.zeros(len(x))  # sum over the support vectors, without the bias
+    if len(x) <= WORKING:
+        k = Columns(x, gamma)
+        for i in np.flatnonzero(alpha):
+            value += alpha[i] * y[i] * k[i]
+        return pair_steps(k, y, cap, alpha, value, tolerance)
+    on = np.flatnonzero(alpha)
+    value += kernel_sums(x, x[on], (alpha[on] * y[on])[:, None], gamma)[:, 0]
+    while True:
+        lack = y - value
+        rise, fall = np.flatnonzero(np.where(y > 0, alpha < cap, alpha > 0)), np.flatnonzero(np.where(y > 0, alpha > 0, alpha < cap))
+        if not len(rise) or not len(fall):
+            return alpha, float(np.median(lack))
+        most, least = lack[rise].max(), lack[fall].min()
+        if most - least <= tolerance:
+            return alpha, float((most + least) / 2)
+        half = WORKING // 2
+        some = np.union1d(rise[np.argsort(-lack[rise], kind="stable")[:half]], fall[np.argsort(lack[fall], kind="stable")[:half]])
+        after, _ = pair_steps(rbf(x[some], x[some], gamma), y[some], cap[some], alpha[some], value[some], max(tolerance / 2, (most - least) / 10))
+        changed = after != alpha[some]
+        value += kernel_sums(x, x[some[changed]], ((after - alpha[some]) * y[some])[changed, None], gamma)[:, 0]
+        alpha[some] = after
+
+
+def pair_steps(k, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, tolerance: float) -> tuple[np.ndarray, float]:
+    """Multipliers and bias, given the kernel by columns and the value of each row.
+
     Each step changes the pair that breaks the optimality conditions most (second choice by
     the gain it promises), until no pair breaks them by more than ``tolerance``.
     """
-    k, alpha = Columns(x, gamma), alpha.copy()
-    value = np.zeros(len(x))  # sum over the support vectors, without the bias
-    for i in np.flatnonzero(alpha):
-        value += alpha[i] * y[i] * k[i]
+    alpha, value = alpha.copy(), value.copy()
     while True:
         lack = y - value
         can_rise = np.where(y > 0, alpha < cap, alpha > 0)
@@ -91,10 +122,11 @@ class KernelSvm:
     """RBF support vector classifier with calibrated probabilities.
 
     The rows are dealt to parts by hash. Every part solves its own dual problem; the support
-    vectors of two parts meet and are solved again, until one part is left. Its support vectors
-    go back to all parts, and so on until the duality gap over all training rows is at most
-    ``tolerance`` of the dual value: the result is that of one problem over all of them
-    (Graf et al. 2004). The models that hold back a fold are fitted in the same passes, as
+    vectors of two parts meet and are solved again, until one part is left (Graf et al. 2004).
+    All rows are scored by its support vectors, and those inside the margin that the cascade
+    has dropped join the last part, which is solved on, and so on until the duality gap over
+    all training rows is at most ``tolerance`` of the dual value: the result is that of one
+    problem over all of them. The models that hold back a fold are fitted in the same passes, as
     further groups; their margins on the rows they have not seen calibrate the probabilities.
 
     Equal rows of a class are one row with a larger bound. Support vectors grow with the rows,
@@ -135,15 +167,17 @@ class KernelSvm:
         near = rows.where(F.pmod(hashed, F.lit(2**31)) < F.element_at(limits, F.col("label")))
         place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod(hashed, F.lit(2**31)), "x"))
         chosen = cut_lineage(near.groupBy("label", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("place", place).where(F.col("place") <= half))
-        taken = {r[0]: r[1] for r in chosen.groupBy("label").agg(F.sum("copies")).collect()}
+        counted = chosen.groupBy("label").agg(F.sum("copies"), F.count(F.lit(1))).collect()
+        taken, self.n_rows = {r[0]: r[1] for r in counted}, sum(r[2] for r in counted)
         second = F.col("label") == self.classes[1]
         caps, shares = ({y: v(y) for y in sizes} for v in (lambda y: self.c * sum(taken.values()) / (2 * taken[y]), lambda y: sizes[y][0] / taken[y]))
-        base = cut_lineage(chosen.select(
+        base = chosen.select(
             (2 * F.col("place") + second.cast("int")).cast("long").alias("id"), (F.col("place") % self.folds).cast("int").alias("fold"),
             F.when(second, 1.0).otherwise(-1.0).alias("y"), "x",
             *[(F.col("copies") * F.when(second, of[self.classes[1]]).otherwise(of[self.classes[0]])).alias(n) for n, of in (("cap", caps), ("share", shares))],
-        ))
-        self.n_rows = base.count()
+        )
+        # the hash order left a task per class
+        base = cut_lineage(base.repartition(self._n_parts(), "id") if self._n_parts() > 1 else base)
         self._cascade(base)
         self._calibrate(base)
         return self
@@ -153,17 +187,23 @@ class KernelSvm:
         self.slope, self.offset = 0.0, 500.0 if label > 0 else -500.0
         self.converged, self.gap, self.n_passes, self.n_rows, self.details = True, 0.0, 0, 0, None
 
+    def _n_parts(self) -> int:
+        return 1 << max(0, math.ceil(math.log2(max(1, self.n_rows) / self.part_rows)))
+
     def _cascade(self, base: DataFrame) -> None:
-        parts = 1 << max(0, math.ceil(math.log2(max(1, self.n_rows) / self.part_rows)))
         everyone = F.array(*[F.lit(m) for m in range(self.folds + 1)])  # the last one sees every fold
-        own = base.withColumn("model", F.explode(everyone)).where("model <> fold").withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
-        open_, state = set(range(self.folds + 1)), None
+        own = base.withColumn("model", F.explode(everyone)).where("model <> fold").withColumn("alpha", F.lit(0.0))
+        open_, state, scored = set(range(self.folds + 1)), None, None
         for self.n_passes in range(1, self.passes + 1):
-            active = F.col("model").isin(*open_)
-            level = self._level(own.where(active), parts, state.where(active) if state else None, max(FINEST, self.tolerance / 10**self.n_passes))
-            state = level if state is None else cut_lineage(state.where(~active).unionByName(level))
+            tolerance = max(FINEST, self.tolerance / 10**self.n_passes)
+            if state is None:
+                state = self._level(own, tolerance)
+            else:
+                active = F.col("model").isin(*open_)
+                state = cut_lineage(state.where(~active).unionByName(self._again(own.where(active), state.where(active), scored, tolerance)))
             self._take(state)
-            gaps = self._gaps(base)
+            scored = self._scored(base)
+            gaps = self._gaps(scored)
             self.gap, open_ = gaps[self.folds], {m for m, gap in gaps.items() if gap > self.tolerance}
             if not open_:
                 break
@@ -173,14 +213,8 @@ class KernelSvm:
         self.vectors, self.weights, self.bias = self.pool[at], self.pool_weights[at, self.folds], float(self.biases[self.folds])
         self.details = mine[["id", "y", "cap", "alpha"]].to_numpy()
 
-    def _level(self, own: DataFrame, parts: int, state: DataFrame | None, tolerance: float) -> DataFrame:
-        """One pass: parts of the rows with the support vectors so far, solved and joined down to one part."""
-        gamma, columns = self.gamma, ["model", "id", "part", "y", "cap", "alpha", "x"]
-        rows = own.withColumn("alpha", F.lit(0.0)).select(*columns)
-        if state is not None:
-            support = state.where("alpha > 0")
-            everywhere = support.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(parts)]))).select(*columns)
-            rows = rows.join(support.select("model", "id"), ["model", "id"], "left_anti").select(*columns).unionByName(everywhere)
+    def _solver(self, tolerance: float):
+        gamma = self.gamma
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
             y, cap = group["y"].to_numpy(), group["cap"].to_numpy()
@@ -190,16 +224,27 @@ class KernelSvm:
                 kept[0] = True
             return group.assign(alpha=alpha, bias=bias)[kept]
 
+        return solve
+
+    def _level(self, own: DataFrame, tolerance: float) -> DataFrame:
+        """The first pass: parts of the rows, solved and joined down to one part."""
+        columns, parts, solve = ["model", "id", "part", "y", "cap", "alpha", "x"], self._n_parts(), self._solver(tolerance)
+        rows = own.withColumn("part", F.pmod(F.hash("id"), F.lit(parts))).select(*columns)
         level = rows.groupBy("model", "part").applyInPandas(solve, ROWS + ", bias DOUBLE")
         while parts > 1:
             parts //= 2
-            # both halves meet the constraints: so do their sum in the first pass, where they share no row, and else their mean
-            joined = cut_lineage(level).groupBy("model", "id", (F.col("part") % parts).alias("part")).agg(
-                F.first("y").alias("y"), F.first("cap").alias("cap"), (F.sum("alpha") / (1.0 if state is None else 2.0)).alias("alpha"), F.first("x").alias("x"),
-            )
+            # both halves meet the constraints and share no row: so does their sum
+            joined = cut_lineage(level).withColumn("part", F.col("part") % parts)
             level = joined.select(*columns).groupBy("model", "part").applyInPandas(solve, ROWS + ", bias DOUBLE")
         return cut_lineage(level)
 
+    def _again(self, own: DataFrame, state: DataFrame, scored: DataFrame, tolerance: float) -> DataFrame:
+        """The last part solved on, with the rows inside the margin that have no multiplier yet."""
+        columns, support = ["model", "id", "part", "y", "cap", "alpha", "x"], state.where("alpha > 0")
+        missed = own.join(scored.where("missed").select("model", "id"), ["model", "id"], "left_semi").withColumn("part", F.lit(0))
+        rows = support.select(*columns).unionByName(missed.select(*columns))
+        return rows.groupBy("model", "part").applyInPandas(self._solver(tolerance), ROWS + ", bias DOUBLE")
+
     def _take(self, state: DataFrame) -> None:
         """Support vectors of all models, each once, with a column of weights per model."""
         found = state.select("model", "id", "y", "cap", "alpha", "bias").toPandas()
@@ -218,22 +263,36 @@ class KernelSvm:
         pool, weights, biases, gamma = self.pool, self.pool_weights, self.biases, self.gamma
         return lambda x: kernel_sums(x, pool, weights, gamma) + biases
 
-    def _gaps(self, base: DataFrame) -> dict[int, float]:
-        """Duality gap of each model over all its rows, as a share of its dual value."""
-        margins, n = self._scorer(), self.folds + 1
+    def _scored(self, base: DataFrame) -> DataFrame:
+        """``model, id, loss, length, missed``: what each row a model sees adds to its loss and to the
+        square of its weights, and whether it is inside the margin without a multiplier."""
+        margins, n, ids, weights, biases = self._scorer(), self.folds + 1, self.pool_ids, self.pool_weights, self.biases
 
-        def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(n)
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                y, cap = batch["y"].to_numpy()[:, None], batch["cap"].to_numpy()[:, None]
-                seen = batch["fold"].to_numpy()[:, None] != np.arange(n)
-                total += (seen * cap * np.maximum(0, 1 - y * margins(np.stack(batch["x"].to_numpy())))).sum(0)
-            yield pd.DataFrame({"model": np.arange(n), "loss": total})
-
-        loss = {r.model: r.loss for r in base.mapInPandas(losses, "model INT, loss DOUBLE").groupBy("model").agg(F.sum("loss").alias("loss")).collect()}
-        lengths = (self.pool_weights * kernel_sums(self.pool, self.pool, self.pool_weights, self.gamma)).sum(0)
-        duals = [float(self.tables[m]["alpha"].sum() - lengths[m] / 2) for m in range(n)]
-        return {m: (lengths[m] / 2 + loss[m] - duals[m]) / max(duals[m], 1e-12) for m in range(n)}
+                y, own = batch["y"].to_numpy()[:, None], np.zeros((len(batch), n))
+                if len(ids):
+                    at = np.minimum(np.searchsorted(ids, batch["id"]), len(ids) - 1)
+                    own = np.where((ids[at] == batch["id"].to_numpy())[:, None], weights[at], 0.0)
+                found = margins(np.stack(batch["x"].to_numpy()))
+                inside = np.maximum(0, 1 - y * found)
+                row, model = np.nonzero(batch["fold"].to_numpy()[:, None] != np.arange(n))
+                yield pd.DataFrame({
+                    "model": model, "id": batch["id"].to_numpy()[row], "loss": (batch["cap"].to_numpy()[:, None] * inside)[row, model],
+                    "length": (own * (found - biases))[row, model], "missed": ((inside > 0) & (own == 0))[row, model],
+                })
+
+        return cut_lineage(base.mapInPandas(score, "model INT, id BIGINT, loss DOUBLE, length DOUBLE, missed BOOLEAN"))
+
+    def _gaps(self, scored: DataFrame) -> dict[int, float]:
+        """Duality gap of each model over all its rows, as a share of its dual value."""
+        sums = {r.model: r for r in scored.groupBy("model").agg(F.sum("loss").alias("loss"), F.sum("length").alias("length")).collect()}
+        gaps = {}
+        for m in range(self.folds + 1):
+            loss, length = (sums[m].loss, sums[m].length) if m in sums else (0.0, 0.0)
+            dual = float(self.tables[m]["alpha"].sum() - length / 2)
+            gaps[m] = (length / 2 + loss - dual) / max(dual, 1e-12)
+        return gaps
 
     def _calibrate(self, base: DataFrame) -> None:
         """Logistic fit of the class on the margins of the models that did not see the row."""
