@@ -21,6 +21,8 @@ from trigwatch.plans.vectors import used_families, window_vectors
 from trigwatch.session import cut_lineage
 
 DIMENSION = 64
+#: rows that a task compares with all support vectors
+PAIRED_ROWS = 200
 
 
 def labelled_vectors(spark, sf):
@@ -87,8 +89,11 @@ def svm_optimality(spark, sf):
     # equal rows share a multiplier, up to the sum of their bounds
     caps = cut_lineage(weighted.groupBy("x", "y").agg(F.sum("cap").alias("cap"), F.count(F.lit(1)).alias("copies")))
     other = F.broadcast(support.select(F.col("x").alias("s"), (F.col("alpha") * F.col("y")).alias("w")))  # bounded by most_rows
-    near = F.exp(-F.lit(model.gamma) * anomaly.squared_distance(F.col("x"), F.col("s")))
-    margins = caps.join(other, F.lit(True)).groupBy("x", "y").agg((F.sum(F.col("w") * near) + F.lit(model.bias)).alias("f"))
+    # written out by position, which is compiled; and the few bytes of the rows would make one task of all pairs
+    steps = [F.get("x", F.lit(i)) - F.get("s", F.lit(i)) for i in range(model.dimension)]
+    near = F.exp(-F.lit(model.gamma) * reduce(lambda a, b: a + b, [step * step for step in steps], F.lit(0.0)))
+    dealt = caps.repartition(max(1, model.n_rows // PAIRED_ROWS), "x", "y")
+    margins = dealt.join(other, F.lit(True)).groupBy("x", "y").agg((F.sum(F.col("w") * near) + F.lit(model.bias)).alias("f"))
     placed = caps.join(margins, ["x", "y"]).join(support.select("x", "y", "alpha"), ["x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
     gap, slack, full = F.col("y") * F.col("f") - 1, 2e-3, F.col("alpha") >= F.col("cap") * (1 - 1e-9)
     broken = ((F.col("alpha") == 0) & (gap < -slack)) | (full & (gap > slack)) | ((F.col("alpha") > 0) & ~full & (F.abs(gap) > slack))
