@@ -126,3 +126,18 @@ def test_many_centres_meet_block_by_block(spark, monkeypatch):
     got = {r.cluster: r.worst for r in anomaly.centre_similarity(df).collect()}
     for i in range(23):
         assert abs(got[i] - max((s[i] + s[j]) / np.linalg.norm(c[i] - c[j]) for j in range(23) if j != i)) < 1e-9
+
+
+def test_no_pair_is_lost_in_single_precision():
+    rng = np.random.default_rng(4)
+    for scale, far in ((1.0, 0.0), (1e-9, 0.0), (1.0, 3e4), (1e18, 0.0), (1.0, np.nan)):
+        a, b = rng.normal(0, scale, (300, 8)) + np.nan_to_num(far), rng.normal(0, scale, (200, 8)) + np.nan_to_num(far)
+        if np.isnan(far):
+            a[3, 2] = np.nan
+        apart = np.sqrt(((a[:, None] - b) ** 2).sum(2))
+        eps = float(np.nanmedian(apart))
+        found = np.zeros(apart.shape, bool)
+        found[anomaly.maybe_within(a, b, eps)] = True
+        assert found[apart <= eps].all()
+        if scale == 1.0 and far == 0.0:  # and few more
+            assert found.sum() - (apart <= eps).sum() < 20

@@ -302,7 +302,7 @@ def _grid(df: DataFrame, key: str, features: str, eps: float, min_samples: int):
 
 
 #: points per block, two of which are compared as one small matrix, and blocks per side of a task's group
-BLOCK, GROUP = 256, 64
+BLOCK, GROUP = 1024, 16
 
 
 def compared_pairs(points: DataFrame, eps: float, dimension: int, axes: int = 3) -> int:
@@ -365,8 +365,7 @@ def _neighbours(points: DataFrame, eps: float, dimension: int, most_pairs: int |
         for batch in batches:
             for row in batch.itertuples(index=False):
                 a, b = np.reshape(row.px, (-1, dimension)), np.reshape(row.qx, (-1, dimension))
-                rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                i, j = np.nonzero(rough <= eps * eps + 1e-9 * (1 + np.abs(rough).max()))
+                i, j = maybe_within(a, b, eps)
                 exact = ((a[i] - b[j]) ** 2).sum(1) <= eps * eps
                 i, j = i[exact], j[exact]
                 yield pd.DataFrame(
@@ -378,6 +377,19 @@ def _neighbours(points: DataFrame, eps: float, dimension: int, most_pairs: int |
     )
 
 
+def maybe_within(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that single precision does not show to be farther apart than ``eps``: all
+    pairs within it, and few more. One product gives minus half the squared distances."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    top = float(aa.max() + bb.max())
+    kind = np.float32 if top < 1e30 else np.float64
+    left = np.c_[a, -aa / 2, np.ones(len(a))].astype(kind)
+    right = np.c_[b, np.ones(len(b)), -bb / 2].astype(kind)
+    # rounding of the values, their products and sums; not a number is for the exact test
+    off = (a.shape[1] + 10) * 2.0**-22 * top + 1e-30
+    return np.nonzero(~(left @ right.T < kind(-eps * eps / 2 * (1 + 1e-6) - off)))
+
+
 def _core_points(points: DataFrame, neighbours: DataFrame, min_samples: int) -> DataFrame:
     """Distinct points with their core flag: all of a dense cell, and the others by their count."""
     counted = neighbours.groupBy(F.col("p").alias("pid")).agg((F.sum("weight") >= min_samples).alias("core"))
