@@ -10,10 +10,14 @@ from trigwatch.plans.registry import query
 from trigwatch.plans.tables import (
     catalog, hstart, id_map, plain, scratch, siem, table, telemetry, texts, wid, with_ctes,
 )
+from trigwatch.session import settled
 from trigwatch.sources import catalog as cat
 from trigwatch.sources import documents as docs
 from trigwatch.sources import jobs, triggers
 
+#: events of one search answer, about
+ANSWER_EVENTS = 5000
+
 
 def _write_trigger_files(spark, sf, path):
     """The telemetry in the layout of exported trigger files, one folder per host."""
@@ -211,13 +215,18 @@ def scan_any_docs(spark, sf):
     with_ctes("tele", "SELECT hostname, source_ip, rule_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n FROM tele GROUP BY ALL"),
 )
 def scan_search_files(spark, sf):
-    # an answer per host and day, each a file of several lines
+    # answers per host and day, each a file of several lines: a search answers in pages of about ANSWER_EVENTS
     path = scratch(spark, "answers")
     entry = F.struct(
         F.col("hostname").alias("sysmon_hostname (custom)"), F.col("source_ip").alias("Source IP"), F.col("rule_id").alias("Custom Rule"),
         timing.format_siem_ts(F.col("timestamp")).alias("Log Source Time (Minimum)"), F.col("count").alias("Count"),
     )
-    answers = telemetry(spark, sf).groupBy("hostname", F.to_date("timestamp")).agg(F.collect_list(entry).alias("events"))
+    events, day = telemetry(spark, sf), F.to_date("timestamp")
+    pages = events.groupBy(F.col("hostname").alias("of_host"), day.alias("of_day")).agg(F.ceil(F.count(F.lit(1)) / ANSWER_EVENTS).alias("pages"))
+    paged = events.withColumn("day", day).join(
+        settled(pages), F.col("hostname").eqNullSafe(F.col("of_host")) & F.col("day").eqNullSafe(F.col("of_day"))
+    )
+    answers = paged.groupBy("hostname", "day", F.pmod(F.xxhash64("event_id", "timestamp", "value"), F.col("pages"))).agg(F.collect_list(entry).alias("events"))
     answers.select(F.to_json(F.struct("events"), {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
     read = docs.scan_search_files(spark, path)
     return read.groupBy("hostname", "source_ip", "rule_id").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("n"))
