@@ -152,3 +152,54 @@ def test_later_passes_hold_no_row_twice(spark, monkeypatch, rings):
     model = svm.KernelSvm(folds=2, part_rows=25, tolerance=1e-6).fit(frame(spark, x, y))
     assert model.converged and model.gap <= 1e-6 and seen
     assert all(held + more <= 400 for held, more in seen) and len(set(model.details[:, 0])) == len(model.details)
+
+
+def plain_margins(x, model):
+    """Margins from the differences of the features."""
+    apart = ((np.asarray(x)[:, None] - model.vectors) ** 2).sum(2)
+    return np.exp(-model.gamma * apart) @ model.weights + model.bias
+
+
+def test_working_sets_solve_the_whole_problem(spark, monkeypatch, rings):
+    x, y = rings
+    joined = svm.KernelSvm(part_rows=50, tolerance=1e-6, folds=2).fit(frame(spark, x, y))
+    problems, plain = [], svm.solved_sets
+    monkeypatch.setattr(svm, "JOINED", 100)
+    monkeypatch.setattr(svm, "WORKING", 50)
+    monkeypatch.setattr(svm, "SET", 90)
+    monkeypatch.setattr(svm, "solved_sets", lambda held, some, *rest: problems.extend(len(p[1]) for p in some) or plain(held, some, *rest))
+    model = svm.KernelSvm(part_rows=50, tolerance=1e-6, folds=2).fit(frame(spark, x, y))
+    assert model.converged and model.gap <= 1e-6 and len(problems) > 4 and max(problems) <= 90
+    sign, cap = np.where(y == 1, 1.0, -1.0), np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
+    alpha = model.details[:, 3]
+    assert (alpha > 0).all() and (alpha <= model.details[:, 2]).all() and abs(model.weights.sum()) < 1e-9
+    dual = alpha.sum() - model.weights @ svm.rbf(model.vectors, model.vectors, model.gamma) @ model.weights / 2
+    assert dual == pytest.approx(projected(x, sign, cap, model.gamma), rel=2e-4)
+    assert np.allclose(model.margins(x), joined.margins(x), atol=5e-3) and np.allclose(model.margins(x), plain_margins(x, model), atol=1e-9)
+    assert np.allclose(model.chances(x), joined.chances(x), atol=5e-3)
+
+
+def test_working_sets_of_odd_folds(spark, monkeypatch):
+    """A model that sees one class only, and copies of rows, some with both classes."""
+    monkeypatch.setattr(svm, "JOINED", 10)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 2)), np.arange(60) == 7
+    lone = svm.KernelSvm(folds=2).fit(frame(spark, x, y))
+    assert lone.converged and lone.n_rows == 60 and lone.margins(x).argmax() == 7
+    x, y = np.repeat(x, 3, axis=0), np.tile([0.0, 0.0, 1.0], 60)
+    mixed = svm.KernelSvm(folds=2).fit(frame(spark, x, y))
+    assert mixed.converged and mixed.n_rows == 120 and mixed.details[:, 2].sum() == pytest.approx(180)
+    assert np.allclose(mixed.chances(x), 1 / 3, atol=0.05)
+
+
+def test_support_table_and_margins(spark, rings):
+    x, y = rings
+    model = svm.KernelSvm(folds=2).fit(frame(spark, x, y))
+    table = svm.support_table(spark, model)
+    assert table.dtypes == [("support", "bigint"), ("y", "double"), ("cap", "double"), ("alpha", "double"), ("x", "array<double>")]
+    rows = table.toPandas()
+    assert np.array_equal(np.stack(rows["x"].to_numpy()), model.vectors) and np.array_equal(rows[["y", "cap", "alpha"]].to_numpy(), model.details[:, 1:])
+    found = svm.with_margins(spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "key BIGINT, x ARRAY<DOUBLE>"), model).toPandas().sort_values("key")
+    assert np.allclose(found["f"], plain_margins(x, model), atol=1e-9)
+    empty = svm.KernelSvm().fit(frame(spark, x, y).limit(0))
+    assert svm.support_table(spark, empty).count() == 0

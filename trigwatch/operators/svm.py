@@ -1,4 +1,4 @@
-"""Support vector classifier with an RBF kernel, as a cascade of local dual problems."""
+"""Support vector classifier with an RBF kernel: a cascade of local dual problems, or working sets against all rows."""
 
 from __future__ import annotations
 
@@ -8,19 +8,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trigwatch.functions.ordering import ranked_within
 from trigwatch.operators.trees import with_chances
 from trigwatch.session import cut_lineage
 
 #: bytes of kernel columns that a local problem keeps
 KERNEL_BYTES = 256 * 1024 * 1024
-#: cells of a kernel block while rows are scored
-BLOCK_CELLS = 4_000_000
+#: rows and columns of a kernel block while rows are scored; a block stays in a core's cache
+BLOCK = 512
 #: rows that are solved at once; of larger problems, as many at a time
 WORKING = 2000
+#: rows up to which the parts of a problem are joined to one that a task solves
+JOINED = 4000
+#: rows of a working set of larger ones: its kernel in single precision has ``KERNEL_BYTES``
+SET = math.isqrt(KERNEL_BYTES // 4)
 #: least tolerance of a local problem, above the rounding of its sums
 FINEST = 1e-9
 #: rows of a level; ``model`` is the fold that the problem does not see
@@ -32,11 +40,31 @@ def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(apart, 0))
 
 
+def sides(x: np.ndarray, gamma: float, kind: type = float) -> tuple[np.ndarray, np.ndarray]:
+    """Two forms of the rows: the product of one of the first and one of the second is the logarithm of their kernel."""
+    own, one = -gamma * (x * x).sum(1), np.ones(len(x))
+    return np.c_[2 * gamma * x, own, one].astype(kind), np.c_[x, one, own].astype(kind)
+
+
+def kernel_block(left: np.ndarray, right: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Kernel of rows given by their ``sides``, in place."""
+    np.matmul(left, right.T, out=out)
+    np.minimum(out, 0, out=out)
+    return np.exp(out, out=out)
+
+
 def kernel_sums(x: np.ndarray, vectors: np.ndarray, weights: np.ndarray, gamma: float) -> np.ndarray:
     """Kernel of each row with all support vectors times their weights, block by block."""
-    out, step = np.zeros((len(x), weights.shape[1])), max(1, BLOCK_CELLS // max(1, len(vectors)))
-    for at in range(0, len(x) if len(vectors) else 0, step):
-        out[at : at + step] = rbf(x[at : at + step], vectors, gamma) @ weights
+    out, cells = np.zeros((len(x), weights.shape[1])), np.empty(BLOCK * BLOCK)
+    if not len(x) or not len(vectors):
+        return out
+    left, right = sides(x, gamma)[0], sides(vectors, gamma)[1]
+    for at in range(0, len(x), BLOCK):
+        rows = left[at : at + BLOCK]
+        for to in range(0, len(vectors), BLOCK):
+            some = right[to : to + BLOCK]
+            block = cells[: len(rows) * len(some)].reshape(len(rows), len(some))
+            out[at : at + BLOCK] += kernel_block(rows, some, block) @ weights[to : to + BLOCK]
     return out
 
 
@@ -88,34 +116,102 @@ def solve_dual(x: np.ndarray, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray,
         alpha[some] = after
 
 
-def pair_steps(k, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, tolerance: float) -> tuple[np.ndarray, float]:
+def pair_steps(k, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, tolerance: float, most: float = math.inf) -> tuple[np.ndarray, float]:
     """Multipliers and bias, given the kernel by columns and the value of each row.
 
     Each step changes the pair that breaks the optimality conditions most (second choice by
-    the gain it promises), until no pair breaks them by more than ``tolerance``.
+    the gain it promises), until no pair breaks them by more than ``tolerance``, or ``most``
+    steps are done.
     """
-    alpha, value = alpha.copy(), value.copy()
+    if not len(y):
+        return alpha.copy(), 0.0
+    alpha, value, steps = alpha.copy(), value.copy(), 0
+    # what is added to rows that can't rise, or can't fall, puts them last
+    no_rise = np.where(np.where(y > 0, alpha < cap, alpha > 0), 0.0, -np.inf)
+    no_fall = np.where(np.where(y > 0, alpha > 0, alpha < cap), 0.0, np.inf)
+    lack, work, gain = np.empty(len(y)), np.empty(len(y)), np.empty(len(y))
     while True:
-        lack = y - value
-        can_rise = np.where(y > 0, alpha < cap, alpha > 0)
-        can_fall = np.where(y > 0, alpha > 0, alpha < cap)
-        if not can_rise.any() or not can_fall.any():
-            return alpha, float(np.median(lack)) if len(y) else 0.0
-        i = int(np.where(can_rise, lack, -np.inf).argmax())
-        least = np.where(can_fall, lack, np.inf).min()
-        if lack[i] - least <= tolerance:
-            return alpha, float((lack[i] + least) / 2)
-        bend = np.maximum(2 - 2 * k[i], 1e-12)
-        gap = lack[i] - lack
-        j = int(np.where(can_fall & (gap > 0), gap * gap / bend, -np.inf).argmax())
+        np.subtract(y, value, out=lack)
+        np.add(lack, no_rise, out=work)
+        np.add(lack, no_fall, out=gain)
+        i = int(work.argmax())
+        top, least = work[i], gain.min()
+        if np.isinf(top) or np.isinf(least):
+            return alpha, float(np.median(lack))
+        if top - least <= tolerance or steps >= most:
+            return alpha, float((top + least) / 2)
+        np.subtract(top, gain, out=gain)
+        np.maximum(gain, 0, out=gain)
+        np.multiply(gain, gain, out=gain)
+        ki = k[i]
+        np.multiply(ki, -2.0, out=work)
+        np.add(work, 2.0, out=work)
+        bend = np.maximum(work, 1e-12, out=work)
+        j = int(np.divide(gain, bend, out=gain).argmax())
         room_i = cap[i] - alpha[i] if y[i] > 0 else alpha[i]
         room_j = alpha[j] if y[j] > 0 else cap[j] - alpha[j]
-        step = min(gap[j] / bend[j], room_i, room_j)
+        step = min((top - lack[j]) / bend[j], room_i, room_j)
         for row, sign, room in ((i, 1.0, room_i), (j, -1.0, room_j)):
             alpha[row] += sign * y[row] * step
             if step == room:  # lands on its bound exactly
                 alpha[row] = cap[row] if alpha[row] > cap[row] / 2 else 0.0
-        value += step * (k[i] - k[j])
+            below, above = (alpha[row] < cap[row], alpha[row] > 0)[:: 1 if y[row] > 0 else -1]
+            no_rise[row], no_fall[row] = 0.0 if below else -np.inf, 0.0 if above else np.inf
+        np.subtract(ki, k[j], out=work)
+        np.multiply(work, step, out=work)
+        value += work
+        steps += 1
+
+
+def solve_set(x: np.ndarray, y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, gamma: float, tolerance: float) -> np.ndarray:
+    """Multipliers of a working set, the rows outside held fixed. Its kernel is in single
+    precision: what that leaves over is seen in the values, which are exact, and the next sets."""
+    left, right = sides(x, gamma, np.float32)
+    k = kernel_block(left, right, np.empty((len(x), len(x)), np.float32))
+    return pair_steps(k, y, cap, alpha, value, tolerance, 20 * len(x))[0]
+
+
+def working_set(y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, alone: np.ndarray, size: int, draw: np.random.Generator) -> tuple[float, float, np.ndarray]:
+    """Bias of a problem, by how much a pair breaks its conditions, and rows to solve together.
+
+    A fifth of them are those that break the conditions most, the others are drawn among all that
+    break them or are off their bounds: sets of the worst alone leave each other's traces. If no
+    row can rise, or none can fall, the bias is that of the rows ``alone``.
+    """
+    lack = y - value
+    can_rise, can_fall = np.where(y > 0, alpha < cap, alpha > 0), np.where(y > 0, alpha > 0, alpha < cap)
+    rise, fall = np.flatnonzero(can_rise), np.flatnonzero(can_fall)
+    if not len(rise) or not len(fall):
+        return float(np.median(lack[alone])) if alone.any() else 0.0, 0.0, rise[:0]
+    most, least = lack[rise].max(), lack[fall].min()
+    bias, few = float((most + least) / 2), max(1, size // 10)
+    worst = np.union1d(rise[np.argsort(-lack[rise], kind="stable")[:few]], fall[np.argsort(lack[fall], kind="stable")[:few]])
+    others = np.setdiff1d(np.flatnonzero((can_rise & can_fall) | (can_rise & (lack > bias)) | (can_fall & (lack < bias))), worst)
+    return bias, float(most - least), np.union1d(worst, draw.permutation(others)[: max(0, size - len(worst))])
+
+
+def solved_sets(held: Broadcast, problems: list[tuple], gamma: float) -> list[tuple]:
+    """``model, rows, multipliers`` of each working set, a task each."""
+
+    def solve(problem: tuple) -> tuple:
+        m, some, y, cap, alpha, value, tolerance = problem
+        return m, some, solve_set(held.value[some], y, cap, alpha, value, gamma, tolerance)
+
+    return SparkContext.getOrCreate().parallelize(problems, len(problems)).map(solve).collect()
+
+
+def summed_changes(held: Broadcast, weights: np.ndarray, gamma: float) -> np.ndarray:
+    """Kernel of each row with the rows that have a weight in any model times their weights, blocks of rows by task."""
+    changed = np.flatnonzero(weights.any(axis=1))
+    added = weights[changed]
+    sc = SparkContext.getOrCreate()
+    n_blocks = min(2 * sc.defaultParallelism, math.ceil(len(weights) / BLOCK))
+    bounds = [len(weights) * i // n_blocks for i in range(n_blocks + 1)]
+
+    def sums(block: tuple[int, int]) -> np.ndarray:
+        return kernel_sums(held.value[block[0] : block[1]], held.value[changed], added, gamma)
+
+    return np.concatenate(sc.parallelize(list(zip(bounds, bounds[1:])), n_blocks).map(sums).collect())
 
 
 class KernelSvm:
@@ -129,17 +225,22 @@ class KernelSvm:
     problem over all of them. The models that hold back a fold are fitted in the same passes, as
     further groups; their margins on the rows they have not seen calibrate the probabilities.
 
-    Equal rows of a class are one row with a larger bound. Support vectors grow with the rows,
-    and the last part holds all of them, so the fit takes at most ``most_rows / 2`` different
-    rows of each class, the first ones by hash; classes are weighed to balance, and the
-    calibration counts them as they are in all rows. ``FourierSvm`` uses every row of any table,
-    with an approximate kernel. Rows with null features or a null label are left out; of one
-    class only, that class gets all the probability (of no rows, class 0).
+    Above ``JOINED`` rows the last part is too much for a task. Then the driver holds multipliers
+    and values of all rows, and each round solves a working set for every model: the rows that
+    break its conditions most, and others that break them, one model a task. All rows then get the change of the values, in
+    tasks over blocks of them, with the same end: the duality gap over all training rows.
+
+    Equal rows of a class are one row with a larger bound. ``most_rows``, if not None, bounds the
+    different rows of the classes to half of it each, the first ones by hash.
+    Classes are weighed to balance, and the calibration counts them as they are in all rows. The
+    time grows with the square of the rows; ``FourierSvm`` has an approximate kernel instead.
+    Rows with null features or a null label are left out; of one class only, that class gets all
+    the probability (of no rows, class 0).
     """
 
     def __init__(
         self, c: float = 1.0, gamma: float | None = None, tolerance: float = 1e-3, folds: int = 5, part_rows: int = 1000,
-        most_rows: int = 20_000, passes: int = 20,
+        most_rows: int | None = 20_000, passes: int = 20,
     ) -> None:
         self.c, self.gamma, self.tolerance, self.folds = c, gamma, tolerance, folds
         self.part_rows, self.most_rows, self.passes = part_rows, most_rows, passes
@@ -150,9 +251,9 @@ class KernelSvm:
         usable = df.where(F.col("features").isNotNull() & F.col("label").isNotNull())
         rows = usable.select(F.col("label").cast("double").alias("label"), vector_to_array("features").alias("x"))
         hashed = F.xxhash64("x", "label")
-        found = rows.groupBy("label").agg(F.count(F.lit(1)), F.approx_count_distinct(hashed, 0.01), F.max(F.size("x")))
+        found = rows.groupBy("label").agg(F.count(F.lit(1)), F.max(F.size("x")))
         sizes = {r[0]: r[1:] for r in found.limit(3).collect()}
-        self.classes, self.dimension = sorted(sizes), max((s[2] for s in sizes.values()), default=0)
+        self.classes, self.dimension = sorted(sizes), max((s[1] for s in sizes.values()), default=0)
         if len(sizes) > 2:
             raise ValueError("a support vector classifier needs two classes")
         if self.gamma is None:
@@ -161,12 +262,9 @@ class KernelSvm:
         if len(sizes) < 2:
             self._constant(self.classes[0] if sizes else 0.0)
             return self
-        half = self.most_rows // 2
-        # a tenth more than asked for by the hash's range, and of these the first in its order
-        limits = F.create_map(*[F.lit(v) for y, s in sizes.items() for v in (y, int(2**31 * min(1.0, 1.1 * half / s[1])))])
-        near = rows.where(F.pmod(hashed, F.lit(2**31)) < F.element_at(limits, F.col("label")))
-        place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod(hashed, F.lit(2**31)), "x"))
-        chosen = cut_lineage(near.groupBy("label", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("place", place).where(F.col("place") <= half))
+        place = F.pmod(hashed, F.lit(2**31)).alias("place")
+        chosen = ranked_within(rows.groupBy("label", "x").agg(F.count(F.lit(1)).alias("copies")).select("*", place), "label", [F.col("place"), F.col("x")], "place")
+        chosen = cut_lineage(chosen if self.most_rows is None else chosen.where(F.col("place") <= self.most_rows // 2))
         counted = chosen.groupBy("label").agg(F.sum("copies"), F.count(F.lit(1))).collect()
         taken, self.n_rows = {r[0]: r[1] for r in counted}, sum(r[2] for r in counted)
         second = F.col("label") == self.classes[1]
@@ -176,10 +274,13 @@ class KernelSvm:
             F.when(second, 1.0).otherwise(-1.0).alias("y"), "x",
             *[(F.col("copies") * F.when(second, of[self.classes[1]]).otherwise(of[self.classes[0]])).alias(n) for n, of in (("cap", caps), ("share", shares))],
         )
-        # the hash order left a task per class
-        base = cut_lineage(base.repartition(self._n_parts(), "id") if self._n_parts() > 1 else base)
-        self._cascade(base)
-        self._calibrate(base)
+        if self.n_rows > JOINED:
+            found = self._by_sets(base)
+        else:
+            base = cut_lineage(base.repartition(self._n_parts(), "id") if self._n_parts() > 1 else base)
+            self._cascade(base)
+            found = self._unseen(base)
+        self.slope, self.offset = logistic_line(found["margin"].to_numpy(), found["y"].to_numpy() > 0, found["share"].to_numpy())
         return self
 
     def _constant(self, label: float) -> None:
@@ -294,8 +395,8 @@ class KernelSvm:
             gaps[m] = (length / 2 + loss - dual) / max(dual, 1e-12)
         return gaps
 
-    def _calibrate(self, base: DataFrame) -> None:
-        """Logistic fit of the class on the margins of the models that did not see the row."""
+    def _unseen(self, base: DataFrame) -> pd.DataFrame:
+        """``y, share, margin`` of all rows, the margins by the models that did not see the row."""
         margins = self._scorer()
 
         def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,8 +404,51 @@ class KernelSvm:
                 found = margins(np.stack(batch["x"].to_numpy()))
                 yield batch[["y", "share"]].assign(margin=found[np.arange(len(batch)), batch["fold"].to_numpy()])
 
-        found = base.mapInPandas(unseen, "y DOUBLE, share DOUBLE, margin DOUBLE").orderBy("margin", "y").toPandas()
-        self.slope, self.offset = logistic_line(found["margin"].to_numpy(), found["y"].to_numpy() > 0, found["share"].to_numpy())
+        return base.mapInPandas(unseen, "y DOUBLE, share DOUBLE, margin DOUBLE").orderBy("margin", "y").toPandas()
+
+    def _by_sets(self, base: DataFrame) -> pd.DataFrame:
+        """Fit of all models by working sets; returns ``y, share, margin`` of all rows, the margins by
+        the models that did not see the row.
+
+        The rows are sent to the executors once. What the driver holds for a row are its features
+        and a few numbers for each model.
+        """
+        sc, n_models = base.sparkSession.sparkContext, self.folds + 1
+        rows = base.select("id", "fold", "y", "cap", "share", "x").toArrow().sort_by("id")
+        x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        ids, fold, y, own, share = (rows[c].to_numpy() for c in ("id", "fold", "y", "cap", "share"))
+        seen = fold[:, None] != np.arange(n_models)  # the last one sees every fold
+        cap = np.where(seen, own[:, None], 0.0)
+        alpha, value, biases, gaps = np.zeros(cap.shape), np.zeros(cap.shape), np.zeros(n_models), np.full(n_models, np.inf)
+        size = min(SET, max(WORKING, math.ceil(len(y) / 4)))
+        held, draw = sc.broadcast(x), np.random.default_rng(len(y))
+        for self.n_passes in range(self.passes * math.ceil(len(y) / size) + 1):
+            problems = []
+            for m in np.flatnonzero(gaps > self.tolerance):
+                biases[m], apart, some = working_set(y, cap[:, m], alpha[:, m], value[:, m], seen[:, m], size, draw)
+                gaps[m] = self._gap(y, cap[:, m], alpha[:, m], value[:, m], biases[m])
+                if gaps[m] > self.tolerance:
+                    problems.append((m, some, y[some], cap[some, m], alpha[some, m], value[some, m], max(FINEST, apart / 10)))
+            if not problems:
+                break
+            weights = np.zeros(cap.shape)
+            for m, some, after in solved_sets(held, problems, self.gamma):
+                weights[some, m], alpha[some, m] = (after - alpha[some, m]) * y[some], after
+            value += summed_changes(held, weights, self.gamma)
+        held.destroy()
+        self.gap, self.converged = float(gaps[-1]), bool((gaps <= self.tolerance).all())
+        kept = alpha[:, -1] > 0
+        self.vectors, self.weights, self.bias = x[kept], (alpha[:, -1] * y)[kept], float(biases[-1])
+        self.details = np.c_[ids, y, own, alpha[:, -1]][kept]
+        found = pd.DataFrame({"y": y, "share": share, "margin": (value + biases)[np.arange(len(y)), fold]})
+        return found.sort_values(["margin", "y"])
+
+    @staticmethod
+    def _gap(y: np.ndarray, cap: np.ndarray, alpha: np.ndarray, value: np.ndarray, bias: float) -> float:
+        """Duality gap as a share of the dual value."""
+        length, loss = float((alpha * y) @ value), float(cap @ np.maximum(0, 1 - y * (value + bias)))
+        dual = float(alpha.sum()) - length / 2
+        return (length / 2 + loss - dual) / max(dual, 1e-12)
 
     # --- use ---------------------------------------------------------------------------------
 
@@ -315,7 +459,9 @@ class KernelSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(x) + self.offset, -500, 500)))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return with_chances(df, self.chances)
+        # each row meets all support vectors, and the few bytes of the rows would make one task of them
+        spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(self.vectors) > WORKING else df
+        return with_chances(spread, self.chances)
 
     def parts(self) -> dict:
         names = ("c", "gamma", "tolerance", "folds", "part_rows", "most_rows", "passes")
@@ -356,5 +502,19 @@ def logistic_line(margin: np.ndarray, y: np.ndarray, share: np.ndarray, rounds:
 
 def support_table(spark: SparkSession, model: KernelSvm) -> DataFrame:
     """Support vectors of a fit: ``support, y, cap, alpha, x``."""
-    rows = [(int(i), float(y), float(cap), float(a), [float(v) for v in x]) for x, (i, y, cap, a) in zip(model.vectors, model.details if model.details is not None else [])]
-    return spark.createDataFrame(rows, "support BIGINT, y DOUBLE, cap DOUBLE, alpha DOUBLE, x ARRAY<DOUBLE>")
+    details = np.zeros((0, 4)) if model.details is None else model.details
+    columns = {n: pa.array(details[:, i], pa.int64() if n == "support" else pa.float64()) for i, n in enumerate(("support", "y", "cap", "alpha"))}
+    ends = pa.array(np.arange(len(details) + 1) * model.dimension, pa.int32())
+    features = pa.ListArray.from_arrays(ends, pa.array(model.vectors.ravel(), pa.float64()))
+    return spark.createDataFrame(pa.table(columns | {"x": features}), "support BIGINT, y DOUBLE, cap DOUBLE, alpha DOUBLE, x ARRAY<DOUBLE>")
+
+
+def with_margins(df: DataFrame, model: KernelSvm) -> DataFrame:
+    """Rows with ``f``, the margin of their ``x``: the kernel with each support vector, times its weight, and the bias."""
+    vectors, weights, bias, gamma = model.vectors, model.weights[:, None], model.bias, model.gamma
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(f=kernel_sums(np.stack(batch["x"].to_numpy()), vectors, weights, gamma)[:, 0] + bias)
+
+    return df.mapInPandas(score, T.StructType([*df.schema.fields, T.StructField("f", T.DoubleType())]))

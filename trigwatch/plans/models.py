@@ -22,7 +22,7 @@ from trigwatch.session import cut_lineage
 
 DIMENSION = 64
 #: rows that a task compares with all support vectors
-PAIRED_ROWS = 200
+PAIRED_ROWS = 1000
 
 
 def labelled_vectors(spark, sf):
@@ -80,21 +80,18 @@ FROM embeddings""",
 def svm_optimality(spark, sf):
     """What makes multipliers the solution of the dual problem: they lie in their boxes and
     balance, rows without one are outside the margin, rows at their bound inside or on it, the
-    others on it; and the primal value is the dual one. Margins are summed up by SQL functions."""
+    others on it; and the primal value is the dual one. Margins are summed up anew, from the rows
+    and the table of support vectors, for each row over all of them."""
     rows = labelled_vectors(spark, sf)
-    model = svm.KernelSvm(part_rows=200, most_rows=2 * rows.count(), folds=2, tolerance=1e-6).fit(rows)
+    model = svm.KernelSvm(part_rows=200, most_rows=None, folds=2, tolerance=1e-6).fit(rows)
     support = svm.support_table(spark, model)
     y = F.when(F.col("label") == 1.0, 1.0).otherwise(-1.0)
     weighted = vectors.class_weights(rows).select(y.alias("y"), vector_to_array("features").alias("x"), (F.col("weight") * model.c).alias("cap"))
     # equal rows share a multiplier, up to the sum of their bounds
-    caps = cut_lineage(weighted.groupBy("x", "y").agg(F.sum("cap").alias("cap"), F.count(F.lit(1)).alias("copies")))
-    other = F.broadcast(support.select(F.col("x").alias("s"), (F.col("alpha") * F.col("y")).alias("w")))  # bounded by most_rows
-    # written out by position, which is compiled; and the few bytes of the rows would make one task of all pairs
-    steps = [F.get("x", F.lit(i)) - F.get("s", F.lit(i)) for i in range(model.dimension)]
-    near = F.exp(-F.lit(model.gamma) * reduce(lambda a, b: a + b, [step * step for step in steps], F.lit(0.0)))
-    dealt = caps.repartition(max(1, model.n_rows // PAIRED_ROWS), "x", "y")
-    margins = dealt.join(other, F.lit(True)).groupBy("x", "y").agg((F.sum(F.col("w") * near) + F.lit(model.bias)).alias("f"))
-    placed = caps.join(margins, ["x", "y"]).join(support.select("x", "y", "alpha"), ["x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    caps = weighted.groupBy("x", "y").agg(F.sum("cap").alias("cap"), F.count(F.lit(1)).alias("copies"))
+    # the few bytes of the rows would make one task of all pairs
+    margins = svm.with_margins(cut_lineage(caps.repartition(max(1, model.n_rows // PAIRED_ROWS), "x", "y")), model)
+    placed = margins.join(support.select("x", "y", "alpha"), ["x", "y"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
     gap, slack, full = F.col("y") * F.col("f") - 1, 2e-3, F.col("alpha") >= F.col("cap") * (1 - 1e-9)
     broken = ((F.col("alpha") == 0) & (gap < -slack)) | (full & (gap > slack)) | ((F.col("alpha") > 0) & ~full & (F.abs(gap) > slack))
     # |w|^2 is the sum of alpha y (f - b), and the balance makes b drop out
