@@ -203,3 +203,16 @@ def test_support_table_and_margins(spark, rings):
     assert np.allclose(found["f"], plain_margins(x, model), atol=1e-9)
     empty = svm.KernelSvm().fit(frame(spark, x, y).limit(0))
     assert svm.support_table(spark, empty).count() == 0
+
+
+def test_every_row_is_fitted(spark):
+    rng = np.random.default_rng(8)
+    y = np.arange(12000) % 100 == 0
+    x = rng.normal(size=(12000, 2)) + 3 * y[:, None]
+    model = svm.KernelSvm(folds=2).fit(frame(spark, x, y))
+    assert model.n_rows == 12000 and model.converged
+    # the gap over all rows, from the support vectors alone
+    sign, cap = np.where(y, 1.0, -1.0), np.where(y, 6000 / y.sum(), 6000 / (~y).sum())
+    length = model.weights @ (svm.kernel_sums(model.vectors, model.vectors, model.weights[:, None], model.gamma)[:, 0])
+    dual, loss = np.abs(model.weights).sum() - length / 2, cap @ np.maximum(0, 1 - sign * model.margins(x))
+    assert length / 2 + loss - dual <= 1.01e-3 * dual

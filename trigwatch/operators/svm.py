@@ -230,8 +230,8 @@ class KernelSvm:
     break its conditions most, and others that break them, one model a task. All rows then get the change of the values, in
     tasks over blocks of them, with the same end: the duality gap over all training rows.
 
-    Equal rows of a class are one row with a larger bound. ``most_rows``, if not None, bounds the
-    different rows of the classes to half of it each, the first ones by hash.
+    Equal rows of a class are one row with a larger bound. All rows are fitted; ``most_rows``, if
+    given, bounds the different rows of the classes to half of it each, the first ones by hash.
     Classes are weighed to balance, and the calibration counts them as they are in all rows. The
     time grows with the square of the rows; ``FourierSvm`` has an approximate kernel instead.
     Rows with null features or a null label are left out; of one class only, that class gets all
@@ -240,7 +240,7 @@ class KernelSvm:
 
     def __init__(
         self, c: float = 1.0, gamma: float | None = None, tolerance: float = 1e-3, folds: int = 5, part_rows: int = 1000,
-        most_rows: int | None = 20_000, passes: int = 20,
+        most_rows: int | None = None, passes: int = 20,
     ) -> None:
         self.c, self.gamma, self.tolerance, self.folds = c, gamma, tolerance, folds
         self.part_rows, self.most_rows, self.passes = part_rows, most_rows, passes

@@ -83,7 +83,7 @@ def svm_optimality(spark, sf):
     others on it; and the primal value is the dual one. Margins are summed up anew, from the rows
     and the table of support vectors, for each row over all of them."""
     rows = labelled_vectors(spark, sf)
-    model = svm.KernelSvm(part_rows=200, most_rows=None, folds=2, tolerance=1e-6).fit(rows)
+    model = svm.KernelSvm(part_rows=200, folds=2, tolerance=1e-6).fit(rows)
     support = svm.support_table(spark, model)
     y = F.when(F.col("label") == 1.0, 1.0).otherwise(-1.0)
     weighted = vectors.class_weights(rows).select(y.alias("y"), vector_to_array("features").alias("x"), (F.col("weight") * model.c).alias("cap"))
